@@ -6,6 +6,7 @@ and goes to the language whose output is smallest. Where the smallest and the se
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,8 @@ SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES, MOST_LANGUAGES = 400, 600, 1 << 17,
 #: A text is compressed in pieces of so many bytes, so that its own earlier parts don't stand in for the dictionary.
 PIECE_BYTES = 4096
 LEVEL = 3
+#: Shorter pieces are compressed harder, with matches from three bytes on.
+SHORT_BYTES, SHORT_LEVEL = 1024, 13
 #: Least relative difference of the smallest and the second output for a text to be kept.
 MARGIN = 0.0005
 
@@ -36,24 +39,35 @@ def fit(docs: DataFrame, labelled: Column) -> dict[str, bytes]:
     parts: dict[str, list] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["piece"])):
         parts.setdefault(r["lang"], []).append(r["piece"])
-    return {lang: "\n".join(p).encode()[-DICTIONARY_BYTES:] for lang, p in parts.items()}
+    return {lang: letters("\n".join(p))[-DICTIONARY_BYTES:] for lang, p in parts.items()}
+
+
+#: What is compressed: letters in lower case, other characters' runs as one blank.
+OTHERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> bytes:
+    return OTHERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.by_lang = []
+        short = zstandard.ZstdCompressionParameters.from_level(SHORT_LEVEL, min_match=3)
         for lang, content in sorted(dictionaries.items()):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d, e = (zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _ in range(2))
             d.precompute_compress(level=LEVEL)
-            self.by_lang.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)))
+            e.precompute_compress(compression_params=short)
+            c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
+            self.by_lang.append((lang, c, zstandard.ZstdCompressor(compression_params=short, dict_data=e)))
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (0 to 1: how much smaller the best output is than the second) and whether the text is rejected."""
         if text is None or not self.by_lang or not any(map(str.isalpha, text)):
             return "und", 0.0, True
-        data = text.encode("utf-8", "surrogatepass")
+        data = letters(text)
         pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
-        sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in self.by_lang)
+        sizes = sorted((sum(len((short if len(p) < SHORT_BYTES else long).compress(p)) for p in pieces), lang) for lang, long, short in self.by_lang)
         if len(sizes) == 1:
             return sizes[0][1], 1.0, False
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
