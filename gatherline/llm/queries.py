@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lmscore, mixing, neardup, secret_scan, sharding, topk
+from . import bpe, chat, fingerprint, langid, lmscore, mixing, neardup, secret_scan, sharding, topk
 from .common import remainder_of_crc32, table
 
 #: The vocabulary that op8 and the pipeline encode with.
@@ -105,13 +105,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, ranks, public_tokenizers.PATTERN, ids=False, digests=True)
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lmscore.score(docs, remainder_of_crc32(F.col("doc_id"), 7) == 2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_topk, op3_chat, op4_secrets, op5_langid, op6_neardup, op7_sharding, op8_bpe, op10_lmscore)}
+    return {f.__name__: f for f in (op1_mixing, op2_topk, op3_chat, op4_secrets, op5_langid, op6_neardup, op7_sharding, op8_bpe, op9_fingerprint, op10_lmscore)}
 
 
 def oracle_sql() -> dict[str, str]:
