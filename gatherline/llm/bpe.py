@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, sliced
+from .common import ddl, sliced, with_text
 
 #: Distinct words that a task keeps before it forgets them all and begins anew.
 KEPT_WORDS = 400_000
@@ -117,10 +117,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
     A null text is empty and has no ids. Whole texts of any length are encoded; repeated rows give repeated results. Special tokens have no part: their strings are text."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary's fixed table
 
+    chosen, name = with_text(docs, keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value, pattern)
         for batch in sliced(batches):
-            made = [coder.encode(t.as_py()) for t in batch.column("_text")]
+            made = [coder.encode(t.as_py()) for t in batch.column(name)]
             columns, names = [batch.column(c) for c in keep], [*keep, "n_tokens"]
             columns.append(pa.array([s.count(",") + 1 if s else 0 for s in made], pa.int64()))
             if ids:
@@ -133,6 +135,5 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
                 names += ["ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    chosen = docs.select(*keep, F.col("text").alias("_text"))
     more = ["n_tokens long", *["ids array<int>", "decoded binary"] * ids, *["ids_sha256 string", "decoded_sha256 string"] * digests]
     return chosen.mapInArrow(run, ddl(docs.select(*keep), *more))

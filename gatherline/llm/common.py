@@ -55,3 +55,8 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def ddl(df: DataFrame, *more: str) -> str:
     """df's columns and more, as a schema string."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
+
+
+def with_text(df: DataFrame, keep: list[str]) -> tuple[DataFrame, str]:
+    """The columns in keep and df's text, under the name that is returned."""
+    return (df.select(*keep), "text") if "text" in keep else (df.select(*keep, F.col("text").alias("_text")), "_text")

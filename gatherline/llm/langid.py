@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ddl, sliced
+from .common import ddl, sliced, with_text
 
 #: The fit: so many labelled rows of a language at most (those with the least hash), so many characters of each from a hashed place, a dictionary's bytes, and the most languages there can be.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES, MOST_LANGUAGES = 400, 600, 1 << 17, 200
@@ -80,15 +80,16 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str] =
     A text that is null or has no letter is und, scores 0 and is rejected; ties go to the language first in code-point order
     and are rejected; with nothing learnt all are und. Repeated rows are judged alike; the result has a row for each row."""
 
+    chosen, name = with_text(docs, keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(dictionaries)
         for batch in sliced(batches):
-            found = [model.classify(t.as_py()) for t in batch.column("_text")]
+            found = [model.classify(t.as_py()) for t in batch.column(name)]
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
                 names=[*keep, "lang_pred", "score", "rejected"],
             )
 
-    chosen = docs.select(*keep, F.col("text").alias("_text"))
     return chosen.mapInArrow(run, ddl(docs.select(*keep), "lang_pred string, score double, rejected boolean"))

@@ -27,7 +27,8 @@ CHUNK = 4096
 @dataclass
 class Mix:
     """documents: doc_id, source, sid, size. sources: sid, source, source_size, weight, target, n_blocks, n_draws, first_draw.
-    rows: shard, slot, sid, block, doc_id, start_word, n_words (a piece of a document at its place in the mix)."""
+    rows: shard, slot, sid, block, again (0 for
+    the first pass over a source's blocks), doc_id, start_word, n_words (a piece of a document at its place in the mix)."""
 
     documents: DataFrame
     sources: DataFrame
@@ -127,8 +128,8 @@ def mix(
     draws = draws.withColumn("slot", permuted(F.col("slot"), F.col("all_draws"), F.xxhash64(F.lit(f"{seed} slot")))).withColumn(
         "block", permuted(F.col("block"), F.col("n_blocks"), F.xxhash64(F.lit(f"{seed} block"), "sid", "again"))
     )
-    draws = draws.select(F.floor(F.col("slot") / shard_slots).alias("shard"), (F.col("slot") % shard_slots).alias("slot"), "sid", "block")
-    return Mix(documents, sources, draws.join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "block", "doc_id", "start_word", "n_words"))
+    draws = draws.select(F.floor(F.col("slot") / shard_slots).alias("shard"), (F.col("slot") % shard_slots).alias("slot"), "sid", "block", "again")
+    return Mix(documents, sources, draws.join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "block", "again", "doc_id", "start_word", "n_words"))
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
@@ -140,3 +141,18 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     return keys.join(taken, same, "left").select(
         keys["doc_id"], "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows of docs (doc_id, text, lang, source, n_chars): a row per document and pass with the words that the mix takes in that pass, in order.
+
+    Words keep the white space around them, so a document that is taken whole keeps its text. Documents of which the mix takes nothing go."""
+    m = mix(docs, **options)
+    rows = m.rows.join(m.sources.select("sid", "source"), "sid")
+    taken = rows.groupBy("doc_id", "source", "again").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias("pieces"))
+    same = docs["doc_id"].eqNullSafe(taken["doc_id"]) & docs["source"].eqNullSafe(taken["source"])
+    d = docs.join(taken.hint("shuffle_hash"), same).select(docs["doc_id"], "text", "lang", docs["source"], "pieces")
+    d = d.withColumn("words", F.regexp_extract_all("text", F.lit(rf"(?:^[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"), F.lit(0)))
+    text = F.array_join(F.transform("pieces", lambda p: F.array_join(F.slice("words", (p["start_word"] + 1).cast("int"), p["n_words"].cast("int")), "")), "")
+    d = d.withColumn("taken", text)
+    return d.select("doc_id", F.col("taken").alias("text"), "lang", "source", F.length("taken").cast("long").alias("n_chars"))
