@@ -35,6 +35,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE o_orderkey % 4 WHEN 0 THEN 'ru' WHEN 1 THEN 'es' WHEN 2 THEN 'en' END AS language",
         "CASE o_orderkey % 3 WHEN 0 THEN 'family' WHEN 1 THEN 'adult' END AS audience",
         "CAST(o_orderkey % 2 AS int) AS is_free",
+        "CAST(NULL AS string) AS description",
         "concat('[\"', replace(p_name, ' ', '\",\"'), '\",\"city-', lower(n_name), '\",\"', cast(o_orderkey % 50 AS string), '\",\"', lower(c_mktsegment), '\"]') AS tags_json",
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("resolution",)
+MODULES = ("resolution", "read_model")
 
 
 def query(sql: str | None = None) -> Callable:
