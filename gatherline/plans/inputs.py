@@ -66,7 +66,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of polls: the user is the source, an error an error, a view a poll without news."""
     e = table(spark, sf_dir, "events")
     return e.selectExpr(
-        "event_id AS run_id", "concat('src', cast(user_id AS string)) AS source_key", "ts AS started_at",
+        "event_id AS run_id", "concat('src', cast(user_id AS string)) AS source_key", "cast(ts AS timestamp) AS started_at",
         "CASE event_type WHEN 'error' THEN 'error' ELSE 'ok' END AS status", "CASE event_type WHEN 'view' THEN 0 WHEN 'error' THEN 0 ELSE 1 + event_id % 7 END AS new_items",
     )
 
