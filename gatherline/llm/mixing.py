@@ -152,7 +152,11 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     taken = rows.groupBy("doc_id", "source", "again").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias("pieces"))
     same = docs["doc_id"].eqNullSafe(taken["doc_id"]) & docs["source"].eqNullSafe(taken["source"])
     d = docs.join(taken.hint("shuffle_hash"), same).select(docs["doc_id"], "text", "lang", docs["source"], "pieces")
-    d = d.withColumn("words", F.regexp_extract_all("text", F.lit(rf"(?:^[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"), F.lit(0)))
-    text = F.array_join(F.transform("pieces", lambda p: F.array_join(F.slice("words", (p["start_word"] + 1).cast("int"), p["n_words"].cast("int")), "")), "")
+    words = F.regexp_extract_all("text", F.lit(rf"(?:^[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+
+    def of(w: Column) -> Column:
+        return F.array_join(F.transform("pieces", lambda p: F.array_join(F.slice(w, (p["start_word"] + 1).cast("int"), p["n_words"].cast("int")), "")), "")
+
+    text = F.get(F.transform(F.array(words), of), F.lit(0))  # a lambda's variable, so a text is cut once, not once a piece
     d = d.withColumn("taken", text)
     return d.select("doc_id", F.col("taken").alias("text"), "lang", "source", F.length("taken").cast("long").alias("n_chars"))
