@@ -3,8 +3,8 @@
 A document's set of 5-word shingles gets a one-permutation hash signature (one hash a shingle, one bin each, empty
 bins filled by optimal densification). Bands of the signature put documents into buckets; in a bucket all members are paired with one
 centre, never with each other, so pairs grow with the members. Pairs that a sketch doesn't rule out are confirmed on the full sets.
-Further rounds take other centres (those with most links first) for members that no link has joined to their bucket's centre,
-until a round joins nothing more. Documents with equal sets are one node throughout.
+Further turns pair the members that no link has joined yet with their neighbours in the order of signatures, then with more centres (those with most links
+first), until a turn joins nothing more. Documents with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ddl, saved, sliced
@@ -95,13 +95,14 @@ def sketch(values: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (a 128-bit hash of the set, null for an empty one) and bands of every row."""
+    """doc_id, n_shingles, set_id (a 128-bit hash of the set, null for an empty one), bands and sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in sliced(batches):
             sets = [shingler.shingles(t.as_py()) for t in batch.column("text")]
-            keys = [band_keys(signature(s)) if len(s) else np.zeros(0, np.int64) for s in sets]
+            values = [signature(s) if len(s) else None for s in sets]
+            keys = [np.zeros(0, np.int64) if v is None else band_keys(v) for v in values]
             offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -109,11 +110,12 @@ def signed(docs: DataFrame) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(offsets, np.concatenate([*keys, np.zeros(0, np.int64)])),
+                    pa.array([None if v is None else sketch(v) for v in values], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_id", "bands"],
+                names=["doc_id", "n_shingles", "set_id", "bands", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, ddl(docs.select("doc_id"), "n_shingles long, set_id binary, bands array<long>"))
+    return docs.select("doc_id", "text").mapInArrow(run, ddl(docs.select("doc_id"), "n_shingles long, set_id binary, bands array<long>, sketch binary"))
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
@@ -173,45 +175,62 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label, degree) after links (a, b): labels that links join fall to the least of them, degrees count links."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+    between = links.join(a, "a").join(b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    least = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("more"))
+    j = labels.join(least, "label", "left").join(ends, "node", "left")
+    return saved(j.select("node", F.coalesce("to", "label").alias("label"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")))
+
+
+def pairs_of(members: DataFrame, turn: int) -> DataFrame:
+    """a and b of nodes of different labels to try in a turn, from members (band, tail, node, label, degree) of buckets that hold more than one label.
+
+    First a bucket's star; then neighbours in the order of the signature from the band on, who have most of it in common; then stars about
+    those members that have most links, ever more of them. A bucket gives pairs in proportion to its members each turn."""
+    if turn == 1:
+        w = Window.partitionBy("band").orderBy("tail", "node")
+        after = [F.lead(F.struct("node", "label"), i).over(w).alias(f"c{i}") for i in (1, 2)]
+        near = members.select("node", "label", *after).select("node", "label", F.explode(F.array("c1", "c2")).alias("c"))
+        return near.where("label <> c.label").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    n = 1 if turn == 0 else 1 << turn
+    rank = Window.partitionBy("band").orderBy(F.desc("degree"), F.xxhash64("node", "band"))
+    centres = members.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= n).select(F.col("band"), F.col("node").alias("centre"), F.col("label").alias("home"))
+    here = (members["band"] == centres["band"]) & (F.col("label") != F.col("home"))
+    return members.join(centres, here).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, set_id, node: the least doc_id of an equal set) and labels (node, label) of joined nodes."""
+    """Rows (doc_id, n_shingles, set_id, node: the least doc_id of an equal set) and labels (node, label: the component's least node) of nodes that share a bucket with others."""
     rows = saved(signed(docs))
-    nodes = saved(rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    band = nodes.where(F.col("node").isNotNull()).select("node", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    nodes = rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = saved(nodes.where(F.col("node").isNotNull()))
+    tail = F.expr(f"substring(concat(sketch, sketch), q * {ROWS} + {ROWS + 1}, 12)")
+    band = nodes.select("node", "sketch", F.posexplode("bands").alias("q", "band")).select("node", "band", tail.alias("tail"))
+    shared = nodes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = saved(band.join(shared, "band"))
-    wanted = saved(members.select("node").distinct())
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(wanted.hint("shuffle_hash"), "node", "left_semi")
+    labels = saved(members.select("node").distinct().select("node", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree")))
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(labels.select("node").hint("shuffle_hash"), "node", "left_semi")
     sets = saved(with_sets(texts).dropDuplicates(["node"]))
 
-    links = labels = tested = used = None
-    turn = 0
+    tested, turn = None, 0
     while True:
-        m = members.withColumn("label", F.col("node")).withColumn("degree", F.lit(0).cast("long"))
-        if links is not None:  # members of the centre's own component need no test
-            ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-            m = members.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left").join(labels, "node", "left")
-            m = m.select("band", "node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("label", "node").alias("label"))
-            mixed = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-            m = saved(m.join(mixed, "band"))
-        free = m if used is None else m.join(used, ["band", "node"], "left_anti")
-        first = F.min(F.struct((-F.col("degree")).alias("d"), F.xxhash64("node", "band", F.lit(turn)).alias("h"), "node", "label"))
-        centres = saved(free.groupBy("band").agg(first.alias("c")).select("band", F.col("c.node").alias("centre"), F.col("c.label").alias("home")))
-        pairs = m.join(centres, "band").where(F.col("label") != F.col("home"))
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        m = members.join(labels, "node")
+        mixed = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+        m = saved(m.join(mixed, "band"))
+        pairs = pairs_of(m, turn)
         pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = saved(confirmed(pairs, sets, percent))
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        elif turn > 1 or links is None:
+            labels = joined(labels, found)
+        elif turn > 1 or m.isEmpty():
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
-        now = centres.select("band", F.col("centre").alias("node"))
-        used = now if used is None else used.unionByName(now)
         turn += 1
-    rows = rows.drop("bands").join(nodes.select("set_id", "node"), "set_id", "left")
-    return rows, labels
+    rows = rows.drop("bands", "sketch").join(nodes.select("set_id", "node"), "set_id", "left")
+    return rows, labels.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
@@ -221,9 +240,6 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
     one of fewer words than a shingle has one shingle. Rows with equal sets are linked. A row without an id is in the component of an equal text (if any, else none) and is
     kept only where there is none. An empty table gives an empty result."""
     rows, labels = linked(docs, percent)
-    if labels is not None:
-        rows = rows.join(labels, "node", "left")
-    else:
-        rows = rows.withColumn("label", F.lit(None).cast("long"))
+    rows = rows.join(labels, "node", "left")
     component = F.coalesce("label", "node", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
