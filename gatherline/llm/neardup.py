@@ -195,9 +195,9 @@ def pairs_of(members: DataFrame, turn: int) -> DataFrame:
         after = [F.lead(F.struct("node", "label"), i).over(w).alias(f"c{i}") for i in (1, 2)]
         near = members.select("node", "label", *after).select("node", "label", F.explode(F.array("c1", "c2")).alias("c"))
         return near.where("label <> c.label").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-    n = 1 if turn == 0 else 1 << turn
+    low, high = (0, 1) if turn == 0 else (0, 2) if turn == 2 else (1 << (turn - 2), 1 << (turn - 1))
     rank = Window.partitionBy("band").orderBy(F.desc("degree"), F.xxhash64("node", "band"))
-    centres = members.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= n).select(F.col("band"), F.col("node").alias("centre"), F.col("label").alias("home"))
+    centres = members.withColumn("n", F.row_number().over(rank)).where((F.col("n") > low) & (F.col("n") <= high)).select(F.col("band"), F.col("node").alias("centre"), F.col("label").alias("home"))
     here = (members["band"] == centres["band"]) & (F.col("label") != F.col("home"))
     return members.join(centres, here).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
