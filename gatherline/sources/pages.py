@@ -18,10 +18,14 @@ def meta(html: Column) -> Column:
     """Map of the known meta tags (the last of a name counts)."""
     pattern = r"""(?is)<meta[^>]+(?:property|name)=["']([^"']+)["'][^>]+content=["']([^"']*)["']"""
     names = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda n: F.lower(F.trim(n)))
-    values = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), F.trim)
+    values = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), lambda v: F.trim(v))
     pairs = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda p: p["n"].isin(META_NAMES))
-    last = lambda n: F.element_at(F.filter(pairs, lambda p: p["n"] == n), -1)["v"]
-    return F.map_filter(F.create_map(*[x for n in META_NAMES for x in (F.lit(n), F.when(F.size(F.filter(pairs, lambda p, n=n: p["n"] == n)) > 0, last(n)))]), lambda k, v: v.isNotNull())
+
+    def last(name: str) -> Column:
+        """The last value of a name; null (out of range of an empty array) if there is none."""
+        return F.try_element_at(F.filter(pairs, lambda p: p["n"] == name), F.lit(-1))["v"]
+
+    return F.map_filter(F.create_map(*[x for n in META_NAMES for x in (F.lit(n), last(n))]), lambda k, v: v.isNotNull())
 
 
 def snapshots(pages: DataFrame) -> DataFrame:
@@ -101,3 +105,45 @@ def seeded(held: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def export(df: DataFrame, leave_out: list[str], path: str) -> None:
     df.drop(*leave_out).orderBy("id").write.mode("errorifexists").json(path)
+
+
+def detail_links(pages: DataFrame, limit: int = 200) -> DataFrame:
+    """page_id, url, title and place of links of a page's own host whose last path segment is a hyphenated slug of 8 characters
+    at least; the title is the link's text (4 to 220 characters); the first of a url counts."""
+    links = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("body"))
+    a = pages.select("page_id", F.col("url").alias("page"), F.posexplode(links).alias("pos", "a"))
+    a = a.select("page_id", "page", "pos", resolved(F.col("a.href"), F.col("page")).alias("url"), text.compact(text.html_text(F.col("a.body"))).alias("title"))
+    slug = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "^[a-zA-Z]+://[^/]+/(?:.*/)?([^/]+)/?$", 1)
+    a = a.where((host(F.col("url")) == host(F.col("page"))) & (F.length(slug) >= 8) & slug.contains("-") & F.length("title").between(4, 220))
+    a = a.groupBy("page_id", "url").agg(F.min(F.struct("pos", "title")).alias("f"))
+    w = Window.partitionBy("page_id").orderBy("f.pos")
+    return a.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("page_id", "url", F.col("f.title").alias("title"), "place")
+
+
+def new_details(links: DataFrame, items: DataFrame, limit: int = 60) -> DataFrame:
+    """The first links (url, place) that no item (url) holds yet."""
+    return links.join(items.select("url").distinct(), "url", "left_anti").orderBy("place", "url").limit(limit)
+
+
+def posts(pages: DataFrame, mark: str = 'class="message"') -> DataFrame:
+    """page_id, ref, place, text, published_at and media of pages of chat messages: a block from each mark to the next, with a data-post reference."""
+    block = pages.select("page_id", F.posexplode(F.split("html", mark)).alias("place", "block")).where("place > 0")
+    one = lambda p: F.nullif(F.regexp_extract("block", p, 1), F.lit(""))
+    body = text.html_text(F.regexp_extract("block", r'(?s)class="text"[^>]*>(.*?)</div>', 1))
+    media = F.array_distinct(F.regexp_extract_all("block", F.lit(r"""(?:src=["']|url\(["']?)(https?://[^"')]+)"""), F.lit(1)))
+    return block.select("page_id", one(r'data-post="([^"]+)"').alias("ref"), "place", F.substring(body, 1, TEXT_LIMIT).alias("text"), one(r'datetime="([^"]+)"').alias("published_at"), media.alias("media"))
+
+
+def posts_or_cards(pages: DataFrame) -> DataFrame:
+    """Posts of pages that have some, link cards of the others (page_id, url or reference, title)."""
+    p = posts(pages).where("text <> ''")
+    rest = pages.join(p.select("page_id").distinct(), "page_id", "left_anti")
+    return p.select("page_id", F.col("ref").alias("url"), F.substring("text", 1, 200).alias("title")).unionByName(cards(rest).select("page_id", "url", "title"))
+
+
+def article(pages: DataFrame) -> DataFrame:
+    """page_id, title (h1) and body (paragraphs joined by blank lines, trailing photo credits left out; else the description) of article pages."""
+    paragraphs = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)(?=<p\b|</p>)"), F.lit(1)), lambda x: text.compact(text.html_text(x))), lambda x: x.isNotNull())
+    kept = F.filter(paragraphs, lambda x: ~x.rlike(r"(?iu)^(foto|fotos|photo|фото)\s*[:©]"))
+    body = F.nullif(F.array_join(kept, "\n\n"), F.lit(""))
+    return pages.select("page_id", text.compact(text.html_text(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1))).alias("title"), F.coalesce(body, F.try_element_at(meta(F.col("html")), F.lit("og:description"))).alias("body"))
