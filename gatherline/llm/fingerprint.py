@@ -124,7 +124,8 @@ def next_to(docs: DataFrame) -> DataFrame:
     last = Window.orderBy("bucket")
     heads = saved(heads.withColumn("lender", F.coalesce(F.lead("head").over(order), F.last("head").over(last.rowsBetween(0, Window.unboundedFollowing)))))
     lent = docs.drop("bucket").join(F.broadcast(heads.select(F.col("lender"), F.col("bucket"))), F.col("doc_id").eqNullSafe(F.col("lender")))  # MOST_BUCKETS rows at most
-    lent = lent.groupBy("bucket", "doc_id").agg(F.min("text").alias("text")).withColumn("borrowed", F.lit(True))
+    known = F.coalesce("bucket", F.lit(-1).cast("long")).alias("bucket")  # never null, so that all that reads the dealt rows has one plan and shares their shuffle
+    lent = lent.groupBy("bucket", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", known).withColumn("borrowed", F.lit(True))
     both = docs.withColumn("borrowed", F.lit(False)).unionByName(lent)
     w = Window.partitionBy("bucket").orderBy("borrowed", F.col("doc_id").desc_nulls_last(), "text")
     return both.select("bucket", F.row_number().over(w).alias("place"), "doc_id", "text", F.lead("text").over(w).alias("following"), "borrowed")
