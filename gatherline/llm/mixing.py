@@ -128,8 +128,9 @@ def mix(
     draws = draws.withColumn("slot", permuted(F.col("slot"), F.col("all_draws"), F.xxhash64(F.lit(f"{seed} slot")))).withColumn(
         "block", permuted(F.col("block"), F.col("n_blocks"), F.xxhash64(F.lit(f"{seed} block"), "sid", "again"))
     )
+    # Spark takes generated rows for as few as they are generated from, and would broadcast them
     draws = draws.select(F.floor(F.col("slot") / shard_slots).alias("shard"), (F.col("slot") % shard_slots).alias("slot"), "sid", "block", "again")
-    return Mix(documents, sources, draws.join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "block", "again", "doc_id", "start_word", "n_words"))
+    return Mix(documents, sources, draws.hint("merge").join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "block", "again", "doc_id", "start_word", "n_words"))
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
