@@ -185,19 +185,24 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(j.select("node", F.coalesce("to", "label").alias("label"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")))
 
 
-def pairs_of(members: DataFrame, turn: int) -> DataFrame:
+def centres_of(members: DataFrame, turn: int, used: DataFrame | None) -> DataFrame:
+    """band and node of the members to put at the centre of stars: of those that were none before (not in used: band, node) the ones with most links, one in turn 0, later 2^(turn - 1)."""
+    new = members if used is None else members.join(used, ["band", "node"], "left_anti")
+    rank = Window.partitionBy("band").orderBy(F.desc("degree"), F.xxhash64("node", "band"))
+    return new.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= (1 << max(0, turn - 1))).select("band", "node")
+
+
+def pairs_of(members: DataFrame, centres: DataFrame | None) -> DataFrame:
     """a and b of nodes of different labels to try in a turn, from members (band, tail, node, label, degree) of buckets that hold more than one label.
 
-    First a bucket's star; then neighbours in the order of the signature from the band on, who have most of it in common; then stars about
-    those members that have most links, ever more of them. A bucket gives pairs in proportion to its members each turn."""
-    if turn == 1:
+    Without centres: neighbours in the order of the signature from the band on, who have most of it in common. Else stars about the centres (band, node).
+    A bucket gives pairs in proportion to its members each turn."""
+    if centres is None:
         w = Window.partitionBy("band").orderBy("tail", "node")
         after = [F.lead(F.struct("node", "label"), i).over(w).alias(f"c{i}") for i in (1, 2)]
         near = members.select("node", "label", *after).select("node", "label", F.explode(F.array("c1", "c2")).alias("c"))
         return near.where("label <> c.label").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-    low, high = (0, 1) if turn == 0 else (0, 2) if turn == 2 else (1 << (turn - 2), 1 << (turn - 1))
-    rank = Window.partitionBy("band").orderBy(F.desc("degree"), F.xxhash64("node", "band"))
-    centres = members.withColumn("n", F.row_number().over(rank)).where((F.col("n") > low) & (F.col("n") <= high)).select(F.col("band"), F.col("node").alias("centre"), F.col("label").alias("home"))
+    centres = members.join(centres, ["band", "node"]).select("band", F.col("node").alias("centre"), F.col("label").alias("home"))
     here = (members["band"] == centres["band"]) & (F.col("label") != F.col("home"))
     return members.join(centres, here).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
@@ -215,12 +220,13 @@ def linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(labels.select("node").hint("shuffle_hash"), "node", "left_semi")
     sets = saved(with_sets(texts).dropDuplicates(["node"]))
 
-    tested, turn = None, 0
+    tested, used, turn = None, None, 0
     while True:
         m = members.join(labels, "node")
         mixed = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
         m = saved(m.join(mixed, "band"))
-        pairs = pairs_of(m, turn)
+        centres = None if turn == 1 else saved(centres_of(m, turn, used))
+        pairs = pairs_of(m, centres)
         pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = saved(confirmed(pairs, sets, percent))
         if not found.isEmpty():
@@ -228,6 +234,8 @@ def linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         elif turn > 1 or m.isEmpty():
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if centres is not None:
+            used = centres if used is None else used.unionByName(centres)
         turn += 1
     rows = rows.drop("bands", "sketch").join(nodes.select("set_id", "node"), "set_id", "left")
     return rows, labels.select("node", "label")

@@ -92,6 +92,21 @@ def test_near_duplicates_against_brute_force(spark, odd, no_rows):
     assert neardup.near_duplicates(no_rows).count() == 0
 
 
+def test_centres_are_new_ones_with_most_links(spark):
+    """A member that rises in rank between turns has its turn all the same."""
+    used, had = None, set()
+    for turn, risen in ((0, []), (2, [5]), (3, [5, 9, 11]), (4, [13])):
+        members = spark.createDataFrame([(1, b"", i, i, 9 if i in risen else 0) for i in range(15)], "band long, tail binary, node long, label long, degree long")
+        found = neardup.centres_of(members, turn, used)
+        now = {r["node"] for r in found.collect()}
+        assert len(now) == {0: 1, 2: 2, 3: 4, 4: 8}[turn] and not now & had and now >= set(risen) - had
+        had |= now
+        pairs = {(r["a"], r["b"]) for r in neardup.pairs_of(members, found).collect()}
+        assert pairs == {(min(a, b), max(a, b)) for a in now for b in range(15) if a != b}
+        used = found if used is None else used.unionByName(found)
+    assert had == set(range(15))
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(100)] + [(200, 250), (250, 210), (300, 300)]
     got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
