@@ -4,7 +4,8 @@ A document's set of 5-word shingles gets a one-permutation hash signature (one h
 bins filled by optimal densification). Bands of the signature put documents into buckets; in a bucket all members are paired with one
 centre, never with each other, so pairs grow with the members. Pairs that a sketch doesn't rule out are confirmed on the full sets.
 Further turns pair the members that no link has joined yet with their neighbours in the order of signatures, then with more centres (those with most links
-first), until a turn joins nothing more. Documents with equal sets are one node throughout.
+first). What shares a bucket after these turns and is still apart goes through an exact join on the rarest shingles (prefix filtering), so every
+pair of a bucket is either joined, tried or ruled out by its counts. Documents with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Share of equal bytes in two sketches below which a pair is not worth confirming: over five deviations below 0.75.
 LEAST_ALIKE = 0.55
+#: Turns of stars and neighbours before the exact join.
+TURNS = 4
 #: Distinct words whose hashes a task keeps before it begins anew.
 KEPT_WORDS = 400_000
 
@@ -207,6 +210,28 @@ def pairs_of(members: DataFrame, centres: DataFrame | None) -> DataFrame:
     return members.join(centres, here).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
+def pairs_by_prefix(nodes: DataFrame, percent: int) -> DataFrame:
+    """a and b of all nodes (node, label, shingles) of different labels whose sets may have 100 * intersection >= percent * union; no such pair is left out.
+
+    Each set is ordered by how many nodes hold a shingle, rarest first. Two sets that are alike enough share one of the first size - ceil(percent * size / 100) + 1
+    of either, and at the first one that they share, enough of both is still to come. At each shingle only members outside its most frequent label are joined with all others."""
+    items = nodes.select("node", F.explode("shingles").alias("x"))
+    shared = items.groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
+    order = items.join(shared, "x").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("s"))
+    n = F.size("shingles")
+    first = nodes.join(order, "node").select("node", "label", n.alias("n"), (n - F.size("s")).alias("alone"), "s")
+    length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1 - F.col("alone")
+    first = first.where(length > 0).select("node", "label", "n", "alone", F.posexplode(F.slice("s", F.lit(1), length)).alias("i", "c"))
+    first = saved(first.select(F.col("c.x").alias("x"), "node", "label", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "n"))
+    lead = first.groupBy("x", "label").agg(F.count("*").alias("f")).groupBy("x").agg(F.max(F.struct("f", "label"))["label"].alias("lead"), F.count("*").alias("k")).where("k > 1").select("x", "lead")
+    first = saved(first.join(lead, "x"))
+    one = first.where("label <> lead").select("x", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "rest", "n")])
+    two = first.select("x", "lead", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "rest", "n")])
+    both = one.join(two, "x").where((F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("lead")) | (F.col("node_a") < F.col("node_b"))))
+    both = both.where(F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, set_id, node: the least doc_id of an equal set) and labels (node, label: the component's least node) of nodes that share a bucket with others."""
     rows = saved(signed(docs))
@@ -220,23 +245,26 @@ def linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(labels.select("node").hint("shuffle_hash"), "node", "left_semi")
     sets = saved(with_sets(texts).dropDuplicates(["node"]))
 
-    tested, used, turn = None, None, 0
-    while True:
+    tested, used = None, None
+    for turn in range(TURNS + 1):
         m = members.join(labels, "node")
         mixed = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
         m = saved(m.join(mixed, "band"))
-        centres = None if turn == 1 else saved(centres_of(m, turn, used))
-        pairs = pairs_of(m, centres)
+        if m.isEmpty():
+            break
+        centres = None
+        if turn == TURNS:  # all that is left
+            pairs = pairs_by_prefix(sets.join(m.select("node", "label").distinct(), "node"), percent)
+        else:
+            centres = None if turn == 1 else saved(centres_of(m, turn, used))
+            pairs = pairs_of(m, centres)
         pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = saved(confirmed(pairs, sets, percent))
         if not found.isEmpty():
             labels = joined(labels, found)
-        elif turn > 1 or m.isEmpty():
-            break
         tested = pairs if tested is None else tested.unionByName(pairs)
         if centres is not None:
             used = centres if used is None else used.unionByName(centres)
-        turn += 1
     rows = rows.drop("bands", "sketch").join(nodes.select("set_id", "node"), "set_id", "left")
     return rows, labels.select("node", "label")
 

@@ -107,6 +107,30 @@ def test_centres_are_new_ones_with_most_links(spark):
     assert had == set(range(15))
 
 
+def test_pairs_of_a_bucket_that_are_no_neighbours(spark, monkeypatch):
+    """Texts that share most of a passage, and two of each ten that are alike enough: one bucket a band, wherever neighbours and centres are."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    own = lambda i, n: [f"w{i}-{k}" for k in range(n)]
+    rows = [(i, " ".join(passage + own(i - 5 if i % 10 == 5 else i, 24) + own(f"x{i}", 6))) for i in range(150)]
+    r.shuffle(rows)
+    want = components(rows)
+    assert sum(i != x for i, (_, x) in want.items()) == 15
+    monkeypatch.setattr(neardup, "pairs_of", lambda members, centres: members.select(members["node"].alias("a"), members["node"].alias("b")).limit(0))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(df).collect()} == want
+
+
+def test_prefix_pairs_against_all_pairs(spark):
+    r = random.Random(5)
+    sets = [sorted(r.sample(range(40), r.randint(1, 14))) for _ in range(120)]
+    sets += [sorted({*s[1:], r.randrange(40)}) for s in sets]
+    df = spark.createDataFrame([(i, i % 200, s) for i, s in enumerate(sets)], "node long, label long, shingles array<long>")
+    alike = {(a, b) for a in range(240) for b in range(a + 1, 240) if a % 200 != b % 200 and 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})}
+    got = {(x["a"], x["b"]) for x in neardup.pairs_by_prefix(df, 75).collect()}
+    assert alike and alike <= got and len(got) < 240 * 239 // 4
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(100)] + [(200, 250), (250, 210), (300, 300)]
     got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
