@@ -1,9 +1,9 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
-The model is a trie of byte contexts of up to ORDER bytes, counted over the words of all training texts; contexts begin anew at each
-word. A byte is coded in its longest context that training has seen; a byte that has not followed there is reached by an escape (method C) to
+The model is a trie of byte contexts of up to ORDER bytes, counted over all training texts; contexts run through the whole text, whose words are
+joined by one blank, or (whole: false) begin anew at each word. A byte is coded in its longest context that training has seen; a byte that has not followed there is reached by an escape (method C) to
 the next shorter context, without the bytes that the longer ones have offered (symbol exclusion), at last to a uniform choice. A text's code length is the sum over its
-words and its end; as it depends on the word alone, distinct words are scored once. The trie is never in one place: it is a table of
+bytes and its end; if contexts begin anew at words, distinct words are scored once, else a text's distinct grams are looked up. The trie is never in one place: it is a table of
 counted byte strings (a context and the byte after it), dealt out by the two bytes before the coded one; only the orders below,
 of at most 65,536 contexts with 256 bytes each, go to all tasks.
 """
@@ -44,6 +44,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()  # at ASCII white space
 
 
+def text_grams(words: list[bytes]) -> Counter:
+    """Grams of a whole text: its words, joined by one blank, and its end."""
+    return Counter(grams(b" ".join(words)))
+
+
 def key_of(item: bytes, salt: int) -> int:
     return xxhash.xxh3_64_intdigest(item, salt) - (1 << 63)
 
@@ -167,6 +172,21 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return counted(words.select("item", "c"), count)
 
 
+def text_gram_counts(docs: DataFrame) -> DataFrame:
+    """item (a gram of whole texts) and c (count in training texts, 0 if none) of all grams (docs: held_out, text)."""
+
+    def count(batch: pa.RecordBatch, total: Counter) -> None:
+        for t, out in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
+            found = grams(b" ".join(words_of(t.as_py())))
+            if out:
+                for g in {*found}:
+                    total[g] += 0
+            else:
+                total.update(found)
+
+    return counted(docs.select("held_out", "text"), count)
+
+
 def log10_of(symbol: int, contexts: list[Counter | None]) -> float:
     """log10 of a byte's probability given the counts in its contexts, longest first (None or empty: not seen)."""
     excluded: set[int] = set()
@@ -206,26 +226,29 @@ def gram_scores(counts: DataFrame) -> DataFrame:
     return counts.groupBy(F.substring("item", ORDER - 1, 2)).applyInPandas(score, "item binary, c long, key long, lp double")
 
 
+def base_of(n_training: int, n_distinct: int) -> Column:
+    return F.log10((F.col("c") + 1) / F.lit(float(n_training + n_distinct + 1)))
+
+
 def word_scores(words: DataFrame, n_training: int, n_distinct: int) -> DataFrame:
     """Words (item, c, key) with base (log10 of (c + 1) / (N + V + 1)) and lp (the PPM's log10 probability of the word and its end)."""
     counts, salt = keyed(gram_counts(words))
     scored = saved(gram_scores(counts).withColumn("base", F.lit(0.0)))
     lp = looked_up(words.select("key", "item").withColumnRenamed("key", "word"), "word", lambda batch: (Counter(grams(w)) for w in batch.column("item").to_pylist()), scored, salt)
-    base = F.log10((F.col("c") + 1) / F.lit(float(n_training + n_distinct + 1)))
-    return words.join(lp.select(F.col("word").alias("key"), "lp"), "key").select("key", "item", "c", base.alias("base"), "lp")
+    return words.join(lp.select(F.col("word").alias("key"), "lp"), "key").select("key", "item", "c", base_of(n_training, n_distinct).alias("base"), "lp")
 
 
-def score(docs: DataFrame, held_out: Column) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, *, whole: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text; other columns are ignored).
 
     Words are lower-cased in A-Z and cut at ASCII white space; a text's tokens are its words and one end. Training texts are those where held_out is
     false (null: false). A null text is empty. base_score: sum over tokens of log10((c + 1) / (N + 1 * (V + 1))), with c the token's count, N all and V
-    the distinct tokens in training. score: the PPM's log10 probability of the words and the end. Rows that repeat a doc_id are
-    parts of one document. With no training text, words are uniform bytes. An empty table gives an empty result."""
+    the distinct tokens in training. score: the PPM's log10 probability of the words and the end; with whole, of the text as one string of bytes (words joined by one blank, so their order counts). Rows that repeat a doc_id are
+    parts of one document, each with contexts of its own. With no training text, words are uniform bytes. An empty table gives an empty result."""
     docs = docs.select(F.struct(F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")).alias("doc"), "text")
     words, salt = keyed(word_counts(docs.select("doc.held_out", "text")))
     n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    scored = saved(word_scores(words, n, v))
+    scored = saved(words.select("key", "item", "c", base_of(n, v).alias("base"), F.lit(0.0).alias("lp")) if whole else word_scores(words, n, v))
 
     def items(batch: pa.RecordBatch) -> Iterator[Counter]:
         for t in batch.column("text"):
@@ -234,6 +257,13 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             yield found
 
     sums = looked_up(docs, "doc", items, scored, salt)
+    if whole:
+        counts, salt = keyed(text_gram_counts(docs.select("doc.held_out", "text")))
+        scored = saved(gram_scores(counts).withColumn("base", F.lit(0.0)))
+        coded = looked_up(docs, "doc", lambda batch: (text_grams(words_of(t.as_py())) for t in batch.column("text")), scored, salt)
+        none = F.lit(0).cast("long")
+        sums = sums.unionByName(coded.select("doc", none.alias("n"), none.alias("known"), F.lit(0.0).alias("base"), "lp"))
+        sums = sums.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "lp")])
     return sums.select(
         "doc.doc_id", "doc.held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         F.col("base").alias("base_score"), F.col("lp").alias("score"),

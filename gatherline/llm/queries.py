@@ -111,7 +111,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lmscore.score(docs, remainder_of_crc32(F.col("doc_id"), 7) == 2)
+    return lmscore.score(docs, remainder_of_crc32(F.col("doc_id"), 7) == 2, whole=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

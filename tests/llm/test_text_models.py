@@ -133,3 +133,39 @@ def test_ppm_odd_tables(spark, odd, no_rows):
     assert lmscore.score(odd, F.lit(False)).count() == 14  # rows of one id are one document
     assert lmscore.score(odd.limit(3), F.lit(True)).agg({"train_tokens": "max"}).first()[0] == 0
     assert lmscore.score(no_rows, F.lit(False)).count() == 0
+
+
+def test_ppm_runs_through_whole_texts(spark):
+    """op10 against a trie over whole texts, walked symbol by symbol: contexts see the words before, so order counts."""
+    texts = {x["doc_id"]: x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    coded = {i: b"\n" * 4 + b" ".join(re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()) + b"\n" for i, t in texts.items()}
+    trie = {}
+    for i, s in coded.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for at in range(4, len(s)):
+                for k in range(5):
+                    trie.setdefault(s[at - k : at], Counter())[s[at]] += 1
+
+    def code(s):
+        total = 0.0
+        for at in range(4, len(s)):
+            gone = set()
+            for k in range(4, -1, -1):
+                seen = {x: n for x, n in trie.get(s[at - k : at], {}).items() if x not in gone}
+                if not seen:
+                    continue
+                total += math.log10(seen.get(s[at], len(seen)) / (sum(seen.values()) + len(seen)))
+                if s[at] in seen:
+                    break
+                gone |= seen.keys()
+            else:
+                total -= math.log10(256 - len(gone))
+        return total
+
+    got = {x["doc_id"]: x["score"] for x in queries.op10_lmscore(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for i in sorted(texts)[:30]:
+        assert math.isclose(got[i], code(coded[i]), rel_tol=1e-9)
+    docs = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(5)] + [(9, "the cat sat on the mat"), (10, "mat the on sat the cat")], "doc_id long, text string")
+    a, b = (r["score"] for r in lmscore.score(docs, F.col("doc_id") > 8, whole=True).where("held_out").orderBy("doc_id").collect())
+    assert a > b
