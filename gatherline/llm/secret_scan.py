@@ -44,6 +44,16 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of start to end that no span covers, in order."""
+    parts, at = [], start
+    for a, _, b in sorted(spans):
+        if at < min(a, end):
+            parts.append((at, min(a, end)))
+        at = max(at, b)
+    return [*parts, (at, end)] if at < end else parts
+
+
 @lru_cache(1 << 16)
 def format_of(value: str) -> str:
     """Classes of characters: a lower-case hexadecimal letter, another lower-case one, an upper-case one, a digit, or the character itself."""
@@ -140,17 +150,16 @@ def fit(docs: DataFrame) -> dict[str, dict[str, int]]:
                     if m.end(2) - m.start(2) >= 12:
                         seen.add(("assign", m[2]))
                 seen |= {(KINDS[k], text[a:b]) for a, k, b in base if k}
-                if hash_of(text) % 64 == 0:  # ordinary words: of every 64th text
-                    seen |= {("word", m[0]) for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)}
+                seen |= {("word", m[0]) for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)}
             best: dict[str, list] = {}
-            for kind, value in sorted(seen, key=lambda x: hash_of(x[1])):
+            for h, value, kind in sorted((hash_of(v) >> 1, v, k) for k, v in seen):
                 if len(best.setdefault(kind, [])) < SAMPLE:
-                    best[kind].append(value)
-            rows = [(k, v) for k, vs in best.items() for v in vs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "value"])
+                    best[kind].append((value, h))
+            rows = [(k, v, h) for k, vs in best.items() for v, h in vs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "value", "h"])
 
-    values = docs.select("text").mapInArrow(run, "kind string, value string").distinct()
-    first = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    values = docs.select("text").mapInArrow(run, "kind string, value string, h long").distinct()
+    first = Window.partitionBy("kind").orderBy("h", "value")
     rows = values.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE).select("kind", "value").collect()
     forms: dict[str, Counter] = {}
     for r in rows:
@@ -181,8 +190,14 @@ class Scanner:
         base = spans_of(text)
         more = []
         for m in CANDIDATE.finditer(text):
-            if not m[0].isalpha() and not any(a < m.end() and m.start() < b for a, _, b in base) and self.secret(format_of(m[0])):
-                more.append((m.start(), 3, m.end()))
+            touching = [x for x in base if x[0] < m.end() and m.start() < x[2]]
+            # a labelled value ends with its run, and what is before the label is no part of it
+            for a, b in outside(m.start(), m.end(), [x for x in touching if x[1] == 0]):
+                if b - a < 12:
+                    continue
+                parts = outside(a, b, touching)
+                whole = self.secret(format_of(text[a:b]))
+                more += [(c, 3, d) for c, d in parts if whole or 12 <= d - c < b - a and self.secret(format_of(text[c:d]))]
         return base, more
 
 

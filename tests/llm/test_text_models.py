@@ -49,6 +49,19 @@ def test_automata_tell_formats_apart(spark, odd, no_rows):
     assert secret_scan.scan(no_rows, secret_scan.fit(no_rows)).count() == 0
 
 
+def test_every_candidate_is_scored():
+    """Runs of letters only are scored, and so is what is left and right of base spans in a run."""
+    assert secret_scan.outside(0, 10, [(2, 1, 4), (3, 2, 6), (8, 2, 12)]) == [(0, 2), (6, 8)] and secret_scan.outside(0, 5, []) == [(0, 5)]
+    s = secret_scan.Scanner({"hex": {"h" * 20: 1}})
+    seen = []
+    s.secret = lambda form: seen.append(form) or form in ("UlUlUlUlUlUl", "U9U9U9U9U9U9-" + "9" * 16 + "-U9U9")
+    assert s.scan("see QxQxQxQxQxQx and quiltquiltqu")[1] == [(4, 3, 16)] and len(seen) == 2
+    digits = "0123456789012345"
+    base, more = s.scan(f"Z1Z1Z1Z1Z1Z1-{digits}-Z1Z1")
+    assert base == [(13, 2, 29)] and more == [(0, 3, 13), (29, 3, 34)]
+    assert s.scan(f"my_token=abc{digits}")[1] == []
+
+
 def test_language_accuracy_on_held_out(spark, odd, no_rows):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op5_langid(spark, "/root/testdata/sf0.01").join(docs, "doc_id")
