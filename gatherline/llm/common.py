@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset and Spark runs in one process, as in tests) a local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="gatherline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,6 +39,26 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a job writes in the shared folder, each under a name. A name that is written anew loses its former table, which nothing lazy may read then."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.dir, self.written = spark, f"{shared_dir(spark)}/gatherline-{uuid.uuid4().hex}", Counter()
+
+    def saved(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.dir}/{name}-{self.written[name] + 1}"
+        df.write.parquet(path)
+        if self.written[name]:
+            self.drop(name)
+        self.written[name] += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}-{self.written[name]}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lower_az(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

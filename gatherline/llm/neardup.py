@@ -1,11 +1,11 @@
 """MinHash near-duplicate detection.
 
 A document's set of 5-word shingles gets a one-permutation hash signature (one hash a shingle, one bin each, empty
-bins filled by optimal densification). Bands of the signature put documents into buckets; in a bucket all members are paired with one
-centre, never with each other, so pairs grow with the members. Pairs that a sketch doesn't rule out are confirmed on the full sets.
-Further turns pair the members that no link has joined yet with their neighbours in the order of signatures, then with more centres (those with most links
-first). What shares a bucket after these turns and is still apart goes through an exact join on the rarest shingles (prefix filtering), so every
-pair of a bucket is either joined, tried or ruled out by its counts. Documents with equal sets are one node throughout.
+bins filled by optimal densification). Bands of the signature put sets into buckets. In a bucket each set is paired with one
+centre, never with all others, so pairs grow with the members. Pairs that sizes or sketches don't rule out are confirmed on the full sets.
+In further turns only the members outside a bucket's most frequent component act: each is paired with one member of that component, another one each turn, and with
+its neighbour in the order of signatures. What still shares a bucket after these turns and is apart goes through an exact join on the rarest shingles (prefix
+filtering), so every pair of a bucket is joined, tried or ruled out by its counts. Rows with equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ddl, saved, sliced
+from .common import Scratch, ddl, sliced
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -97,8 +97,14 @@ def sketch(values: np.ndarray) -> bytes:
     return (mix64(values) & U(255)).astype(np.uint8).tobytes()
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A 128-bit hash of all of a row's columns: equal for rows that repeat each other, so that either may stand for both."""
+    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in docs.columns]
+    return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (a 128-bit hash of the set, null for an empty one), bands and sketch of every row."""
+    """key, doc_id, n_shingles, set_id (a 128-bit hash of the set, null for an empty one), bands and sketch of every row of docs (key, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -109,20 +115,21 @@ def signed(docs: DataFrame) -> DataFrame:
             offsets = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column("key"),
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(offsets, np.concatenate([*keys, np.zeros(0, np.int64)])),
                     pa.array([None if v is None else sketch(v) for v in values], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_id", "bands", "sketch"],
+                names=["key", "doc_id", "n_shingles", "set_id", "bands", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, ddl(docs.select("doc_id"), "n_shingles long, set_id binary, bands array<long>, sketch binary"))
+    return docs.mapInArrow(run, ddl(docs.select("key", "doc_id"), "n_shingles long, set_id binary, bands array<long>, sketch binary"))
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
-    """node, shingles (sorted hashes) and sketch of every row (node, text)."""
+    """node and shingles (sorted hashes) of every row (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -130,9 +137,9 @@ def with_sets(docs: DataFrame) -> DataFrame:
             sets = [shingler.shingles(t.as_py()) for t in batch.column("text")]
             offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(offsets, np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, pa.array([sketch(signature(s)) for s in sets], pa.binary())], names=["node", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, ddl(docs.select("node"), "shingles array<long>, sketch binary"))
+    return docs.mapInArrow(run, ddl(docs.select("node"), "shingles array<long>"))
 
 
 def alike(pairs: DataFrame) -> DataFrame:
@@ -146,10 +153,11 @@ def alike(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, ddl(pairs.select("a", "b")))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets have 100 * intersection >= percent * union."""
-    one, two = (sets.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-    likely = alike(pairs.join(one, "a").join(two, "b").select("a", "b", "sketch_a", "sketch_b"))
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes (node, n, sketch) whose full sets have 100 * intersection >= percent * union; sets of too different sizes are never fetched."""
+    one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    sized = pairs.join(one, "a").join(two, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    likely = alike(sized.select("a", "b", "sketch_a", "sketch_b"))
     one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = likely.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -157,60 +165,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= union * percent).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label (the component's least node) of every node of links (a, b).
 
     Each round maps a node to the least of itself and its neighbours, twice, and goes on with the links between what is left; stars vanish at once, chains in a number of rounds like the logarithm of their length."""
-    links = saved(links.where("a <> b").distinct())
+    links = scratch.saved("edges", links.where("a <> b").distinct())
     labels = None
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = saved(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
+        least = scratch.saved("least", both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
         onward = least.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        step = saved(least.join(onward, "to").select("node", F.col("further").alias("to")))
+        step = scratch.saved("step", least.join(onward, "to").select("node", F.col("further").alias("to")))
         a, b = (step.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
-        links = saved(links.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct())
+        links = scratch.saved("edges", links.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct())
         if labels is None:
-            labels = step.withColumnRenamed("to", "label")
+            labels = scratch.saved("roots", step.withColumnRenamed("to", "label"))
         else:
             onward = step.select(F.col("node").alias("label"), F.col("to").alias("further"))
-            labels = saved(labels.join(onward, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+            labels = scratch.saved("roots", labels.join(onward, "label", "left").select("node", F.coalesce("further", "label").alias("label")))
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, label, degree) after links (a, b): labels that links join fall to the least of them, degrees count links."""
+def joined(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """labels (node, label) after links (a, b): labels that links join fall to the least of them."""
     a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
     between = links.join(a, "a").join(b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    least = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("more"))
-    j = labels.join(least, "label", "left").join(ends, "node", "left")
-    return saved(j.select("node", F.coalesce("to", "label").alias("label"), (F.col("degree") + F.coalesce("more", F.lit(0))).alias("degree")))
+    least = components(between, scratch).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return scratch.saved("labels", labels.join(least, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
-def centres_of(members: DataFrame, turn: int, used: DataFrame | None) -> DataFrame:
-    """band and node of the members to put at the centre of stars: of those that were none before (not in used: band, node) the ones with most links, one in turn 0, later 2^(turn - 1)."""
-    new = members if used is None else members.join(used, ["band", "node"], "left_anti")
-    rank = Window.partitionBy("band").orderBy(F.desc("degree"), F.xxhash64("node", "band"))
-    return new.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= (1 << max(0, turn - 1))).select("band", "node")
+def leads_of(members: DataFrame, turn: int) -> DataFrame:
+    """band, lead (the most frequent label) and centre (one of its nodes, another one each turn) of the buckets that hold several labels, from members (band, node, label).
 
+    In turn 0 each node is its own label, so the centre is the bucket's first node in one order of all nodes."""
+    labels = members.groupBy("band", "label").agg(F.count("*").alias("f"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("c"))
+    lead = labels.groupBy("band").agg(F.max(F.struct("f", "c", "label")).alias("x"), F.count("*").alias("k")).where("k > 1")
+    return lead.select("band", F.col("x.label").alias("lead"), F.col("x.c.node").alias("centre"))
 
-def pairs_of(members: DataFrame, centres: DataFrame | None) -> DataFrame:
-    """a and b of nodes of different labels to try in a turn, from members (band, tail, node, label, degree) of buckets that hold more than one label.
 
-    Without centres: neighbours in the order of the signature from the band on, who have most of it in common. Else stars about the centres (band, node).
-    A bucket gives pairs in proportion to its members each turn."""
-    if centres is None:
-        w = Window.partitionBy("band").orderBy("tail", "node")
-        after = [F.lead(F.struct("node", "label"), i).over(w).alias(f"c{i}") for i in (1, 2)]
-        near = members.select("node", "label", *after).select("node", "label", F.explode(F.array("c1", "c2")).alias("c"))
-        return near.where("label <> c.label").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-    centres = members.join(centres, ["band", "node"]).select("band", F.col("node").alias("centre"), F.col("label").alias("home"))
-    here = (members["band"] == centres["band"]) & (F.col("label") != F.col("home"))
-    return members.join(centres, here).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+def pairs_of(others: DataFrame, turn: int) -> DataFrame:
+    """a and b of nodes to try in a turn, from the members (band, tail, node, label, centre) outside their bucket's lead label: stars about the centres, and, once there are
+    labels, neighbours in the order of the signature from the band on. Two pairs a member at most; a bucket is dealt out by the first byte of that order."""
+    stars = others.select("node", F.col("centre").alias("other"))
+    if turn:
+        w = Window.partitionBy("band", F.substring("tail", 1, 1)).orderBy("tail", "node")
+        near = others.select("node", "label", F.lead(F.struct("node", "label")).over(w).alias("c")).where("label <> c.label")
+        stars = stars.unionByName(near.select("node", F.col("c.node").alias("other")))
+    return stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def pairs_by_prefix(nodes: DataFrame, percent: int) -> DataFrame:
+def pairs_by_prefix(nodes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """a and b of all nodes (node, label, shingles) of different labels whose sets may have 100 * intersection >= percent * union; no such pair is left out.
 
     Each set is ordered by how many nodes hold a shingle, rarest first. Two sets that are alike enough share one of the first size - ceil(percent * size / 100) + 1
@@ -222,9 +226,9 @@ def pairs_by_prefix(nodes: DataFrame, percent: int) -> DataFrame:
     first = nodes.join(order, "node").select("node", "label", n.alias("n"), (n - F.size("s")).alias("alone"), "s")
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1 - F.col("alone")
     first = first.where(length > 0).select("node", "label", "n", "alone", F.posexplode(F.slice("s", F.lit(1), length)).alias("i", "c"))
-    first = saved(first.select(F.col("c.x").alias("x"), "node", "label", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "n"))
+    first = scratch.saved("first", first.select(F.col("c.x").alias("x"), "node", "label", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), "n"))
     lead = first.groupBy("x", "label").agg(F.count("*").alias("f")).groupBy("x").agg(F.max(F.struct("f", "label"))["label"].alias("lead"), F.count("*").alias("k")).where("k > 1").select("x", "lead")
-    first = saved(first.join(lead, "x"))
+    first = scratch.saved("first", first.join(lead, "x"))
     one = first.where("label <> lead").select("x", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "rest", "n")])
     two = first.select("x", "lead", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "rest", "n")])
     both = one.join(two, "x").where((F.col("label_a") != F.col("label_b")) & ((F.col("label_b") == F.col("lead")) | (F.col("node_a") < F.col("node_b"))))
@@ -232,50 +236,62 @@ def pairs_by_prefix(nodes: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, set_id, node: the least doc_id of an equal set) and labels (node, label: the component's least node) of nodes that share a bucket with others."""
-    rows = saved(signed(docs))
-    nodes = rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = saved(nodes.where(F.col("node").isNotNull()))
+def linked(keyed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, doc_id, n_shingles, node: a hash of the set, null if empty) and labels (node, label: the component's least node) of the nodes that share a bucket with others, of keyed rows (key, doc_id, text)."""
+    scratch = Scratch(keyed.sparkSession)
+    found = scratch.saved("signed", signed(keyed))
+    some = [F.first(c).alias(c) for c in ("bands", "sketch")]
+    nodes = found.where(F.col("set_id").isNotNull()).groupBy(F.col("set_id").alias("node")).agg(F.min("key").alias("key"), F.max("n_shingles").alias("n"), *some)
+    nodes = scratch.saved("nodes", nodes)
+    rows = scratch.saved("rows", found.select("key", "doc_id", "n_shingles", F.col("set_id").alias("node")))
+    scratch.drop("signed")
     tail = F.expr(f"substring(concat(sketch, sketch), q * {ROWS} + {ROWS + 1}, 12)")
     band = nodes.select("node", "sketch", F.posexplode("bands").alias("q", "band")).select("node", "band", tail.alias("tail"))
     shared = nodes.select(F.explode("bands").alias("band")).groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = saved(band.join(shared, "band"))
-    labels = saved(members.select("node").distinct().select("node", F.col("node").alias("label"), F.lit(0).cast("long").alias("degree")))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(labels.select("node").hint("shuffle_hash"), "node", "left_semi")
-    sets = saved(with_sets(texts).dropDuplicates(["node"]))
-
-    tested, used = None, None
+    members = scratch.saved("members", band.join(shared, "band"))
+    live = members.select("node").distinct()
+    nodes = scratch.saved("nodes", nodes.drop("bands").join(live, "node"))
+    labels = scratch.saved("labels", nodes.select("node", F.col("node").alias("label")))
+    texts = keyed.select("key", "text").join(nodes.select("key", "node").hint("shuffle_hash"), "key").select("node", "text")
+    sets = scratch.saved("sets", with_sets(texts).dropDuplicates(["node"]))
+
+    tested = None
     for turn in range(TURNS + 1):
         m = members.join(labels, "node")
-        mixed = m.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-        m = saved(m.join(mixed, "band"))
-        if m.isEmpty():
+        m = m.join(leads_of(m, turn), "band")
+        members = scratch.saved("members", m)
+        if members.isEmpty():
             break
-        centres = None
         if turn == TURNS:  # all that is left
-            pairs = pairs_by_prefix(sets.join(m.select("node", "label").distinct(), "node"), percent)
+            pairs = pairs_by_prefix(sets.join(members.select("node", "label").distinct(), "node"), percent, scratch)
         else:
-            centres = None if turn == 1 else saved(centres_of(m, turn, used))
-            pairs = pairs_of(m, centres)
-        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = saved(confirmed(pairs, sets, percent))
-        if not found.isEmpty():
-            labels = joined(labels, found)
+            pairs = pairs_of(members.where("label <> lead"), turn)
+        pairs = scratch.saved(f"pairs{turn}", pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        links = scratch.saved("links", confirmed(pairs, nodes, sets, percent))
+        labels = joined(labels, links, scratch)
+        members = members.select("band", "tail", "node")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if centres is not None:
-            used = centres if used is None else used.unionByName(centres)
-    rows = rows.drop("bands", "sketch").join(nodes.select("set_id", "node"), "set_id", "left")
-    return rows, labels.select("node", "label")
+    scratch.drop("members", "sets", "nodes")
+    return rows, labels
+
+
+def groups(keyed: DataFrame, *, percent: int = 75) -> DataFrame:
+    """key, doc_id, n_shingles, component_id (the least doc_id reachable over links, its own included; null if none has an id) and first (the key of the row that stands for the
+    component: that of least doc_id, null last, then of least key) of every row of keyed (key, doc_id, text); rows with equal keys must be equal."""
+    rows, labels = linked(keyed, percent)
+    rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node", "key"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"))).alias("least")
+    of = rows.groupBy("component").agg(least)
+    return rows.join(of, "component").select("key", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), F.col("least.key").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links, its own included) and kept of every row of docs (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles, component_id (least doc_id reachable over links, its own included) and kept (doc_id = component_id) of every row of docs (doc_id, text; other columns are ignored).
 
     Documents are linked whose shingle sets have 100 * intersection >= percent * union. A text that is null or has no word has no shingle and is linked with nothing;
-    one of fewer words than a shingle has one shingle. Rows with equal sets are linked. A row without an id is in the component of an equal text (if any, else none) and is
-    kept only where there is none. An empty table gives an empty result."""
-    rows, labels = linked(docs, percent)
-    rows = rows.join(labels, "node", "left")
-    component = F.coalesce("label", "node", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    one of fewer words than a shingle has one shingle. Rows with equal sets are linked. Rows that repeat a doc_id are compared each by its own text, and all of them are kept if
+    their id is the component's. A row without an id takes part like others; it is kept only where it stands for a component in which no row has an id. An empty table gives an empty result."""
+    docs = docs.select("doc_id", "text")
+    found = groups(docs.withColumn("key", row_key(docs)), percent=percent)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("key") == F.col("first")))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
