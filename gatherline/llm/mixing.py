@@ -9,16 +9,17 @@ and slots meet blocks in a join by (source, block) index.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, row_key, saved
 
 #: Swap-or-not rounds of a permutation.
 ROUNDS = 12
-#: Documents that share a running sum before sums of groups are added up.
+#: Rows that share a running sum before sums of groups are added up (the root of all rows, where that is more).
 GROUP_ROWS = 2000
 #: Slots that one generated row expands to.
 CHUNK = 4096
@@ -26,9 +27,9 @@ CHUNK = 4096
 
 @dataclass
 class Mix:
-    """documents: doc_id, source, sid, size. sources: sid, source, source_size, weight, target, n_blocks, n_draws, first_draw.
+    """documents: key, copy, doc_id, source, sid, size. sources: sid, source, source_size, weight, target, n_blocks, n_draws, first_draw.
     rows: shard, slot, sid, block, again (0 for
-    the first pass over a source's blocks), doc_id, start_word, n_words (a piece of a document at its place in the mix)."""
+    the first pass over a source's blocks), key, copy, doc_id, start_word, n_words (a piece of a row at its place in the mix)."""
 
     documents: DataFrame
     sources: DataFrame
@@ -79,14 +80,15 @@ def mix(
     shard_slots: int = 8192,
     seed: str = "mix",
 ) -> Mix:
-    """Mixes docs (doc_id, source, text; other columns are ignored).
+    """Mixes docs (key, doc_id, source, text; other columns are ignored).
 
-    A null text has no words and is in no block; a null source is a source, last in order; rows that repeat a
-    (doc_id, source) are parts of one document, whose sizes add up; a document of any length spans as many blocks as it needs;
+    Rows of one key, doc_id, source and size are copies of each other, told apart by copy (from 0), each with words of its own in the mix. A null text has no words
+    and is in no block; a null source is a source, last in order; a document of any length spans as many blocks as it needs;
     an empty table gives empty results. Equal inputs give equal mixes."""
     spark = docs.sparkSession
-    documents = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    documents = saved(documents.groupBy("doc_id", "source").agg(F.sum("size").alias("size")))
+    rows = docs.select("key", "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = rows.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("copies"))
+    documents = saved(rows.select("key", "doc_id", "source", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")))
     sources = targets(documents.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / block_words)).withColumn(
         "n_draws", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0).cast("long")
@@ -95,12 +97,13 @@ def mix(
     sources = sources.withColumn("first_draw", F.coalesce(F.sum("n_draws").over(sums), F.lit(0)))
     sources = saved(sources.withColumn("all_draws", F.sum("n_draws").over(Window.partitionBy())))
 
-    # where each document begins in its source's stream: running sums in groups, then of the groups
-    groups = max(1, documents.count() // GROUP_ROWS)
+    # where each row begins in its source's stream: running sums in groups, then of the groups
+    n_rows = documents.count()
+    groups = max(1, n_rows // max(GROUP_ROWS, math.isqrt(n_rows)))
     on_source = documents["source"].eqNullSafe(sources["source"])
-    documents = documents.join(sources, on_source).select("doc_id", documents["source"], "sid", "size")
-    placed = documents.where("size > 0").withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    in_group = Window.partitionBy("sid", "grp").orderBy("doc_id")
+    documents = documents.join(sources, on_source).select("key", "copy", "doc_id", documents["source"], "sid", "size")
+    placed = documents.where("size > 0").withColumn("grp", F.pmod(F.xxhash64("key", "copy", "doc_id"), F.lit(groups)))
+    in_group = Window.partitionBy("sid", "grp").orderBy("doc_id", "key", "size", "copy")
     of_groups = Window.partitionBy("sid").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("sid", "grp").agg(F.sum("size").alias("of_group")).withColumn("start", F.coalesce(F.sum("of_group").over(of_groups), F.lit(0)))
     placed = (
@@ -113,7 +116,7 @@ def mix(
     pieces = (
         placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / n), F.floor((F.col("end") - 1) / n))))
         .withColumn("at", F.greatest("begin", F.col("block") * n))
-        .select("sid", "block", "doc_id", (F.col("at") - F.col("begin")).alias("start_word"), (F.least("end", (F.col("block") + 1) * n) - F.col("at")).alias("n_words"))
+        .select("sid", "block", "key", "copy", "doc_id", (F.col("at") - F.col("begin")).alias("start_word"), (F.least("end", (F.col("block") + 1) * n) - F.col("at")).alias("n_words"))
     )
 
     draws = (
@@ -130,14 +133,16 @@ def mix(
     )
     # Spark takes generated rows for as few as they are generated from, and would broadcast them
     draws = draws.select(F.floor(F.col("slot") / shard_slots).alias("shard"), (F.col("slot") % shard_slots).alias("slot"), "sid", "block", "again")
-    return Mix(documents, sources, draws.hint("merge").join(pieces, ["sid", "block"]).select("shard", "slot", "sid", "block", "again", "doc_id", "start_word", "n_words"))
+    rows = draws.hint("merge").join(pieces, ["sid", "block"])
+    return Mix(documents, sources, rows.select("shard", "slot", "sid", "block", "again", "key", "copy", "doc_id", "start_word", "n_words"))
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """One row per (doc_id, source): doc_id, source, size, source_size, target, taken (words of it in the mix, repeats counted)."""
-    m = mix(docs, **options)
+    """One row per (doc_id, source): doc_id, source, size, source_size, target, taken (words of it in the mix, repeats counted). Rows that repeat a (doc_id, source) add up."""
+    m = mix(docs.select("doc_id", "source", "text", F.lit("").alias("key")), **options)
     taken = m.rows.groupBy("doc_id", "sid").agg(F.sum("n_words").alias("taken"))
-    keys = m.documents.join(m.sources.select("sid", "source_size", "target"), "sid")
+    sizes = m.documents.groupBy("doc_id", "source", "sid").agg(F.sum("size").alias("size"))
+    keys = sizes.join(m.sources.select("sid", "source_size", "target"), "sid")
     same = keys["doc_id"].eqNullSafe(taken["doc_id"]) & (keys["sid"] == taken["sid"])
     return keys.join(taken, same, "left").select(
         keys["doc_id"], "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
@@ -145,19 +150,20 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows of docs (doc_id, text, lang, source, n_chars): a row per document and pass with the words that the mix takes in that pass, in order.
-
-    Words keep the white space around them, so a document that is taken whole keeps its text. Documents of which the mix takes nothing go."""
-    m = mix(docs, **options)
-    rows = m.rows.join(m.sources.select("sid", "source"), "sid")
-    taken = rows.groupBy("doc_id", "source", "again").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias("pieces"))
-    same = docs["doc_id"].eqNullSafe(taken["doc_id"]) & docs["source"].eqNullSafe(taken["source"])
-    d = docs.join(taken.hint("shuffle_hash"), same).select(docs["doc_id"], "text", "lang", docs["source"], "pieces")
+    """The mix as rows of docs (doc_id, text, lang, source, n_chars; other columns are ignored): a row per row and pass with the words that the mix takes of it in that pass, in order.
+
+    Words keep the white space around them, so a row that is taken whole keeps its text. Rows of which the mix takes nothing go, those with null or empty texts among them. Rows that
+    repeat each other are taken each by itself; lang may be null and follows its row; n_chars is counted anew. An empty table gives an empty result. A text is shuffled once, whole:
+    the mix takes more words than there are, so its pieces would be more."""
+    d = docs.select("doc_id", "text", "lang", "source")
+    d = d.withColumn("key", row_key(d))
+    m = mix(d, **options)
+    taken = m.rows.groupBy("key", "copy", "again").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias("pieces"))
     words = F.regexp_extract_all("text", F.lit(rf"(?:^[\x20\x09-\x0D]+)?{WORD}[\x20\x09-\x0D]*"), F.lit(0))
 
     def of(w: Column) -> Column:
         return F.array_join(F.transform("pieces", lambda p: F.array_join(F.slice(w, (p["start_word"] + 1).cast("int"), p["n_words"].cast("int")), "")), "")
 
     text = F.get(F.transform(F.array(words), of), F.lit(0))  # a lambda's variable, so a text is cut once, not once a piece
-    d = d.withColumn("taken", text)
+    d = d.dropDuplicates(["key"]).join(taken.hint("shuffle_hash"), "key").withColumn("taken", text)
     return d.select("doc_id", F.col("taken").alias("text"), "lang", "source", F.length("taken").cast("long").alias("n_chars"))

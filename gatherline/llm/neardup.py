@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ddl, sliced
+from .common import Scratch, ddl, row_key, sliced
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -97,12 +97,6 @@ def sketch(values: np.ndarray) -> bytes:
     return (mix64(values) & U(255)).astype(np.uint8).tobytes()
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A 128-bit hash of all of a row's columns: equal for rows that repeat each other, so that either may stand for both."""
-    parts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in docs.columns]
-    return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
-
-
 def signed(docs: DataFrame) -> DataFrame:
     """key, doc_id, n_shingles, set_id (a 128-bit hash of the set, null for an empty one), bands and sketch of every row of docs (key, doc_id, text)."""
 
