@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,14 +27,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 
-#: The fit: so many labelled credentials of a kind and so many ordinary words at most (those with the least hash).
-SAMPLE = 800
+#: The fit: so many labelled credentials of a kind and so many ordinary words at most (those of least hash, whole), in so many characters of a kind; values longer than the last number are no examples.
+SAMPLE, SAMPLE_CHARS, LONGEST_EXAMPLE = 800, 200_000, 4096
 #: Confidence parameter of the test for compatible states; log-likelihood ratio per character (in nats) from which a candidate is a secret.
 ALPHA, LEAST_RATIO = 0.05, 0.3
 #: What stands for a secret in a redacted text.
 MASK = "[secret]"
-#: Longest format that automata are fitted to; longer candidates are scored whole, from a state that loops.
-PREFIX = 40
+#: Formats up to this length are remembered once scored.
+SHORT = 200
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -54,29 +55,36 @@ def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tup
     return [*parts, (at, end)] if at < end else parts
 
 
-@lru_cache(1 << 16)
+CLASSES = {c: "h" if "a" <= c <= "f" else "l" if c.islower() else "U" if c.isupper() else "9" for c in string.ascii_letters + string.digits}
+
+
 def format_of(value: str) -> str:
     """Classes of characters: a lower-case hexadecimal letter, another lower-case one, an upper-case one, a digit, or the character itself."""
-    return "".join("h" if "a" <= c <= "f" else "l" if "g" <= c <= "z" else "U" if "A" <= c <= "Z" else "9" if "0" <= c <= "9" else c for c in value)
+    return "".join([CLASSES.get(c, c) for c in value])
 
 
 class Automaton:
-    """A deterministic probabilistic automaton: per state, counts of symbols (end: empty) and the next states."""
+    """A deterministic probabilistic automaton: per state, counts of symbols (end: empty) and the next states. A symbol that a state has not seen leads to
+    one state more, which stays where it is and has the counts of all symbols in all formats."""
 
     def __init__(self, formats: Counter):
         self.out: list[Counter] = [Counter()]
         self.to: list[dict[str, int]] = [{}]
+        self.rest: Counter = Counter()
         for f, n in sorted(formats.items()):
             s = 0
-            for c in f[:PREFIX]:
+            for c in f:
                 self.out[s][c] += n
                 if c not in self.to[s]:
                     self.to[s][c] = len(self.to)
                     self.to.append({})
                     self.out.append(Counter())
                 s = self.to[s][c]
+                self.rest[c] += n
             self.out[s][""] += n
+            self.rest[""] += n
         self.merge()
+        self.sums = [sum(c.values()) for c in (*self.out, self.rest)]
 
     def compatible(self, a: int, b: int) -> bool:
         stack = [(a, b)]
@@ -105,42 +113,45 @@ class Automaton:
 
     def merge(self) -> None:
         """Red-blue order: each state next to a settled one joins the first settled one that it is compatible with, or is settled."""
-        red, at = [0], {0: True}
-        blue = [(0, c) for c in sorted(self.to[0])]
-        while blue:
-            parent, c = blue.pop(0)
-            s = self.to[parent][c]
-            if s in at:
-                continue
-            mate = next((r for r in red if self.compatible(r, s)), None)
-            if mate is None:
-                red.append(s)
-                at[s] = True
-                blue += [(s, x) for x in sorted(self.to[s])]
-            else:
-                self.to[parent][c] = mate
-                self.fold(mate, s)
-                blue += [(mate, x) for x in sorted(self.to[mate]) if self.to[mate][x] not in red]
-        keep = {s: i for i, s in enumerate(red)}
+        red, settled = [0], {0}
+        while blue := [(r, c) for r in red for c in sorted(self.to[r]) if self.to[r][c] not in settled]:
+            for parent, c in blue:
+                s = self.to[parent][c]
+                if s in settled:
+                    continue
+                mate = next((r for r in red if self.compatible(r, s)), None)
+                if mate is None:
+                    red.append(s)
+                    settled.add(s)
+                else:
+                    self.to[parent][c] = mate
+                    self.fold(mate, s)
+        place = {s: i for i, s in enumerate(red)}
         self.out = [self.out[s] for s in red]
-        self.to = [{c: keep.get(t, 0) for c, t in self.to[s].items()} for s in red]
+        self.to = [{c: place[t] for c, t in self.to[s].items()} for s in red]
 
     def log_likelihood(self, form: str) -> float:
-        """Per character, with a little mass on what no state has seen."""
+        """Of the format and its end, per symbol, with a little mass on what no state has seen."""
         s, total = 0, 0.0
-        for c in form:
-            n = sum(self.out[s].values())
-            total += math.log((self.out[s][c] + 0.05) / (n + 0.05 * 16))
-            s = self.to[s].get(c, s)
-        return total / max(1, len(form))
+        for c in (*form, ""):
+            seen = self.out[s] if s >= 0 else self.rest
+            total += math.log((seen[c] + 0.05) / (self.sums[s] + 0.05 * 16))
+            s = self.to[s].get(c, -1) if s >= 0 else -1
+        return total / (len(form) + 1)
+
+
+def least_hashed(values: dict[str, int]) -> dict[str, int]:
+    """The SAMPLE values (to hashes) of least hash."""
+    return dict(sorted(values.items(), key=lambda x: (x[1], x[0]))[:SAMPLE])
 
 
 def fit(docs: DataFrame) -> dict[str, dict[str, int]]:
     """Counted formats by kind (word: ordinary words), from a bounded sample of each kind's credentials over all of docs.
 
-    The sample takes the distinct (kind, value) pairs of least hash, SAMPLE of each kind, so hot values or documents don't fill it."""
+    The sample takes the distinct (kind, value) pairs of least hash, so hot values or documents don't fill it and it is the same however docs is dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, dict[str, int]] = {}
         for batch in sliced(batches):
             seen: set[tuple[str, str]] = set()
             for t in batch.column("text"):
@@ -151,18 +162,20 @@ def fit(docs: DataFrame) -> dict[str, dict[str, int]]:
                         seen.add(("assign", m[2]))
                 seen |= {(KINDS[k], text[a:b]) for a, k, b in base if k}
                 seen |= {("word", m[0]) for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)}
-            best: dict[str, list] = {}
-            for h, value, kind in sorted((hash_of(v) >> 1, v, k) for k, v in seen):
-                if len(best.setdefault(kind, [])) < SAMPLE:
-                    best[kind].append((value, h))
-            rows = [(k, v, h) for k, vs in best.items() for v, h in vs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "value", "h"])
+            for kind, value in seen:
+                if len(value) <= LONGEST_EXAMPLE:
+                    best.setdefault(kind, {})[value] = hash_of(value) >> 1
+            best = {k: v if len(v) <= 4 * SAMPLE else least_hashed(v) for k, v in best.items()}
+        rows = [(k, v, h) for k, vs in best.items() for v, h in least_hashed(vs).items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "value", "h"])
 
     values = docs.select("text").mapInArrow(run, "kind string, value string, h long").distinct()
-    first = Window.partitionBy("kind").orderBy("h", "value")
-    rows = values.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE).select("kind", "value").collect()
+    for part in (F.col("h") % 256, F.lit(0)):  # in parts first, so that no task meets all tasks' values
+        first = Window.partitionBy("kind", part).orderBy("h", "value")
+        values = values.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE)
+    upto = F.sum(F.length("value")).over(Window.partitionBy("kind").orderBy("h", "value"))
     forms: dict[str, Counter] = {}
-    for r in rows:
+    for r in values.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).select("kind", "value").collect():  # SAMPLE of each of four kinds at most
         forms.setdefault(r["kind"], Counter())[format_of(r["value"])] += 1
     return {k: dict(v) for k, v in forms.items()}
 
@@ -171,19 +184,28 @@ def hash_of(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
 
 
-class Scanner:
+class Model:
+    """Automata of kinds, the least likelihood of a credential of each, and the automaton of ordinary words (without any: all symbols are as likely)."""
+
     def __init__(self, formats: dict[str, dict[str, int]]):
         self.automata = {k: Automaton(Counter(formats[k])) for k in KINDS if formats.get(k)}
         # a format must be as likely as the labelled credentials' own are, but for some slack
         self.least = {k: min(a.log_likelihood(f) for f in formats[k]) - 0.2 for k, a in self.automata.items()}
-        self.ordinary = Automaton(Counter(formats.get("word") or {"l" * 12: 1}))
-        self.secret = lru_cache(1 << 16)(self.likely)
+        self.ordinary = Automaton(Counter(formats.get("word")))
 
     def likely(self, form: str) -> bool:
         """Whether a format is likely under some kind's automaton, and likelier by the least ratio than under ordinary words'."""
-        found = [a.log_likelihood(form) for k, a in self.automata.items() if a.log_likelihood(form) >= self.least[k]]
+        found = [x for k, a in self.automata.items() if (x := a.log_likelihood(form)) >= self.least[k]]
         return bool(found) and max(found) - self.ordinary.log_likelihood(form) >= LEAST_RATIO
 
+
+class Scanner:
+    def __init__(self, model: Model):
+        self.model, self.known = model, lru_cache(1 << 16)(model.likely)
+
+    def secret(self, form: str) -> bool:
+        return self.known(form) if len(form) <= SHORT else self.model.likely(form)
+
     def scan(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """Base spans and the method's further spans (kind 3), each in order; the latter don't touch the former."""
         text = text or ""
@@ -221,9 +243,10 @@ def scan(docs: DataFrame, formats: dict[str, dict[str, int]], keep: list[str] =
     A null text is empty and has no span. Texts of any length are scanned whole. Repeated rows give repeated results; docs needs a text column, others don't matter."""
 
     chosen, name = with_text(docs, keep)
+    model = Model(formats)  # of bounded size, as its sample is
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(formats)
+        scanner = Scanner(model)
         for batch in sliced(batches):
             found = [scanner.scan(t.as_py()) for t in batch.column(name)]
             counts = [Counter(k for s in f for _, k, _ in s) for f in found]
