@@ -7,7 +7,6 @@ and goes to the language whose output is smallest. Where the smallest and the se
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,29 +16,27 @@ from pyspark.sql import functions as F
 
 from .common import ddl, sliced, with_text
 
-#: The fit: so many labelled rows of a language at most (those with the least hash), so many characters of each from a hashed place, a dictionary's bytes, and the most languages there can be.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES, MOST_LANGUAGES = 400, 600, 1 << 17, 200
-#: A text is compressed in pieces of so many bytes, so that its own earlier parts don't stand in for the dictionary.
-PIECE_BYTES = 4096
-LEVEL = 3
-#: Shorter pieces are compressed harder, with matches from three bytes on.
-SHORT_BYTES, SHORT_LEVEL = 1024, 13
+#: The fit: so many labelled rows of a language at most (those with the least hash), so many characters of each from a hashed place, and so many languages at most (those with most rows, of equals the first in code-point order).
+SAMPLE_ROWS, SAMPLE_CHARS, MOST_LANGUAGES = 400, 300, 200
+#: A text is compressed in pieces of so many bytes, so that its own earlier parts don't stand in for the dictionary, at this level, with matches from three bytes on.
+PIECE_BYTES, LEVEL, MIN_MATCH = 4096, 4, 3
 #: Least relative difference of the smallest and the second output for a text to be kept.
 MARGIN = 0.0005
 
 
 def fit(docs: DataFrame, labelled: Column) -> dict[str, bytes]:
-    """Dictionaries by language from a bounded, documented sample of the rows of docs (doc_id, text, lang) where labelled holds."""
+    """Dictionaries by language from a bounded, documented sample of the rows of docs (doc_id, text, lang) where labelled holds. Equal rows give equal dictionaries, however they are dealt out."""
     rows = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("langid")), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS).drop("n")
-    ids = [r["doc_id"] for r in chosen.limit(SAMPLE_ROWS * MOST_LANGUAGES).collect()]
+    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
     at = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int")
-    sample = rows.where(F.col("doc_id").isin(ids)).select("lang", "doc_id", F.substring("text", at + 1, F.lit(SAMPLE_CHARS)).alias("piece"))
+    pieces = rows.where(F.col("lang").isin(langs)).select("lang", F.xxhash64("doc_id", F.lit("langid")).alias("h"), F.substring("text", at + 1, F.lit(SAMPLE_CHARS)).alias("piece"))
+    for part in (F.col("h") % 64, F.lit(0)):  # in parts first, so that no task meets a language's rows of all tasks
+        first = Window.partitionBy("lang", part).orderBy("h", "piece")
+        pieces = pieces.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_ROWS)
     parts: dict[str, list] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["piece"])):
+    for r in sorted(pieces.select("lang", "h", "piece").collect()):  # SAMPLE_ROWS of MOST_LANGUAGES at most
         parts.setdefault(r["lang"], []).append(r["piece"])
-    return {lang: letters("\n".join(p))[-DICTIONARY_BYTES:] for lang, p in parts.items()}
+    return {lang: letters("\n".join(p)) for lang, p in parts.items()}
 
 
 #: What is compressed: letters in lower case, other characters' runs as one blank.
@@ -53,13 +50,11 @@ def letters(text: str) -> bytes:
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.by_lang = []
-        short = zstandard.ZstdCompressionParameters.from_level(SHORT_LEVEL, min_match=3)
         for lang, content in sorted(dictionaries.items()):
-            d, e = (zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for _ in range(2))
-            d.precompute_compress(level=LEVEL)
-            e.precompute_compress(compression_params=short)
-            c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
-            self.by_lang.append((lang, c, zstandard.ZstdCompressor(compression_params=short, dict_data=e)))
+            p = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, dict_size=len(content), source_size=PIECE_BYTES)
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=p)
+            self.by_lang.append((lang, zstandard.ZstdCompressor(compression_params=p, dict_data=d)))
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (0 to 1: how much smaller the best output is than the second) and whether the text is rejected."""
@@ -67,7 +62,7 @@ class Classifier:
             return "und", 0.0, True
         data = letters(text)
         pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
-        sizes = sorted((sum(len((short if len(p) < SHORT_BYTES else long).compress(p)) for p in pieces), lang) for lang, long, short in self.by_lang)
+        sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in self.by_lang)
         if len(sizes) == 1:
             return sizes[0][1], 1.0, False
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
