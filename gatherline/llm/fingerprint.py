@@ -9,6 +9,7 @@ it is nearly linear, by interpolation between fixed points.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +19,8 @@ from .common import saved
 
 SAMPLES, AT_ONCE = 32, 4
 POINTS = 256
-#: Documents that lie together in one bucket of consecutive ids, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 512, 1 << 16
+#: Documents that lie together in one bucket of consecutive ones, the most buckets, and rows sampled for each bucket to tell where it ends.
+BUCKET_ROWS, MOST_BUCKETS, SAMPLED = 512, 1 << 16, 16
 NOTHING = -1
 
 
@@ -109,25 +110,45 @@ def written(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
+def bounds(docs: DataFrame) -> list:
+    """Rows (id, h) that cut the rows of docs (id, h), by id (null least), then h, into about equal parts: quantiles of a sample of a bounded number of rows; fewer than MOST_BUCKETS."""
+    n = docs.count()
+    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
+    drawn = docs.where(F.pmod(F.xxhash64("h", "id"), F.lit(max(1, n // (buckets * SAMPLED)))) == 0) if n else docs
+    place = drawn.withColumn("place", F.row_number().over(Window.orderBy("id", "h")))  # 2 * MOST_BUCKETS * SAMPLED rows of two longs
+    return place.where(F.col("place") % SAMPLED == 0).orderBy("place").select("id", "h").collect()[: buckets - 1]
+
+
+def bucket_of(key: Column, ends: list) -> Column:
+    """How many of the sorted ends are less than key (a struct id, h): a binary search."""
+    if not ends:
+        return F.lit(0).cast("long")
+    table = F.from_json(F.lit(json.dumps([{"id": e["id"], "h": e["h"]} for e in ends])), "array<struct<id:bigint,h:bigint>>")
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when(F.get(table, at + step - 1) < key, at + step).otherwise(at)
+
+    steps = [1 << i for i in reversed(range(len(ends).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(i) for i in steps]), F.lit(0), halve).cast("long")
+
+
 def next_to(docs: DataFrame) -> DataFrame:
     """bucket, place, doc_id, text, following (the next row's text) and borrowed of docs (doc_id, text), by descending doc_id, the last followed by the first.
 
-    Ids are cut into buckets of consecutive ones. Each bucket borrows the row that follows its last from the next bucket, so that only buckets are dealt out and sorted,
-    once. Rows of one id go by text; null ids come last. Equal-width buckets suit ids that are spread evenly; else buckets differ in size."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low = low or 0
-    span = (high or 0) - low + 1
-    width = -(-span // max(1, min(MOST_BUCKETS, n // BUCKET_ROWS, span)))
-    docs = docs.withColumn("bucket", F.coalesce(F.expr(f"cast((cast(doc_id as decimal(20, 0)) - {low}BD) div {width} as bigint)"), F.lit(-1).cast("long")))
-    heads = docs.groupBy("bucket").agg(F.max("doc_id").alias("head"))
+    Rows are cut into buckets of consecutive ones, at quantiles, so clumps of ids or rows of one id (told apart by a hash of their text) don't fill a bucket. Each bucket borrows the row that
+    follows its last from the next bucket, so that only buckets are dealt out and sorted, once. Rows of one id go by that hash, then by text; null ids come last."""
+    docs = docs.select("doc_id", "text", F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h")).alias("at"))
+    ends = bounds(docs.select("at.*"))
+    docs = docs.withColumn("bucket", bucket_of(F.col("at"), ends))
+    heads = docs.groupBy("bucket").agg(F.max("at").alias("head"))
     order = Window.orderBy(F.col("bucket").desc())
     last = Window.orderBy("bucket")
     heads = saved(heads.withColumn("lender", F.coalesce(F.lead("head").over(order), F.last("head").over(last.rowsBetween(0, Window.unboundedFollowing)))))
-    lent = docs.drop("bucket").join(F.broadcast(heads.select(F.col("lender"), F.col("bucket"))), F.col("doc_id").eqNullSafe(F.col("lender")))  # MOST_BUCKETS rows at most
+    lent = docs.drop("bucket").join(F.broadcast(heads.select(F.col("lender"), F.col("bucket"))), F.col("at").eqNullSafe(F.col("lender")))  # MOST_BUCKETS rows at most
     known = F.coalesce("bucket", F.lit(-1).cast("long")).alias("bucket")  # never null, so that all that reads the dealt rows has one plan and shares their shuffle
-    lent = lent.groupBy("bucket", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", known).withColumn("borrowed", F.lit(True))
+    lent = lent.groupBy("bucket", "at").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id")).select("doc_id", "text", "at", known).withColumn("borrowed", F.lit(True))
     both = docs.withColumn("borrowed", F.lit(False)).unionByName(lent)
-    w = Window.partitionBy("bucket").orderBy("borrowed", F.col("doc_id").desc_nulls_last(), "text")
+    w = Window.partitionBy("bucket").orderBy("borrowed", F.col("at").desc(), "text")
     return both.select("bucket", F.row_number().over(w).alias("place"), "doc_id", "text", F.lead("text").over(w).alias("following"), "borrowed")
 
 
@@ -137,7 +158,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     A null text is empty. The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next document in descending
     doc_id (after the last: the first; a sole row: itself). near_edited and near_next are the shares of equal samples with the edited text's and the next
     document's fingerprint. Equal texts have equal fingerprints; texts without words have one of their own and are alike to each other only.
-    Rows that repeat an id go by text; null ids come last. An empty table gives an empty result."""
+    Rows that repeat an id go by a hash of their text, then by text; null ids come last. An empty table gives an empty result."""
     d = next_to(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
