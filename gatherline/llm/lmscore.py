@@ -1,10 +1,10 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
 The model is a trie of byte contexts of up to ORDER bytes, counted over all training texts; contexts run through the whole text, whose words are
-joined by one blank, or (whole: false) begin anew at each word. A byte is coded in its longest context that training has seen; a byte that has not followed there is reached by an escape (method C) to
+joined by one blank. A byte is coded in its longest context that training has seen; a byte that has not followed there is reached by an escape (method C) to
 the next shorter context, without the bytes that the longer ones have offered (symbol exclusion), at last to a uniform choice. A text's code length is the sum over its
-bytes and its end; if contexts begin anew at words, distinct words are scored once, else a text's distinct grams are looked up. The trie is never in one place: it is a table of
-counted byte strings (a context and the byte after it), dealt out by the two bytes before the coded one; only the orders below,
+bytes and its end, by its distinct grams (a context of ORDER bytes and the byte after it). The trie is never in one place: it is a table of counted grams; a row of
+it holds the contexts of one three bytes' end, so at most 65,536 grams, and meets the counts of its last two bytes in a join. Only the orders below,
 of at most 65,536 contexts with 256 bytes each, go to all tasks.
 """
 
@@ -14,18 +14,18 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, saved, sliced
+from .common import row_key, saved, sliced
 
 ORDER = 4
-#: The byte that ends a word, and stands for what is before its first byte; no word holds it.
+#: The byte that ends a text, and stands for what is before its first byte; no text holds it once its words are joined.
 GAP = b"\n"
-#: A word that stands for the end of a text: just the end of an empty word. No word is empty.
+#: A word that stands for the end of a text. No word is empty.
 END = b""
 #: Items that all tasks look up by themselves, and distinct items that a task counts before it passes them on.
 FREQUENT, KEPT = 1 << 16, 300_000
@@ -33,28 +33,24 @@ FREQUENT, KEPT = 1 << 16, 300_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def grams(word: bytes) -> list[bytes]:
-    """For each byte of the word and its end: ORDER bytes before it, then it."""
-    w = GAP * ORDER + word + GAP
-    return [w[i : i + ORDER + 1] for i in range(len(w) - ORDER)]
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words, A-Z in lower case."""
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()  # at ASCII white space
 
 
-def text_grams(words: list[bytes]) -> Counter:
-    """Grams of a whole text: its words, joined by one blank, and its end."""
-    return Counter(grams(b" ".join(words)))
+def names_of(text: str | None) -> list[bytes]:
+    """The items that stand for a text's tokens: its words, the end, and for a word of 16 bytes or more its 128-bit hash."""
+    return [*(w if len(w) < 16 else xxhash.xxh3_128_digest(w) for w in words_of(text)), END]
 
 
-def key_of(item: bytes, salt: int) -> int:
-    return xxhash.xxh3_64_intdigest(item, salt) - (1 << 63)
+def grams_of(text: str | None) -> list[bytes]:
+    """For each byte of a text (its words, joined by one blank) and its end: ORDER bytes before it, then it."""
+    s = GAP * ORDER + b" ".join(words_of(text)) + GAP
+    return [s[i : i + ORDER + 1] for i in range(len(s) - ORDER)]
 
 
-def counted(rows: DataFrame, count: Callable[[pa.RecordBatch, Counter], None]) -> DataFrame:
-    """item (binary) and the sum of its counts c, over what count adds for every batch of rows; tasks pass on sums, in bounded numbers."""
+def counted(docs: DataFrame, items: Callable[[str | None], list[bytes]]) -> DataFrame:
+    """item (binary) and c (how often it occurs in training texts, 0 if not at all) of all items of docs (held_out, text); tasks pass on sums, in bounded numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -65,126 +61,75 @@ def counted(rows: DataFrame, count: Callable[[pa.RecordBatch, Counter], None]) -
             return out
 
         for batch in sliced(batches):
-            count(batch, total)
+            for t, out in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
+                found = items(t.as_py())
+                if out:
+                    for x in {*found}:
+                        total[x] += 0
+                else:
+                    total.update(found)
             if len(total) > KEPT:
                 yield flush()
         yield flush()
 
-    return rows.mapInArrow(run, "item binary, c long").groupBy("item").agg(F.sum("c").alias("c"))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """item (a word, the end included) and c (count in training texts, 0 if none) of all words (docs: held_out, text)."""
-
-    def count(batch: pa.RecordBatch, total: Counter) -> None:
-        for t, out in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
-            words = words_of(t.as_py())
-            if out:
-                for w in {*words, END}:
-                    total[w] += 0
-            else:
-                total.update(words)
-                total[END] += 1
-
-    return counted(docs.select("held_out", "text"), count)
+    return docs.select("held_out", "text").mapInArrow(run, "item binary, c long").groupBy("item").agg(F.sum("c").alias("c"))
 
 
 def most_counted(values: DataFrame) -> DataFrame:
-    """The short items of values with the greatest counts: all from a count on that FREQUENT of them reach at most (by a histogram of sixteenths of powers of two, so no task or driver sorts them)."""
+    """The rows of values with the greatest counts: all from a count on that FREQUENT of them reach at most (by a histogram of sixteenths of powers of two, so no task or driver sorts them)."""
     size = F.floor(F.log2("c") * 16)
-    short = values.where((F.octet_length("item") <= 64) & (F.col("c") > 0))
+    known = values.where("c > 0")
     least, n = None, 0
-    for r in sorted(short.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["size"]):  # 1,008 rows at most
+    for r in sorted(known.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["size"]):  # 1,008 rows at most
         n += r["n"]
         if n > FREQUENT:
             break
         least = r["size"]
-    return short.where(size >= least) if least is not None else short.limit(0)
+    return known.where(size >= least) if least is not None else known.limit(0)
 
 
-def looked_up(rows: DataFrame, of: str, items: Callable[[pa.RecordBatch], Iterator[Counter]], values: DataFrame, salt: int) -> DataFrame:
-    """Sums over each row's items (a count each) of the numbers that values has for them: the column named by of, n, known, base and lp.
+def looked_up(docs: DataFrame, items: Callable[[str | None], list[bytes]], values: DataFrame) -> DataFrame:
+    """Sums over the items of each row of docs (key, doc_id, held_out, text) of what values (item, c, lp: every item that occurs) has for them: key, doc_id, held_out, copies (rows of that key), n (items), known (those with c > 0) and lp, all for one copy.
 
-    values: key, item, c, base, lp, with every item that occurs. The most counted short items (FREQUENT at most) are looked up in the
-    task itself, and the row carries their sums; all others meet their numbers in a join by key. So a hot item isn't shuffled, and what is
-    sent to all tasks has a fixed bound."""
-    most = most_counted(values).select("item", "c", "base", "lp").collect()
-    shared = rows.sparkSession.sparkContext.broadcast({bytes(r["item"]): (r["c"] > 0, r["base"], r["lp"]) for r in most})
-    part = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64())])
+    The most counted items (FREQUENT at most) are looked up in the task itself, and the row carries their sums; all others meet their numbers in a join. So a hot
+    item isn't shuffled, and what is sent to all tasks has a fixed bound."""
+    most = most_counted(values).select("item", "lp").collect()
+    shared = docs.sparkSession.sparkContext.broadcast({bytes(r["item"]): r["lp"] for r in most})
+    own = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in sliced(batches, 256):
-            at, keys, counts, parts = [], [], [], []
-            for i, found in enumerate(items(batch)):
+            at, names, counts, parts = [], [], [], []
+            for i, t in enumerate(batch.column("text")):
                 n = known = 0
-                base = lp = 0.0
-                for x, m in found.items():
-                    if v := table.get(x):
-                        n += m
-                        known += m * v[0]
-                        base += m * v[1]
-                        lp += m * v[2]
-                    else:
+                lp = 0.0
+                for x, m in Counter(items(t.as_py())).items():
+                    n += m
+                    if (v := table.get(x)) is None:
                         at.append(i)
-                        keys.append(key_of(x, salt))
+                        names.append(x)
                         counts.append(m)
                         parts.append(None)
+                    else:
+                        known += m
+                        lp += m * v
                 at.append(i)
-                keys.append(key_of(b"%d" % i, salt))
+                names.append(b"%d" % i)
                 counts.append(0)
-                parts.append((n, known, base, lp))
-            arrays = [batch.column(of).take(pa.array(at, pa.int64())), pa.array(keys, pa.int64()), pa.array([c > 0 for c in counts], pa.bool_()), pa.array(counts, pa.int64())]
-            arrays.append(pa.array([p and dict(zip(("n", "known", "base", "lp"), p, strict=True)) for p in parts], part))
-            yield pa.RecordBatch.from_arrays(arrays, names=[of, "key", "rare", "m", "part"])
-
-    found = rows.mapInArrow(run, ddl(rows.select(of), "key long, rare boolean, m long, part struct<n: long, known: long, base: double, lp: double>"))
-    joined = found.join(values.select("key", F.lit(True).alias("rare"), "c", "base", "lp"), ["key", "rare"], "left")
-
-    def summed(own: Column, name: str) -> Column:
-        return F.sum(F.coalesce(F.col(f"part.{name}"), F.col("m") * own)).alias(name)
-
-    return joined.groupBy(of).agg(summed(F.lit(1), "n"), summed((F.col("c") > 0).cast("long"), "known"), summed(F.col("base"), "base"), summed(F.col("lp"), "lp"))
-
-
-def keyed(items: DataFrame) -> tuple[DataFrame, int]:
-    """items with a key (a 64-bit hash) that no two of them share, and the salt that it takes."""
-    for salt in range(100):
-
-        def run(batches: Iterator[pa.RecordBatch], salt: int = salt) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.append_column("key", pa.array([key_of(x, salt) for x in batch.column("item").to_pylist()], pa.int64()))
-
-        found = saved(items.mapInArrow(run, ddl(items, "key long")))
-        if found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            return found, salt
-    raise ArithmeticError("no salt keeps the keys apart")
+                parts.append({"n": n, "known": known, "lp": lp})
+            take = pa.array(at, pa.int64())
+            first = pa.array([p is None for p in parts], pa.bool_())
+            part = pa.array(parts, pa.struct([("n", pa.int64()), ("known", pa.int64()), ("lp", pa.float64())]))
+            ids = [pa.compute.if_else(first, pa.scalar(None, batch.schema.field(c).type), batch.column(c).take(take)) for c in ("doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(take), *ids, pa.array(names, pa.binary()), first, pa.array(counts, pa.int64()), part], names=["key", "doc_id", "held_out", "item", "rare", "m", "part"])
 
-
-def gram_counts(words: DataFrame) -> DataFrame:
-    """item (a gram: a context of ORDER bytes and the next byte) and c (count in training) over words (item, c)."""
-
-    def count(batch: pa.RecordBatch, total: Counter) -> None:
-        for w, c in zip(batch.column("item").to_pylist(), batch.column("c").to_pylist(), strict=True):
-            for g in grams(w):
-                total[g] += c
-
-    return counted(words.select("item", "c"), count)
-
-
-def text_gram_counts(docs: DataFrame) -> DataFrame:
-    """item (a gram of whole texts) and c (count in training texts, 0 if none) of all grams (docs: held_out, text)."""
-
-    def count(batch: pa.RecordBatch, total: Counter) -> None:
-        for t, out in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
-            found = grams(b" ".join(words_of(t.as_py())))
-            if out:
-                for g in {*found}:
-                    total[g] += 0
-            else:
-                total.update(found)
-
-    return counted(docs.select("held_out", "text"), count)
+    found = docs.mapInArrow(run, f"key binary, doc_id {own}, held_out boolean, item binary, rare boolean, m long, part struct<n: long, known: long, lp: double>")
+    joined = found.join(values.select("item", F.lit(True).alias("rare"), "c", "lp"), ["item", "rare"], "left")
+    known, lp = F.when(F.col("c") > 0, F.col("m")).otherwise(0), F.col("m") * F.col("lp")
+    sums = {"n": F.sum("part.n"), "known": F.sum(F.coalesce("part.known", known)), "lp": F.sum(F.coalesce("part.lp", lp))}
+    sums = joined.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.count("part").alias("copies"), *[s.alias(c) for c, s in sums.items()])
+    return sums.withColumns({c: F.expr(f"{c} div copies") for c in ("n", "known")} | {"lp": F.col("lp") / F.col("copies")})
 
 
 def log10_of(symbol: int, contexts: list[Counter | None]) -> float:
@@ -204,67 +149,53 @@ def log10_of(symbol: int, contexts: list[Counter | None]) -> float:
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:
-    """item, c, key, lp (log10 of its last byte's probability after the bytes before) of counted grams (item, c, key; c 0: not in training)."""
-    small = counts.where("c > 0").groupBy(F.substring("item", ORDER, 2).alias("two")).agg(F.sum("c").alias("c")).collect()  # 65,536 rows at most
+    """item, c and lp (log10 of its last byte's probability after the bytes before) of counted grams (item, c; c 0: not in training)."""
+    last = F.substring("item", ORDER + 1, 1)
+    trained = counts.where("c > 0")
+    small = trained.groupBy(F.substring("item", ORDER, 2).alias("two")).agg(F.sum("c").alias("c")).collect()  # 65,536 rows at most
     one: dict[int, Counter] = {}
     none: Counter = Counter()
     for r in small:
         one.setdefault(r["two"][0], Counter())[r["two"][1]] += r["c"]
         none[r["two"][1]] += r["c"]
     shared = counts.sparkSession.sparkContext.broadcast((one, none))
+    two = trained.groupBy(F.substring("item", ORDER - 1, 2).alias("two"), last.alias("symbol")).agg(F.sum("c").alias("c"))
+    two = two.groupBy("two").agg(F.collect_list(F.struct("symbol", "c")).alias("after"))  # 256 each at most
+    grams = counts.groupBy(F.substring("item", ORDER - 2, 3).alias("three")).agg(F.collect_list(F.struct("item", "c")).alias("grams"))  # 65,536 each at most
+    rows = grams.withColumn("two", F.substring("three", 2, 2)).join(two, "two", "left").select("grams", "after")
 
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, none = shared.value
-        seen: dict[bytes, Counter] = {}
-        for g, c in zip(rows["item"], rows["c"], strict=True):
-            if c:
-                for k in range(2, ORDER + 1):
-                    seen.setdefault(g[ORDER - k : ORDER], Counter())[g[ORDER]] += c
-        lps = [log10_of(g[ORDER], [*(seen.get(g[ORDER - k : ORDER]) for k in range(ORDER, 1, -1)), one.get(g[ORDER - 1]), none]) for g in rows["item"]]
-        return rows[["item", "c", "key"]].assign(lp=lps)
-
-    return counts.groupBy(F.substring("item", ORDER - 1, 2)).applyInPandas(score, "item binary, c long, key long, lp double")
-
-
-def base_of(n_training: int, n_distinct: int) -> Column:
-    return F.log10((F.col("c") + 1) / F.lit(float(n_training + n_distinct + 1)))
-
-
-def word_scores(words: DataFrame, n_training: int, n_distinct: int) -> DataFrame:
-    """Words (item, c, key) with base (log10 of (c + 1) / (N + V + 1)) and lp (the PPM's log10 probability of the word and its end)."""
-    counts, salt = keyed(gram_counts(words))
-    scored = saved(gram_scores(counts).withColumn("base", F.lit(0.0)))
-    lp = looked_up(words.select("key", "item").withColumnRenamed("key", "word"), "word", lambda batch: (Counter(grams(w)) for w in batch.column("item").to_pylist()), scored, salt)
-    return words.join(lp.select(F.col("word").alias("key"), "lp"), "key").select("key", "item", "c", base_of(n_training, n_distinct).alias("base"), "lp")
-
-
-def score(docs: DataFrame, held_out: Column, *, whole: bool = False) -> DataFrame:
+        for batch in sliced(batches, 1):
+            grams = batch.column("grams")[0].as_py()
+            seen: dict[int, Counter] = {}
+            three: Counter = Counter()
+            for g in grams:
+                if g["c"]:
+                    seen.setdefault(g["item"][0], Counter())[g["item"][ORDER]] += g["c"]
+                    three[g["item"][ORDER]] += g["c"]
+            two = Counter({x["symbol"][0]: x["c"] for x in batch.column("after")[0].as_py() or ()})
+            lps = [log10_of(g["item"][ORDER], [seen.get(g["item"][0]), three, two, one.get(g["item"][ORDER - 1]), none]) for g in grams]
+            yield pa.RecordBatch.from_arrays([pa.array([g["item"] for g in grams], pa.binary()), pa.array([g["c"] for g in grams], pa.int64()), pa.array(lps, pa.float64())], names=["item", "c", "lp"])
+
+    return rows.mapInArrow(score, "item binary, c long, lp double")
+
+
+def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text; other columns are ignored).
 
     Words are lower-cased in A-Z and cut at ASCII white space; a text's tokens are its words and one end. Training texts are those where held_out is
     false (null: false). A null text is empty. base_score: sum over tokens of log10((c + 1) / (N + 1 * (V + 1))), with c the token's count, N all and V
-    the distinct tokens in training. score: the PPM's log10 probability of the words and the end; with whole, of the text as one string of bytes (words joined by one blank, so their order counts). Rows that repeat a doc_id are
-    parts of one document, each with contexts of its own. With no training text, words are uniform bytes. An empty table gives an empty result."""
-    docs = docs.select(F.struct(F.col("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out")).alias("doc"), "text")
-    words, salt = keyed(word_counts(docs.select("doc.held_out", "text")))
+    the distinct tokens in training. score: the PPM's log10 probability of the text as one string of bytes (words joined by one blank, then the end). Rows that repeat a doc_id
+    are scored each by itself, and a row for each is returned. With no training text, bytes are as likely as each other. An empty table gives an empty result."""
+    docs = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    docs = docs.withColumn("key", row_key(docs))
+    words = saved(counted(docs, names_of))
     n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    scored = saved(words.select("key", "item", "c", base_of(n, v).alias("base"), F.lit(0.0).alias("lp")) if whole else word_scores(words, n, v))
-
-    def items(batch: pa.RecordBatch) -> Iterator[Counter]:
-        for t in batch.column("text"):
-            found = Counter(words_of(t.as_py()))
-            found[END] = 1
-            yield found
-
-    sums = looked_up(docs, "doc", items, scored, salt)
-    if whole:
-        counts, salt = keyed(text_gram_counts(docs.select("doc.held_out", "text")))
-        scored = saved(gram_scores(counts).withColumn("base", F.lit(0.0)))
-        coded = looked_up(docs, "doc", lambda batch: (text_grams(words_of(t.as_py())) for t in batch.column("text")), scored, salt)
-        none = F.lit(0).cast("long")
-        sums = sums.unionByName(coded.select("doc", none.alias("n"), none.alias("known"), F.lit(0.0).alias("base"), "lp"))
-        sums = sums.groupBy("doc").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "lp")])
-    return sums.select(
-        "doc.doc_id", "doc.held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"), F.col("lp").alias("score"),
-    )
+    base = looked_up(docs, names_of, words.withColumn("lp", F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))))
+    grams = saved(gram_scores(saved(counted(docs, grams_of))))
+    coded = looked_up(docs, grams_of, grams).select("key", F.col("lp").alias("score"))
+    return base.join(coded, "key").select(
+        "doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        F.col("lp").alias("base_score"), "score", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
+    ).drop("copy")
