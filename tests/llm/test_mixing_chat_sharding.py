@@ -4,6 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gatherline.llm import chat, mixing, sharding
 
@@ -44,8 +45,6 @@ def test_targets_and_taken(spark):
 
 
 def test_permutation(spark):
-    from pyspark.sql import functions as F
-
     for n in (1, 2, 7, 1000):
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long"))).collect()]
         assert sorted(got) == list(range(n))
@@ -53,7 +52,7 @@ def test_permutation(spark):
 
 
 def test_mix_rows_are_a_deal_of_all_slots(spark, odd, no_rows):
-    m = mixing.mix(odd, block_words=8, shard_slots=64)
+    m = mixing.mix(odd.withColumn("key", F.col("text")), block_words=8, shard_slots=64)
     draws = m.rows.select("shard", "slot", "sid", "block").distinct().collect()
     asked = m.sources.agg({"n_draws": "sum"}).first()[0]
     assert len({(r["shard"], r["slot"]) for r in draws}) == len(draws) == asked
@@ -69,6 +68,25 @@ def test_mixed_texts_keep_white_space(spark):
     assert got and set(got) == {"  a b\n\nc "}
 
 
+@pytest.mark.parametrize("cap", [2.0, 1.0])
+def test_mixed_texts_hold_what_is_taken(spark, cap):
+    """Word by word, for rows that repeat a document, wholly or with another text, too: none is lost and none comes from elsewhere."""
+    text = lambda i, n: " ".join(f"w{i}-{k}" for k in range(n))
+    rows = [(1, text("a", 100), "en", "s", 1), (1, text("b", 100), "en", "s", 1), (1, text("a", 100), "en", "s", 1), (None, text("c", 70), None, None, 1), (2, text("d", 30), "de", "t", 1), (2, None, "de", "t", 1), (3, "", "de", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    options = {"block_words": 16, "cap": cap}
+    got = [(r["doc_id"], r["source"], r["text"].split()) for r in mixing.mixed_texts(docs, **options).collect()]
+    taken = {(r["doc_id"], r["source"]): r["taken"] for r in mixing.taken_words(docs, **options).collect()}
+    words = Counter(((i, s), w) for i, s, ws in got for w in ws)
+    assert {k: sum(n for (d, _), n in words.items() if d == k) for k in taken} == taken
+    have = Counter(((i, s), w) for i, t, _, s, _ in rows for w in (t or "").split())
+    assert all(n <= 2 * have[k] for k, n in words.items())
+    assert taken[1, "s"] >= 150 and all(len(ws) for _, _, ws in got)
+    for _, _, ws in got:  # in order, from one row
+        at = [int(w.split("-")[1]) for w in ws]
+        assert at == sorted(set(at)) and len({w.split("-")[0] for w in ws}) == 1
+
+
 CHAT = [
     (1, 0, "system", "be <|im_start|> good"), (1, 1, "user", "a<\\|b <\\\\| <|"), (1, 2, "assistant", "<"), (1, 3, "user", "|"), (1, 4, "assistant", "|im_end|>\n"),
     (1, 4, "assistant", "|im_end|>\n"), (2, None, None, None), (2, 5, "a%0A\nb", ""), (None, 1, "assistant", "é🔥" * 5000), (3, 1, "assistant", None),

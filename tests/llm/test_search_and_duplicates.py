@@ -1,18 +1,22 @@
+import hashlib
+import math
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gatherline.llm import fingerprint, neardup, topk
+from gatherline.llm.common import Scratch
 
 SCHEMA = "vec_id long, embedding array<float>, score long"
 
 
 def brute(rows, ids, k):
     """(query, rank, id, score) by plain integer products of usable rows."""
-    ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * Fraction(float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for q in ids:
         mine = min([v for i, v in ok if i == q], default=None)
@@ -40,6 +44,17 @@ def test_top_k_against_brute_force(spark):
     assert [tuple(r) for r in topk.top_k(few, few.where("vec_id = 0"), k=5).collect()] == [(0, 1, 1, 128 * 64)]
 
 
+def test_top_k_of_large_components(spark):
+    """Finite components of any size take part, as candidates and as queries; scores beyond long are ranked by their true value and stated as the nearest long."""
+    rows = [(0, [1.0, 1.0]), (1, [3e5, 1.0]), (2, [3e38, 0.0]), (3, [2.9e38, 1.0]), (4, [-3e38, 0.0]), (5, [-2.9e38, 0.0]), (6, [1e30, -1e30]), (50, [3e38, 3e38]), (100, [-1e20, 1e-3])]
+    rows += [(200 + i, [i / 100, -i / 50]) for i in range(150)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    want = {(q, n, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, n, i, s in brute(rows, range(0, 400, 50), 5)}
+    assert {tuple(r) for r in topk.top_k(df, df.where("vec_id % 50 = 0"), k=5).collect()} == want
+    assert {(0, 1, 50), (0, 2, 2), (0, 3, 3)} <= {x[:3] for x in want} and any(x[3] == (1 << 63) - 1 for x in want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(-600, 600), min_size=3, max_size=3), min_size=1, max_size=90), st.lists(st.integers(-300, 300), min_size=3, max_size=3))
 def test_bitmap_sums(rows, query):
@@ -48,7 +63,7 @@ def test_bitmap_sums(rows, query):
     block = topk.index_block(pd.DataFrame({"block": 0, "vec_id": range(len(rows)), "embedding": [np.array(r) / 256 for r in rows]})).iloc[0]
     got = list(topk.search_block(block, np.array([-1]), [np.array(query)], 7))
     want = sorted(((sum(a * b for a, b in zip(r, query, strict=True)), i) for i, r in enumerate(rows)), key=lambda x: (-x[0], x[1]))[:7]
-    assert sorted(got, key=lambda x: (-x[2], x[1])) == [(-1, i, s) for s, i in want]
+    assert sorted(got, key=lambda x: (-x[2], x[1])) == [(-1, i, s, "") for s, i in want]
 
 
 def shingles(text):
@@ -92,19 +107,21 @@ def test_near_duplicates_against_brute_force(spark, odd, no_rows):
     assert neardup.near_duplicates(no_rows).count() == 0
 
 
-def test_centres_are_new_ones_with_most_links(spark):
-    """A member that rises in rank between turns has its turn all the same."""
-    used, had = None, set()
-    for turn, risen in ((0, []), (2, [5]), (3, [5, 9, 11]), (4, [13])):
-        members = spark.createDataFrame([(1, b"", i, i, 9 if i in risen else 0) for i in range(15)], "band long, tail binary, node long, label long, degree long")
-        found = neardup.centres_of(members, turn, used)
-        now = {r["node"] for r in found.collect()}
-        assert len(now) == {0: 1, 2: 2, 3: 4, 4: 8}[turn] and not now & had and now >= set(risen) - had
-        had |= now
-        pairs = {(r["a"], r["b"]) for r in neardup.pairs_of(members, found).collect()}
-        assert pairs == {(min(a, b), max(a, b)) for a in now for b in range(15) if a != b}
-        used = found if used is None else used.unionByName(found)
-    assert had == set(range(15))
+def test_partners_of_a_turn(spark):
+    """Members outside the lead label get a partner of the lead and a neighbour; the rest none, so pairs grow with the members."""
+    rows = [(1, bytes([0, i]), bytes([i]), bytes([7]) if i < 9 else bytes([i])) for i in range(40)]
+    rows += [(2, b"aa", bytes([i]), bytes([7])) for i in range(9)]
+    members = spark.createDataFrame(rows, "band long, tail binary, node binary, label binary")
+    seen = set()
+    for turn in range(3):
+        m = members.join(neardup.leads_of(members, turn), "band")
+        assert {r["band"] for r in m.select("band").distinct().collect()} == {1}
+        pairs = {(bytes(r["a"])[0], bytes(r["b"])[0]) for r in neardup.pairs_of(m.where("label <> lead"), turn).collect()}
+        stars = {(a, b) for a, b in pairs if a < 9}
+        assert {b for _, b in stars} == set(range(9, 40)) and len({a for a, _ in stars}) == 1
+        assert pairs - stars == ({(i, i + 1) for i in range(9, 39)} if turn else set())
+        seen |= {a for a, _ in stars}
+    assert len(seen) > 1
 
 
 def test_pairs_of_a_bucket_that_are_no_neighbours(spark, monkeypatch):
@@ -116,7 +133,7 @@ def test_pairs_of_a_bucket_that_are_no_neighbours(spark, monkeypatch):
     r.shuffle(rows)
     want = components(rows)
     assert sum(i != x for i, (_, x) in want.items()) == 15
-    monkeypatch.setattr(neardup, "pairs_of", lambda members, centres: members.select(members["node"].alias("a"), members["node"].alias("b")).limit(0))
+    monkeypatch.setattr(neardup, "pairs_of", lambda members, turn: members.select(members["node"].alias("a"), members["node"].alias("b")).limit(0))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(df).collect()} == want
 
@@ -127,13 +144,13 @@ def test_prefix_pairs_against_all_pairs(spark):
     sets += [sorted({*s[1:], r.randrange(40)}) for s in sets]
     df = spark.createDataFrame([(i, i % 200, s) for i, s in enumerate(sets)], "node long, label long, shingles array<long>")
     alike = {(a, b) for a in range(240) for b in range(a + 1, 240) if a % 200 != b % 200 and 100 * len({*sets[a]} & {*sets[b]}) >= 75 * len({*sets[a]} | {*sets[b]})}
-    got = {(x["a"], x["b"]) for x in neardup.pairs_by_prefix(df, 75).collect()}
+    got = {(x["a"], x["b"]) for x in neardup.pairs_by_prefix(df, 75, Scratch(spark)).collect()}
     assert alike and alike <= got and len(got) < 240 * 239 // 4
 
 
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(100)] + [(200, 250), (250, 210), (300, 300)]
-    got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(101)}, 200: 200, 210: 200, 250: 200}
 
 
@@ -147,6 +164,39 @@ def test_fingerprints(spark, odd, no_rows):
     assert one["near_next"] == 1.0
 
 
+def test_fingerprints_against_brute_force(spark):
+    """Digests and lengths of edited texts, and likeness to the next document, in descending ids that lie in clumps, repeat or are null."""
+    r = random.Random(9)
+    ids = [*range(700), *range(10**15, 10**15 + 600), *[5_000] * 300, -(1 << 60), None, None]
+    rows = [(i, "".join(r.choice("ab é🔥c ") for _ in range(r.randint(0, 40))) or None) for i in ids]
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    alone = {i: t or "" for i, t in rows if ids.count(i) == 1}
+    order = sorted({i for i in ids if i is not None}, reverse=True)
+    prints = {x["doc_id"]: x for x in got}
+    checked = 0
+    for i, after in zip(order, order[1:]):
+        if i in alone and after in alone:
+            n = len(alone[i])
+            edited = alone[i][: n - n // 3] + alone[after][: n // 3]
+            x = prints[i]
+            assert (x["n_chars"], x["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
+            pieces = [[prints[k]["fingerprint"][j : j + 8] for j in range(0, 8 * fingerprint.SAMPLES, 8)] for k in (i, after)]
+            assert x["near_next"] == sum(a == b for a, b in zip(*pieces)) / fingerprint.SAMPLES
+            checked += 1
+    assert checked > 1290
+
+
+def test_buckets_are_even(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 20_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") == 1, 10**17).otherwise(F.col("id")).alias("id"), F.xxhash64("id").alias("h"))
+    ends = fingerprint.bounds(df)
+    assert ends == sorted(ends) and 30 <= len(ends) < 20_000 // fingerprint.BUCKET_ROWS
+    sizes = df.groupBy(fingerprint.bucket_of(F.struct("id", "h"), ends).alias("b")).count().collect()
+    assert len(sizes) == len(ends) + 1 and max(r["count"] for r in sizes) < 4 * fingerprint.BUCKET_ROWS
+
+
 def test_collisions_follow_generalised_jaccard(spark):
     from collections import Counter
 
