@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import compact, empty
+from .text import compact, empty, once
 
 # Stems of month names in four languages, looked for in this order.
 MONTH_STEMS = [
@@ -21,10 +21,14 @@ MONTH_FIRST = rf"(?<![\p{{L}}\d])({WORD})\.?\s+(\d{{1,2}})(?!\d)(?:[^\d]{{0,12}}
 
 def month_of(word: Column) -> Column:
     """Number of the month that a word names; null for none."""
-    out = F.lit(None).cast("int")
-    for n, stems in reversed([*enumerate(MONTH_STEMS, 1)]):
-        out = F.when(word.rlike(f"(?iu){stems}"), n).otherwise(out)
-    return out
+
+    def found(w: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for n, stems in reversed([*enumerate(MONTH_STEMS, 1)]):
+            out = F.when(w.rlike(f"(?iu){stems}"), n).otherwise(out)
+        return out
+
+    return once(word, found)
 
 
 def number(c: Column) -> Column:
@@ -45,23 +49,26 @@ def parse_date(c: Column, anchor: Column) -> Column:
     """The first date in a text as YYYY-MM-DD: ISO at once; else numeric (day, month; dots need a year), day and month word, or month word and day, whichever stands first.
 
     Without a year of its own, the date takes the sole year that the text names, else it is the next such day from the anchor on."""
-    t = compact(c)
+    return once(compact(c), lambda t: first_date(t, anchor))
+
+
+def first_date(t: Column, anchor: Column) -> Column:
     roll = lambda m, d: F.year(anchor) + F.when((m < F.month(anchor)) | ((m == F.month(anchor)) & (d < F.dayofmonth(anchor))), 1).otherwise(0)
+    part = lambda p, i: F.regexp_extract(t, p, i)
+
+    def candidate(pattern: str, day: int, month: Column, year: Column) -> Column:
+        def dated(x: Column) -> Column:
+            good = (x["at"] > 0) & x["d"].between(1, 31) & (x["m"] > 0)
+            return F.when(good, F.struct(x["at"].alias("at"), iso(F.coalesce(x["y"], sole_year(t), roll(x["m"], x["d"])), x["m"], x["d"]).alias("iso")))
 
-    def candidate(pattern: str, day: int, month: Column, year: Column, ok: Column) -> Column:
-        d = number(F.regexp_extract(t, pattern, day))
-        at = F.regexp_instr(t, F.lit(pattern))
-        good = (at > 0) & d.between(1, 31) & month.isNotNull() & (month > 0) & ok
-        return F.when(good, F.struct(at.alias("at"), iso(F.coalesce(year, sole_year(t), roll(month, d)), month, d).alias("iso")))
+        return once(F.struct(F.regexp_instr(t, F.lit(pattern)).alias("at"), number(part(pattern, day)).alias("d"), month.alias("m"), year.alias("y")), dated)
 
-    short = number(F.regexp_extract(t, NUMERIC, 4))
-    year = F.when(short < 100, short + 2000).otherwise(short)
-    month = number(F.regexp_extract(t, NUMERIC, 3))
-    dated = (month <= 12) & ((F.regexp_extract(t, NUMERIC, 2) != ".") | F.coalesce(short > 0, F.lit(False)))
+    short = once(number(part(NUMERIC, 4)), lambda y: F.nullif(F.when(y < 100, y + 2000).otherwise(y), F.lit(0)))
+    month = once(number(part(NUMERIC, 3)), lambda m: F.when((m <= 12) & ((part(NUMERIC, 2) != ".") | F.coalesce(number(part(NUMERIC, 4)) > 0, F.lit(False))), m))
     found = F.array_compact(F.array(
-        candidate(NUMERIC, 1, month, F.nullif(year, F.lit(0)), dated),
-        candidate(DAY_FIRST, 1, month_of(F.regexp_extract(t, DAY_FIRST, 2)), number(F.regexp_extract(t, DAY_FIRST, 3)), F.lit(True)),
-        candidate(MONTH_FIRST, 2, month_of(F.regexp_extract(t, MONTH_FIRST, 1)), number(F.regexp_extract(t, MONTH_FIRST, 3)), F.lit(True)),
+        candidate(NUMERIC, 1, month, short),
+        candidate(DAY_FIRST, 1, month_of(part(DAY_FIRST, 2)), number(part(DAY_FIRST, 3))),
+        candidate(MONTH_FIRST, 2, month_of(part(MONTH_FIRST, 1)), number(part(MONTH_FIRST, 3))),
     ))
     whole = F.regexp_extract(t, r"(\d{4}-\d{2}-\d{2})", 1)
     return F.when(whole != "", whole).otherwise(F.array_min(found)["iso"])

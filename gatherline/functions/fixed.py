@@ -97,3 +97,150 @@ OVERDUE, FAILURES, COLD, ENRICH_STALE = 6 * 3600, 5, 48 * 3600, 14 * 24 * 3600
 CENTROIDS, CENTROID_METRES = [(40.4168, -3.7035), (39.4697065, -0.3763353)], 60
 # Likeness of names from which places are one, and metres within which pins corroborate it.
 NAME_LIKENESS, PIN_METRES = 0.9, 100
+
+# Titles of posts: what points at parts, decoration before and after (for a character class), labels where nothing is known.
+POINTING_HAND = "👉"
+DECORATION_BEFORE = "«»\"'\\-—–:;,.!?…👉👇✨⭐️🔥🇺🇦🎟️📍🕐⏱️©"
+DECORATION_AFTER = "«»\"'\\-—–:;,👉👇✨⭐️🔥📍🕐⏱️©"
+UNTITLED, NO_LOCATION, HOME_CITY = "Без названия", "Локация уточняется", "Valencia"
+MONTH_LABELS = ["Январь", "Февраль", "Март", "Апрель", "Май", "Июнь", "Июль", "Август", "Сентябрь", "Октябрь", "Ноябрь", "Декабрь"]
+DEAD_IMAGE_HOST = r"(?i)(^|\.)telesco\.pe$"
+
+# Cues of categories in posts (two languages) and in cards (English), in the order they are looked for.
+POST_CATEGORIES = [
+    ("fiesta|fallas|feria|verbena|festiv|праздник|фестивал|фиест|фалья", "festival"), ("concierto|concert|m[úu]sica|recital|концерт|музык", "concert"),
+    ("exposici[óo]n|exhibici[óo]n|muestra|exhibit|выставк|экспозиц", "exhibition"), ("teatro|theatre|theater|danza|ballet|[óo]pera|театр|танец|балет|опер", "theatre"),
+    ("cine|pel[íi]cula|film|кино|фильм", "film"), ("mercad|market|feria gastron|ярмарк|базар", "market"),
+    ("taller|workshop|curso|infantil|ni[ñn]os|family|familia|мастер-класс|дет", "family"),
+]
+CARD_CATEGORIES = [
+    (r"\bconcert|music festival|jazz|guitar|band contest|symphon|opera\b", "concert"), (r"\bexhibition|museum|art center|gallery|expo\b", "exhibition"),
+    (r"\bfestival|masclet|fallas|fireworks|gunpowder|circus\b", "festival"), (r"\bguided tour|tour\b|workshop|tasting|paella|wine|gastronom|cook", "experience"),
+    (r"\bmatch|stadium|soccer|football|basket|racing|circuit|pilota|trophy|sailing\b", "sports"), (r"\bflamenco|show|dinner show|cirque\b", "show"),
+]
+
+# What announces a venue, a street, and an offer before a title.
+VENUE_CUE = r"(?iu)(?:в\s+|место[:\s]+|venue[:\s]+|в\s+зале\s+|teatro\s+|sala\s+|centro\s+|museo\s+|palau\s+)"
+STREET = r"(?iu)\b((?:calle|c/|av\.?|avenida|avda\.?|plaza|pl\.|paseo|carrer|carretera)\s+[\p{L}0-9'’.\- ]{2,60}\d{0,4})"
+OFFER_BEFORE = (
+    r"(?iu)^\s*(?:янв|фев|мар|апр|ма[йя]|июн|июл|авг|сен|окт|ноя|дек)\.?\s+\d{1,2}(?:\s+\d{1,2}:\d{2})?(?:\s+\d{1,2}\s+сеанс[\p{L}]*)?"
+    r"(?:\s+от)?\s*(?:\d{1,4}(?:[.,]\d{1,2})?\s*(?:€|евро|eur))?\s*"
+)
+
+# Labels of navigation and legal pages that are no events when they are a whole card: of any site, and of a board of classified ads.
+NAV_LABELS = [
+    "контакты", "контакти", "подписаться", "підписатися", "войти", "увійти", "правовая информация", "правова інформація", "конфиденциальность", "конфіденційність",
+    "политика конфиденциальности", "політика конфіденційності", "о нас", "про нас", "новости", "новини", "события", "події", "гиды", "гіди",
+    "рестораны", "ресторани", "услуги", "послуги", "документы", "документи", "política de privacidad", "política de cookies",
+    "política de cookies y privacidad", "aviso legal", "cookies", "privacy", "privacy policy", "legal", "terms", "contact", "subscribe", "log in", "login", "sign in",
+]
+BOARD_LABELS = [
+    "объявления", "объявления о продаже", "подать объявление", "каталог фирм", "топовые запросы", "карта сайта", "разделы", "недвижимость", "работа", "блог", "помощь",
+]
+META_POST = r"(?i)\bpinned a (?:photo|message|video|file|poll|live stream)\b"
+
+# Titles and slugs (folded) of guides that are no events.
+GUIDE_TITLE = r"^(?:the )?best\b|^must see\b|^where to\b|^top \d+\b|\bplaces to\b|\bways to\b|\beverything you can (?:see|do)\b|\bguides?\b"
+GUIDE_SLUG = r"^(?:the )?best\b|^must see\b|^where\b|^top \d+\b|\bways\b|\beverything you can (?:see|do)\b|\bguides?\b"
+
+# Marks of cancelled shows, error pages, and products that are no events.
+CANCELLED = r"(?iu)\(отмен"
+ERROR_PAGE = r"(?iu)\b404\b|страница не найдена|сторінку не знайдено|page not found|página no encontrada"
+PROMOTION = r"(?iu)\bregala\b|tarjeta\s+regalo|vale\s+regalo|cheque\s+regalo|\bgift\b|golden\s+ticket|\bvoucher\b"
+PRODUCT = r"(?iu)tarjeta\s+regalo|gift\s+card|special\s+edition|lista\s+de\s+espera"
+
+# Addresses of single events by source: what they match (without query and fragment where marked), and what they must not.
+EVENT_URLS = {
+    "web:worldafisha": (r"/event/", None), "web:songkick": (r"(?i)^https?://(?:www\.)?songkick\.com/(?:concerts|festivals)/", None),
+    "web:palau": (r"(?i)palauvalencia\.com/event\?id=\d+", None), "web:ticketmaster": (r"/event/", None), "web:eventbrite": (r"(?i)eventbrite\.[a-z.]+/e/", None),
+    "web:hoyvalencia": (r"^[^?#]*/planes/[^/?#]+/?(?:[?#]|$)", None),
+    "web:visitvalencia": (r"^[^?#]*/events-valencia/[^/?#]+/?(?:[?#]|$)", r"(?i)/events-valencia/(?:music|festivities|festivals)/?(?:[?#]|$)"),
+    "web:laganzua": (r"^[^?#]*/conciertos/[^/?#]+-\d{4,}/?(?:[?#]|$)", None),
+    "web:russpain": (r"(?i)^(?:https?://[^/]*russpain\.com)?/afisha/valencia/[^?#/]", None),
+    "web:elcontacto": (r"(?i)^https?://(?:[^/]*\.)?elcontacto\.ru/valencia(?:[/?#]|$)", r"(?i)elcontacto\.ru/valencia/events/*(?:[?#]|$)"),
+    "web:fever": (r"feverup\.com/m/", None),
+}
+
+# Stems of places inside and outside of the region, of cities inside it (folded), acts that are kept wherever they play, and the country's names.
+REGION_STEMS = [
+    "comunitat valenciana", "comunidad valenciana", "comunitat valencià", "валенс", "valenc", "аликанте", "alicante", "alacant", "кастельон", "кастельоне",
+    "castellón", "castelló", "castellon", "адемус", "адемусе", "ademús", "ademuz", "сагунто", "sagunto", "sagunt", "гандия", "gandia", "gandía", "эльче", "elche", "elx",
+    "бенидорм", "benidorm", "хатива", "xàtiva", "xativa", "játiva", "честе", "cheste", "рекена", "requena", "утьель", "utiel", "кальпе", "calpe", "calp",
+    "хавеа", "xàbia", "javea", "jávea", "дения", "denia", "dénia", "saler", "салер", "bobal", "бобаль",
+]
+ELSEWHERE_STEMS = [
+    "мадрид", "madrid", "барселон", "barcelona", "barcelon", "catalunya", "cataluña", "гранад", "granada", "бильбао", "bilbao", "bbk", "ла-корун", "корунь", "coruña",
+    "coruna", "мерид", "mérida", "merida", "лас-пальмас", "пальмас", "palmas", "canaria", "севиль", "sevilla", "seville", "малаг", "málaga", "malaga", "сарагос", "zaragoza",
+]
+REGION_CITY_STEMS = [
+    "valenc", "валенс", "alicante", "alacant", "аликанте", "castell", "кастельон", "gandia", "benidorm", "elche", "elx", "sagunt", "torrevieja", "denia", "xabia", "javea",
+    "calp", "cheste", "requena", "utiel", "xativa",
+]
+HEADLINERS = [
+    "linkin park", "линкин парк", "bts", "sting", "стинг", "bruno mars", "бруно марс", "garbage", "cirque du soleil", "сирк дю солей", "cirque", "цирк дю солей", "the weeknd",
+]
+COUNTRY_WORDS = ["hispaania", "spain", "españa", "espana", "испания", "spānija", "spanija", "ispanija"]
+
+# Spanish short months, weekdays from Sunday on, and phrases and badges that stand before titles of cards.
+SHORT_MONTHS = ["ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic"]
+WEEKDAYS = ["domingo", "lunes", "martes", "miercoles", "jueves", "viernes", "sabado"]
+PRICES_BEFORE = r"(?iu)^(?:¡Oferta con descuento!\s*|Desde\s+\d+(?:[.,]\d+)?\s*€\s*|Consultar precio\s*|Gratis\s*)+"
+BADGES = {
+    "Teatro y espectáculos": "theatre", "Musicales": "theatre", "Monólogos": "comedy", "Conciertos": "concert", "Exposiciones": "exhibition",
+    "Charlas y talleres": "workshop", "Para niños": "kids", "Deportes": "sport", "Actividades deportivas": "sport", "Otros": "culture",
+}
+TOWNS = {
+    "valència": "Valencia", "valencia": "Valencia", "cullera": "Cullera", "mislata": "Mislata", "burjassot": "Burjassot", "alzira": "Alzira", "gandia": "Gandia", "sagunto": "Sagunto",
+}
+
+# Lines that end a card of tickets, time zones of cards from elsewhere, and tails of concerts' titles.
+CARD_MARKERS = ["Check ticket price on event", "Comprobar el precio de la entrada en el evento"]
+FOREIGN_ZONE = r"\b(?:GMT[+-]\d{1,2}|UTC[+-]\d{1,2}|[ECMP][DS]T)\b"
+CONCERT_TAIL = r"(?iu)\s+en\s+.+?(?:lunes|martes|mi[ée]rcoles|jueves|viernes|s[áa]bado|domingo)?\s*\d{1,2}\s+de\s+[a-zá-ú]+\s+de\s+\d{4}\s*$"
+PROVINCE_TAIL = r"(?iu),\s*val[èe]ncia\b"
+PROVINCE_TOWN = r"(?iu)\b(valencia|val[èe]ncia|torrent|paterna|gandia|sagunto|burjassot|mislata|alboraya|cullera|x[àa]tiva|alzira|ontinyent|requena|cheste|llír[ií]a)\b"
+
+# City lines of an agenda and the cities they stand for; month words of a ticket shop, by month, in seven languages.
+AGENDA_CITIES = {
+    "Валенсия": "Valencia", "Мадрид": "Madrid", "Барселона": "Barcelona", "Аликанте": "Alicante", "Гранада": "Granada", "Севилья": "Seville", "Бильбао": "Bilbao",
+    "Малага": "Malaga", "Мерида": "Mérida", "Ла-Корунья": "A Coruña",
+}
+SHOP_MONTHS = [
+    ["jaanuar", "january", "января", "январь", "enero", "janvāris", "sausis"], ["veebruar", "february", "февраля", "февраль", "febrero", "februāris", "vasaris"],
+    ["märts", "marts", "march", "марта", "март", "marzo", "kovas"], ["aprill", "april", "апреля", "апрель", "abril", "aprīlis", "balandis"],
+    ["mai", "may", "мая", "май", "mayo", "maijs", "gegužė"], ["juuni", "june", "июня", "июнь", "junio", "jūnijs", "birželis"],
+    ["juuli", "july", "июля", "июль", "julio", "jūlijs", "liepa"], ["august", "августа", "август", "agosto", "augusts", "rugpjūtis"],
+    ["september", "сентября", "сентябрь", "septiembre", "septembris", "rugsėjis"], ["oktoober", "october", "октября", "октябрь", "octubre", "oktobris", "spalis"],
+    ["november", "ноября", "ноябрь", "noviembre", "novembris", "lapkritis"], ["detsember", "december", "декабря", "декабрь", "diciembre", "decembris", "gruodis"],
+]
+
+# Lines of an agenda's pages that are no titles.
+AGENDA_CHROME = [
+    "music", "exhibitions", "gastronomy", "show", "sport", "nature", "with children", "shopping", "parties and traditions", "urban festival", "health & wellness",
+    "christmas", "fallas", "- any -", "monthly highlights", "date", "search", "start date", "end date", "category", "system messages", "close popup",
+    "the best events", "plans in valencia", "back", "activities",
+]
+
+# More city lines of that agenda, of places that count as the home city.
+AGENDA_OTHER = ["Лас-Пальмас", "Лас-Пальмас-де-Гран-Канарии", "Рекена-Утьель", "Адемус"]
+
+# Stems that tell the country, hubs abroad, and cities by stem.
+COUNTRY_STEMS = [
+    "valencia", "valència", "валенси", "madrid", "мадрид", "barcelona", "барселон", "sevilla", "севиль", "malaga", "málaga", "малаг", "bilbao", "бильбао", "zaragoza", "сарагос",
+    "alicante", "alacant", "аликанте", "murcia", "мурси", "granada", "гранад", "gandia", "gandía", "гандия", "castellon", "castellón", "кастельон", "torrevieja", "торревьех",
+    "marbella", "марбель", "palma", "пальма", "mallorca", "майорк", "tenerife", "тенериф", "canaria", "канар", "canarias", "españa", "espana", "spain", "испани",
+    "valensi", "barselon", "alikante", "marbel", "sevil", "saragos", "tenerif",
+]
+ABROAD_STEMS = [
+    "berlin", "берлин", "paris", "париж", "london", "лондон", "lisboa", "lisbon", "лиссабон", "amsterdam", "амстердам", "munich", "münchen", "мюнхен", "milano", "milan", "милан",
+    "roma", "rome", "рим", "praha", "prague", "прага", "wien", "vienna", "вена", "warszawa", "warsaw", "варшав", "budapest", "будапешт", "frankfurt", "франкфурт",
+    "hamburg", "гамбург", "brussels", "брюссель", "zurich", "zürich", "цюрих", "tallinn", "таллин", "riga", "рига", "vilnius", "вильнюс", "helsinki", "хельсинки",
+    "porto", "порту", "antalya", "анталь", "istanbul", "стамбул", "tbilisi", "тбилиси", "yerevan", "ереван", "almaty", "алматы", "dubai", "дубай", "limassol", "лимассол",
+]
+CITY_STEMS = [
+    ("alikante", "Alicante"), ("alicante", "Alicante"), ("alacant", "Alicante"), ("аликанте", "Alicante"), ("barselon", "Barcelona"), ("barcelona", "Barcelona"), ("барселон", "Barcelona"),
+    ("madrid", "Madrid"), ("мадрид", "Madrid"), ("sevil", "Sevilla"), ("sevilla", "Sevilla"), ("севиль", "Sevilla"), ("málaga", "Malaga"), ("malaga", "Malaga"), ("малаг", "Malaga"),
+    ("bilbao", "Bilbao"), ("бильбао", "Bilbao"), ("saragos", "Zaragoza"), ("zaragoza", "Zaragoza"), ("сарагос", "Zaragoza"), ("murcia", "Murcia"), ("мурси", "Murcia"),
+    ("granada", "Granada"), ("гранад", "Granada"), ("castellón", "Castellon"), ("castellon", "Castellon"), ("кастельон", "Castellon"), ("marbel", "Marbella"), ("marbella", "Marbella"),
+    ("марбель", "Marbella"), ("tenerif", "Tenerife"), ("tenerife", "Tenerife"), ("тенериф", "Tenerife"), ("valensi", "Valencia"), ("valència", "Valencia"), ("valencia", "Valencia"), ("валенси", "Valencia"),
+]

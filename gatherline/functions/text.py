@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ def empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c's value, which is evaluated once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def norm(c: Column) -> Column:
     """Lower case, trimmed, white space collapsed, then all but letters, digits and blanks dropped (which may leave blanks in a row). Null: empty."""
     t = F.regexp_replace(F.lower(empty(c)), r"^[\s\x{a0}]+|[\s\x{a0}]+$", "")
@@ -95,43 +101,54 @@ def norm_title(c: Column) -> Column:
 
 def signature_words(c: Column) -> Column:
     """Sorted words of a title that may tell what it is (repeated ones stay); the whole slug where none does; empty for no slug."""
-    s = slug(latin(c))
     stop = F.array(*[F.lit(w) for w in fixed.TITLE_STOPWORDS])
-    words = F.filter(F.split(s, "-"), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
-    return F.when(s == "", F.array().cast("array<string>")).when(F.size(words) == 0, F.array(s)).otherwise(F.array_sort(words))
+
+    def words_of(s: Column) -> Column:
+        words = F.filter(F.split(s, "-"), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$"))
+        some = once(words, lambda ws: F.when(F.size(ws) == 0, F.array(s)).otherwise(F.array_sort(ws)))
+        return F.when(s == "", F.array().cast("array<string>")).otherwise(some)
+
+    return once(slug(latin(c)), words_of)
 
 
 def signature(c: Column) -> Column:
-    words = signature_words(c)
-    return F.when(F.size(words) == 0, F.lit("untitled")).otherwise(F.array_join(words, "-"))
+    return once(signature_words(c), lambda words: F.when(F.size(words) == 0, F.lit("untitled")).otherwise(F.array_join(words, "-")))
 
 
 def base_title(c: Column) -> Column:
     """A title without a ticket-tier marker and what separates it, in lower case: cut at the first listed marker that follows a separator or blank."""
-    t = F.lower(empty(compact(c)))
-    out = t
-    for kw in reversed(fixed.TIER_KEYWORDS):
-        at = F.locate(kw, t)
-        before = F.substring(t, F.lit(1), at - 1)
-        base = F.regexp_replace(before, r"[\s|,\-–—:(]+$", "")
-        out = F.when((at > 1) & before.rlike(r"[|,\-–—:(\s]$") & (F.length(base) >= 3), base).otherwise(out)
-    return out
+
+    def cut(t: Column) -> Column:
+        out = t
+        for kw in reversed(fixed.TIER_KEYWORDS):
+            at = F.locate(kw, t)
+            before = F.substring(t, F.lit(1), at - 1)
+            base = F.regexp_replace(before, r"[\s|,\-–—:(]+$", "")
+            out = F.when((at > 1) & before.rlike(r"[|,\-–—:(\s]$") & (F.length(base) >= 3), base).otherwise(out)
+        return out
+
+    return once(F.lower(empty(compact(c))), cut)
 
 
 def decode_entities(c: Column) -> Column:
-    """Named and numeric entities; a number beyond one byte needs no table: it is read as UTF-32."""
+    """Named and numeric entities (of any number of digits; of no character: a replacement character); numbers need no table: they are read as UTF-32."""
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
         c = F.replace(c, F.lit(a), F.lit(b))
     c = F.regexp_replace(c, "(?i)&#x27;", "'")
 
+    def char(x: Column, base: int) -> Column:
+        n = F.regexp_replace(x, "^0+(?=.)", "")
+        code = F.conv(F.when(F.length(n) <= 7, n), base, 10).cast("long")
+        ok = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
     def decoded(t: Column, pattern: str, base: int) -> Column:
         parts = F.split(t, pattern, -1)
         codes = F.regexp_extract_all(t, F.lit(pattern.replace("(?:", "(")), F.lit(1))
-        char = lambda x: F.decode(F.unhex(F.lpad(F.conv(x, base, 16), 8, "0")), "UTF-32")
-        return F.array_join(F.zip_with(parts, codes, lambda p, x: F.concat(p, F.coalesce(char(x), F.lit("")))), "")
+        return F.array_join(F.zip_with(parts, codes, lambda p, x: F.concat(p, F.when(x.isNotNull(), char(x, base)).otherwise(""))), "")
 
-    c = F.when(c.rlike("&#[0-9]{1,6};"), decoded(c, "&#(?:[0-9]{1,6});", 10)).otherwise(c)
-    return F.when(c.rlike("(?i)&#x[0-9a-f]{1,5};"), decoded(c, "(?i)&#x(?:[0-9a-fA-F]{1,5});".replace("(?i)", ""), 16)).otherwise(c)
+    c = F.when(c.rlike("&#[0-9]+;"), decoded(c, "&#(?:[0-9]+);", 10)).otherwise(c)
+    return F.when(c.rlike("&#[xX][0-9a-fA-F]+;"), decoded(c, "&#[xX](?:[0-9a-fA-F]+);", 16)).otherwise(c)
 
 
 def html_text(c: Column) -> Column:
