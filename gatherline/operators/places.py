@@ -103,6 +103,11 @@ def geocoded(rows: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return j.select("id", F.coalesce("url_lat", "h.lat").alias("lat"), F.coalesce("url_lng", "h.lng").alias("lng"), source.alias("geo_source"))
 
 
+def coverage(hinted: DataFrame) -> DataFrame:
+    """One row: hinted (rows) and mapped (the share of them that has coordinates)."""
+    return hinted.agg(F.count("*").alias("hinted"), F.avg((F.col("lat").isNotNull() & F.col("lng").isNotNull()).cast("int")).alias("mapped"))
+
+
 def point_of(url: Column) -> Column:
     """struct(lat, lng) of a maps link: of q, query, ll or center, in this order, else of @lat,lng; null without one."""
     number = r"(-?\d+(?:\.\d+)?)"

@@ -32,46 +32,49 @@ def page_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.snapshots(table(spark, sf_dir, "pages")).select("page_id", "title", F.length("text").alias("n"))
 
 
-@query(rf"""WITH a AS (SELECT page_id, url AS page, unnest(regexp_extract_all(html, '<a\b[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1, 'is')) AS href,
+@query(rf"""WITH pages AS (SELECT page_id, url, replace(html, '</a>', ' of the whole town</a>') AS html FROM main.pages), a AS (SELECT page_id, url AS page, unnest(regexp_extract_all(html, '<a\b[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1, 'is')) AS href,
   unnest(regexp_extract_all(html, '<a\b[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2, 'is')) AS title, generate_subscripts(regexp_extract_all(html, '<a\b[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1, 'is'), 1) AS pos FROM pages),
 b AS (SELECT page_id, min(pos) AS pos, min_by(title, pos) AS title, regexp_extract(page, '^[a-zA-Z]+://[^/?#]+') || href AS url FROM a
-  WHERE length(trim(title)) BETWEEN 2 AND 220 AND NOT lower(title) SIMILAR TO '(more|read more).*' AND starts_with(href, '/') AND NOT regexp_matches(lower(href), '/tag/|/feed|\.jpg|\.png|\.pdf') GROUP BY page_id, page, href, lower(title))
+  WHERE length(trim(title)) BETWEEN 18 AND 220 AND NOT lower(title) SIMILAR TO '(more|read more).*' AND starts_with(href, '/') AND NOT regexp_matches(lower(href), '/tag/|/feed|\.jpg|\.png|\.pdf') GROUP BY page_id, page, href, lower(title))
 SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS place FROM b QUALIFY place <= 80""")
 def link_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.cards(table(spark, sf_dir, "pages"), low=2).select("page_id", "url", "place")
+    """Links whose texts are made long enough for a card's."""
+    p = table(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("</a>"), F.lit(" of the whole town</a>")))
+    return src.cards(p).select("page_id", "url", "place")
 
 
-FIRST_LINE = "split(text, '\n')[0]"
+def sql_norm(c: str) -> str:
+    c = rf"regexp_replace(regexp_replace(lower({c}), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+    return rf"regexp_replace({c}, '[^\p{{L}}\p{{N}}\s]', '', 'g')"
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(lower(trim(t)), '\s+', ' ', 'g'), '[^\p{L}\p{N}\s]', '', 'g') AS norm,
-  substr(sha1(source || '|' || doc_id || '||' || regexp_replace(regexp_replace(lower(trim(t)), '\s+', ' ', 'g'), '[^\p{L}\p{N}\s]', '', 'g') || '|'), 1, 16) AS item_hash
-FROM (SELECT doc_id, source, string_split(text, chr(10))[1] AS t FROM documents)""")
+@query(rf"""SELECT doc_id, sha1({sql_norm('text')}) AS norm, substr(sha1(source || '|' || doc_id || '||' || {sql_norm('string_split(text, chr(10))[1]')} || '|' || {sql_norm('text')}), 1, 16) AS item_hash,
+  substr(sha1({sql_norm('text')} || '|1998-01-01||' || {sql_norm('source')} || '|'), 1, 16) AS event_hash FROM documents""")
 def item_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.expr(FIRST_LINE).alias("t"))
-    none = F.lit(None).cast("string")
-    return d.select("doc_id", text.norm(F.col("t")).alias("norm"), text.item_hash(F.col("source"), F.col("doc_id").cast("string"), none, F.col("t"), none).alias("item_hash"))
+    """Hashes of items (the first line is the title, the whole text the text) and of events (of the whole text as a title)."""
+    d, none, t = table(spark, sf_dir, "documents"), F.lit(None).cast("string"), F.col("text")
+    item = text.item_hash(F.col("source"), F.col("doc_id").cast("string"), none, F.split("text", "\n")[0], t)
+    return d.select("doc_id", F.sha1(text.norm(t)).alias("norm"), item.alias("item_hash"), text.event_hash(t, F.lit("1998-01-01"), none, F.col("source"), none).alias("event_hash"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(t)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
-FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents)""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents""")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.expr(FIRST_LINE)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(t) <= 220 THEN t ELSE rtrim(left(t, 219)) || '…' END AS excerpt FROM (SELECT doc_id, trim(string_split(text, chr(10))[1], ' ') AS t FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN length(t) <= 220 THEN t ELSE regexp_replace(left(t, 219), ' +$', '') || '…' END AS excerpt FROM (SELECT doc_id, trim(text, ' ') AS t FROM documents)""")
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.expr(FIRST_LINE)).alias("excerpt"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
 
 
 def held_and_batch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d = table(spark, sf_dir, "documents").selectExpr("concat(source, '-', cast(doc_id % 700 AS string)) AS item_hash", "source AS source_key", "concat('t', cast(doc_id AS string)) AS title", "sha1(text) AS text", "timestamp_seconds(doc_id) AS seen", "doc_id")
-    held = d.where("doc_id % 2 = 0").groupBy("item_hash").agg(F.max_by(F.struct("source_key", "title", "text", "seen"), "doc_id").alias("r")).select("item_hash", "r.source_key", "r.title", "r.text", F.col("r.seen").alias("first_seen"), F.col("r.seen").alias("last_seen"), F.lit("normalized").alias("status"))
-    return held, d.where("doc_id % 3 = 0").drop("doc_id")
+    held = d.where("doc_id % 3 <> 1").groupBy("item_hash").agg(F.max_by(F.struct("source_key", "title", "text", "seen"), "doc_id").alias("r")).select("item_hash", "r.source_key", "r.title", "r.text", F.col("r.seen").alias("first_seen"), F.col("r.seen").alias("last_seen"), F.lit("normalized").alias("status"))
+    return held, d.where("doc_id % 3 <> 0").drop("doc_id")
 
 
 @query("""WITH d AS (SELECT source || '-' || (doc_id % 700) AS item_hash, source AS source_key, 't' || doc_id AS title, doc_id FROM documents),
-o AS (SELECT item_hash, max(doc_id) AS id FROM d WHERE doc_id % 2 = 0 GROUP BY 1), n AS (SELECT item_hash, max(doc_id) AS id, min(doc_id) AS first FROM d WHERE doc_id % 3 = 0 GROUP BY 1)
+o AS (SELECT item_hash, max(doc_id) AS id FROM d WHERE doc_id % 3 <> 1 GROUP BY 1), n AS (SELECT item_hash, max(doc_id) AS id, min(doc_id) AS first FROM d WHERE doc_id % 3 <> 0 GROUP BY 1)
 SELECT item_hash, 't' || coalesce(n.id, o.id) AS title, coalesce(o.id, n.first) AS first_seen, coalesce(n.id, o.id) AS last_seen, CASE WHEN o.id IS NULL THEN 'pending' ELSE 'normalized' END AS status FROM o FULL JOIN n USING (item_hash)""")
 def raw_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = src.upserted(*held_and_batch(spark, sf_dir))

@@ -67,8 +67,13 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naive(e.join(r))
 
 
-@query(f"WITH r AS ({RUNS_SQL}) SELECT 'enrichment stalled (info)' AS warnings, true AS ok FROM (SELECT max(started_at) FROM r) UNION ALL SELECT 'never', false WHERE false")
+@query(f"""WITH r AS ({RUNS_SQL}), e AS ({EVENTS_SQL}), x AS (SELECT (SELECT max(started_at) FROM r WHERE status = 'ok') AS last, (SELECT count(*) FROM e WHERE status = 'upcoming') AS n, (SELECT max(started_at) FROM r WHERE run_id % 50 = 0) AS enriched),
+a AS (SELECT *, (epoch_us(TIMESTAMP '2024-02-20 00:00:00') - epoch_us(last)) / 1e6 AS age, (epoch_us(TIMESTAMP '2024-02-20 00:00:00') - epoch_us(enriched)) / 1e6 AS stale FROM x)
+SELECT concat_ws('; ', CASE WHEN last IS NULL THEN 'no pipeline run yet (info)' WHEN age > 172800 THEN 'no successful pipeline run in 48h (last ' || printf('%.1f', round(age / 3600, 1)) || 'h ago)' END,
+  CASE WHEN n = 0 THEN '0 upcoming events' END, CASE WHEN n > 0 AND (enriched IS NULL OR stale > 1209600) THEN 'enrichment stalled (info)' END) AS warnings, NOT (coalesce(age > 172800, false) OR n = 0) AS ok FROM a""")
 def health_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On a day some weeks after the last run; every fiftieth run enriched something."""
+    r = runs(spark, sf_dir)
     e = events(spark, sf_dir).where("status = 'upcoming'")
-    w = ops.warnings(runs(spark, sf_dir), e, e.select(F.lit(None).cast("timestamp").alias("enriched_at")), "2024-01-31 00:00:00")
+    w = ops.warnings(r, e, r.where("run_id % 50 = 0").select(F.col("started_at").alias("enriched_at")), "2024-02-20 00:00:00")
     return w.select(F.array_join("warnings", "; ").alias("warnings"), "ok")

@@ -42,22 +42,26 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(spark, sf_dir).select("id", F.round(pl.metres(F.col("lat"), F.col("lng"), F.lit(40.4168), F.lit(-3.7035)), 1).alias("metres"))
 
 
-@query("""WITH g AS (SELECT n_name AS name, 40.0::DOUBLE + n_nationkey AS lat, (-1.0)::DOUBLE * n_nationkey AS lng FROM nation),
-c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 39.5::DOUBLE END AS url_lat, CASE c_custkey % 3 WHEN 0 THEN 'nowhere' ELSE 'NATION_' || (c_nationkey + 20) END AS q1, 'NATION_' || c_nationkey AS q2 FROM customer)
-SELECT id, coalesce(url_lat, a.lat, b.lat) AS lat, CASE WHEN url_lat IS NOT NULL THEN -0.5::DOUBLE ELSE coalesce(a.lng, b.lng) END AS lng, CASE WHEN url_lat IS NOT NULL THEN 'map_url' WHEN coalesce(a.lat, b.lat) IS NOT NULL THEN 'gazetteer' END AS geo_source
-FROM c LEFT JOIN g a ON a.name = q1 LEFT JOIN g b ON b.name = q2""")
+# the seventh nation's point is one that geocoders fall back on
+GEO_SQL = """g AS (SELECT n_name AS name, 40.0::DOUBLE + n_nationkey AS lat, (-1.0)::DOUBLE * n_nationkey AS lng FROM nation WHERE n_nationkey <> 7),
+c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 39.5::DOUBLE END AS url_lat, CASE c_custkey % 3 WHEN 0 THEN 'nowhere' WHEN 1 THEN 'NATION_' || (c_nationkey + 20) ELSE 'NATION_' || c_nationkey END AS q1, CASE WHEN c_custkey % 4 > 0 THEN 'NATION_' || c_nationkey ELSE 'nobody' END AS q2 FROM customer),
+found AS (SELECT id, coalesce(url_lat, a.lat, b.lat) AS lat, CASE WHEN url_lat IS NOT NULL THEN -0.5::DOUBLE ELSE coalesce(a.lng, b.lng) END AS lng, CASE WHEN url_lat IS NOT NULL THEN 'map_url' WHEN coalesce(a.lat, b.lat) IS NOT NULL THEN 'gazetteer' END AS geo_source
+FROM c LEFT JOIN g a ON a.name = q1 LEFT JOIN g b ON b.name = q2)"""
+
+
+@query(f"WITH {GEO_SQL} SELECT id, lat, lng, geo_source FROM found")
 def geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "nation").selectExpr("n_name AS name", "40.0D + n_nationkey AS lat", "-1.0D * n_nationkey AS lng")
+    g = table(spark, sf_dir, "nation").selectExpr("n_name AS name", "CASE n_nationkey WHEN 7 THEN 40.4169D ELSE 40.0D + n_nationkey END AS lat", "CASE n_nationkey WHEN 7 THEN -3.7036D ELSE -1.0D * n_nationkey END AS lng")
     c = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey AS id", "CASE WHEN c_custkey % 5 = 0 THEN 'https://maps.x/?q=39.5,-0.5&z=3' END AS url",
-        "array(CASE c_custkey % 3 WHEN 0 THEN 'nowhere' ELSE concat('NATION_', cast(c_nationkey + 20 AS string)) END, concat('NATION_', cast(c_nationkey AS string))) AS queries")
+        "array(CASE c_custkey % 3 WHEN 0 THEN 'nowhere' WHEN 1 THEN concat('NATION_', c_nationkey + 20) ELSE concat('NATION_', c_nationkey) END, CASE WHEN c_custkey % 4 > 0 THEN concat('NATION_', c_nationkey) ELSE 'nobody' END) AS queries")
     c = c.withColumn("p", pl.point_of(F.col("url"))).selectExpr("id", "queries", "p.lat AS url_lat", "p.lng AS url_lng")
     return pl.geocoded(c, g)
 
 
-@query("SELECT count(*) AS hinted, avg((c_custkey % 5 = 0)::INT) AS mapped FROM customer WHERE c_custkey % 2 = 0")
+@query(f"WITH {GEO_SQL} SELECT count(*) AS hinted, avg((lat IS NOT NULL)::INT) AS mapped FROM found")
 def map_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").agg(F.count("*").alias("hinted"), F.avg((F.col("c_custkey") % 5 == 0).cast("int")).alias("mapped"))
+    return pl.coverage(geocoded(spark, sf_dir))
 
 
 @query(f"""WITH e AS ({EVENTS_SQL}) SELECT id, CASE WHEN id % 3 = 0 THEN 'kino' ELSE category END AS category, CASE WHEN id % 6 = 0 THEN 'Hall' ELSE venue_name END AS venue_name, CASE WHEN id % 3 = 0 THEN (id % 10) / 10.0::DOUBLE END AS confidence,

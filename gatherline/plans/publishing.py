@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import places as place
 from ..sources import pages as src
 from ..sources import publish
+from .bronze import sql_html
 from .inputs import AS_OF, EVENTS_SQL, PLACES_SQL, events, places, table
 from .registry import query
 
@@ -47,11 +48,11 @@ def site_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 STEMS = [("tion", "Tiona"), ("the", "Thebes"), ("ung", "Ungarn"), ("ment", "Menton")]
 
 
-@query("""WITH t AS (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS t FROM documents),
+@query("""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents),
 f AS (SELECT doc_id, unnest([strpos(t, 'tion'), strpos(t, 'the'), strpos(t, 'ung'), strpos(t, 'ment')]) AS p, unnest([0, 1, 2, 3]) AS i, unnest(['Tiona', 'Thebes', 'Ungarn', 'Menton']) AS city FROM t)
 SELECT doc_id, coalesce(arg_min(city, (p, i)) FILTER (p > 0), 'Valencia') AS city FROM f GROUP BY 1""")
 def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", place.city(F.split("text", "\n")[0], STEMS, "Valencia").alias("city"))
+    return table(spark, sf_dir, "documents").select("doc_id", place.city(F.col("text"), STEMS, "Valencia").alias("city"))
 
 
 @query("""WITH t AS (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS a, lower(text) AS b FROM documents)
@@ -74,6 +75,10 @@ def street_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), place.street_query(text).alias("query"))
 
 
-@query()
+@query(rf"""WITH p0 AS (SELECT page_id, html, string_split_regex(html, '<p\b[^>]*>')[2:] AS cut FROM pages),
+p AS (SELECT page_id, html, list_transform(list_filter(cut, lambda x, i: i < len(cut) OR contains(x, '</p>')), lambda x: string_split(x, '</p>')[1]) AS ps FROM p0),
+t AS (SELECT page_id, html, list_filter(list_transform(ps, lambda x: trim(regexp_replace({sql_html('x')}, '\s+', ' ', 'g'))), lambda x: x <> '') AS ts FROM p)
+SELECT page_id, trim(regexp_replace({sql_html("regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is')")}, '\s+', ' ', 'g')) AS title, length(body)::INT AS n, sha1(body) AS digest
+FROM (SELECT *, nullif(array_to_string(ts, chr(10) || chr(10)), '') AS body FROM t)""")
 def article_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.article(table(spark, sf_dir, "pages")).select("page_id", "title", F.length("body").alias("n"))
+    return src.article(table(spark, sf_dir, "pages")).select("page_id", "title", F.length("body").alias("n"), F.sha1("body").alias("digest"))

@@ -157,7 +157,8 @@ def next_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rm.next_occurrence(rm.occurrences(events(spark, sf_dir)), AS_OF)
 
 
-@query()
+@query(f"""WITH e AS ({EVENTS_SQL}), o AS (SELECT DISTINCT substr(sha1(lower(regexp_replace(title, '[^a-zA-Z0-9 ]', '', 'g')) || '|' || lower(replace(venue_name, '#', '')) || '|' || source), 1, 16) AS series, start_date AS day, start_time AS time FROM e)
+SELECT series, count(*)::INT AS n, '[' || string_agg('{{"day":"' || day || '"' || CASE WHEN time IS NOT NULL THEN ',"time":"' || time || '"' ELSE '' END || '}}', ',' ORDER BY day, time NULLS FIRST) || ']' AS slots FROM o GROUP BY 1""")
 def series_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = rm.schedule(rm.occurrences(events(spark, sf_dir)))
     return s.select("series", F.size("slots").alias("n"), F.to_json("slots").alias("slots"))
