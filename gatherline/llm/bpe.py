@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ddl, sliced, with_text
@@ -137,3 +139,46 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
 
     more = ["n_tokens long", *["ids array<int>", "decoded binary"] * ids, *["ids_sha256 string", "decoded_sha256 string"] * digests]
     return chosen.mapInArrow(run, ddl(docs.select(*keep), *more))
+
+
+#: Cells of the literal rank map, and the longest word (in bytes) that is folded.
+CELLS, FOLDED_BYTES = 1 << 16, 64
+NONE = (1 << 31) - 1
+
+
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks as a literal: an array of cells, by hash, of the few byte strings (in hexadecimal) that fall into each, so that a look-up reads one cell and not the whole map."""
+    cells: list[list] = [[] for _ in range(CELLS)]
+    for piece, rank in ranks.items():
+        cells[xxhash.xxh64_intdigest(piece.hex(), 42) % CELLS].append({"k": piece.hex(), "r": rank})
+    return F.from_json(F.lit(json.dumps(cells)), "array<array<struct<k:string,r:int>>>")
+
+
+def folded(word: Column, table: Column) -> Column:
+    """Ids (array of int) of a word (a string of FOLDED_BYTES at most): a fold of higher-order functions that merges the pair of least rank at each step."""
+
+    def rank(k: Column) -> Column:
+        cell = F.get(table, F.pmod(F.xxhash64(k), F.lit(CELLS)).cast("int"))
+        return F.coalesce(F.get(F.filter(cell, lambda e: e["k"] == k), F.lit(0))["r"], F.lit(NONE))
+
+    hexed = F.lower(F.hex(F.encode(word, "UTF-8")))
+    n = (F.length(hexed) / 2).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(hexed, i * 2 + 1, F.lit(2)))
+    pairs = F.transform(F.slice(parts, F.lit(1), n - 1), lambda p, i: rank(F.concat(p, F.get(parts, i + 1))))
+
+    def step(acc: Column, _: Column) -> Column:
+        p, r = acc["p"], acc["r"]
+        least = F.array_min(r)
+
+        def merge(i: Column) -> Column:  # the pair's place, from 1
+            new = F.concat(F.get(p, i - 1), F.get(p, i))
+            left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), new)))).otherwise(F.array().cast("array<int>"))
+            right = F.when(i < F.size(r), F.array(rank(F.concat(new, F.get(p, i + 1))))).otherwise(F.array().cast("array<int>"))
+            rest = lambda a, at: F.slice(a, at, F.greatest(F.size(a) - at + 1, F.lit(0)))
+            return F.struct(F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), rest(p, i + 2)).alias("p"), F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, rest(r, i + 2)).alias("r"))
+
+        return F.when((F.size(r) == 0) | (least == NONE), acc).otherwise(F.get(F.transform(F.array(F.array_position(r, least).cast("int")), merge), F.lit(0)))
+
+    start = F.struct(parts.alias("p"), F.when(n > 1, pairs).otherwise(F.array().cast("array<int>")).alias("r"))
+    ids = F.transform(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step)["p"], rank)
+    return F.when(rank(hexed) != NONE, F.array(rank(hexed))).otherwise(ids)
