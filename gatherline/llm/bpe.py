@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a given vocabulary of ranks.
 
 A text is cut into words by the vocabulary's pattern. A word's bytes are merged pair by pair, always the pair of least rank
-first; ids are the ranks of what remains. Words repeat, so each task merges a distinct word once and keeps the outcome for the rest of
-its rows. Decoding concatenates the binary pieces of ids.
+first; ids are the ranks of what remains. The most frequent distinct words of all texts (a fixed number at most) are merged by a fold of Spark's higher-order functions over their
+bytes with the ranks as a literal map, once for the whole table, and their ids go to all tasks; each task merges the other distinct words that it meets the same way and keeps
+the outcome for the rest of its rows. Decoding concatenates the binary pieces of ids.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, sliced, with_text
+from .common import ddl, saved, sliced, with_text
+from .lmscore import most_counted
 
 #: Distinct words that a task keeps before it forgets them all and begins anew.
 KEPT_WORDS = 400_000
@@ -84,11 +87,15 @@ def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Words(dict):
-    """Comma-joined ids by word, made when first asked for."""
+    """Comma-joined ids by word: the known ones', others' made when first asked for."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], known: dict[str, str]):
+        super().__init__(known)
+        self.ranks, self.known = ranks, known
+
+    def begin_anew(self) -> None:
+        self.clear()
+        self.update(self.known)
 
     def __missing__(self, word: str) -> str:
         ids = ",".join(map(str, merged(word.encode("utf-8", "surrogatepass"), self.ranks)))
@@ -98,14 +105,14 @@ class Words(dict):
 
 
 class Coder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.words, self.find = Words(ranks), regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, known: dict[str, str] = {}):  # noqa: B006
+        self.words, self.find = Words(ranks, known), regex.compile(pattern).findall
         self.piece = {str(i): b for b, i in ranks.items()}
 
     def encode(self, text: str | None) -> str:
         """Decimal ids, comma-joined."""
         if len(self.words) > KEPT_WORDS:
-            self.words.clear()
+            self.words.begin_anew()
         return ",".join(map(self.words.__getitem__, self.find(text or "")))
 
     def decode(self, ids: str) -> bytes:
@@ -117,12 +124,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
     ids_sha256 and decoded_sha256 (lower-case hexadecimal, of comma-joined decimal ids and of the decoded bytes).
 
     A null text is empty and has no ids. Whole texts of any length are encoded; repeated rows give repeated results. Special tokens have no part: their strings are text."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary's fixed table
-
     chosen, name = with_text(docs, keep)
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(ranks)  # a vocabulary's fixed table
+    known = context.broadcast(frequent_words(docs.select("text"), ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value, pattern)
+        coder = Coder(shared.value, pattern, known.value)
         for batch in sliced(batches):
             made = [coder.encode(t.as_py()) for t in batch.column(name)]
             columns, names = [batch.column(c) for c in keep], [*keep, "n_tokens"]
@@ -182,3 +190,28 @@ def folded(word: Column, table: Column) -> Column:
     start = F.struct(parts.alias("p"), F.when(n > 1, pairs).otherwise(F.array().cast("array<int>")).alias("r"))
     ids = F.transform(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step)["p"], rank)
     return F.when(rank(hexed) != NONE, F.array(rank(hexed))).otherwise(ids)
+
+
+def frequent_words(texts: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict[str, str]:
+    """Comma-joined ids of the most frequent words of texts (text) that are no single id and not longer than FOLDED_BYTES: as many as lmscore.FREQUENT at most, whatever the table's size."""
+    shared = texts.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, single, total = regex.compile(pattern).findall, shared.value, Counter()
+
+        def flush() -> pa.RecordBatch:
+            some = [(w, c) for w, c in total.items() if len(b := w.encode("utf-8", "surrogatepass")) <= FOLDED_BYTES and b not in single]
+            total.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([c for _, c in some], pa.int64())], names=["item", "c"])
+
+        for batch in sliced(batches):
+            for t in batch.column("text"):
+                total.update(find(t.as_py() or ""))
+            if len(total) > KEPT_WORDS:
+                yield flush()
+        yield flush()
+
+    most = most_counted(saved(texts.mapInArrow(run, "item string, c long").groupBy("item").agg(F.sum("c").alias("c")))).select("item")
+    ids = F.get(F.transform(F.array(rank_map(ranks)), lambda table: folded(F.col("item"), table)), F.lit(0))  # a lambda's variable, so the plan holds the literal once
+    words = most.repartition(2 * texts.sparkSession.sparkContext.defaultParallelism).select("item", F.array_join(ids, ",").alias("ids"))
+    return {r["item"]: r["ids"] for r in words.collect()}

@@ -174,6 +174,24 @@ def test_bpe_as_tiktoken(spark, odd, no_rows):
     assert bpe.encode(no_rows, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_folds_merge_as_tasks_do(spark, monkeypatch):
+    """The fold of higher-order functions over the literal map, on words of texts and random ones; encoding with few and with many words known beforehand."""
+    r = random.Random(6)
+    texts = [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    find = bpe.Coder(RANKS, public_tokenizers.PATTERN).find
+    words = {w for t in texts for w in find(t or "")} | {"".join(r.choice("ab é漢🔥\n") for _ in range(r.randint(1, 9))) for _ in range(200)} | {"a", "aaaaaaaaaaaaaaaa", " "}
+    words = sorted(w for w in words if len(w.encode()) <= bpe.FOLDED_BYTES)
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = df.select("w", F.get(F.transform(F.array(bpe.rank_map(RANKS)), lambda t: bpe.folded(F.col("w"), t)), F.lit(0)).alias("ids")).collect()
+    assert len(got) > 500 and all(list(x["ids"]) == bpe.merged(x["w"].encode(), RANKS) for x in got)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    known = bpe.frequent_words(docs.select("text"), RANKS, public_tokenizers.PATTERN)
+    assert len(known) > 500 and all(ids == ",".join(map(str, bpe.merged(w.encode(), RANKS))) for w, ids in known.items())
+    monkeypatch.setattr(lmscore, "FREQUENT", 20)
+    few = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert {x["doc_id"]: ",".join(map(str, x["ids"])) for x in few} == {i: bpe.Coder(RANKS, public_tokenizers.PATTERN).encode(t) for i, t in enumerate(texts)}
+
+
 def ppm(docs, held):
     """(n_tokens, n_known, N, base, score) by row: contexts of all orders over whole texts in one dictionary, symbols coded one by one."""
     words = {i: [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] for i, t in docs}
