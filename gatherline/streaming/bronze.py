@@ -36,19 +36,36 @@ def versions(spark: SparkSession, table_dir: str) -> list[int]:
     return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def places(spark: SparkSession, table_dir: str, before: int | None = None) -> dict[int, str]:
+    """The folder of each bucket: that of the last complete version (before a number) that has written it."""
+    found: dict[int, str] = {}
+    for v in versions(spark, table_dir):
+        if before is None or v < before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/v{v}")
+            names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+            found |= {int(n.removeprefix("bucket=")): f"{table_dir}/v{v}/{n}" for n in names if n.startswith("bucket=")}
+    return found
+
+
 def current(spark: SparkSession, table_dir: str) -> DataFrame | None:
-    held = versions(spark, table_dir)
-    return spark.read.parquet(f"{table_dir}/v{held[-1]}") if held else None
+    held = places(spark, table_dir)
+    return spark.read.parquet(*held.values()) if held else None
 
 
-def ingest(items: DataFrame, table_dir: str, checkpoint: str) -> StreamingQuery:
-    """Upserts all available items into a versioned table. A batch writes the version of its own number from the one before, so a batch that runs again gives the same."""
+def ingest(items: DataFrame, table_dir: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
+    """Upserts all available items into a table of so many buckets by hash. A batch writes, as the version of its own number, the buckets that it touches, from those of the versions before:
+    the others stay where they are, and a batch that runs again gives the same."""
     spark = items.sparkSession
+    bucket = F.pmod(F.xxhash64("item_hash"), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
-        before = [v for v in versions(spark, table_dir) if v < number]
-        held = spark.read.parquet(f"{table_dir}/v{before[-1]}") if before else batch.limit(0).selectExpr("item_hash", "source_key", "title", "text", "seen AS first_seen", "seen AS last_seen", "'' AS status")
-        upserted(held, batch).write.mode("overwrite").parquet(f"{table_dir}/v{number}")
+        batch = batch.persist()
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # as many as there are buckets at most
+        paths = [p for b, p in places(spark, table_dir, number).items() if b in touched]
+        none = batch.limit(0).selectExpr("item_hash", "source_key", "title", "text", "seen AS first_seen", "seen AS last_seen", "'' AS status")
+        held = spark.read.parquet(*paths) if paths else none
+        upserted(held, batch).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table_dir}/v{number}")
+        batch.unpersist()
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
