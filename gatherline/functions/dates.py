@@ -74,6 +74,17 @@ def first_date(t: Column, anchor: Column) -> Column:
     return F.when(whole != "", whole).otherwise(F.array_min(found)["iso"])
 
 
+def anchored_date(c: Column, published: Column, first_seen: Column, last_seen: Column) -> Column:
+    """The first date in a text, read from the day that it was published, else first seen, else last seen on; one without a year in the text that would lie over 60 days ahead, in the year after, is of the year before."""
+    day = F.coalesce(*[x.cast("string").substr(1, 10).try_cast("date") for x in (published, first_seen, last_seen)])
+
+    def undone(d: Column) -> Column:
+        far = (F.year(d) == F.year(day) + 1) & (F.date_diff(d, day) > 60) & ~c.rlike(r"(?<!\d)20\d{2}(?!\d)|(?<![\d.,])\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b")
+        return F.date_format(F.when(far, F.make_date(F.year(d) - 1, F.month(d), F.day(d))).otherwise(d), "yyyy-MM-dd")
+
+    return once(parse_date(c, day).try_cast("date"), undone)
+
+
 FREE = r"(?iu)бесплатн|вход свободн|gratis|gratuit|entrada libre|free entry|free admission|(?<![\p{L}\d])free(?![\p{L}\d])"
 PRICE = r"(?iu)(?:от\s*)?(\d{1,4})(?:[.,]\d{1,2})?\s*(?:€|евро|euros?(?![\p{L}\d])|eur(?![\p{L}\d]))|(?:€|(?<![\p{L}\d])eur(?![\p{L}\d]))\s*(\d{1,4})"
 

@@ -83,6 +83,13 @@ def warnings(runs: DataFrame, upcoming: DataFrame, enriched_at: DataFrame, now:
     return one.select(found.alias("warnings")).withColumn("ok", ~F.exists("warnings", lambda w: ~w.endswith("(info)")))
 
 
+def status_counts(events: DataFrame, items: DataFrame, sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: upcoming events, pending items, enabled sources, failed runs and runs in all."""
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
+    e, i = events.agg(n(F.col("status") == "upcoming").alias("upcoming")), items.agg(n(F.coalesce("status", F.lit("pending")) == "pending").alias("pending"))
+    return e.join(i).join(sources.agg(n(F.col("enabled") == 1).alias("enabled"))).join(runs.agg(n(F.col("status") == "error").alias("failed"), F.count("*").alias("runs")))
+
+
 def breakdown(runs: DataFrame) -> DataFrame:
     """Runs, errors and new items by source, and in all (a null source), in one pass."""
     return runs.rollup("source_key").agg(F.count("*").alias("runs"), F.sum((F.col("status") == "error").cast("long")).alias("errors"), F.sum("new_items").alias("items"))

@@ -106,6 +106,17 @@ def cards(events: DataFrame) -> DataFrame:
     )
 
 
+def site_cards(events: DataFrame) -> DataFrame:
+    """What a site shows of events: the Russian title, else one derived from the title; an excerpt of the Russian description, else of the description, else of the raw text; a place's label; cards' other columns."""
+    from ..functions import titles
+
+    title = F.coalesce(F.nullif(F.trim("title_ru"), F.lit("")), titles.derived_title(F.col("title")))
+    body = F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("description_ru", "description", "raw_excerpt")])
+    own = events.select("id", title.alias("shown"), text.excerpt(body).alias("about"), titles.event_location().alias("location"), (F.col("source") == "api:hemisferic").alias("of_schedule"), F.coalesce(is_exposition(), F.lit(False)).alias("is_exposition"), titles.image(F.col("image_url")).alias("image"))
+    c = cards(events).drop("title", "excerpt").join(own, "id")
+    return c.withColumnsRenamed({"shown": "title", "about": "excerpt"})
+
+
 def ordered(feed: DataFrame) -> DataFrame:
     return feed.orderBy(F.coalesce("score", F.lit(-1)).desc(), F.coalesce("day", F.lit("9999-99-99")), "title", "id")
 
@@ -225,6 +236,25 @@ def alerts(events: DataFrame) -> DataFrame:
     return events.where(digest_gate() & (F.col("score") >= fixed.ALERT_SCORE))
 
 
+def mail(events: DataFrame, series: DataFrame, places: DataFrame) -> DataFrame:
+    """Lines of a mail by block (1 events by score downward, 2 series by day, 3 new places by name) and place in it, so that no row holds a whole mail: block, n, line."""
+    e = events.select(F.lit(1).alias("block"), F.struct((-F.coalesce("score", F.lit(0))).cast("string").alias("a"), F.lpad(F.col("id").cast("string"), 20, "0").alias("b")).alias("o"),
+        F.concat(F.lit("• "), "title", F.lit(" — "), F.coalesce("start_date", F.lit("?")), F.coalesce(F.concat(F.lit(" ("), F.col("score").cast("string"), F.lit(")")), F.lit(""))).alias("line"))
+    e = e.withColumn("o", F.struct(F.lpad((1_000_000 + F.col("o.a").cast("long")).cast("string"), 20, "0").alias("a"), F.col("o.b").alias("b")))
+    s = series.select(F.lit(2).alias("block"), F.struct(F.col("start_date").alias("a"), F.lpad(F.col("id").cast("string"), 20, "0").alias("b")).alias("o"), F.concat(F.lit("↻ "), "title", F.lit(" — "), "start_date").alias("line"))
+    p = places.select(F.lit(3).alias("block"), F.struct(F.col("name").alias("a"), F.lpad(F.col("id").cast("string"), 20, "0").alias("b")).alias("o"), F.concat(F.lit("📍 "), "name", F.coalesce(F.concat(F.lit(", "), "area"), F.lit(""))).alias("line"))
+    w = Window.partitionBy("block").orderBy("o")
+    return e.unionByName(s).unionByName(p).select("block", F.row_number().over(w).alias("n"), "line")
+
+
+def facets(places: DataFrame, k: int = 16) -> DataFrame:
+    """facet, value and n: categories, areas (else districts) and the k most frequent tags of places (tags: array)."""
+    area = F.coalesce(F.nullif("area", F.lit("")), "district")
+    one = lambda name, c: places.select(F.lit(name).alias("facet"), c.alias("value")).where("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("n"))
+    tags = top(tag_counts(places), k, "tag").select(F.lit("tag").alias("facet"), F.col("tag").alias("value"), "n")
+    return one("category", F.col("category")).unionByName(one("area", area)).unionByName(tags)
+
+
 def rendered(rows: DataFrame) -> DataFrame:
     """One line of text per day of a digest: a bounded row each, not one for all."""
     item = F.struct(F.col("score"), F.col("id"), F.concat(F.lit("• "), F.coalesce("title", F.lit("")), F.lit(" — "), F.coalesce("city", F.lit(""))).alias("line"))

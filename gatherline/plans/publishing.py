@@ -39,10 +39,11 @@ def publish_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.guards(publish.bake_events(events(spark, sf_dir), AS_OF), s, occ)
 
 
-@query(f"""WITH e AS ({EVENTS_SQL}), p AS ({PLACES_SQL}) SELECT unnest(['/', '/places']) AS url, 'daily' AS changefreq, 1.0::DOUBLE AS priority
-UNION ALL SELECT '/events/' || id, 'weekly', 0.7 FROM e WHERE {VISIBLE_SQL} UNION ALL SELECT '/places/' || id, 'monthly', 0.5 FROM p""")
+@query(f"""WITH e AS ({EVENTS_SQL}), p AS ({PLACES_SQL}) SELECT unnest(['/', '/places']) AS url, NULL AS last_seen, 'daily' AS changefreq, 1.0::DOUBLE AS priority
+UNION ALL SELECT '/events/' || id, start_date, 'weekly', 0.7 FROM e WHERE {VISIBLE_SQL} UNION ALL SELECT '/places/' || id, '1998-01-0' || id % 9, 'monthly', 0.5 FROM p WHERE id % 4 > 1""")
 def site_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publish.site_map(events(spark, sf_dir), places(spark, sf_dir), AS_OF)
+    p = places(spark, sf_dir).withColumns({"url": F.expr("CASE id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'https://x.org' END"), "last_seen": F.expr("concat('1998-01-0', id % 9)")})
+    return publish.site_map(events(spark, sf_dir).withColumn("last_seen", F.col("start_date")), p, AS_OF)
 
 
 STEMS = [("tion", "Tiona"), ("the", "Thebes"), ("ung", "Ungarn"), ("ment", "Menton")]

@@ -141,6 +141,25 @@ def posts_or_cards(pages: DataFrame) -> DataFrame:
     return p.select("page_id", F.col("ref").alias("url"), F.substring("text", 1, 200).alias("title")).unionByName(cards(rest).select("page_id", "url", "title"))
 
 
+def embedded(pages: DataFrame) -> DataFrame:
+    """page_id, post_id, text, photos (of the chat's own picture host), links (distinct, outside of the chat service), maps_url (the first to a map) and hashtags (distinct) of pages that embed one chat post."""
+    marked = r"(?s)tgme_widget_message_text[^>]*>(.*?)</div>"
+    footed = rf"{marked}\s*<div class=\"tgme_widget_message_footer"
+    inner = F.coalesce(F.nullif(F.regexp_extract("html", footed, 1), F.lit("")), F.regexp_extract("html", marked, 1))
+    found = lambda p: F.regexp_extract_all("html", F.lit(p), F.lit(1))
+    photos = F.array_distinct(F.filter(found(r"background-image:url\('([^']+)'\)"), lambda u: u.contains("telesco.pe")))
+    links = F.array_distinct(F.filter(F.transform(found(r'href="(https?://[^"]+)"'), text.decode_entities), lambda u: ~u.rlike(r"t\.me|telegram\.")))
+    p = pages.select("page_id", F.nullif(F.regexp_extract("html", r"t\.me/[^/\"']+/(\d+)", 1), F.lit("")).cast("long").alias("post_id"), text.html_text(inner).alias("text"), photos.alias("photos"), links.alias("links"))
+    maps = F.get(F.filter("links", lambda u: u.rlike(r"maps\.app\.goo\.gl|google\.[^/]+/maps|goo\.gl/maps")), F.lit(0))
+    return p.select("*", maps.alias("maps_url"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"#([^\s#<]+)"), F.lit(1))).alias("hashtags"))
+
+
+def polled(polls: DataFrame) -> DataFrame:
+    """The run log: a row for each poll of a source (source_key, run_id, http, n_items, n_new, error) with its status and whether anything changed."""
+    status = F.when(F.col("error").isNotNull(), "error").when(F.col("http") == 304, "not_modified").when(F.col("n_new") > 0, "changed").otherwise("unchanged")
+    return polls.select("source_key", "run_id", "http", F.coalesce("n_items", F.lit(0)).alias("n_items"), status.alias("status"), (F.coalesce("n_new", F.lit(0)) > 0).alias("changed"), F.substring("error", 1, 200).alias("notes"))
+
+
 def article(pages: DataFrame) -> DataFrame:
     """page_id, title (h1) and body (paragraphs joined by blank lines, trailing photo credits left out; else the description) of article pages."""
     paragraphs = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)(?=<p\b|</p>)"), F.lit(1)), lambda x: text.compact(text.html_text(x))), lambda x: x.isNotNull())

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators.read_model import visible
 
-INTERNAL_SOURCE = "api:hemisferic"
+#: Schedules of this source are published as series, not as events.
+SERIES_SOURCE = "api:hemisferic"
 
 
 def bake_events(events: DataFrame, as_of: str, least_id: int = 0) -> DataFrame:
     """Dated, visible events of outside sources from an id on."""
-    return events.where(visible(as_of) & F.col("start_date").isNotNull() & (F.coalesce("source", F.lit("")) != INTERNAL_SOURCE) & (F.col("id") >= least_id))
+    return events.where(visible(as_of) & F.col("start_date").isNotNull() & (F.coalesce("source", F.lit("")) != SERIES_SOURCE) & (F.col("id") >= least_id))
 
 
 def bake_series(series: DataFrame, occurrences: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
@@ -25,7 +26,7 @@ def bake_series(series: DataFrame, occurrences: DataFrame, as_of: str) -> tuple[
 def guards(events: DataFrame, series: DataFrame, occurrences: DataFrame) -> DataFrame:
     """One row of counts: leaked, undated, series, orphans (occurrences without a series) and ok."""
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    e = events.agg(n(F.col("source") == INTERNAL_SOURCE).alias("leaked"), n(F.col("start_date").isNull()).alias("undated"))
+    e = events.agg(n(F.col("source") == SERIES_SOURCE).alias("leaked"), n(F.col("start_date").isNull()).alias("undated"))
     s = series.agg(F.count("*").alias("series"))
     o = occurrences.join(series.select(F.col("id").alias("series_id")), "series_id", "left_anti").agg(F.count("*").alias("orphans"))
     return e.join(s).join(o).withColumn("ok", (F.col("leaked") == 0) & (F.col("undated") == 0) & (F.col("series") > 0) & (F.col("orphans") == 0))
@@ -39,11 +40,12 @@ def checked(report: DataFrame) -> None:
 
 
 def site_map(events: DataFrame, places: DataFrame, as_of: str) -> DataFrame:
-    """url, changefreq and priority of fixed pages, upcoming dated events and places."""
-    fixed = events.sparkSession.range(1).select(F.explode(F.array(F.lit("/"), F.lit("/places"))).alias("url"), F.lit("daily").alias("changefreq"), F.lit(1.0).alias("priority"))
-    e = events.where(visible(as_of) & F.col("start_date").isNotNull()).select(F.concat(F.lit("/events/"), "id").alias("url"), F.lit("weekly").alias("changefreq"), F.lit(0.7).alias("priority"))
-    p = places.select(F.concat(F.lit("/places/"), "id").alias("url"), F.lit("monthly").alias("changefreq"), F.lit(0.5).alias("priority"))
-    return fixed.unionByName(e).unionByName(p)
+    """url, last_seen, changefreq and priority of fixed pages, upcoming dated events and places that have a page (rows with last_seen; places with url)."""
+    none = F.lit(None).cast("string")
+    fixed = events.sparkSession.range(1).select(F.explode(F.array(F.lit("/"), F.lit("/places"))).alias("url"), none.alias("last_seen"), F.lit("daily").alias("changefreq"), F.lit(1.0).alias("priority"))
+    row = lambda df, folder, often, much: df.select(F.concat(F.lit(folder), "id").alias("url"), F.col("last_seen").cast("string").alias("last_seen"), F.lit(often).alias("changefreq"), F.lit(much).alias("priority"))
+    e = events.where(visible(as_of) & F.col("start_date").isNotNull())
+    return fixed.unionByName(row(e, "/events/", "weekly", 0.7)).unionByName(row(places.where("url <> ''"), "/places/", "monthly", 0.5))
 
 
 def sent_log(rows: DataFrame, kind: str, at: str) -> DataFrame:
