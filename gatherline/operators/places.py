@@ -79,7 +79,9 @@ def pairs(places: DataFrame) -> DataFrame:
     by_link = a.join(b, (F.col("link_a") == F.col("link_b")) & less)
     by_ref = a.join(b, (F.col("source_a") == F.col("source_b")) & (F.col("external_ref_a") == F.col("external_ref_b")) & less)
     in_block = a.join(b, (F.col("block_a") == F.col("block_b")) & less & ((F.col("source_a") != F.col("source_b")) | corroborates("_a", "_b")))
-    alike = in_block.where(likeness("plain_a", "plain_b") >= fixed.NAME_LIKENESS)
+    # with so high a likeness, neither name is over twice as long as the other: likeness is at most 0.4 + 0.6 * (2 + shorter / longer) / 3
+    near = F.least(F.length("plain_a"), F.length("plain_b")) * 2 >= F.greatest(F.length("plain_a"), F.length("plain_b"))
+    alike = in_block.where(near).where(likeness("plain_a", "plain_b") >= fixed.NAME_LIKENESS)
     every = by_link.select("id_a", "id_b").unionByName(by_ref.select("id_a", "id_b")).unionByName(alike.select("id_a", "id_b"))
     return every.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 

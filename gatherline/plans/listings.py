@@ -40,19 +40,19 @@ def tour_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped(items(shows(spark, sf_dir), "web:worldafisha", title, text, url), "web:worldafisha").select("id", "title", "start_date", "city", "cancelled")
 
 
-@query(f"""WITH o AS ({SHOWS}) SELECT id, CASE WHEN id % 4 = 3 THEN 'Концерт ' || c ELSE 'Шоу «N' || c || '»' || CASE WHEN id % 4 = 1 THEN ' в Аликанте' ELSE '' END END AS title, iso AS start_date,
+@query(f"""WITH o AS ({SHOWS}) SELECT id, CASE WHEN id % 4 = 3 THEN 'Концерт ' || c ELSE 'Шоу «N' || c % 900 || '»' || CASE WHEN id % 4 = 1 THEN ' в Аликанте' ELSE '' END END AS title, iso AS start_date,
   CASE id % 4 WHEN 0 THEN (c % 90 + 1) || ' €' WHEN 1 THEN '49 €' WHEN 3 THEN 'Free' END AS price, CASE WHEN id % 4 = 1 THEN 'Alicante' ELSE 'Valencia' END AS city, CASE WHEN id % 4 = 3 THEN 'calle Mayor ' || c % 9 END AS address FROM o WHERE id % 5 > 0""")
 def offer_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers before titles are peeled off (month, day, time, sessions, price); labels of navigation go; the site's name in its address is no city."""
-    title = """CASE WHEN id % 5 = 0 THEN 'Контакты' WHEN id % 4 = 0 THEN concat(rus, ' ', day(d), ' 2 сеансов от ', c % 90 + 1, ' € Шоу «N', c, '»') WHEN id % 4 = 1 THEN concat(rus, ' ', lpad(cast(day(d) AS string), 2, '0'), ' 19:30 от 49 € Шоу «N', c, '» в Аликанте')
-        WHEN id % 4 = 2 THEN concat(rus, ' ', day(d), ' Шоу «N', c, '»') ELSE concat('Концерт ', c) END"""
+    title = """CASE WHEN id % 5 = 0 THEN 'Контакты' WHEN id % 4 = 0 THEN concat(rus, ' ', day(d), ' 2 сеансов от ', c % 90 + 1, ' € Шоу «N', c % 900, '»') WHEN id % 4 = 1 THEN concat(rus, ' ', lpad(cast(day(d) AS string), 2, '0'), ' 19:30 от 49 € Шоу «N', c % 900, '» в Аликанте')
+        WHEN id % 4 = 2 THEN concat(rus, ' ', day(d), ' Шоу «N', c % 900, '»') ELSE concat('Концерт ', c) END"""
     text = "CASE WHEN id % 5 > 0 AND id % 4 = 3 THEN concat('Вход свободный, ', iso, ', calle Mayor ', c % 9) END"
     return shaped(items(shows(spark, sf_dir), "web:valenciarusa", title, text, "'https://www.valenciarusa.es/afisha/x'"), "web:valenciarusa").select("id", "title", "start_date", "price", "city", "address")
 
 
-@query(f"""WITH o AS ({SHOWS}) SELECT id, 'Встреча ' || c AS title, CASE WHEN id % 7 = 0 THEN iso WHEN id % 7 = 1 THEN iso END AS start_date, CASE WHEN id % 7 = 1 THEN 'Hall ' || c END AS venue_name FROM o WHERE id % 7 < 3""")
+@query(f"""WITH o AS ({SHOWS}) SELECT id, 'Встреча ' || c AS title, CASE WHEN id % 7 = 0 THEN iso WHEN id % 7 = 1 THEN iso END AS start_date, CASE WHEN id % 7 = 1 THEN 'Hall ' || c END AS venue_name FROM o WHERE id % 7 < 3 AND c <> 404""")
 def board_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A board of classified ads: the board itself, other boards, its labels and its error page go; an undated card stays."""
+    """A board of classified ads: the board itself, other boards, its labels and error pages (one meeting's number reads like one) go; an undated card stays."""
     title = "CASE id % 7 WHEN 5 THEN 'Каталог фирм' WHEN 6 THEN 'Страница не найдена' ELSE concat('Встреча ', c) END"
     text = "CASE id % 7 WHEN 0 THEN 'без даты' WHEN 1 THEN concat(iso, ' @ Hall ', c) END"
     url = "CASE id % 7 WHEN 0 THEN concat('https://elcontacto.ru/valencia/events/x-', iso) WHEN 3 THEN 'https://elcontacto.ru/valencia/events/' WHEN 4 THEN 'https://elcontacto.ru/ispaniya/x' ELSE 'https://www.elcontacto.ru/valencia/events/x' END"
@@ -149,17 +149,17 @@ def agenda_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("title", "description", "city", "venue_name", "start_date", "end_date", "start_time", "url")
 
 
-@query(f"""WITH p AS ({PAGES}) SELECT 'Звезда ' || k AS title, iso AS start_date, CASE WHEN k % 2 = 0 THEN '19:00' END AS start_time, CASE k % 5 WHEN 0 THEN 'València' WHEN 1 THEN 'Alicante' ELSE 'Madrid' END AS city, CASE WHEN k % 5 < 2 THEN 'Hall ' || k % 9 END AS venue_name,
+@query(f"""WITH p AS ({PAGES}) SELECT 'Звезда ' || md5(k::VARCHAR) AS title, iso AS start_date, CASE WHEN k % 2 = 0 THEN '19:00' END AS start_time, CASE k % 5 WHEN 0 THEN 'València' WHEN 1 THEN 'Alicante' ELSE 'Madrid' END AS city, CASE WHEN k % 5 < 2 THEN 'Hall ' || k % 9 END AS venue_name,
   CASE WHEN k % 3 = 0 THEN 'https://t.ee/performances/z-' || k END AS url FROM p WHERE k % 5 < 2
-UNION ALL SELECT 'Bruno Mars ' || k, iso, CASE WHEN k % 2 = 0 THEN '19:00' END, 'Madrid', NULL, CASE WHEN k % 3 = 0 THEN 'https://t.ee/performances/z-' || k END FROM p WHERE k % 5 = 2""")
+UNION ALL SELECT 'Bruno Mars ' || md5(k::VARCHAR), iso, CASE WHEN k % 2 = 0 THEN '19:00' END, 'Madrid', NULL, CASE WHEN k % 3 = 0 THEN 'https://t.ee/performances/z-' || k END FROM p WHERE k % 5 = 2""")
 def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days in seven languages, a time or none, titles with a city chip, "Country, City, Venue"; the region of the country, and headliners in the country."""
     words = "array('jaanuar', 'февраля', 'marzo', 'aprīlis', 'gegužė', 'June', 'juuli', 'августа', 'septiembre', 'oktobris', 'lapkritis', 'December')"
-    block = f"""concat('E\n•\n', day(d), ' ', element_at({words}, month(d)), ' ', year(d), CASE WHEN k % 2 = 0 THEN '\n19:00' ELSE '' END, '\n', CASE k % 5 WHEN 2 THEN 'Bruno Mars ' ELSE 'Звезда ' END, k, ' | Город\n',
+    block = f"""concat('E\n•\n', day(d), ' ', element_at({words}, month(d)), ' ', year(d), CASE WHEN k % 2 = 0 THEN '\n19:00' ELSE '' END, '\n', CASE k % 5 WHEN 2 THEN 'Bruno Mars ' ELSE 'Звезда ' END, md5(cast(k AS string)), ' | Город\n',
         CASE k % 5 WHEN 0 THEN concat('Hispaania, València, Hall ', k % 9, ', Mayor 1') WHEN 1 THEN concat('España, Alicante, Hall ', k % 9) WHEN 2 THEN 'Spain, Madrid' WHEN 3 THEN 'Spain, Marbella, Hall' ELSE 'Latvia, Valencia, Hall' END, '\nOsta pilet')"""
     snaps = items(pages(spark, sf_dir, block), "x", "NULL", "text", "NULL", "'page_snapshot'", "d").withColumn("source_key", F.concat(F.lit("s"), "id"))
     o = shows(spark, sf_dir).where("id % 3 = 0")
-    links = items(o, "x", "concat(CASE id % 5 WHEN 2 THEN 'Bruno Mars ' ELSE 'Звезда ' END, id, ' | Город')", "NULL", "concat('https://t.ee/performances/z-', id)").join(o.select("id", F.concat(F.lit("s"), "c").alias("source")), "id")
+    links = items(o, "x", "concat(CASE id % 5 WHEN 2 THEN 'Bruno Mars ' ELSE 'Звезда ' END, md5(cast(id AS string)), ' | Город')", "NULL", "concat('https://t.ee/performances/z-', id)").join(o.select("id", F.concat(F.lit("s"), "c").alias("source")), "id")
     links = links.withColumn("source_key", F.col("source")).drop("source").withColumn("id", F.col("id") + 1_000_000_000)
     return shaped(snaps.unionByName(links), "web:ticketbest").select("title", "start_date", "start_time", "city", "venue_name", "url")
 
@@ -182,7 +182,7 @@ def agenda_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH o AS ({SHOWS}) SELECT source_key, count(*) AS n, count(DISTINCT start_date) AS days FROM (
-  SELECT 'web:russpain' AS source_key, iso AS start_date FROM o WHERE id % 2 = 0 UNION ALL SELECT 'web:valenciarusa', iso FROM o UNION ALL SELECT 'web:elcontacto', iso FROM o WHERE id % 3 > 0) GROUP BY 1""")
+  SELECT 'web:russpain' AS source_key, iso AS start_date FROM o WHERE id % 2 = 0 UNION ALL SELECT 'web:valenciarusa', iso FROM o UNION ALL SELECT 'web:elcontacto', iso FROM o WHERE id % 3 > 0 AND c <> 404) GROUP BY 1""")
 def registered_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several sources at once, each read in the shape that is registered for it."""
     o = shows(spark, sf_dir)
