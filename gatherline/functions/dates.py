@@ -79,10 +79,12 @@ def anchored_date(c: Column, published: Column, first_seen: Column, last_seen: C
     day = F.coalesce(*[x.cast("string").substr(1, 10).try_cast("date") for x in (published, first_seen, last_seen)])
 
     def undone(d: Column) -> Column:
-        far = (F.year(d) == F.year(day) + 1) & (F.date_diff(d, day) > 60) & ~c.rlike(r"(?<!\d)20\d{2}(?!\d)|(?<![\d.,])\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b")
-        return F.date_format(F.when(far, F.make_date(F.year(d) - 1, F.month(d), F.day(d))).otherwise(d), "yyyy-MM-dd")
+        y, m, n = (F.substring(d, at, size).cast("int") for at, size in ((1, 4), (6, 2), (9, 2)))
+        rolled = F.date_add(F.make_date(y, m, F.lit(1)), n - 1)  # the 29th of February may be rolled into a year without one
+        far = (y == F.year(day) + 1) & (F.date_diff(rolled, day) > 60) & ~c.rlike(r"(?<!\d)20\d{2}(?!\d)|(?<![\d.,])\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b")
+        return F.when(far, iso(y - 1, m, n)).otherwise(d)
 
-    return once(parse_date(c, day).try_cast("date"), undone)
+    return once(parse_date(c, day), undone)
 
 
 FREE = r"(?iu)бесплатн|вход свободн|gratis|gratuit|entrada libre|free entry|free admission|(?<![\p{L}\d])free(?![\p{L}\d])"
