@@ -14,6 +14,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
@@ -27,8 +28,10 @@ ORDER = 4
 GAP = b"\n"
 #: A word that stands for the end of a text. No word is empty.
 END = b""
-#: Items that all tasks look up by themselves, and distinct items that a task counts before it passes them on.
-FREQUENT, KEPT = 1 << 16, 300_000
+#: Words and grams that all tasks look up by themselves, and distinct words and grams that a task counts before it passes them on.
+FREQUENT, FREQUENT_GRAMS, KEPT, KEPT_GRAMS = 1 << 16, 1 << 20, 300_000, 1 << 20
+#: Bytes of texts whose grams are in memory at once; longer texts come in pieces.
+PIECE = 1 << 19
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -43,10 +46,36 @@ def names_of(text: str | None) -> list[bytes]:
     return [*(w if len(w) < 16 else xxhash.xxh3_128_digest(w) for w in words_of(text)), END]
 
 
-def grams_of(text: str | None) -> list[bytes]:
-    """For each byte of a text (its words, joined by one blank) and its end: ORDER bytes before it, then it."""
-    s = GAP * ORDER + b" ".join(words_of(text)) + GAP
-    return [s[i : i + ORDER + 1] for i in range(len(s) - ORDER)]
+def coded(text: str | None) -> bytes:
+    """What is scored of a text: its words, joined by one blank, with gaps before and after."""
+    return GAP * ORDER + b" ".join(words_of(text)) + GAP
+
+
+def grams_of(texts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams (ORDER + 1 bytes as one number) of coded texts and the number that came with each gram's text, some pieces of texts at a time. No piece loses a gram at its ends."""
+
+    def of(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        b = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
+        g = np.zeros(len(b) - ORDER, np.int64)
+        for k in range(ORDER + 1):
+            g <<= 8
+            g |= b[k : len(b) - ORDER + k]
+        sizes = np.array([len(p) for _, p in pieces])
+        across = (np.cumsum(sizes)[:-1, None] - 1 - np.arange(ORDER)).ravel()  # grams that begin in one piece and end in the next
+        inside = np.ones(len(g), bool)
+        inside[across] = False
+        return g[inside], np.repeat([i for i, _ in pieces], sizes - ORDER)
+
+    pieces, size = [], 0
+    for i, text in texts:
+        for at in range(0, len(text) - ORDER, PIECE):
+            pieces.append((i, text[at : at + PIECE + ORDER]))
+            size += len(pieces[-1][1])
+            if size >= PIECE:
+                yield of(pieces)
+                pieces, size = [], 0
+    if pieces:
+        yield of(pieces)
 
 
 def counted(docs: DataFrame, items: Callable[[str | None], list[bytes]]) -> DataFrame:
@@ -75,14 +104,46 @@ def counted(docs: DataFrame, items: Callable[[str | None], list[bytes]]) -> Data
     return docs.select("held_out", "text").mapInArrow(run, "item binary, c long").groupBy("item").agg(F.sum("c").alias("c"))
 
 
-def most_counted(values: DataFrame) -> DataFrame:
-    """The rows of values with the greatest counts: all from a count on that FREQUENT of them reach at most (by a histogram of sixteenths of powers of two, so no task or driver sorts them)."""
+def counted_grams(docs: DataFrame) -> DataFrame:
+    """item (a gram) and c (how often it occurs in training texts, 0 if not at all) of all grams of docs (held_out, text); tasks pass on sums, in bounded numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, counts, size = [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every, at = np.unique(np.concatenate([*items, np.zeros(0, np.int64)]), return_inverse=True)
+            return every, np.bincount(at, np.concatenate([*counts, np.zeros(0)]), len(every))
+
+        def out(every: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(every), pa.array(c.astype(np.int64))], names=["item", "c"])
+
+        for batch in sliced(batches):
+            held = batch.column("held_out").to_pylist()
+            for grams, of in grams_of((int(not h), coded(t.as_py())) for h, t in zip(held, batch.column("text"), strict=True)):
+                for trained in (0, 1):
+                    g, c = np.unique(grams[of == trained], return_counts=True)
+                    items.append(g)
+                    counts.append(c * float(trained))
+                    size += len(g)
+            if size > 2 * KEPT_GRAMS:
+                every, c = merged()
+                items, counts, size = [every], [c], len(every)
+                if size > KEPT_GRAMS:
+                    yield out(every, c)
+                    items, counts, size = [], [], 0
+        yield out(*merged())
+
+    return docs.select("held_out", "text").mapInArrow(run, "item long, c long").groupBy("item").agg(F.sum("c").alias("c"))
+
+
+def most_counted(values: DataFrame, limit: int | None = None) -> DataFrame:
+    """The rows of values with the greatest counts: all from a count on that limit (else FREQUENT) of them reach at most (by a histogram of sixteenths of powers of two, so no task or driver sorts them)."""
     size = F.floor(F.log2("c") * 16)
     known = values.where("c > 0")
     least, n = None, 0
     for r in sorted(known.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["size"]):  # 1,008 rows at most
         n += r["n"]
-        if n > FREQUENT:
+        if n > (limit or FREQUENT):
             break
         least = r["size"]
     return known.where(size >= least) if least is not None else known.limit(0)
@@ -150,35 +211,73 @@ def log10_of(symbol: int, contexts: list[Counter | None]) -> float:
 
 def gram_scores(counts: DataFrame) -> DataFrame:
     """item, c and lp (log10 of its last byte's probability after the bytes before) of counted grams (item, c; c 0: not in training)."""
-    last = F.substring("item", ORDER + 1, 1)
+    symbol, two, three = F.col("item").bitwiseAND(F.lit(0xFF)), F.shiftright("item", 8).bitwiseAND(F.lit(0xFFFF)), F.shiftright("item", 8).bitwiseAND(F.lit(0xFFFFFF))
     trained = counts.where("c > 0")
-    small = trained.groupBy(F.substring("item", ORDER, 2).alias("two")).agg(F.sum("c").alias("c")).collect()  # 65,536 rows at most
+    small = trained.groupBy(F.col("item").bitwiseAND(F.lit(0xFFFF)).alias("two")).agg(F.sum("c").alias("c")).collect()  # 65,536 rows at most
     one: dict[int, Counter] = {}
     none: Counter = Counter()
     for r in small:
-        one.setdefault(r["two"][0], Counter())[r["two"][1]] += r["c"]
-        none[r["two"][1]] += r["c"]
+        one.setdefault(r["two"] >> 8, Counter())[r["two"] & 255] += r["c"]
+        none[r["two"] & 255] += r["c"]
     shared = counts.sparkSession.sparkContext.broadcast((one, none))
-    two = trained.groupBy(F.substring("item", ORDER - 1, 2).alias("two"), last.alias("symbol")).agg(F.sum("c").alias("c"))
-    two = two.groupBy("two").agg(F.collect_list(F.struct("symbol", "c")).alias("after"))  # 256 each at most
-    grams = counts.groupBy(F.substring("item", ORDER - 2, 3).alias("three")).agg(F.collect_list(F.struct("item", "c")).alias("grams"))  # 65,536 each at most
-    rows = grams.withColumn("two", F.substring("three", 2, 2)).join(two, "two", "left").select("grams", "after")
+    after = trained.groupBy(two.alias("two"), symbol.alias("symbol")).agg(F.sum("c").alias("c"))
+    after = after.groupBy("two").agg(F.collect_list(F.struct("symbol", "c")).alias("after"))  # 256 each at most
+    grams = counts.groupBy(three.alias("three")).agg(F.collect_list(F.struct("item", "c")).alias("grams"))  # 65,536 each at most
+    rows = grams.withColumn("two", F.col("three").bitwiseAND(F.lit(0xFFFF))).join(after, "two", "left").select("grams", "after")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, none = shared.value
-        for batch in sliced(batches, 1):
-            grams = batch.column("grams")[0].as_py()
-            seen: dict[int, Counter] = {}
-            three: Counter = Counter()
-            for g in grams:
-                if g["c"]:
-                    seen.setdefault(g["item"][0], Counter())[g["item"][ORDER]] += g["c"]
-                    three[g["item"][ORDER]] += g["c"]
-            two = Counter({x["symbol"][0]: x["c"] for x in batch.column("after")[0].as_py() or ()})
-            lps = [log10_of(g["item"][ORDER], [seen.get(g["item"][0]), three, two, one.get(g["item"][ORDER - 1]), none]) for g in grams]
-            yield pa.RecordBatch.from_arrays([pa.array([g["item"] for g in grams], pa.binary()), pa.array([g["c"] for g in grams], pa.int64()), pa.array(lps, pa.float64())], names=["item", "c", "lp"])
+        for batch in sliced(batches, 64):
+            items, counts, lps = [], [], []
+            for row, follow in zip(batch.column("grams").to_pylist(), batch.column("after").to_pylist(), strict=True):
+                four: dict[int, Counter] = {}
+                three: Counter = Counter()
+                for g in row:
+                    if g["c"]:
+                        four.setdefault(g["item"] >> 32, Counter())[g["item"] & 255] += g["c"]
+                        three[g["item"] & 255] += g["c"]
+                two = Counter({x["symbol"]: x["c"] for x in follow or ()})
+                before = one.get(row[0]["item"] >> 8 & 255)
+                items += [g["item"] for g in row]
+                counts += [g["c"] for g in row]
+                lps += [log10_of(g["item"] & 255, [four.get(g["item"] >> 32), three, two, before, none]) for g in row]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(counts, pa.int64()), pa.array(lps, pa.float64())], names=["item", "c", "lp"])
+
+    return rows.mapInArrow(score, "item long, c long, lp double")
+
+
+def gram_sums(docs: DataFrame, values: DataFrame) -> DataFrame:
+    """key and lp: the sum over all grams of each row of docs (key, text), rows of one key added up, of what values (item, c, lp: every gram that occurs) has for them.
+
+    The most counted grams (FREQUENT_GRAMS at most) are looked up in the task itself, and the row carries their sum; all others meet their numbers in a join."""
+    most = most_counted(values, FREQUENT_GRAMS).select("item", "lp").toArrow()
+    item, lp = (np.asarray(most.column(c)) for c in ("item", "lp"))
+    order = np.argsort(item)
+    shared = docs.sparkSession.sparkContext.broadcast((item[order], lp[order]))
 
-    return rows.mapInArrow(score, "item binary, c long, lp double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, lp = shared.value
+        for batch in sliced(batches, 256):
+            n = batch.num_rows
+            sums = np.zeros(n)
+            rare = [np.zeros(0, np.int64)]
+            for grams, of in grams_of((i, coded(t.as_py())) for i, t in enumerate(batch.column("text"))):
+                every, at = np.unique(grams, return_inverse=True)
+                place = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
+                hit = known[place] == every if len(known) else np.zeros(len(every), bool)
+                own = np.where(hit, lp[place], 0.0) if len(known) else np.zeros(len(every))
+                sums += np.bincount(of, own[at], n)
+                missed = ~hit[at]
+                rare.append(of[missed] << 40 | grams[missed])  # a row's place in the batch and a gram of 40 bits
+            pairs, m = np.unique(np.concatenate(rare), return_counts=True)
+            take = pa.array(np.concatenate([pairs >> 40, np.arange(n)]))
+            items = np.concatenate([pairs & ((1 << 40) - 1), -1 - np.arange(n)])  # no gram is negative
+            columns = [batch.column("key").take(take), pa.array(items), pa.array(np.concatenate([m, np.zeros(n, np.int64)])), pa.array(np.concatenate([np.zeros(len(pairs)), sums]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "item", "m", "sum"])
+
+    found = docs.select("key", "text").mapInArrow(run, "key binary, item long, m long, sum double")
+    j = found.join(values.select("item", "lp"), "item", "left")
+    return j.groupBy("key").agg(F.sum(F.col("sum") + F.coalesce(F.col("m") * F.col("lp"), F.lit(0.0))).alias("lp"))
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -193,9 +292,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     words = saved(counted(docs, names_of))
     n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     base = looked_up(docs, names_of, words.withColumn("lp", F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))))
-    grams = saved(gram_scores(saved(counted(docs, grams_of))))
-    coded = looked_up(docs, grams_of, grams).select("key", F.col("lp").alias("score"))
-    return base.join(coded, "key").select(
+    grams = gram_sums(docs, saved(gram_scores(saved(counted_grams(docs))))).withColumnRenamed("lp", "coded")
+    return base.join(grams, "key").select(
         "doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        F.col("lp").alias("base_score"), "score", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
+        F.col("lp").alias("base_score"), (F.col("coded") / F.col("copies")).alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")

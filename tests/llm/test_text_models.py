@@ -229,6 +229,7 @@ def ppm(docs, held):
 @pytest.mark.parametrize("frequent", [3, 1 << 16])
 def test_ppm_against_brute_force(spark, odd, no_rows, monkeypatch, frequent):
     monkeypatch.setattr(lmscore, "FREQUENT", frequent)
+    monkeypatch.setattr(lmscore, "FREQUENT_GRAMS", frequent)
     docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").collect()] + [(100, None), (101, "Zebra zebra ZEBRA"), (102, ""), (103, "an-extremely-long-word-" * 9), (104, "é" * 9)]
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
     want = ppm(docs, held)
@@ -241,6 +242,17 @@ def test_ppm_against_brute_force(spark, odd, no_rows, monkeypatch, frequent):
         assert math.isclose(x["base_score"], w[3], rel_tol=1e-9) and math.isclose(x["score"], w[4], rel_tol=1e-9)
 
 
+def test_grams_in_pieces(monkeypatch):
+    """Texts longer than a piece, and many short ones, give each gram of each text once."""
+    r = random.Random(1)
+    texts = [lmscore.coded("".join(r.choice("ab \né") for _ in range(n))) for n in (0, 1, 3, 50, 400, 1000)]
+    want = Counter((i, int.from_bytes(t[k : k + 5], "big")) for i, t in enumerate(texts) for k in range(len(t) - 4))
+    for piece in (1, 7, 64, 1 << 19):
+        monkeypatch.setattr(lmscore, "PIECE", piece)
+        got = Counter((int(i), int(g)) for grams, of in lmscore.grams_of(iter(enumerate(texts))) for g, i in zip(grams, of, strict=True))
+        assert got == want
+
+
 def test_ppm_odd_tables(spark, odd, no_rows):
     got = lmscore.score(odd, F.lit(False)).where("doc_id = 5").collect()  # rows that repeat each other are scored each by itself
     assert lmscore.score(odd, F.lit(False)).count() == 16 and len(got) == 3 and len({tuple(r) for r in got}) == 1 and got[0]["n_tokens"] == 49
