@@ -3,8 +3,8 @@
 The model is a trie of byte contexts of up to ORDER bytes, counted over all training texts; contexts run through the whole text, whose words are
 joined by one blank. A byte is coded in its longest context that training has seen; a byte that has not followed there is reached by an escape (method C) to
 the next shorter context, without the bytes that the longer ones have offered (symbol exclusion), at last to a uniform choice. A text's code length is the sum over its
-bytes and its end, by its distinct grams (a context of ORDER bytes and the byte after it). The trie is never in one place: it is a table of counted grams; a row of
-it holds the contexts of one three bytes' end, so at most 65,536 grams, and meets the counts of its last two bytes in a join. Only the orders below,
+bytes and its end, by its distinct grams (a context of ORDER bytes and the byte after it). The trie is never in one place: it is a table of counted grams, dealt out
+by the three bytes before the coded one, so in groups of at most 65,536 grams, which meet the counts after their last two bytes (256 at most). Only the orders below,
 of at most 65,536 contexts with 256 bytes each, go to all tasks.
 """
 
@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
@@ -29,7 +30,7 @@ GAP = b"\n"
 #: A word that stands for the end of a text. No word is empty.
 END = b""
 #: Words and grams that all tasks look up by themselves, and distinct words and grams that a task counts before it passes them on.
-FREQUENT, FREQUENT_GRAMS, KEPT, KEPT_GRAMS = 1 << 16, 1 << 20, 300_000, 1 << 20
+FREQUENT, FREQUENT_GRAMS, KEPT, KEPT_GRAMS = 1 << 16, 1 << 20, 300_000, 1 << 18
 #: Bytes of texts whose grams are in memory at once; longer texts come in pieces.
 PIECE = 1 << 19
 
@@ -221,29 +222,24 @@ def gram_scores(counts: DataFrame) -> DataFrame:
         none[r["two"] & 255] += r["c"]
     shared = counts.sparkSession.sparkContext.broadcast((one, none))
     after = trained.groupBy(two.alias("two"), symbol.alias("symbol")).agg(F.sum("c").alias("c"))
-    after = after.groupBy("two").agg(F.collect_list(F.struct("symbol", "c")).alias("after"))  # 256 each at most
-    grams = counts.groupBy(three.alias("three")).agg(F.collect_list(F.struct("item", "c")).alias("grams"))  # 65,536 each at most
-    rows = grams.withColumn("two", F.col("three").bitwiseAND(F.lit(0xFFFF))).join(after, "two", "left").select("grams", "after")
+    grams = counts.select(three.alias("three"), "item", "c")
+    ends = grams.select("three").distinct().withColumn("two", F.col("three").bitwiseAND(F.lit(0xFFFF))).join(after, "two").select(F.col("three").alias("ends"), "symbol", "c")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(rows: pd.DataFrame, follow: pd.DataFrame) -> pd.DataFrame:
+        """Of one three bytes' grams (65,536 at most), given what follows their last two bytes (256 rows at most)."""
         one, none = shared.value
-        for batch in sliced(batches, 64):
-            items, counts, lps = [], [], []
-            for row, follow in zip(batch.column("grams").to_pylist(), batch.column("after").to_pylist(), strict=True):
-                four: dict[int, Counter] = {}
-                three: Counter = Counter()
-                for g in row:
-                    if g["c"]:
-                        four.setdefault(g["item"] >> 32, Counter())[g["item"] & 255] += g["c"]
-                        three[g["item"] & 255] += g["c"]
-                two = Counter({x["symbol"]: x["c"] for x in follow or ()})
-                before = one.get(row[0]["item"] >> 8 & 255)
-                items += [g["item"] for g in row]
-                counts += [g["c"] for g in row]
-                lps += [log10_of(g["item"] & 255, [four.get(g["item"] >> 32), three, two, before, none]) for g in row]
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(counts, pa.int64()), pa.array(lps, pa.float64())], names=["item", "c", "lp"])
-
-    return rows.mapInArrow(score, "item long, c long, lp double")
+        four: dict[int, Counter] = {}
+        three: Counter = Counter()
+        items, counts = rows["item"].tolist(), rows["c"].tolist()
+        for g, c in zip(items, counts, strict=True):
+            if c:
+                four.setdefault(g >> 32, Counter())[g & 255] += c
+                three[g & 255] += c
+        two = Counter(dict(zip(follow["symbol"].tolist(), follow["c"].tolist(), strict=True))) if len(follow) else Counter()
+        lps = [log10_of(g & 255, [four.get(g >> 32), three, two, one.get(g >> 8 & 255), none]) for g in items]
+        return pd.DataFrame({"item": items, "c": counts, "lp": lps})
+
+    return grams.groupBy("three").cogroup(ends.groupBy("ends")).applyInPandas(score, "item long, c long, lp double")
 
 
 def gram_sums(docs: DataFrame, values: DataFrame) -> DataFrame:
