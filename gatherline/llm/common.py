@@ -8,7 +8,9 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gatherline-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written once as Parquet in the shared folder: lineage is cut, later readers survive a lost executor and see the true size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gatherline-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
@@ -82,6 +87,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many rows, whose values of a text or binary column are not much longer than size together (a longer value is alone)."""
+    for batch in batches:
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, min(to, batch.num_rows) - at)
+            at = to
+
+
 def ddl(df: DataFrame, *more: str) -> str:
     """df's columns and more, as a schema string."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])

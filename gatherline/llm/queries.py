@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, langid, lmscore, mixing, neardup, secret_scan, sharding, topk
-from .common import remainder_of_crc32, table
+from . import bpe, chat, fingerprint, langid, lexical, lmscore, manifest, mixing, neardup, secret_scan, sharding, token_store, topk
+from .common import new_path, remainder_of_crc32, table
 
 #: The vocabulary that op8 and the pipeline encode with.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The tokenizer file that op12 writes ids of, and the id that ends a document there.
+WORD_VOCABULARY, END = "word_bpe_49k.json", 1
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +128,74 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(docs, remainder_of_crc32(F.col("doc_id"), 7) == 2)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP11_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+docs AS (SELECT doc_id, len(ws)::BIGINT AS n, ws FROM words WHERE len(ws) > 0),
+totals AS (SELECT count(*)::BIGINT AS N_docs, sum(n)::BIGINT AS L FROM docs),
+tfs AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(ws) AS term FROM docs) GROUP BY ALL),
+dfs AS (SELECT term, floor(1000 * ln((2 * N_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, totals GROUP BY term, N_docs),
+items AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * N_docs) // L)))))::BIGINT AS score
+  FROM items JOIN tfs USING (term) JOIN dfs USING (term), totals GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
+
+def op12_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark)
+    token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), folder, END)
+    return token_store.read(spark, folder, ids=False, digests=True)
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"), remainder_of_crc32(F.col("doc_id"), 7) == 0, F.col("n_chars") + 1)
+
+
+OP13_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT *, list_concat([4294967295], list_transform(range(8 * strlen(doc_id::VARCHAR)), lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, i // 8 + 1, 1)) ELSE 0 END)) AS steps,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body FROM documents),
+hashed AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || body) AS leaf,
+    sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || body) AS other,
+    xor(list_reduce(steps, lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) % 7 = 0 AS tampered FROM bits),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM hashed),
+low AS (
+  SELECT g, 0 AS level, r, n, leaf AS h FROM leaves
+  UNION ALL SELECT g, level + 1, r // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY r)) FROM low WHERE n > 1 GROUP BY g, level, n, r // 2),
+tops AS (SELECT g, level, h FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, g AS r, (SELECT count(*) FROM tops) AS n, h FROM tops
+  UNION ALL SELECT level + 1, r // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY r)) FROM high WHERE n > 1 GROUP BY level, n, r // 2),
+steps AS (
+  SELECT l.g, l.r AS leaf_r, x.level, x.h, (l.r >> x.level) % 2 AS is_right FROM leaves l JOIN low x ON x.g = l.g AND x.r = xor(l.r >> x.level, 1)
+  UNION ALL SELECT l.g, l.r, t.level + x.level, x.h, (l.g >> x.level) % 2 FROM leaves l JOIN tops t USING (g) JOIN high x ON x.r = xor(l.g >> x.level, 1)),
+heights AS (SELECT g, t.level + (SELECT max(level) FROM high) AS height, h AS subroot FROM tops t),
+paths AS (SELECT g, leaf_r AS r, string_agg(h, '' ORDER BY level) AS proof FROM steps GROUP BY g, leaf_r),
+fold AS (
+  SELECT g, r, 0 AS level, CASE WHEN tampered THEN other ELSE leaf END AS h FROM leaves
+  UNION ALL
+  SELECT f.g, f.r, f.level + 1, sha256(CASE WHEN s.is_right = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END)
+  FROM fold f JOIN heights USING (g) LEFT JOIN steps s ON s.g = f.g AND s.leaf_r = f.r AND s.level = f.level WHERE f.level < heights.height)
+SELECT l.doc_id, l.leaf, t.subroot, x.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = x.h AS verified
+FROM leaves l JOIN heights t USING (g) JOIN fold f ON f.g = l.g AND f.r = l.r AND f.level = t.height LEFT JOIN paths p ON p.g = l.g AND p.r = l.r, (SELECT h FROM high WHERE n = 1) x
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_topk, op3_chat, op4_secrets, op5_langid, op6_neardup, op7_sharding, op8_bpe, op9_fingerprint, op10_lmscore)}
+    found = (op1_mixing, op2_topk, op3_chat, op4_secrets, op5_langid, op6_neardup, op7_sharding, op8_bpe, op9_fingerprint, op10_lmscore, op11_search, op12_store, op13_manifest)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op3_chat": OP3_SQL, "op6_neardup": OP6_SQL, "op7_sharding": OP7_SQL}
+    return {"op2_topk": OP2_SQL, "op3_chat": OP3_SQL, "op6_neardup": OP6_SQL, "op7_sharding": OP7_SQL, "op11_search": OP11_SQL, "op13_manifest": OP13_SQL}
