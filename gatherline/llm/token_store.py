@@ -5,7 +5,7 @@ shard, block, first (ids of the shard before it), n_ids, docs (doc_id, n_tokens,
 at a whole byte and lie in one block, so blocks can be put together from coded documents and each block, or any stretch from a checkpoint on, is read by itself.
 Ascending (shard, block, place in docs) is ascending doc_id.
 
-Ids are counted over all texts, the code book (as large as the vocabulary) is made by package-merge on the driver, and one shuffle by ranges of doc_id carries coded documents only.
+Texts are encoded once, to a table of plain ids that goes when the store is written. Ids are counted over all of it, the code book (as large as the vocabulary) is made by package-merge on the driver, and one shuffle by ranges of doc_id carries coded documents only.
 Readers turn bits to ids by one table look-up a code, for all stretches of a block at once.
 """
 
@@ -15,58 +15,92 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, sliced
+from .common import ddl, portions, sliced
 
 #: Longest code in bits (a vocabulary that needs more gets more), ids between checkpoints, ids after which a block ends.
 LONGEST, EVERY, BLOCK_IDS = 18, 128, 1 << 17
-#: Distinct words that a task keeps before it forgets them all, and the longest word (in bytes) that it keeps.
-KEPT_WORDS, KEPT_BYTES = 1_000_000, 64
+#: Distinct words and pieces that a task keeps (those that it meets first), and the longest that it keeps (in bytes).
+KEPT_WORDS, KEPT_PIECES, KEPT_BYTES = 800_000, 400_000, 64
+#: Bytes of texts that a task encodes at once (a longer text is alone).
+PORTION = 8 << 20
+#: Words that are cut into pieces here, and how: as the vocabulary's own pattern does. Other words may hold white space or letters on which two versions of Unicode differ.
+PLAIN = regex.compile(r"[!-~\u00a1-\u052f]+")
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What stands for each byte in a byte-level vocabulary: printable ones of Latin-1 for themselves, the others, in order, the characters from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = [chr(b) if b in PRINTABLE else chr(256 + sum(x not in PRINTABLE for x in range(b))) for b in range(256)]
 #: Shards, at most; boundaries between them are quantiles of doc_id, which an estimate of bounded size gives.
 MOST_SHARDS = 4096
 
 
 class Encoder:
-    """Ids by a tokenizer file of the tokenizers library. Texts are cut at ASCII white space, which the vocabulary drops and over which nothing is merged; a task encodes a distinct word once."""
+    """Ids by a tokenizer file of the tokenizers library, equal to those of whole texts.
+
+    Texts are cut at ASCII white space, which the vocabulary drops and over which nothing is merged, and a task encodes a distinct word once. A word of plain letters, digits and signs (ASCII, or up to Cyrillic, by the library's normalizer) is
+    cut into pieces as the file's pattern does, and a distinct piece goes to the library's model once; any other word goes to the library as it is."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.begin_anew()
-
-    def begin_anew(self) -> None:
+        self.normalize, self.merge = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
         self.number: dict[bytes, int] = {}
+        self.piece: dict[str, tuple[int, ...]] = {}
         self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def add(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        self.number.update(zip(words, range(len(self.ends) - 1, len(self.ends) - 1 + len(words))))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.int32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(f) for f in found])])
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """The ids of each text."""
-        words = [(t or b"").split() for t in texts]
-        distinct = {w for ws in words for w in ws}
-        if len(self.ends) + len(distinct) > KEPT_WORDS or len(self.ids) > 8 * KEPT_WORDS:
-            self.begin_anew()
-        if new := list(distinct.difference(self.number)):
-            self.add(new)
-        numbers = np.fromiter((n for ws in words for n in map(self.number.__getitem__, ws)), np.int64)
-        for w in new:
-            if len(w) > KEPT_BYTES:
-                del self.number[w]
-        starts, sizes = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
-        return np.split(flat, ends[np.cumsum([len(ws) for ws in words])][:-1]) if words else []
+    def ids_of_piece(self, piece: str) -> tuple[int, ...]:
+        found = self.piece.get(piece)
+        if found is None:
+            found = tuple(t.id for t in self.merge("".join(map(BYTE_LETTERS.__getitem__, piece.encode()))))
+            if len(self.piece) < KEPT_PIECES and len(piece) <= KEPT_BYTES:
+                self.piece[piece] = found
+        return found
+
+    def ids_of(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8", "replace")
+        if b"<|" in word or not PLAIN.fullmatch(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        text = text.lower() if word.isascii() else self.normalize(text)
+        return [i for piece in PIECES.findall(text) for i in self.ids_of_piece(piece)]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array."""
+        if not len(texts):
+            return []
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()  # distinct ones, and which one stands in each place
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        numbers = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missed = np.flatnonzero(numbers < 0)
+        new = [distinct[i] for i in missed]
+        found = list(map(self.ids_of, new))
+        first = len(self.ends) - 1
+        numbers[missed] = np.arange(first, first + len(new))
+        ids, ends = self.joined(found)
+        starts, sizes = ends[numbers], ends[numbers + 1] - ends[numbers]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        of_words = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])]))
+        every = of_words.take(words.indices)
+        keep = [i for i, w in enumerate(new) if len(w) <= KEPT_BYTES][: max(0, KEPT_WORDS - len(self.number))]
+        self.number.update(zip((new[i] for i in keep), range(first, first + len(keep))))
+        self.ids, self.ends = (ids, ends) if len(keep) == len(new) else self.joined([found[i] for i in keep])
+        cuts = every.offsets.to_numpy()[split.offsets.to_numpy()[1:-1] - split.offsets[0].as_py()]
+        return np.split(every.flatten().to_numpy(), cuts)
+
+    def joined(self, found: list) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that are kept and those found, and where each word's end."""
+        ends = self.ends[-1] + np.cumsum([len(f) for f in found], dtype=np.int64)
+        return np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32)]), np.concatenate([self.ends, ends])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -79,22 +113,37 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def texts_of(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").to_pylist()
+def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
+    """docs (with a column text) with ids (binary: little-endian numbers of two bytes each, or four where the vocabulary needs them) in place of text: the text's and then end."""
+    width = width_of(path, end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for batch in portions(batches, "text", 2048, PORTION):
+            made = [np.append(ids, end).astype(width).tobytes() for ids in e.encode(batch.column("text"))]
+            rest = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(made, pa.binary())], names=[*rest, "ids"])
+
+    return docs.mapInArrow(run, ddl(docs.drop("text"), "ids binary"))
+
 
+def width_of(path: str, end: int) -> str:
+    from tokenizers import Tokenizer
 
-def counts(texts: DataFrame, path: str, end: int) -> DataFrame:
-    """id, c: how often each id occurs in all texts (text: binary), each followed by end."""
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+
+
+def counts(coded: DataFrame, width: str) -> DataFrame:
+    """id, c: how often each id occurs in all rows (ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, e = np.zeros(1, np.int64), encoder(path)
-        for batch in portions(batches, "text"):
-            ids = np.concatenate(e.encode(texts_of(batch)) + [np.full(batch.num_rows, end)])
-            total = added(total, np.bincount(ids))
+        total = np.zeros(1, np.int64)
+        for batch in portions(batches, "ids", 2048, PORTION):
+            total = added(total, np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), width)))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["id", "c"])
 
-    return texts.mapInArrow(run, "id int, c long").groupBy("id").agg(F.sum("c").alias("c"))
+    return coded.select("ids").mapInArrow(run, "id int, c long").groupBy("id").agg(F.sum("c").alias("c"))
 
 
 def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,25 +236,29 @@ def write(docs: DataFrame, path: str, folder: str, end: int, *, shards: int | No
     """Encodes docs (doc_id integer, text; others ignored) with the tokenizer file at path and writes a store to folder: a document's ids and then end, by ascending doc_id (null first).
 
     A null or empty text has the end alone. Whole texts of any length are encoded; rows that repeat an id follow each other in any order. An empty table gives an empty store."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.encode("text", "UTF-8").alias("text"))
-    found = counts(docs, path, end)
-    lengths = code_lengths({r["id"]: r["c"] for r in found.toLocalIterator()})  # as many ids as the vocabulary has
+    spark, kind, width = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString(), width_of(path, end)
+    shards = shards or min(MOST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tokens = f"{folder}/tokens"
+    tokenized(shard_of(docs.select("doc_id", "text"), shards), path, end).write.option("compression", "zstd").parquet(tokens)
+    ids = spark.read.schema(f"doc_id {kind}, key long, shard int, ids binary").parquet(tokens)
+    lengths = code_lengths({r["id"]: r["c"] for r in counts(ids, width).toLocalIterator()})  # as many ids as the vocabulary has
     spark.createDataFrame([(i, b) for i, b in sorted(lengths.items())], "id int, bits int").coalesce(1).write.parquet(f"{folder}/codebook")
     shared = spark.sparkContext.broadcast(Codes(lengths))
-    shards = shards or min(MOST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, e = shared.value, encoder(path)
-        for batch in portions(batches, "text"):
-            made = [codes.encode(np.append(ids, end)) + (len(ids) + 1,) for ids in e.encode(texts_of(batch))]
-            arrays = [pa.array([m[2] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[0] for m in made], pa.binary())]
+        codes = shared.value
+        for batch in portions(batches, "ids"):
+            ids = [np.frombuffer(b, width) for b in batch.column("ids").to_pylist()]
+            made = [codes.encode(i) for i in ids]
+            arrays = [pa.array(map(len, ids), pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[0] for m in made], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "key", "doc_id")), *arrays], names=["shard", "key", "doc_id", "n_tokens", "checkpoints", "payload"])
 
-    coded = shard_of(docs, shards).mapInArrow(code, f"shard int, key long, doc_id {kind}, n_tokens long, checkpoints array<long>, payload binary")
+    coded = ids.mapInArrow(code, f"shard int, key long, doc_id {kind}, n_tokens long, checkpoints array<long>, payload binary")
     ordered = coded.repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "n_tokens", "payload")
-    ordered.mapInArrow(partial(assembled, block_ids=block_ids), f"shard int, block int, first long, n_ids long, docs array<struct<doc_id:{kind},n_tokens:long>>, checkpoints array<long>, payload binary").write.parquet(f"{folder}/blocks")
+    blocks = ordered.mapInArrow(partial(assembled, block_ids=block_ids), f"shard int, block int, first long, n_ids long, docs array<struct<doc_id:{kind},n_tokens:long>>, checkpoints array<long>, payload binary")
+    blocks.write.parquet(f"{folder}/blocks")
+    where = spark._jvm.org.apache.hadoop.fs.Path(tokens)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def assembled(batches: Iterator[pa.RecordBatch], block_ids: int) -> Iterator[pa.RecordBatch]:

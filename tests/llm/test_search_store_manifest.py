@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,14 +115,22 @@ def library(texts):
     return [e.ids + [1] for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-def test_words_are_encoded_as_whole_texts():
+def test_words_are_encoded_as_whole_texts(monkeypatch):
     r = random.Random(9)
     parts = ["don't", "İstanbul", "ΣΑΣ", "é", "́x", "ﬁ", "<|endoftext|>", "\x1c", "\x85", "\xa0", " ", "\x0b", "\t", "\r\n", " ", "  ", "日本", "42nd", "'s", "...", "한", "하", "Å", "ǅ", "\x00", "x" * 300, "🙂"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(800)]
+    texts += ["".join(chr(r.choice([r.randrange(33, 127), r.randrange(128, 0x530), r.randrange(0x300, 0x370), 32])) for _ in range(40)) for _ in range(800)]
+    texts += ["".join(map(chr, range(n, n + 64))) for n in range(0, 0xD800, 64)]
     e = token_store.Encoder(PATH)
-    for at in range(0, 800, 100):
-        assert [[*x, 1] for x in e.encode([t.encode() for t in texts[at : at + 100]])] == library(texts[at : at + 100])
+    for at in range(0, len(texts), 100):
+        assert [[*x, 1] for x in e.encode(pa.array(texts[at : at + 100]))] == library(texts[at : at + 100])
     assert all(len(w) <= token_store.KEPT_BYTES for w in e.number)
+    monkeypatch.setattr(token_store, "KEPT_WORDS", 50)  # what isn't kept is encoded anew
+    monkeypatch.setattr(token_store, "KEPT_PIECES", 20)
+    few = token_store.Encoder(PATH)
+    for at in range(0, 1600, 100):
+        assert [[*x, 1] for x in few.encode(pa.array(texts[at : at + 100]))] == library(texts[at : at + 100])
+    assert len(few.number) <= 50 and len(few.piece) <= 20
 
 
 def test_store(spark, odd, no_rows):
