@@ -244,3 +244,64 @@ CITY_STEMS = [
     ("granada", "Granada"), ("гранад", "Granada"), ("castellón", "Castellon"), ("castellon", "Castellon"), ("кастельон", "Castellon"), ("marbel", "Marbella"), ("marbella", "Marbella"),
     ("марбель", "Marbella"), ("tenerif", "Tenerife"), ("tenerife", "Tenerife"), ("тенериф", "Tenerife"), ("valensi", "Valencia"), ("valència", "Valencia"), ("valencia", "Valencia"), ("валенси", "Valencia"),
 ]
+
+# Chat posts: an advertisement and a date before the news, words for places, and cities by cue, in the order they are looked for.
+PROMO_INTRO = (
+    r"(?iu)^.{0,40}?(?:у нас для вас|маємо для вас|у нас є для вас|просто космічні новини).*?"
+    r"[\x{1FA90}\x{2728}\x{1F680}\x{1F389}\x{1F38A}\x{1F386}\x{1F31F}\x{1F4AB}\x{1F525}]\s+"
+)
+DATE_BEFORE = r"^\s*\d{1,2}[./-]?\s*(?:de\s+)?[A-Za-zА-Яа-яёЁ]*\.?\s*(?:\d{4})?\s*[—\-:|·]\s*"
+PLACE_CUE = r"(?iu)📍|@|teatro|sala|museo|palau|centro|jard[íi]n|parque"
+CITY_CUES = [
+    ("valencia|valència|валенси", "Valencia"), ("madrid|мадрид", "Madrid"), ("barcelona|барселон", "Barcelona"), ("sevilla|севиль", "Sevilla"), ("m[áa]laga|малаг", "Málaga"),
+    ("bilbao|бильбао", "Bilbao"), ("zaragoza|сарагос", "Zaragoza"), ("alicante|alacant|аликанте", "Alicante"), ("murcia|мурси", "Murcia"), ("granada|гранад", "Granada"),
+    ("gand[íi]a|гандия", "Gandia"), ("castell[óo]n|кастельон", "Castellón"), ("torrevieja|торревьех", "Torrevieja"), ("marbella|марбель", "Marbella"),
+    ("palma|пальма|mallorca|майорк", "Palma"), ("tenerife|тенериф", "Tenerife"),
+]
+
+# Names of sources, which their header cards repeat.
+SOURCE_NAMES = {
+    "web:elcontacto": "Elcontacto.ru", "web:eventbrite": "Eventbrite", "web:lacotorra": "La Cotorra", "web:laganzua": "La Ganzúa", "web:palau": "Palau de la Música", "web:russpain": "RUSSPAIN",
+    "tg:rutatuta_vlc": "Валенсия с пристрастием", "web:valenciarusa": "Валенсия Русская", "tg:vidacultural_Valencia": "Культурне життя Валенсії/Vida Cultural de Valencia",
+    "web:visitvalencia": "Visit Valencia", "web:ticketmaster": "Ticketmaster",
+}
+
+# Venues that cards begin or end with, English short months, and towns after a venue.
+EXPERIENCE_VENUES = [
+    "Auditorio Mar Rojo - Oceanogràfic València", "Jardines del Real or Viveros", "Ateneo Mercantil de Valencia", "Casino Cirsa Valencia", "Radio City Valencia",
+    "Sala Moon Valencia", "Teatre La Plazeta", "Teatro Carolina", "Peter Rock Club", "Nuevo Cuenca", "ZEVRA FESTIVAL",
+]
+BOX_OFFICE_VENUES = ["Palacio de Congresos de Valencia", "Estadi Ciutat de València", "Plaza de Toros de Valencia", "Auditorio Roig Arena", "Sala Jerusalem", "Sala Moon", "Roig Arena"]
+ENGLISH_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+TOWN_AFTER = r"(?i)\s+(?:Valencia|Val[èe]ncia|Cullera(?:\s+Beach)?|Benic[àa]ssim|Benicasim)\s*$"
+
+# Pages of cards in capitals: months (Spanish and Catalan stems), ends of cards, heads of sections, exhibitions.
+SPANISH_STEMS = ["ene|gener", "feb", "mar", "abr", "may|maig", "jun", "jul", "ago", "sep|set", "oct", "nov", "dic|desembre"]
+CARD_END = r"(?i)^(ver m[áa]s|m[áa]s informaci[óo]n|ver conferencia|reservar ya|comprar entradas|ver todas?(\s|$)|ver todos)"
+SECTION_HEAD = (
+    r"(?i)^(exposiciones|conferencias|talleres|actividades|proyecciones|hist[óo]rico|agenda|inicio|programaci[óo]n|edificios|descubre|categor[íi]a|recinto|ubicaci[óo]n|fecha|ordenar por|"
+    r"ultimas|antiguas|buscar|men[úu]|cerrar|espa[ñn]ol|ingl[ée]s|valenciano|planea tu visita|ver todas?|ver todos)\b"
+)
+EXHIBITION_TITLE = r"(?iu)exposici[oó]n|exhibition|выстав|экспоз"
+EXHIBITION, EXHIBITION_DAYS, BLOCK_VENUE = "выставка", 4, "Ciutat de les Arts i les Ciències"
+
+# Schedule feeds: the label of a show without a name, and where posters lie (number and .jpg follow).
+UNNAMED_SHOW = "Hemisfèric session"
+POSTER_URL = "https://exposiciones.cac.es/media/cartelerahemisferic/idcontenido_img_"
+
+# Cards of pages: an anchor's tag, an element that holds a title, and parts of paths that are the site's own.
+ANCHOR_TAG = r"""(?i)<a\b[^>]*href=["']([^"']+)["'][^>]*>"""
+TITLE_ELEMENT = (
+    r"""(?is)<(?:p|span|div)[^>]*class=["'][^"']*(?:event-title|card-title|entry-title|post-title)[^"']*["'][^>]*>(.*?)</(?:p|span|div)>"""
+    r"""|<h[1-4][^>]*>(.*?)</h[1-4]>"""
+)
+CHROME_PATHS = ["/tag/", "/category/", "/author/", "/feed", "/wp-", "/page", "/cookies", "/privacidad", "/aviso", "/contacto", "/privacy", "/terms", "/about-us"]
+
+# The dated link of a chat post's block.
+POST_LINK = r"""(?i)message_date[^>]*>\s*<a[^>]*href=["']([^"']+)["']"""
+
+# Landed pages: meta tags that are kept, anchors, and addresses and texts of links that are no cards.
+META_NAMES = ["og:image", "twitter:image", "description", "og:description"]
+ANCHOR = r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+NOISE_URL = [".jpg", ".png", ".webp", ".svg", ".pdf", "/tag/", "/category/", "/author/", "/feed", "/wp-json/"]
+NOISE_TEXT = ["leer más", "read more", "more", "saber más", "ver más"]

@@ -29,3 +29,26 @@ def saved(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that an iterative job writes in the shared folder and drops when nothing lazy reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.paths, self.n = spark, new_path(spark), {}, 0
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that saved has returned; others are passed over."""
+        for table in tables:
+            _, path = self.paths.pop(id(table), (None, None))
+            if path:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

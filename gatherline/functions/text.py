@@ -166,6 +166,18 @@ def excerpt(c: Column, limit: int = 220) -> Column:
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - 1)), F.lit("…")))
 
 
+def meta_description(c: Column, limit: int = 160) -> Column:
+    """A text in one line, cut (at a blank in its second half, if there is one) with an ellipsis where it is longer; null if there is none."""
+
+    def cut(t: Column) -> Column:
+        head = F.substring(t, 1, limit)
+        blank = F.length(head) - F.position(F.lit(" "), F.reverse(head))
+        short = F.when(F.contains(head, F.lit(" ")) & (blank > limit * 0.5), F.substring(head, F.lit(1), blank)).otherwise(head)
+        return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(short, r"[\s,;:—–-]+$", ""), F.lit("…")))
+
+    return once(compact(c), cut)
+
+
 def clean_controls(c: Column) -> Column:
     """Without control characters (but tab, line feed, carriage return) and code points that aren't characters."""
     return F.regexp_replace(c, r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{fdd0}-\x{fdef}\x{fffe}\x{ffff}]", "")

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import saved
+from ..functions.storage import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id and root (the least id reachable) of every end of edges (a, b).
 
-    Labels fall to the least label of a neighbour and then to that label's own label, until none changes; the table is written each round."""
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("root")))
+    Labels fall to the least label of a neighbour and then to that label's own label, until none changes; the table is written each round, and that of the round before is dropped."""
+    scratch = Scratch(edges.sparkSession)
+    both = scratch.saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    table = scratch.saved(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.lit(None).cast(both.schema["a"].dataType).alias("old"), F.least("a", "b").alias("root")))
     while True:
+        labels = table.select("id", "root")
         of_neighbours = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("seen")).withColumnRenamed("a", "id")
         lower = labels.join(of_neighbours, "id").select("id", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
         jump = labels.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        step = saved(lower.join(jump, "root", "left").select("id", "old", F.least("root", F.coalesce("further", "root")).alias("root")))
-        labels = step.select("id", "root")
+        step = scratch.saved(lower.join(jump, "root", "left").select("id", "old", F.least("root", F.coalesce("further", "root")).alias("root")))
+        scratch.drop(table)
+        table = step
         if step.where("root < old").isEmpty():
-            return labels
+            scratch.drop(both)
+            return step.select("id", "root")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, fixed, places, titles
 from ..functions.text import compact, empty, fold, norm_title
 from . import gates
-from .normalize import SHAPES, linked, register_shape
+from .normalize import linked
 
 DMY = r"(\d{2})/(\d{2})/(\d{4})"
 
@@ -252,26 +252,3 @@ def agenda_cards(items: DataFrame, *, name: str = "") -> DataFrame:
     c = c.join(near, "id", "left").withColumn("range", F.coalesce("glued", "of_page"))
     start = F.coalesce("range.start", dates.parse_date(F.concat_ws(" ", "title", F.regexp_replace(empty(F.col("text")), tail, "")), F.to_date("seen")))
     return c.select("id", "source_key", "title", start.alias("start_date"), F.col("range.end").alias("end_date"), titles.cued(F.concat_ws(" ", "title", "url"), fixed.CARD_CATEGORIES, "culture").alias("category"), "url")
-
-
-FORMS = {"link_cards": link_cards, "headed": headed_cards, "badges": badge_cards, "concerts": concert_cards, "tickets": ticket_lines, "dated": dated_lines, "shop": shop_lines, "agenda": agenda_cards}
-for key, form, options in (
-    ("web:worldafisha", "link_cards", {"country": (fixed.COUNTRY_STEMS, fixed.ABROAD_STEMS), "cities": fixed.CITY_STEMS}),
-    ("web:valenciarusa", "link_cards", {"offers": True, "cities": fixed.CITY_STEMS}),
-    ("web:elcontacto", "link_cards", {"board": True}),
-    ("web:russpain", "link_cards", {"needs_date": True}),
-    ("web:palau", "headed", {}), ("web:hoyvalencia", "badges", {}), ("web:laganzua", "concerts", {}), ("web:eventbrite", "tickets", {}),
-    ("web:lacotorra", "dated", {}), ("web:ticketbest", "shop", {}), ("web:visitvalencia", "agenda", {}),
-):
-    register_shape(key, form, **options)
-
-
-def drafts(items: DataFrame, sources: list[str]) -> DataFrame:
-    """Drafts of all named sources, each read in the shape that is registered for it; what a shape doesn't tell is null."""
-    out = None
-    for source in sources:
-        form, options = SHAPES[source]
-        one = FORMS[form](items.where(F.col("source_key") == source), **options)
-        one = one.select("source_key", *[c for c in ("title", "start_date", "end_date", "start_time", "venue_name", "city", "price", "category", "url") if c in one.columns])
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out

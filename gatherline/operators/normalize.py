@@ -7,15 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 
-SHAPES: dict[str, tuple[str, dict]] = {}
 DRAFT_COLUMNS = ["title", "description", "category", "start_date", "end_date", "start_time", "venue_name", "district", "address", "price", "is_free", "url", "source_url", "image_url", "source_item_id"]
 
 
-def register_shape(source_key: str, shape: str, **options) -> None:
-    """Makes a source's items be read as a shape (post, card or lines) with options."""
-    SHAPES[source_key] = (shape, options)
-
-
 def posts(items: DataFrame, category: str | None = None, needs_date: bool = False) -> DataFrame:
     """Drafts of chat posts (id, source_key, text, seen): headline, date from the day seen on, price; posts under 12 characters without a date or venue cue go."""
     price = dates.price(F.col("text"))
@@ -89,15 +83,17 @@ def linked(drafts: DataFrame, links: DataFrame) -> DataFrame:
     """drafts (id, source_key, title) with the url of the best of its source's links (source_key, pos, title, url): equal titles, else one in the
     other (8 characters and 60 % at least), else 60 % of words in common; ties go to the first link. Links meet drafts that share a word with them."""
     key = lambda df, t, u: df.withColumn(t, text.norm_title(F.col("title"))).withColumn(u, F.array_distinct(F.split(F.col(t), " ")))
-    d = key(drafts, "k", "ws").where("k <> ''").select("id", "source_key", "k", "ws", F.explode("ws").alias("w"))
-    n = key(links, "k2", "ws2").where("k2 <> ''").select("source_key", "pos", "url", "k2", "ws2", F.explode("ws2").alias("w"))
+    titles = key(drafts, "k", "ws").where("k <> ''")
+    d = titles.select("source_key", "k", "ws").distinct().withColumn("w", F.explode("ws"))  # drafts of one title meet links once
+    n = key(links, "k2", "ws2").where("k2 <> ''").groupBy("source_key", "k2", "ws2").agg(F.min(F.struct("pos", "url")).alias("l")).select("source_key", "l.pos", "l.url", "k2", "ws2", F.explode("ws2").alias("w"))
     j = d.join(n, ["source_key", "w"]).drop("w").distinct()
     low, high = F.least(F.length("k"), F.length("k2")), F.greatest(F.length("k"), F.length("k2"))
     inside = (F.col("k").contains(F.col("k2")) | F.col("k2").contains(F.col("k"))) & (low >= 8) & (low >= 0.6 * high)
     common = F.size(F.array_intersect("ws", "ws2")) / F.size(F.array_union("ws", "ws2"))
     rank = F.when(F.col("k") == F.col("k2"), F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("s"))).when(inside, F.struct(F.lit(1).alias("t"), (-low / high).alias("s"))).when(common >= 0.6, F.struct(F.lit(2).alias("t"), (-common).alias("s")))
-    best = j.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("id").agg(F.min(F.struct("rank", "pos", "url")).alias("b"))
-    return drafts.join(best, "id", "left").select(*drafts.columns, F.col("b.url").alias("url"))
+    best = j.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("source_key", "k").agg(F.min(F.struct("rank", "pos", "url")).alias("b"))
+    of_draft = titles.select("id", "source_key", "k").join(best, ["source_key", "k"]).select("id", F.col("b.url").alias("url")).dropDuplicates(["id"])
+    return drafts.join(of_draft, "id", "left").select(*drafts.columns, "url")
 
 
 def upserted(events: DataFrame, drafts: DataFrame, run_at: Column) -> DataFrame:

@@ -95,6 +95,11 @@ def breakdown(runs: DataFrame) -> DataFrame:
     return runs.rollup("source_key").agg(F.count("*").alias("runs"), F.sum((F.col("status") == "error").cast("long")).alias("errors"), F.sum("new_items").alias("items"))
 
 
+def summary(outcomes: DataFrame) -> DataFrame:
+    """One row over outcomes (source_key, status, items): total, ok and errors (sources), and items (null ones are none)."""
+    return outcomes.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "error").alias("errors"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"))
+
+
 def hourly(runs: DataFrame) -> DataFrame:
     """ok, error and new-item counts by hour and source; the same on a stream with a watermark on started_at."""
     return runs.groupBy(F.window("started_at", "1 hour").alias("w"), "source_key").agg(

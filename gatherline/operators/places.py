@@ -70,31 +70,60 @@ def block(places: DataFrame) -> DataFrame:
     return places.withColumn("block", F.concat_ws("|", text.signature(F.col("name")), known(area), known(F.col("category")))).withColumn("plain", text.slug(text.latin(F.col("name"))))
 
 
+def side(p: DataFrame, x: str) -> DataFrame:
+    return p.select(*[F.col(c).alias(c + x) for c in ("id", "link", "source", "external_ref", "block", "plain", "lat", "lng", "geo_source")])
+
+
+def alike_in_block(p: DataFrame) -> DataFrame:
+    """a and b (a < b) of one block with like names and (two sources or near pins)."""
+    a, b = side(p, "_a"), side(p, "_b")
+    in_block = a.join(b, (F.col("block_a") == F.col("block_b")) & (F.col("id_a") < F.col("id_b")) & ((F.col("source_a") != F.col("source_b")) | corroborates("_a", "_b")))
+    # with so high a likeness, neither name is over twice as long as the other: likeness is at most 0.4 + 0.6 * (2 + shorter / longer) / 3
+    near = F.least(F.length("plain_a"), F.length("plain_b")) * 2 >= F.greatest(F.length("plain_a"), F.length("plain_b"))
+    return in_block.where(near).where(likeness("plain_a", "plain_b") >= fixed.NAME_LIKENESS).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+
 def pairs(places: DataFrame) -> DataFrame:
     """a and b (a < b) of one place: one maps link, or one reference of one source, or one block with like names and (two sources or near pins)."""
     p = block(places).withColumn("link", F.nullif(F.lower(F.trim(text.empty(F.col("maps_url")))), F.lit("")))
-    side = lambda x: p.select(*[F.col(c).alias(c + x) for c in ("id", "link", "source", "external_ref", "block", "plain", "lat", "lng", "geo_source")])
-    a, b = side("_a"), side("_b")
+    a, b = side(p, "_a"), side(p, "_b")
     less = F.col("id_a") < F.col("id_b")
     by_link = a.join(b, (F.col("link_a") == F.col("link_b")) & less)
     by_ref = a.join(b, (F.col("source_a") == F.col("source_b")) & (F.col("external_ref_a") == F.col("external_ref_b")) & less)
-    in_block = a.join(b, (F.col("block_a") == F.col("block_b")) & less & ((F.col("source_a") != F.col("source_b")) | corroborates("_a", "_b")))
-    # with so high a likeness, neither name is over twice as long as the other: likeness is at most 0.4 + 0.6 * (2 + shorter / longer) / 3
-    near = F.least(F.length("plain_a"), F.length("plain_b")) * 2 >= F.greatest(F.length("plain_a"), F.length("plain_b"))
-    alike = in_block.where(near).where(likeness("plain_a", "plain_b") >= fixed.NAME_LIKENESS)
-    every = by_link.select("id_a", "id_b").unionByName(by_ref.select("id_a", "id_b")).unionByName(alike.select("id_a", "id_b"))
-    return every.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    every = by_link.select("id_a", "id_b").unionByName(by_ref.select("id_a", "id_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return every.unionByName(alike_in_block(p)).distinct()
+
+
+def links(places: DataFrame) -> DataFrame:
+    """a and b that join the same places as pairs, but rows of one maps link, or of one reference of one source, only to the least of them, so that a shared link makes no pairs of all its rows."""
+    p = block(places).withColumn("link", F.nullif(F.lower(F.trim(text.empty(F.col("maps_url")))), F.lit("")))
+
+    def star(*key: str) -> DataFrame:
+        rows = p.select("id", *key).dropna(subset=[*key])
+        least = rows.groupBy(*key).agg(F.min("id").alias("a"))
+        return rows.join(least, [*key]).where("a < id").select("a", F.col("id").alias("b"))
+
+    return star("link").unionByName(star("source", "external_ref")).unionByName(alike_in_block(p)).distinct()
 
 
 def resolved(places: DataFrame, weights: dict[str, str]) -> DataFrame:
-    """id and root of every place: its component's row of best source weight, with a pin, of least id."""
+    """id and root of every place: its component's row of best source weight, with a pin, seen first (if places have first_seen, as text), of least id."""
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("source"))
-    order = F.struct((-weight_rank(weight)).alias("w"), F.col("lat").isNull().alias("p"), "id")
-    own = places.select("id", order.alias("o")).join(components(pairs(places)), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    seen = F.coalesce("first_seen", F.lit("~")) if "first_seen" in places.columns else F.lit("")
+    order = F.struct((-weight_rank(weight)).alias("w"), F.col("lat").isNull().alias("p"), seen.alias("s"), "id")
+    own = places.select("id", order.alias("o")).join(components(links(places)), "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = own.groupBy("root").agg(F.min("o").alias("f"))
     return own.join(first, "root").select("id", F.col("f.id").alias("root"))
 
 
+def merged_places(places: DataFrame, found: DataFrame) -> DataFrame:
+    """Surviving places with recommended_by (array: the distinct ones of all members, sorted) and n_members; a place's own may be null."""
+    own = places.select("id", "recommended_by").join(found, "id")
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("recommended_by", F.array().cast("array<string>"))))))
+    g = own.groupBy("root").agg(every.alias("recommended_by"), F.count("*").alias("n_members")).withColumnRenamed("root", "id")
+    return places.drop("recommended_by").join(g, "id")
+
+
 def geocoded(rows: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """rows (id, queries, url_lat, url_lng) with lat, lng and geo_source: the link's own point, else the gazetteer's (name, lat, lng) for the first query that has one and isn't a fallback."""
     asked = rows.select("id", F.posexplode("queries").alias("pos", "q"))
@@ -123,8 +152,8 @@ ENRICHMENT = "title_ru string, description_ru string, category string, venue_nam
 
 
 def validated(json: Column) -> Column:
-    """A model's JSON as a struct: unknown keys go, blanks are null, confidence is in [0, 1] (0 where it is no number), links need a url and are labelled with it."""
-    j = F.from_json(json, ENRICHMENT)
+    """The JSON in a model's answer (what stands around it doesn't count) as a struct: unknown keys go, blanks are null, confidence is in [0, 1] (0 where it is no number), links need a url and are labelled with it."""
+    j = text.json_in(json, ENRICHMENT)
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
     sure = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), j["confidence"].try_cast("double"))), F.lit(0.0))
     links = F.transform(F.filter(F.coalesce(j["links"], F.array().cast("array<struct<label:string,url:string>>")), lambda x: blank(x["url"]).isNotNull()), lambda x: F.struct(F.coalesce(blank(x["label"]), x["url"]).alias("label"), x["url"].alias("url")))
@@ -142,6 +171,29 @@ def promoted(events: DataFrame, results: DataFrame) -> DataFrame:
     return j.withColumns(new | {"title_ru": F.col("v.title_ru"), "held": held, "confidence": F.col("v.confidence")}).drop("v")
 
 
+#: Columns of events that an enrichment's values come first in.
+PROMOTED = ["title_ru", "description_ru", "category", "venue_name", "address", "district", "price", "image_url"]
+ANSWER = ", ".join([*(f"{c} string" for c in PROMOTED), "is_free boolean, maps_url string, confidence string, model string, notes string, links array<struct<label:string,url:string>>, citations array<struct<url:string,supports:string>>"])
+
+
+def written_back(events: DataFrame, results: DataFrame, at: Column, model: str | None = None) -> DataFrame:
+    """The events table after enrichment results (id, json: a model's answer): values that an answer has come first, all others stay (blank is none); links_json takes its links and then its map link, if it has any; enrichment_json holds the
+    answer in full, without unknown keys, with confidence in [0, 1], the model, and a note where facts lack a citation; enriched_at is set. Events without an answer, or with one that is no JSON, stay as they are; scores do in any case."""
+    j = text.json_in(F.col("json"), ANSWER)
+    r = results.select("id", j.alias("j"), validated(F.col("json")).alias("v")).where("j IS NOT NULL")
+    blank = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
+    link = F.when(blank("j.maps_url").isNotNull(), F.array(F.struct(F.lit("Google Maps").alias("label"), blank("j.maps_url").alias("url")))).otherwise(F.array().cast("array<struct<label:string,url:string>>"))
+    links = F.concat("v.links", link)
+    bare = F.col("v.asserts") & (F.size("v.citations") == 0)
+    note = F.nullif(F.concat_ws("; ", blank("j.notes"), F.when(bare, "ungrounded"), F.when(F.col("v.confidence") < fixed.LEAST_CONFIDENCE, "low confidence")), F.lit(""))
+    audit = F.to_json(F.struct(*[blank(f"j.{c}").alias(c) for c in PROMOTED], F.col("j.is_free").alias("is_free"), blank("j.maps_url").alias("maps_url"), F.col("v.confidence").alias("confidence"), F.coalesce(blank("j.model"), F.lit(model)).alias("model"),
+        note.alias("notes"), F.col("v.links").alias("links"), F.col("v.citations").alias("citations")))
+    r = r.select("id", F.struct(*[blank(f"j.{c}").alias(c) for c in PROMOTED], F.col("j.is_free").cast("int").alias("is_free"), F.when(F.size(links) > 0, F.to_json(links)).alias("links_json"), audit.alias("enrichment_json")).alias("new"))
+    own = [c for c in (*PROMOTED, "is_free", "links_json") if c in events.columns]
+    e = events.join(r, "id", "left").withColumns({c: F.coalesce(f"new.{c}", c) for c in own})
+    return e.withColumns({"enrichment_json": F.coalesce("new.enrichment_json", "enrichment_json"), "enriched_at": F.when(F.col("new").isNotNull(), at).otherwise(F.col("enriched_at"))}).drop("new")
+
+
 def enrichment_queue(events: DataFrame, limit: int) -> DataFrame:
     todo = events.where("enriched_at IS NULL OR last_seen > enriched_at")
     return todo.orderBy(F.desc_nulls_last("score"), "id").limit(limit)
@@ -151,3 +203,45 @@ def evaluated(pairs: DataFrame) -> DataFrame:
     """path, cases, passed of predictions against expectations (columns path, predicted, expected): a text passes that is 85 % alike by edit distance."""
     a, b = F.lower(text.empty(F.col("predicted"))), F.lower(text.empty(F.col("expected")))
     return pairs.groupBy("path").agg(F.count("*").alias("cases"), F.sum((F.levenshtein(a, b) * 100 <= F.greatest(F.length(a), F.length(b)) * 15).cast("long")).alias("passed"))
+
+
+CRITERIA = "venue_name string, start_date string, end_date string, address string, confidence double, urls array<string>"
+
+
+def judged(predictions: DataFrame, golden: DataFrame) -> DataFrame:
+    """case, path, criterion and passed of every criterion that a golden case (case, path, json) states, against the prediction of its case (case, json; a case may have none, and then fails).
+
+    json of a golden case has some of venue_name (alike to 85 % by edit distance), start_date, end_date and address (stand in the prediction as they are), confidence (at least that, but for a ten-thousandth) and links or links_json (objects with
+    a url, or urls; links_json may be the array as text). All urls that are wanted must be among the prediction's links: they are divided by those that are there, so a wanted url twice is one. A prediction that is no JSON object fails."""
+    wanted = golden.select("case", "path", F.try_parse_json("json").alias("g"))
+    one = lambda v, path: F.try_variant_get(v, path, "string")
+    facts = [("venue_name", "venue"), ("start_date", "dates"), ("end_date", "dates"), ("address", "address")]
+    stated = F.array(*[F.struct(F.lit(kind).alias("criterion"), F.lit(name).alias("name"), text.compact(one("g", f"$.{name}")).alias("value")) for name, kind in facts], F.struct(F.lit("confidence").alias("criterion"), F.lit("confidence").alias("name"), one("g", "$.confidence").alias("value")))
+    predicted = predictions.select("case", F.col("json").alias("said"), F.try_parse_json("json").alias("p"))
+    g = wanted.join(predicted, "case", "left")
+    each = g.select("case", "path", "said", "p", F.explode(F.filter(stated, lambda s: s["value"].isNotNull())).alias("s"))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant("p"), F.lit("OBJECT")), F.lit(False))
+    a, b = F.lower(text.empty(one("p", "$.venue_name"))), F.lower(F.col("s.value"))
+    alike = F.levenshtein(a, b) * 100 <= F.greatest(F.length(a), F.length(b)) * 15
+    sure = one("p", "$.confidence").try_cast("double") >= F.col("s.value").try_cast("double") - 0.0001
+    ok = F.when(F.col("s.criterion") == "venue", alike).when(F.col("s.criterion") == "confidence", sure).otherwise(F.contains("said", F.col("s.value")))
+    facts_passed = each.select("case", "path", F.col("s.name").alias("criterion"), (is_object & F.coalesce(ok, F.lit(False))).alias("passed"))
+
+    def urls(v: str) -> Column:
+        """The urls of links, else of links_json."""
+        lists = F.coalesce(F.try_variant_get(v, "$.links", "array<variant>"), F.try_variant_get(v, "$.links_json", "array<variant>"), F.try_variant_get(F.try_parse_json(one(v, "$.links_json")), "$", "array<variant>"))
+        found = F.transform(F.coalesce(lists, F.array().cast("array<variant>")), lambda x: F.coalesce(one(x, "$.url"), F.when(F.schema_of_variant(x) == "STRING", one(x, "$"))))
+        return F.array_distinct(F.filter(found, lambda u: u.isNotNull() & (u != "")))
+
+    asked = wanted.select("case", "path", F.explode(urls("g")).alias("url"))
+    there = predicted.select("case", F.explode(urls("p")).alias("url"), F.lit(True).alias("there"))
+    links = asked.join(there, ["case", "url"], "left").groupBy("case", "path").agg((F.count("there") == F.count("*")).alias("passed"))
+    return facts_passed.unionByName(links.select("case", "path", F.lit("links").alias("criterion"), "passed"))
+
+
+def verdicts(judgements: DataFrame) -> DataFrame:
+    """path, cases, passed (cases that meet all their criteria), and for each criterion how many cases met it, of how many."""
+    by_case = judgements.groupBy("path", "case").agg(F.min(F.col("passed").cast("int")).alias("all_met"))
+    cases = by_case.groupBy("path").agg(F.count("*").alias("cases"), F.sum("all_met").alias("passed"))
+    by_criterion = judgements.groupBy("path", "criterion").agg(F.count_if("passed").alias("met"), F.count("*").alias("of"))
+    return cases.join(by_criterion, "path").select("path", "cases", "passed", "criterion", "met", "of")

@@ -50,8 +50,8 @@ def tags(df: DataFrame, kind: str, name: str, plain: list[str], prefixed: list[s
     slugs = [F.nullif(text.slug(F.col(c)), F.lit("")) for c in plain if c in df.columns]
     slugs += [F.when(text.slug(F.col(c)) != "", F.concat(F.lit(f"{c}:"), text.slug(F.col(c)))) for c in prefixed if c in df.columns]
     own = [F.when(F.coalesce(holds, F.lit(False)), F.lit(t)) for t, holds in flags.items()]
-    found = [F.when(text.any_word(blob(df, name), ws), F.lit(t)) for t, ws in words.items()]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(F.lit(kind), *slugs, *own, *found))))
+    found = text.once(blob(df, name), lambda b: F.array(*[F.when(text.any_word(b, ws), F.lit(t)) for t, ws in words.items()]))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(F.lit(kind), *slugs, *own), found))))
 
 
 def event_tags(df: DataFrame) -> Column:
@@ -145,6 +145,14 @@ def weighed(cloud: DataFrame) -> DataFrame:
     return c.select("tag", "n", F.round("size", 4).alias("size"), F.when(F.col("size") > 1.08, 800).when(F.col("size") > 0.95, 700).otherwise(500).alias("weight"))
 
 
+def stats(feed_rows: DataFrame, events: DataFrame, places: DataFrame) -> DataFrame:
+    """One row: events (rows of the feed), mapped_events (those of events, id, lat, lng, that are in it and have coordinates), places, mapped_places and tags (distinct ones of the feed and of places, tags: array)."""
+    mapped = F.count_if(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    shown = events.select("id", "lat", "lng").join(feed_rows.select("id"), "id", "left_semi").agg(mapped.alias("mapped_events"))
+    one = feed_rows.agg(F.count("*").alias("events")).join(shown).join(places.agg(F.count("*").alias("places"), mapped.alias("mapped_places")))
+    return one.join(tag_counts(feed_rows, places).agg(F.count("*").alias("tags")))
+
+
 def months(feed_rows: DataFrame, as_of: str) -> DataFrame:
     """Distinct months with is_default: the first from as_of's on, else the last."""
     m = feed_rows.where("day IS NOT NULL").select(F.substring("day", 1, 7).alias("month")).distinct()
@@ -163,6 +171,21 @@ def calendar(feed_rows: DataFrame, month: str) -> DataFrame:
     return days.join(per_day, "day", "left").select("day", "weekday", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
 
 
+def calendar_split(feed_rows: DataFrame, month: str) -> DataFrame:
+    """Every day of a month with its number of rows, and by time (rows without one last) the ids of those of the schedule and of all others. Cards of series have no day of their own, and expositions lie in the strip:
+    neither are in it; series come by their sessions."""
+    card = F.col("series_id").isNotNull() & ~F.col("calendar_only") if {"series_id", "calendar_only"} <= {*feed_rows.columns} else F.lit(False)
+    own = feed_rows.where(F.col("day").startswith(month) & (F.coalesce("feature", F.lit("")) != "exposition") & ~card)
+    item = F.struct(F.coalesce("time", F.lit("99:99")).alias("t"), F.col("title").alias("s"), F.col("id"))
+    of_schedule = F.coalesce(F.col("feature") == "hemisferic", F.lit(False))
+    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, item))), lambda x: x["id"])
+    per_day = own.groupBy("day").agg(F.count("*").alias("n"), ids(of_schedule).alias("of_schedule"), ids(~of_schedule).alias("others"))
+    none, first = F.array().cast("array<bigint>"), F.to_date(F.lit(f"{month}-01"))
+    days = feed_rows.sparkSession.range(1).select(F.explode(F.sequence(first, F.last_day(first))).alias("d"))
+    days = days.select(F.date_format("d", "yyyy-MM-dd").alias("day"), F.weekday("d").alias("weekday"))
+    return days.join(per_day, "day", "left").select("day", "weekday", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("of_schedule", none).alias("of_schedule"), F.coalesce("others", none).alias("others"))
+
+
 def strip(feed_rows: DataFrame, month: str) -> DataFrame:
     """Expositions whose span meets a month, longest first."""
     last = F.date_format(F.last_day(F.to_date(F.lit(f"{month}-01"))), "yyyy-MM-dd")
@@ -172,7 +195,10 @@ def strip(feed_rows: DataFrame, month: str) -> DataFrame:
 
 
 def search(feed_rows: DataFrame, words: str | None = None, tag: str | None = None, cat: str | None = None) -> DataFrame:
-    hay = F.lower(F.concat_ws(" ", "title", "excerpt", "city", F.array_join("tags", " ")))
+    """Rows whose title (or name), description, excerpt, place and tags hold some words, with a tag, of a category; all that is asked for. The place is the location label, of rows without one the city."""
+    place = "location" if "location" in feed_rows.columns else "city"
+    parts = [c for c in ("title", "name", "description", "excerpt", place) if c in feed_rows.columns]
+    hay = F.lower(F.concat_ws(" ", *parts, F.array_join("tags", " ")))
     if words:
         feed_rows = feed_rows.where(hay.contains(words.lower()))
     if tag:
@@ -194,6 +220,25 @@ def detail(events: DataFrame) -> DataFrame:
     return events.select("id", F.replace(body, F.lit("<"), F.lit("\\u003c")).alias("json"))
 
 
+def described(events: DataFrame, site: str = "") -> DataFrame:
+    """id and schema.org JSON of events, with what they have: shown title, address of their page under a site, days (with a time), meta description, image, place and offer (in euros only where the price says so). Nothing is null, < is escaped."""
+    from ..functions import titles
+
+    has = lambda c: F.nullif(F.trim(F.col(c)), F.lit("")) if c in events.columns else F.lit(None).cast("string")
+    shown = F.coalesce(has("title_ru"), titles.derived_title(F.col("title"), 120))
+    page_title = F.coalesce(has("title_ru"), titles.derived_title(F.col("title")))
+    address = F.concat(F.lit(f"{site}/events/"), F.col("id"), F.lit("-"), text.page_slug(page_title, F.lit("event")))
+    place = F.when(F.coalesce(has("venue_name"), has("address")).isNotNull(), F.struct(F.lit("Place").alias("@type"), has("venue_name").alias("name"), has("address").alias("address")))
+    price = has("price")
+    offer = F.when(price.isNotNull(), F.struct(F.lit("Offer").alias("@type"), price.alias("price"), F.when(price.rlike("(?i)€|eur"), "EUR").alias("priceCurrency")))
+    begin = F.when(has("start_time").isNotNull(), F.concat_ws("T", has("start_date"), has("start_time"))).otherwise(has("start_date"))
+    body = F.to_json(F.struct(
+        F.lit("https://schema.org").alias("@context"), F.lit("Event").alias("@type"), shown.alias("name"), address.alias("url"), F.when(has("start_date").isNotNull(), begin).alias("startDate"), has("end_date").alias("endDate"),
+        text.meta_description(F.coalesce(has("description_ru"), has("description"))).alias("description"), (titles.image(has("image_url"))).alias("image"), place.alias("location"), offer.alias("offers"),
+    ))
+    return events.select("id", F.replace(body, F.lit("<"), F.lit("\\u003c")).alias("json"))
+
+
 def fold_series(sessions: DataFrame) -> DataFrame:
     """Series of sessions (id, title, venue_name, source, start_date, score): hash, first and last day, best score, number of sessions."""
     return sessions.groupBy(text.series_hash(F.col("title"), F.col("venue_name"), F.col("source")).alias("series")).agg(
@@ -201,6 +246,18 @@ def fold_series(sessions: DataFrame) -> DataFrame:
     )
 
 
+def folded_into(held: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The series table (series, title, start_date, end_date, score, image_url, description and others) after sessions (id, title, venue_name, source, start_date, score, image_url, description): first and last day are the sessions', image and
+    description the first ones that the series and then the sessions (by id) have, the score the best session's where the series has none. New series come in, others stay as they are."""
+    key = text.series_hash(F.col("title"), F.col("venue_name"), F.col("source"))
+    first = lambda c: F.min_by(c, F.when(text.empty(F.col(c)) != "", F.col("id"))).alias(c)
+    g = sessions.groupBy(key.alias("series")).agg(F.min_by("title", "id").alias("title"), F.min("start_date").alias("start_date"), F.max("start_date").alias("end_date"), F.max("score").alias("score"), first("image_url"), first("description"))
+    new = g.select("series", F.struct(*[c for c in g.columns if c != "series"]).alias("n"))
+    j = held.join(new, "series", "full")
+    kept = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), f"n.{c}") if c in ("image_url", "description") else F.coalesce(c, f"n.{c}") if c in ("score", "title") else F.coalesce(f"n.{c}", c)
+    return j.select(*[F.col(c) if c not in g.columns or c == "series" else kept(c).alias(c) for c in held.columns])
+
+
 def occurrences(sessions: DataFrame) -> DataFrame:
     series = text.series_hash(F.col("title"), F.col("venue_name"), F.col("source"))
     o = sessions.select("id", series.alias("series"), F.col("start_date").alias("day"), F.col("start_time").alias("time"), "status")

@@ -52,15 +52,34 @@ def ahead(series: DataFrame, occ: DataFrame, as_of: str) -> tuple[DataFrame, Dat
     return s, occ.where("status IS NULL OR status = 'upcoming'").join(s.select(F.col("id").alias("series_id")), "series_id", "left_semi")
 
 
+def series_cards(series: DataFrame) -> DataFrame:
+    """id and what a site shows of a series, in its card and its sessions alike: title (Russian, else as it is), excerpt (of the Russian description, else the description, else the raw text), location, category with its label, feature, cleaned
+    tags, page, image, price, language, end_date and score. Columns that series lack are null."""
+    optional = ("title_ru", "description_ru", "description", "raw_excerpt", "image_url", "price", "language", "source", "tags_json", "category", "district")
+    s = series.withColumns({c: F.lit(None).cast("string") for c in optional if c not in series.columns})
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    title, category = F.coalesce(filled("title_ru"), F.col("title")), text.category(F.col("category"))
+    page = F.concat(F.lit("/events/series-"), F.col("id"), F.lit("-"), text.page_slug(title, F.concat(F.lit("series-"), "id")))
+    return s.select(
+        "id", title.alias("title"), text.excerpt(F.coalesce(*[filled(c) for c in ("description_ru", "description", "raw_excerpt")])).alias("excerpt"), titles.event_location().alias("location"), "city", category.alias("category"),
+        text.category_label(category).alias("category_label"), rm.feature().alias("feature"), text.clean_tags(text.tags_of(F.col("tags_json"))).alias("tags"), page.alias("page"), titles.image(F.col("image_url")).alias("image"),
+        "price", "language", "start_date", "end_date", "score",
+    )
+
+
 def feed_rows(series: DataFrame, occ: DataFrame, as_of: str) -> DataFrame:
-    """Rows for the feed and calendar: a card for each series ahead (id, title, day, end_date, time, score, n_occurrences, calendar_only) and a row, for the calendar only, for each of its occurrences ahead."""
+    """Rows for the feed and calendar: a card for each series ahead (what series_cards shows, day, date_label, n_occurrences, calendar_only) and a row, for the calendar only, for each of its occurrences ahead, with its own day, time and label."""
     s, o = ahead(series, occ, as_of)
     n = o.groupBy("series_id").agg(F.count("*").alias("n"))
-    shared = [F.col("title"), titles.event_location().alias("location"), F.col("end_date"), F.col("score")]
-    card = s.join(n, s["id"] == n["series_id"], "left").select((F.col("id") + CARD_ID).alias("id"), F.col("id").alias("series_id"), *shared, F.col("start_date").alias("day"),
+    shown = series_cards(s)
+    shared = [c for c in shown.columns if c not in ("id", "start_date")]
+    label = lambda c: F.date_format(rm.day(F.col(c)), "dd.MM.yyyy")
+    span = F.concat(label("start_date"), F.when(F.col("end_date") != F.col("start_date"), F.concat(F.lit("–"), label("end_date"))).otherwise(""))
+    card = shown.join(n, shown["id"] == n["series_id"], "left").select((F.col("id") + CARD_ID).alias("id"), F.col("id").alias("series_id"), *shared, span.alias("date_label"), F.col("start_date").alias("day"),
         F.lit(None).cast("string").alias("time"), F.coalesce("n", F.lit(0)).alias("n_occurrences"), F.lit(False).alias("calendar_only"))
     own = o.select("series_id", (F.col("id") + OCCURRENCE_ID).alias("oid"), "day", "time")
-    rows = s.join(own, s["id"] == own["series_id"]).select(F.col("oid").alias("id"), "series_id", *shared, "day", "time", F.lit(0).cast("long").alias("n_occurrences"), F.lit(True).alias("calendar_only"))
+    when = F.concat(label("day"), F.when(text.empty(F.col("time")) != "", F.concat(F.lit(" "), "time")).otherwise(""))
+    rows = shown.join(own, shown["id"] == own["series_id"]).select(F.col("oid").alias("id"), "series_id", *shared, when.alias("date_label"), "day", "time", F.lit(0).cast("long").alias("n_occurrences"), F.lit(True).alias("calendar_only"))
     return card.unionByName(rows)
 
 
@@ -133,3 +152,8 @@ def rescored(events: DataFrame, as_of: str) -> DataFrame:
 def retagged(events: DataFrame) -> DataFrame:
     """The events table with tags_json anew in every row."""
     return events.withColumn("tags_json", F.to_json(rm.event_tags(events)))
+
+
+def places_retagged(places: DataFrame) -> DataFrame:
+    """The places table with tags_json anew in every row."""
+    return places.withColumn("tags_json", F.to_json(rm.place_tags(places)))

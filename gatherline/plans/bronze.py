@@ -32,6 +32,17 @@ def page_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.snapshots(table(spark, sf_dir, "pages")).select("page_id", "title", F.length("text").alias("n"))
 
 
+HEAD = """concat('<head><meta property="og:image" content="https://i.org/', page_id, '.jpg"><meta content="x" name="late"><meta name="description" content="First"><META class=x name="Description" lang="es" content=" Last ', page_id, ' "><meta name="viewport" content="w">')"""
+
+
+@query(rf"""WITH p AS (SELECT page_id, replace(html, '<head>', {HEAD}) AS html FROM pages) SELECT page_id, 'https://i.org/' || page_id || '.jpg' AS image, 'Last ' || page_id AS description, 2 AS n_meta, sha1(left({sql_html('html')}, 12000)) AS digest FROM p""")
+def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meta tags of pages: the known ones, the last of a name; the text of the whole page to its limit."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.expr(f"replace(html, '<head>', {HEAD})"))
+    s = src.snapshots(pages)
+    return s.select("page_id", F.element_at("meta", "og:image").alias("image"), F.element_at("meta", "description").alias("description"), F.size("meta").alias("n_meta"), F.sha1("text").alias("digest"))
+
+
 @query(rf"""WITH pages AS (SELECT page_id, url, replace(html, '</a>', ' of the whole town</a>') AS html FROM main.pages), a AS (SELECT page_id, url AS page, unnest(regexp_extract_all(html, '<a\b[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1, 'is')) AS href,
   unnest(regexp_extract_all(html, '<a\b[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2, 'is')) AS title, generate_subscripts(regexp_extract_all(html, '<a\b[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1, 'is'), 1) AS pos FROM pages),
 b AS (SELECT page_id, min(pos) AS pos, min_by(title, pos) AS title, regexp_extract(page, '^[a-zA-Z]+://[^/?#]+') || href AS url FROM a

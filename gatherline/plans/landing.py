@@ -23,17 +23,17 @@ def said(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr("conv_id", "row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n", "md5(coalesce(text, '')) AS t")
 
 
-@query(f"""WITH s AS ({SAID}) SELECT conv_id * 1000 + n AS page_id, conv_id * 1000 + n AS post_id, 'Post ' || t || chr(10) || '#go #c' || conv_id AS text, 'https://cdn4.telesco.pe/' || n || '.jpg' AS photos,
+@query(f"""WITH s AS ({SAID}) SELECT conv_id * 1000 + n AS page_id, conv_id * 1000 + n AS post_id, 'Post ' || t || chr(10) || '#go #c' || conv_id || ' #go' AS text, 'https://cdn4.telesco.pe/' || n || '.jpg' AS photos,
   CASE WHEN n % 2 = 0 THEN 'https://x.org/?a=1&b=' || n || '|https://maps.app.goo.gl/' || n ELSE 'https://x.org/?a=1&b=' || n END AS links, CASE WHEN n % 2 = 0 THEN 'https://maps.app.goo.gl/' || n END AS maps_url, 'go,c' || conv_id AS hashtags FROM s""")
 def embedded_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that embed a post each: text with line breaks and hashtags, photos among emoji, links in and out of the service."""
     html = F.expr("""concat('<a href="https://t.me/chan/', conv_id * 1000 + n, '?embed=1">x</a><i style="background-image:url(\\'https://t.me/emoji/1.png\\')"></i><i style="background-image:url(\\'https://cdn4.telesco.pe/', n, '.jpg\\')"></i><i style="background-image:url(\\'https://cdn4.telesco.pe/', n, '.jpg\\')"></i>',
         '<div class="tgme_widget_message_text js" dir="auto">Post ', t, '<br/>#go #c', conv_id, ' #go<a href="https://x.org/?a=1&amp;b=', n, '"></a></div><div class="tgme_widget_message_footer">', CASE WHEN n % 2 = 0 THEN concat('<a href="https://maps.app.goo.gl/', n, '">map</a>') ELSE '' END, '</div>')""")
     e = src.embedded(said(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("n")).alias("page_id"), html.alias("html")))
-    return e.select("page_id", "post_id", F.regexp_replace("text", " #go$", "").alias("text"), F.array_join("photos", "|").alias("photos"), F.array_join("links", "|").alias("links"), "maps_url", F.array_join("hashtags", ",").alias("hashtags"))
+    return e.select("page_id", "post_id", "text", F.array_join("photos", "|").alias("photos"), F.array_join("links", "|").alias("links"), "maps_url", F.array_join("hashtags", ",").alias("hashtags"))
 
 
-CHAT = """'<div class="message" data-post="chan/', conv_id, '-', n, '"><img src="https://cdn.x.org/', n, '.jpg"><img src="https://cdn.x.org/', n, '.jpg"><div class="text" dir="auto">Said ', t, '<br>and &amp; more</div><time datetime="1998-01-01T00:00:', lpad(cast(n % 60 AS string), 2, '0'), '"></time></div>'"""
+CHAT = """'<div class="message" data-post="chan/', conv_id, '-', n, '"><img src="https://cdn.x.org/', n, '.jpg"><img src="https://cdn.x.org/', n, '.jpg"><div class="text" dir="auto">Said ', t, '<br>and &amp; more</div>', CASE WHEN n % 3 = 0 THEN concat('<span class="message_date x"> <a href="https://t.me/own/', n, '?a=1&amp;b=2">') ELSE '<span><a href="https://t.me/else">' END, '<time datetime="1998-01-01T00:00:', lpad(cast(n % 60 AS string), 2, '0'), '"></time></a></span></div>'"""
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,8 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unionByName(s)
 
 
-@query(f"""WITH s AS ({SAID}) SELECT conv_id AS page_id, 'chan/' || conv_id || '-' || n AS ref, n::INT AS place, 'Said ' || t || chr(10) || 'and & more' AS text, '1998-01-01T00:00:' || lpad((n % 60)::VARCHAR, 2, '0') AS published_at, 'https://cdn.x.org/' || n || '.jpg' AS media FROM s""")
+@query(f"""WITH s AS ({SAID}) SELECT conv_id AS page_id, 'chan/' || conv_id || '-' || n AS ref, n::INT AS place, 'Said ' || t || chr(10) || 'and & more' AS text, '1998-01-01T00:00:' || lpad((n % 60)::VARCHAR, 2, '0') AS published_at, 'https://cdn.x.org/' || n || '.jpg' AS media,
+  'Said ' || t || '<br>and &amp; more' AS html, CASE WHEN n % 3 = 0 THEN 'https://t.me/own/' || n || '?a=1&b=2' ELSE 'https://t.me/chan/' || conv_id || '-' || n END AS url FROM s""")
 def page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.posts(chats(spark, sf_dir)).withColumn("media", F.array_join("media", ","))
 
@@ -110,10 +111,10 @@ def sent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH r AS ({RUNS_SQL}) SELECT source_key, run_id, CASE WHEN run_id % 9 = 0 THEN 304 WHEN status = 'error' THEN 500 ELSE 200 END AS http, CASE WHEN status = 'error' THEN 0 ELSE new_items * 2 END AS n_items,
-  CASE WHEN status = 'error' THEN 'error' WHEN run_id % 9 = 0 THEN 'not_modified' WHEN new_items > 0 THEN 'changed' ELSE 'unchanged' END AS status, new_items > 0 AS changed, CASE WHEN status = 'error' THEN repeat('no ', 66) || 'no' END AS notes FROM r""")
+  CASE WHEN status = 'error' THEN 'error' WHEN run_id % 9 = 0 THEN 'not_modified' WHEN new_items > 0 THEN 'changed' ELSE 'unchanged' END AS status, new_items > 0 AS changed, CASE WHEN status = 'error' THEN repeat('no-', 66) || 'no' END AS notes FROM r""")
 def poll_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = runs(spark, sf_dir).selectExpr("source_key", "run_id", "CASE WHEN run_id % 9 = 0 THEN 304 WHEN status = 'error' THEN 500 ELSE 200 END AS http", "CASE WHEN status <> 'error' THEN new_items * 2 END AS n_items", "new_items AS n_new", "CASE WHEN status = 'error' THEN repeat('no ', 100) END AS error")
-    return src.polled(p).withColumn("notes", F.rtrim("notes"))
+    p = runs(spark, sf_dir).selectExpr("source_key", "run_id", "CASE WHEN run_id % 9 = 0 THEN 304 WHEN status = 'error' THEN 500 ELSE 200 END AS http", "CASE WHEN status <> 'error' THEN new_items * 2 END AS n_items", "new_items AS n_new", "CASE WHEN status = 'error' THEN repeat('no-', 100) END AS error")
+    return src.polled(p)
 
 
 @query(f"""WITH e AS ({EVENTS_SQL}) SELECT id, CASE WHEN id % 4 = 0 THEN 'Русское ' || id ELSE title END AS title, CASE id % 3 WHEN 0 THEN 'По-русски' WHEN 1 THEN 'About' ELSE 'Raw' END AS excerpt, venue_name || ', ' || city AS location,

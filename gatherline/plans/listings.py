@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import listings as ls
+from ..operators.shapes import drafts, shaped
 from .inputs import table
 from .registry import query
 
@@ -25,11 +25,6 @@ def items(rows: DataFrame, source: str, title: str, text: str, url: str, kind: s
     return rows.selectExpr("id", f"'{source}' AS source_key", f"{kind} AS kind", f"{title} AS title", f"{text} AS text", f"{url} AS url", f"cast({seen} AS timestamp) AS seen")
 
 
-def shaped(rows: DataFrame, source: str) -> DataFrame:
-    form, options = ls.SHAPES[source]
-    return ls.FORMS[form](rows, **options)
-
-
 @query(f"""WITH o AS ({SHOWS}) SELECT id, 'Тур ' || c || CASE id % 6 WHEN 0 THEN ' в Аликанте' WHEN 1 THEN ' (отменен)' WHEN 2 THEN ' в Мадриде' ELSE '' END AS title, iso AS start_date,
   CASE id % 6 WHEN 0 THEN 'Alicante' WHEN 2 THEN 'Madrid' WHEN 1 THEN 'Barcelona' ELSE 'Valencia' END AS city, id % 6 = 1 AS cancelled FROM o WHERE id % 6 < 4""")
 def tour_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +115,7 @@ def pages(spark: SparkSession, sf_dir: str, block: str) -> DataFrame:
 @query(f"""WITH p AS ({PAGES}), s AS (SELECT *, min(d) OVER (PARTITION BY id) AS seen FROM p),
 c AS (SELECT 'Taller ' || k AS title, CASE k % 4 WHEN 0 THEN strftime(seen, '%Y-%m-%d') WHEN 1 THEN strftime(seen + 1, '%Y-%m-%d') WHEN 2 THEN strftime(seen + ((5 - dayofweek(seen) + 7) % 7)::INT, '%Y-%m-%d') END AS start_date,
   CASE WHEN k % 4 < 2 THEN '19:30' WHEN k % 4 = 2 THEN '20:00' END AS start_time, CASE WHEN k % 4 < 3 THEN 'Hall ' || k % 10 END AS venue_name, CASE WHEN k % 3 = 0 THEN 'https://www.eventbrite.es/e/t-' || k END AS url, k FROM s)
-SELECT title, start_date, start_time, venue_name, url FROM c WHERE k % 4 < 3 UNION ALL SELECT title, NULL, NULL, NULL, url FROM c WHERE k % 4 = 3 AND k % 3 = 0""")
+SELECT title, start_date, start_time, venue_name, url FROM c WHERE k % 4 < 3 UNION ALL SELECT upper(title), NULL, NULL, NULL, url FROM c WHERE k % 4 = 3 AND k % 3 = 0""")
 def ticket_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words for days against the day of the page; online cards from elsewhere go, but come undated where a link card has their title."""
     block = """CASE k % 4 WHEN 0 THEN concat('Taller ', k, ' hoy a las 19:30\nHall ', k % 10, '\nComprobar el precio de la entrada en el evento') WHEN 1 THEN concat('Taller ', k, ' mañana a las 19:30 + 2 más\nHall ', k % 10, '\nCheck ticket price on event')
@@ -128,7 +123,7 @@ def ticket_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     snaps = items(pages(spark, sf_dir, block), "web:eventbrite", "NULL", "text", "NULL", "'page_snapshot'", "d")
     links = items(shows(spark, sf_dir).where("id % 3 = 0"), "web:eventbrite", "concat('TALLER ', id)", "NULL", "concat('https://www.eventbrite.es/e/t-', id, '?aff=x')").withColumn("id", F.col("id") + 1_000_000_000)
     got = shaped(snaps.unionByName(links), "web:eventbrite")
-    return got.withColumn("title", F.initcap("title")).select("title", "start_date", "start_time", "venue_name", "url")
+    return got.select("title", "start_date", "start_time", "venue_name", "url")
 
 
 @query(f"""WITH p AS ({PAGES}), c AS (SELECT *, CASE k % 5 WHEN 0 THEN 'Выставка ' || k WHEN 1 THEN 'Праздник ' || k WHEN 2 THEN 'Sting ' || k WHEN 3 THEN 'Концерт ' || k ELSE 'Фестиваль ' || k || ' в Севилье' END AS title FROM p)
@@ -189,4 +184,4 @@ def registered_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = items(o, "web:russpain", "concat('Вечер ', c)", "iso", "CASE WHEN id % 2 = 0 THEN 'https://russpain.com/afisha/valencia/x' ELSE 'https://russpain.com/' END")
     own = own.unionByName(items(o, "web:valenciarusa", "concat('Вечер ', c)", "iso", "'https://x.org'"))
     own = own.unionByName(items(o, "web:elcontacto", "CASE WHEN id % 3 = 0 THEN 'Разделы' ELSE concat('Вечер ', c) END", "CASE WHEN id % 3 > 0 THEN iso END", "'https://elcontacto.ru/valencia/x'"))
-    return ls.drafts(own, ["web:russpain", "web:valenciarusa", "web:elcontacto"]).groupBy("source_key").agg(F.count("*").alias("n"), F.countDistinct("start_date").alias("days"))
+    return drafts(own, ["web:russpain", "web:valenciarusa", "web:elcontacto"]).groupBy("source_key").agg(F.count("*").alias("n"), F.countDistinct("start_date").alias("days"))

@@ -77,3 +77,8 @@ def health_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).where("status = 'upcoming'")
     w = ops.warnings(r, e, r.where("run_id % 50 = 0").select(F.col("started_at").alias("enriched_at")), "2024-02-20 00:00:00")
     return w.select(F.array_join("warnings", "; ").alias("warnings"), "ok")
+
+
+@query(f"WITH r AS ({RUNS_SQL}) SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'error') AS errors, sum(new_items)::BIGINT AS items FROM r")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.summary(runs(spark, sf_dir).withColumnRenamed("new_items", "items"))

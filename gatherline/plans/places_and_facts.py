@@ -84,3 +84,28 @@ SELECT path, count(*) AS cases, sum(((length(a) - length(b)) * 100 <= length(a)
 def golden_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").selectExpr("role AS path", "text AS predicted", "left(text, length(text) - cast(conv_id % 40 AS int)) AS expected")
     return pl.evaluated(c)
+
+
+@query(f"""WITH RECURSIVE {PLACE_PAIRS_SQL}, two AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT id AS a, id AS b FROM p UNION SELECT r.a, t.b FROM reach r JOIN two t ON r.b = t.a),
+found AS (SELECT r.a AS id, arg_min(r.b, (CASE p.source WHEN 's0' THEN -3 WHEN 's1' THEN -2 ELSE -1 END, '2024-01-' || lpad((r.b % 28 + 1)::VARCHAR, 2, '0'), r.b)) AS root FROM reach r JOIN p ON p.id = r.b GROUP BY 1),
+who AS (SELECT root, CASE WHEN found.id % 3 = 0 THEN 'ann' ELSE 'guest' || found.id % 4 END AS w FROM found WHERE found.id % 5 > 0)
+SELECT f.root AS id, count(*) AS n_members, coalesce((SELECT string_agg(DISTINCT w, ',' ORDER BY w) FROM who WHERE who.root = f.root), '') AS recommended_by FROM found f GROUP BY 1""")
+def merged_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of members alike in weight and pin the one seen first survives; all who recommended a member recommend it."""
+    p = places(spark, sf_dir).withColumns({"first_seen": F.expr("concat('2024-01-', lpad(cast(id % 28 + 1 AS string), 2, '0'))"), "recommended_by": F.expr("CASE WHEN id % 5 > 0 THEN array(CASE WHEN id % 3 = 0 THEN 'ann' ELSE concat('guest', id % 4) END) END")})
+    return pl.merged_places(p, pl.resolved(p, WEIGHTS)).select("id", "n_members", F.array_join("recommended_by", ",").alias("recommended_by"))
+
+
+@query(f"""WITH e AS ({EVENTS_SQL}) SELECT id, CASE WHEN id % 4 < 2 THEN 'Кино ' || id WHEN id % 2 = 0 THEN 'held' END AS title_ru, CASE WHEN id % 4 = 1 THEN 'kino' ELSE category END AS category, CASE WHEN id % 4 = 0 THEN 1 ELSE is_free END AS is_free,
+  CASE id % 4 WHEN 0 THEN '[{{"label":"https://a.org/' || id || '","url":"https://a.org/' || id || '"}},{{"label":"Google Maps","url":"https://maps/' || id || '"}}]' WHEN 1 THEN 'old' ELSE 'old' END AS links_json, score,
+  CASE id % 4 WHEN 0 THEN '{{"title_ru":"Кино ' || id || '","venue_name":"Hall","is_free":true,"maps_url":"https://maps/' || id || '","confidence":1.0,"model":"small","notes":"seen; ungrounded","links":[{{"label":"https://a.org/' || id || '","url":"https://a.org/' || id || '"}}],"citations":[]}}'
+    WHEN 1 THEN '{{"title_ru":"Кино ' || id || '","category":"kino","confidence":0.5,"model":"own","notes":"low confidence","links":[],"citations":[{{"url":"https://c.org","supports":"category"}}]}}' ELSE 'before' END AS enrichment_json,
+  CASE WHEN id % 4 < 2 THEN '2026-07-01' ELSE '2020-01-01' END AS enriched_at FROM e""")
+def written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in full and answers that tell little, one that is no JSON, and events without any."""
+    e = events(spark, sf_dir).withColumns({"title_ru": F.expr("CASE WHEN id % 2 = 0 THEN 'held' END"), "links_json": F.lit("old"), "enrichment_json": F.lit("before"), "enriched_at": F.lit("2020-01-01")})
+    json = """CASE id % 4 WHEN 0 THEN concat('Here: {"title_ru": " Кино ', id, ' ", "venue_name": "Hall", "is_free": true, "maps_url": "https://maps/', id, '", "confidence": 7, "notes": "seen", "odd": 1, "links": [{"url": "https://a.org/', id, '"}, {"label": "x"}]} done')
+        WHEN 1 THEN concat('{"title_ru": "Кино ', id, '", "category": "kino", "venue_name": " ", "confidence": "0.5", "model": "own", "citations": [{"url": "https://c.org", "supports": "category"}]}') WHEN 2 THEN 'no answer' END"""
+    answers = e.where("id % 4 < 3").select("id", F.expr(json).alias("json"))
+    return pl.written_back(e, answers, F.lit("2026-07-01"), "small").select("id", "title_ru", "category", "is_free", "links_json", "score", "enrichment_json", "enriched_at")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-MODULES = ("resolution", "read_model", "bronze", "operations", "places_and_facts", "normalizers", "publishing", "posts", "gates", "series", "listings", "landing")
+MODULES = ("resolution", "read_model", "bronze", "operations", "places_and_facts", "normalizers", "publishing", "posts", "gates", "series", "listings", "landing", "chats_and_venues", "pins_and_feeds")
 
 
 def query(sql: str | None = None) -> Callable:

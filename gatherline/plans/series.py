@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import read_model as rm
 from ..operators import series as sr
+from ..operators.ranks import numbered
 from .inputs import AS_OF, EVENTS_SQL, PLACES_SQL, events, places, table
 from .read_model import FEED_SQL, SCORE_SQL, VISIBLE_SQL, feed_rows
 from .registry import query
@@ -77,8 +78,82 @@ def united_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events, a card for each series ahead and a row for each of its sessions, in the feed's order."""
     rows = sr.feed_rows(series(spark, sf_dir), occurrences(spark, sf_dir), AS_OF)
     u = sr.united(feed_rows(spark, sf_dir), rows)
-    place = F.expr("row_number() OVER (ORDER BY coalesce(score, -1) DESC, coalesce(day, '9999-99-99'), title, id)")
-    return u.select("id", "title", "day", "time", "score", "n_occurrences", "calendar_only", place.cast("long").alias("place"))
+    order = {"a": -F.coalesce("score", F.lit(-1)), "b": F.coalesce("day", F.lit("9999-99-99")), "c": F.col("title"), "d": F.col("id")}
+    return numbered(u.select("id", "title", "day", "time", "score", "n_occurrences", "calendar_only"), order, "place")
+
+
+FULL_SQL = f"""SELECT id, CASE WHEN id % 4 = 0 THEN 'Шоу ' || id ELSE title END AS title, CASE WHEN id % 3 = 0 THEN 'Текст ' || id WHEN id % 3 = 1 THEN 'About ' || id ELSE '' END AS excerpt, venue_name || ', Valencia' AS location,
+  CASE WHEN id % 5 = 0 THEN 'api:hemisferic' ELSE 'web:x' END AS source, CASE WHEN category = 'show' THEN 'развлечения' ELSE 'noticias' END AS category, CASE WHEN id % 5 = 0 THEN 'hemisferic' END AS feature, 'jazz' AS tags,
+  '/events/series-' || id || '-' || CASE WHEN id % 4 = 0 THEN id::VARCHAR ELSE trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') END AS page, CASE WHEN id % 2 = 0 THEN 'https://i.org/' || id || '.jpg' END AS image, start_date, end_date, score FROM ({SERIES_SQL})"""
+
+
+def full_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series with descriptions, tags and pictures."""
+    return series(spark, sf_dir).selectExpr("*", "CASE WHEN id % 4 = 0 THEN concat('Шоу ', id) END AS title_ru", "CASE WHEN id % 3 = 0 THEN concat('Текст ', id) END AS description_ru", "CASE WHEN id % 3 < 2 THEN concat('About ', id) END AS description",
+        "CASE WHEN id % 5 = 0 THEN 'api:hemisferic' ELSE 'web:x' END AS source", "CASE WHEN id % 2 = 0 THEN concat('https://i.org/', id, '.jpg') ELSE 'no address' END AS image_url").withColumn("tags_json", F.lit('["jazz", "tg:x", "2024"]'))
+
+
+@query(f"""WITH f AS ({FULL_SQL}), {AHEAD_SQL}, x AS (SELECT f.* FROM f JOIN s USING (id)), label AS (SELECT *, strftime(start_date::DATE, '%d.%m.%Y') || CASE WHEN end_date <> start_date THEN '–' || strftime(end_date::DATE, '%d.%m.%Y') ELSE '' END AS span FROM x)
+SELECT 1000000000 + id AS id, title, excerpt, location, category, feature, tags, page, image, span AS date_label, start_date AS day, NULL AS time, (SELECT count(*) FROM o WHERE series_id = label.id) AS n_occurrences, false AS calendar_only FROM label
+UNION ALL SELECT 2000000000 + o.id, title, excerpt, location, category, feature, tags, page, image, strftime(day::DATE, '%d.%m.%Y') || coalesce(' ' || time, ''), day, time, 0, true FROM x JOIN o ON o.series_id = x.id""")
+def series_site_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards and sessions of series with all that a site shows of them."""
+    rows = sr.feed_rows(full_series(spark, sf_dir), occurrences(spark, sf_dir), AS_OF)
+    return rows.select("id", "title", "excerpt", "location", "category", "feature", F.array_join("tags", ",").alias("tags"), "page", "image", "date_label", "day", "time", "n_occurrences", "calendar_only")
+
+
+@query(f"""WITH {FEED_SQL}, {AHEAD_SQL}, days AS (SELECT unnest(generate_series(DATE '1998-07-01', DATE '1998-07-31', INTERVAL 1 DAY))::DATE AS d),
+r AS (SELECT id, title, start_date AS day, start_time AS time, false AS of_schedule FROM feed WHERE coalesce(feature, '') <> 'exposition' UNION ALL SELECT 2000000000 + o.id, title, day, time, s.id % 5 = 0 FROM s JOIN o ON o.series_id = s.id),
+g AS (SELECT day, count(*) AS n, string_agg(id, ',' ORDER BY coalesce(time, '99:99'), title, id) FILTER (of_schedule) AS of_schedule, string_agg(id, ',' ORDER BY coalesce(time, '99:99'), title, id) FILTER (NOT of_schedule) AS others FROM r GROUP BY 1)
+SELECT strftime(d, '%Y-%m-%d') AS day, ((dayofweek(d) + 6) % 7)::INT AS weekday, coalesce(n, 0) AS n, coalesce(of_schedule, '') AS of_schedule, coalesce(others, '') AS others FROM days LEFT JOIN g ON g.day = strftime(d, '%Y-%m-%d')""")
+def united_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and sessions of a month by day, those of the schedule apart; cards of series and expositions are not in it."""
+    s = series(spark, sf_dir).withColumn("source", F.expr("CASE WHEN id % 5 = 0 THEN 'api:hemisferic' ELSE 'web:x' END"))
+    u = sr.united(feed_rows(spark, sf_dir), sr.feed_rows(s, occurrences(spark, sf_dir), AS_OF))
+    return rm.calendar_split(u, "1998-07").withColumns({c: F.array_join(c, ",") for c in ("of_schedule", "others")})
+
+
+@query(f"""WITH f AS ({FULL_SQL}), {AHEAD_SQL} SELECT f.id FROM f JOIN s USING (id) WHERE contains(lower(concat_ws(' ', f.title, excerpt, location, f.tags)), 'brand#1') AND contains(lower(location), 'valencia')""")
+def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that only a place's label holds find the card too."""
+    s, _ = sr.ahead(full_series(spark, sf_dir), occurrences(spark, sf_dir), AS_OF)
+    return rm.search(rm.search(sr.series_cards(s), "Brand#1"), "Valencia").select("id")
+
+
+@query(f"""WITH f AS ({FULL_SQL}) SELECT f.id, '{{"@context":"https://schema.org","@type":"Event","name":"' || f.title || '","url":"https://h.org/events/' || f.id || '-' || substr(page, length('/events/series-' || f.id || '-') + 1) || '","startDate":"' || f.start_date || CASE WHEN f.id % 2 = 0 THEN 'T19:30' ELSE '' END || '"'
+  || CASE WHEN f.end_date IS NOT NULL THEN ',"endDate":"' || f.end_date || '"' ELSE '' END || CASE WHEN f.id % 3 = 0 THEN ',"description":"' || repeat('palabra ', 19) || 'palabra…"' ELSE '' END || coalesce(',"image":"' || image || '"', '') || ',"location":{{"@type":"Place","name":"' || venue_name || '"}}'
+  || CASE f.id % 3 WHEN 0 THEN ',"offers":{{"@type":"Offer","price":"12 €","priceCurrency":"EUR"}}' WHEN 1 THEN ',"offers":{{"@type":"Offer","price":"Free"}}' ELSE '' END || '}}' AS json FROM f JOIN ({SERIES_SQL}) s USING (id)""")
+def schema_org(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers with a currency where the price says so, descriptions cut at a word."""
+    s = full_series(spark, sf_dir).withColumns({"description_ru": F.lit(None).cast("string"), "description": F.expr("CASE WHEN id % 3 = 0 THEN repeat('palabra ', 40) END"), "start_time": F.expr("CASE WHEN id % 2 = 0 THEN '19:30' END")})
+    s = s.withColumn("price", F.expr("CASE id % 3 WHEN 0 THEN '12 €' WHEN 1 THEN 'Free' END"))
+    return rm.described(s, "https://h.org")
+
+
+@query(f"""WITH {FEED_SQL}, p AS ({PLACES_SQL})
+SELECT (SELECT count(*) FROM feed) AS events, (SELECT count(*) FROM feed WHERE id % 3 = 0 AND id % 5 > 0) AS mapped_events, (SELECT count(*) FROM p) AS places, (SELECT count(*) FROM p WHERE lat IS NOT NULL) AS mapped_places,
+  (SELECT count(DISTINCT t) FROM (SELECT unnest(tags) AS t FROM feed UNION ALL SELECT lower(category) FROM p WHERE category IS NOT NULL)) AS tags""")
+def site_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the events have a latitude, a fifth of those no longitude."""
+    e = events(spark, sf_dir).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 39.5D END AS lat", "CASE WHEN id % 5 > 0 THEN -0.4D END AS lng")
+    return rm.stats(feed_rows(spark, sf_dir), e, places(spark, sf_dir).withColumn("tags", F.array_compact(F.array(F.lower("category")))))
+
+
+@query(f"""WITH e AS ({EVENTS_SQL}), s AS (SELECT *, substr(sha1(lower(regexp_replace(title, '[^a-zA-Z0-9 ]', '', 'g')) || '|' || lower(replace(venue_name, '#', '')) || '|' || source), 1, 16) AS series FROM e),
+g AS (SELECT series, arg_min(title, id) AS title, min(start_date) AS start_date, max(start_date) AS end_date, max(score) AS score, min(id) FILTER (id % 3 = 0) AS i, min(id) FILTER (id % 2 = 0) AS d FROM s GROUP BY 1),
+h AS (SELECT series, series[1] IN ('0', '1', '2', '3') AS held, series[2] < '8' AS scored FROM g)
+SELECT series, CASE WHEN held THEN 'held' ELSE title END AS title, start_date, end_date, CASE WHEN held AND scored THEN 7 ELSE score END AS score, CASE WHEN held AND scored THEN 'own.jpg' WHEN i IS NOT NULL THEN i || '.jpg' END AS image_url, CASE WHEN d IS NOT NULL THEN 'About ' || d END AS description FROM g JOIN h USING (series)""")
+def folded_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions fold into series of which some are held: days follow, names stay, scores, images and descriptions are filled in where there are none."""
+    e = events(spark, sf_dir).withColumns({"image_url": F.expr("CASE WHEN id % 3 = 0 THEN concat(id, '.jpg') ELSE '' END"), "description": F.expr("CASE WHEN id % 2 = 0 THEN concat('About ', id) END")})
+    empty = rm.fold_series(e).select("series", F.lit("held").alias("title"), F.lit("1990-01-01").alias("start_date"), F.lit("1990-01-01").alias("end_date"), F.expr("CASE WHEN substring(series, 2, 1) < '8' THEN 7 END").alias("score"),
+        F.expr("CASE WHEN substring(series, 2, 1) < '8' THEN 'own.jpg' END").alias("image_url"), F.lit("").alias("description"))
+    return rm.folded_into(empty.where("substring(series, 1, 1) IN ('0', '1', '2', '3')"), e)
+
+
+@query(f"""WITH p AS ({PLACES_SQL}) SELECT id, '["' || array_to_string(list_sort(list_distinct(list_filter(['place', 'area:' || area, lower(category), source, 'mapped'], lambda x: x IS NOT NULL))), '","') || '"]' AS tags_json FROM p""")
+def retagged_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sr.places_retagged(places(spark, sf_dir).withColumn("tags_json", F.lit("old"))).select("id", "tags_json")
 
 
 DUE_SQL = f"""n AS (SELECT series_id, min(day) AS next_day FROM ({OCC_SQL}) WHERE day >= '{AS_OF}' AND coalesce(status, '') <> 'cancelled' GROUP BY 1),

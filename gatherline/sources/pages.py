@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 
-META_NAMES = ["og:image", "twitter:image", "description", "og:description"]
-ANCHOR = r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
-NOISE_URL = [".jpg", ".png", ".webp", ".svg", ".pdf", "/tag/", "/category/", "/author/", "/feed", "/wp-json/"]
-NOISE_TEXT = ["leer más", "read more", "more", "saber más", "ver más"]
-TEXT_LIMIT, CARD_LIMIT = 12_000, 80
+TEXT_LIMIT, HTML_LIMIT, CARD_LIMIT = 12_000, 20_000, 80
 
 
 def meta(html: Column) -> Column:
@@ -19,13 +15,13 @@ def meta(html: Column) -> Column:
     pattern = r"""(?is)<meta[^>]+(?:property|name)=["']([^"']+)["'][^>]+content=["']([^"']*)["']"""
     names = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda n: F.lower(F.trim(n)))
     values = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), lambda v: F.trim(v))
-    pairs = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda p: p["n"].isin(META_NAMES))
+    pairs = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda p: p["n"].isin(fixed.META_NAMES))
 
     def last(name: str) -> Column:
         """The last value of a name; null (out of range of an empty array) if there is none."""
         return F.try_element_at(F.filter(pairs, lambda p: p["n"] == name), F.lit(-1))["v"]
 
-    return F.map_filter(F.create_map(*[x for n in META_NAMES for x in (F.lit(n), last(n))]), lambda k, v: v.isNotNull())
+    return F.map_filter(F.create_map(*[x for n in fixed.META_NAMES for x in (F.lit(n), last(n))]), lambda k, v: v.isNotNull())
 
 
 def snapshots(pages: DataFrame) -> DataFrame:
@@ -39,21 +35,26 @@ def host(url: Column) -> Column:
 
 
 def resolved(href: Column, base: Column) -> Column:
-    """An href against the page's url: absolute ones stay, rooted ones take its host, others its folder."""
+    """An href against the page's url: absolute ones stay, those of another host take its scheme, rooted ones its host, others its folder."""
     origin = F.regexp_extract(base, "^([a-zA-Z]+://[^/?#]+)", 1)
     folder = F.regexp_extract(base, "^([a-zA-Z]+://[^?#]*/)", 1)
     h = text.decode_entities(href)
-    return F.when(h.rlike("^[a-zA-Z]+://"), h).when(h.startswith("/"), F.concat(origin, h)).otherwise(F.concat(F.when(F.length(folder) > 8, folder).otherwise(F.concat(origin, F.lit("/"))), h))
+    return F.when(h.rlike("^[a-zA-Z]+://"), h).when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z]+:)", 1), h)).when(h.startswith("/"), F.concat(origin, h)).otherwise(F.concat(F.when(F.length(folder) > 8, folder).otherwise(F.concat(origin, F.lit("/"))), h))
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """page_id, page (its url), pos, url and title (the text inside) of all anchors of pages. A page is searched once; address and text are taken from each anchor."""
+    a = pages.select("page_id", F.col("url").alias("page"), F.posexplode(F.regexp_extract_all("html", F.lit(fixed.ANCHOR), F.lit(0))).alias("pos", "a"))
+    href, body = F.regexp_extract("a", fixed.ANCHOR, 1), F.regexp_replace("a", "(?is)^<a\\b[^>]*>|</a>$", "")
+    return a.select("page_id", "page", "pos", resolved(href, F.col("page")).alias("url"), text.compact(text.html_text(body)).alias("title"))
 
 
 def cards(pages: DataFrame, low: int = 18, high: int = 220) -> DataFrame:
     """page_id, url, title and place of a page's links of its own host (or a ticket shop's) with a text of low to high
     characters, noise left out, the first of equal ones, at most CARD_LIMIT a page in order."""
-    links = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("body"))
-    a = pages.select("page_id", F.col("url").alias("page"), F.posexplode(links).alias("pos", "a"))
-    a = a.select("page_id", "page", "pos", resolved(F.col("a.href"), F.col("page")).alias("url"), text.compact(text.html_text(F.col("a.body"))).alias("title"))
-    noise = text.any_word(F.lower("url"), NOISE_URL)
-    for w in NOISE_TEXT:
+    a = anchors(pages)
+    noise = text.any_word(F.lower("url"), fixed.NOISE_URL)
+    for w in fixed.NOISE_TEXT:
         noise = noise | F.lower("title").startswith(w)
     own = (host(F.col("url")) == host(F.col("page"))) | host(F.col("url")).contains("ticketmaster") | host(F.col("url")).contains("songkick")
     a = a.where(F.length("title").between(low, high) & ~noise & own)
@@ -63,11 +64,12 @@ def cards(pages: DataFrame, low: int = 18, high: int = 220) -> DataFrame:
 
 
 def upserted(held: DataFrame, batch: DataFrame) -> DataFrame:
-    """The bronze table after a batch: new hashes come in as pending, known ones take the batch's text, title and time and keep what they had else.
+    """The bronze table after a batch, whose titles and texts lose control characters: new hashes come in as pending, known ones take the batch's text, title and time and keep what they had else.
 
     Both have item_hash, source_key, title, text, seen (timestamp); held also first_seen, status. One shuffle by hash; the last of a batch's equal hashes counts."""
     old = held.select("item_hash", F.struct("source_key", "title", "text", F.col("last_seen").alias("seen"), "first_seen", "status").alias("o"), F.lit(None).cast("struct<seen:timestamp,source_key:string,title:string,text:string>").alias("n"))
-    new = batch.select("item_hash", F.lit(None).cast(old.schema["o"].dataType).alias("o"), F.struct("seen", "source_key", "title", "text").alias("n"))
+    clean = [text.clean_controls(F.col(c)).alias(c) for c in ("title", "text")]
+    new = batch.select("item_hash", F.lit(None).cast(old.schema["o"].dataType).alias("o"), F.struct("seen", "source_key", *clean).alias("n"))
     g = old.unionByName(new).groupBy("item_hash").agg(F.max("o").alias("o"), F.max("n").alias("n"), F.min("n.seen").alias("first"))
     pick = lambda c: F.coalesce(f"n.{c}", f"o.{c}").alias(c)
     return g.select("item_hash", F.coalesce("o.source_key", "n.source_key").alias("source_key"), pick("title"), pick("text"), F.coalesce("o.first_seen", "first").alias("first_seen"), F.coalesce("n.seen", "o.seen").alias("last_seen"), F.coalesce("o.status", F.lit("pending")).alias("status"))
@@ -103,16 +105,10 @@ def seeded(held: DataFrame, seeds: DataFrame) -> DataFrame:
     return held.unionByName(new.select(*held.columns))
 
 
-def export(df: DataFrame, leave_out: list[str], path: str) -> None:
-    df.drop(*leave_out).orderBy("id").write.mode("errorifexists").json(path)
-
-
 def detail_links(pages: DataFrame, limit: int = 200) -> DataFrame:
     """page_id, url, title and place of links of a page's own host whose last path segment is a hyphenated slug of 8 characters
     at least; the title is the link's text (4 to 220 characters); the first of a url counts."""
-    links = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("body"))
-    a = pages.select("page_id", F.col("url").alias("page"), F.posexplode(links).alias("pos", "a"))
-    a = a.select("page_id", "page", "pos", resolved(F.col("a.href"), F.col("page")).alias("url"), text.compact(text.html_text(F.col("a.body"))).alias("title"))
+    a = anchors(pages)
     slug = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "^[a-zA-Z]+://[^/]+/(?:.*/)?([^/]+)/?$", 1)
     a = a.where((host(F.col("url")) == host(F.col("page"))) & (F.length(slug) >= 8) & slug.contains("-") & F.length("title").between(4, 220))
     a = a.groupBy("page_id", "url").agg(F.min(F.struct("pos", "title")).alias("f"))
@@ -120,18 +116,65 @@ def detail_links(pages: DataFrame, limit: int = 200) -> DataFrame:
     return a.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("page_id", "url", F.col("f.title").alias("title"), "place")
 
 
+def placed(pages: DataFrame, pattern: str) -> DataFrame:
+    """page_id, url, size (of the page), at and to (where it begins, and where it is over, from 0), found and after (what follows up to the next) of every match of a pattern in pages (page_id, url, html), in order: what lies between matches is measured,
+    so places are running sums and no page is searched twice."""
+    matches, between = F.regexp_extract_all("html", F.lit(pattern), F.lit(0)), F.split("html", pattern, -1)
+    cut = pages.select("page_id", "url", F.length("html").alias("size"), F.posexplode(F.arrays_zip(matches.alias("found"), between.alias("before"), F.slice(between, 2, F.size(between)).alias("after"))).alias("pos", "m"))
+    up_to = F.sum(F.length("m.before") + F.coalesce(F.length("m.found"), F.lit(0))).over(Window.partitionBy("page_id").orderBy("pos"))
+    every = cut.select("page_id", "url", "size", "pos", up_to.alias("to"), "m.found", "m.after").where("found IS NOT NULL")
+    return every.select("page_id", "url", "size", (F.col("to") - F.length("found")).alias("at"), "to", "found", "after")
+
+
+def is_detail(url: Column, page: Column) -> Column:
+    """An address of the page's host whose path has no part of the site's own and ends with a slug of eight characters at least."""
+    path = F.regexp_replace(F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1), "/+$", "")
+    last = F.regexp_extract(path, "([^/]*)$", 1)
+    return (host(url) == host(page)) & ~text.any_word(F.lower(path), fixed.CHROME_PATHS) & last.rlike("(?i)[a-z0-9]-[a-z0-9]") & (F.length(last) >= 8)
+
+
+def card_titles(pages: DataFrame, limit: int = 200) -> DataFrame:
+    """page_id, url, title and place of the cards of listing pages: each link to a detail page with the title that its anchor has inside (a title element's, else its whole text: 8 to 220 characters, no "read more"), else with
+    the first title element that begins behind the anchor and is over 200 characters behind the next such anchor at most (the last one: 2,700 behind it).
+
+    Anchors and titles of a page are one ordered stream, and an anchor looks ahead to the next title and the next anchor. The first pair of an address counts, and the first of a page as the limit says."""
+    anchors = placed(pages, fixed.ANCHOR_TAG).withColumn("href", resolved(F.regexp_extract("found", fixed.ANCHOR_TAG, 1), F.col("url")))
+    anchors = anchors.where(is_detail(F.col("href"), F.col("url")))
+    inside = F.regexp_extract(F.substring("after", 1, 3000), r"(?is)^(.*?)</a\b", 1)
+    plain = lambda c: text.compact(text.html_text(c))
+    own = F.coalesce(plain(F.coalesce(*[F.nullif(F.regexp_extract(inside, fixed.TITLE_ELEMENT, i), F.lit("")) for i in (1, 2)])), plain(inside))
+    noise = text.any_word(F.lower("href"), fixed.NOISE_URL)
+    for w in fixed.NOISE_TEXT:
+        noise = noise | F.lower("own").startswith(w)
+    anchors = anchors.withColumn("own", own).withColumn("own", F.when(F.length("own").between(8, 220) & ~noise, F.col("own")))
+    found = placed(pages, fixed.TITLE_ELEMENT)
+    name = plain(F.coalesce(*[F.nullif(F.regexp_extract("found", fixed.TITLE_ELEMENT, i), F.lit("")) for i in (1, 2)]))
+    none = F.lit(None)
+    stream = anchors.select("page_id", "size", F.col("to").alias("at"), F.struct("to", "href", "own").alias("a"), none.cast("struct<to:bigint,name:string>").alias("t"))
+    stream = stream.unionByName(found.select("page_id", "size", "at", none.cast(stream.schema["a"].dataType).alias("a"), F.struct("to", name.alias("name")).alias("t")))
+    ahead = Window.partitionBy("page_id").orderBy("at", F.col("a").isNull()).rowsBetween(1, Window.unboundedFollowing)
+    stream = stream.withColumn("title", F.first("t", ignorenulls=True).over(ahead)).withColumn("next", F.first("a", ignorenulls=True).over(ahead)).where("a IS NOT NULL")
+    end = F.coalesce(F.col("next.to"), F.least("size", F.col("a.to") + 2500)) + 200
+    pairs = stream.select("page_id", F.col("a.href").alias("url"), F.col("a.to").alias("at"), F.coalesce("a.own", F.when(F.col("title.to") <= end, F.col("title.name"))).alias("title")).where(F.length("title").between(4, 220))
+    first = pairs.groupBy("page_id", "url").agg(F.min(F.struct("at", "title")).alias("f"))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("f.at"))
+    return first.withColumn("place", place).where(F.col("place") <= limit).select("page_id", "url", F.col("f.title").alias("title"), "place")
+
+
 def new_details(links: DataFrame, items: DataFrame, limit: int = 60) -> DataFrame:
     """The first links (url, place) that no item (url) holds yet."""
     return links.join(items.select("url").distinct(), "url", "left_anti").orderBy("place", "url").limit(limit)
 
 
 def posts(pages: DataFrame, mark: str = 'class="message"') -> DataFrame:
-    """page_id, ref, place, text, published_at and media of pages of chat messages: a block from each mark to the next, with a data-post reference."""
+    """page_id, ref, place, text, html (of the text, cut at HTML_LIMIT; null if there is none), url (the block's own dated link, else made of the reference), published_at and media of pages of chat messages: a block from each mark to the next, with a data-post reference."""
     block = pages.select("page_id", F.posexplode(F.split("html", mark)).alias("place", "block")).where("place > 0")
     one = lambda p: F.nullif(F.regexp_extract("block", p, 1), F.lit(""))
-    body = text.html_text(F.regexp_extract("block", r'(?s)class="text"[^>]*>(.*?)</div>', 1))
+    inner = F.regexp_extract("block", r'(?s)class="text"[^>]*>(.*?)</div>', 1)
+    body = text.html_text(inner)
+    url = F.coalesce(text.decode_entities(one(fixed.POST_LINK)), F.concat(F.lit("https://t.me/"), one(r'data-post="([^"]+)"')))
     media = F.array_distinct(F.regexp_extract_all("block", F.lit(r"""(?:src=["']|url\(["']?)(https?://[^"')]+)"""), F.lit(1)))
-    return block.select("page_id", one(r'data-post="([^"]+)"').alias("ref"), "place", F.substring(body, 1, TEXT_LIMIT).alias("text"), one(r'datetime="([^"]+)"').alias("published_at"), media.alias("media"))
+    return block.select("page_id", one(r'data-post="([^"]+)"').alias("ref"), "place", F.substring(body, 1, TEXT_LIMIT).alias("text"), F.nullif(F.substring(inner, 1, HTML_LIMIT), F.lit("")).alias("html"), url.alias("url"), one(r'datetime="([^"]+)"').alias("published_at"), media.alias("media"))
 
 
 def posts_or_cards(pages: DataFrame) -> DataFrame:
@@ -163,6 +206,7 @@ def polled(polls: DataFrame) -> DataFrame:
 def article(pages: DataFrame) -> DataFrame:
     """page_id, title (h1) and body (paragraphs joined by blank lines, trailing photo credits left out; else the description) of article pages."""
     paragraphs = F.filter(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)(?=<p\b|</p>)"), F.lit(1)), lambda x: text.compact(text.html_text(x))), lambda x: x.isNotNull())
-    kept = F.filter(paragraphs, lambda x: ~x.rlike(r"(?iu)^(foto|fotos|photo|фото)\s*[:©]"))
-    body = F.nullif(F.array_join(kept, "\n\n"), F.lit(""))
+    credit = lambda x: x.rlike(r"(?iu)^(foto|fotos|photo|фото)\s*[:©]")
+    last = F.coalesce(F.array_max(F.transform(paragraphs, lambda x, i: F.when(~credit(x), i + 1).otherwise(0))), F.lit(0))
+    body = F.nullif(F.array_join(F.slice(paragraphs, F.lit(1), last), "\n\n"), F.lit(""))
     return pages.select("page_id", text.compact(text.html_text(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1))).alias("title"), F.coalesce(body, F.try_element_at(meta(F.col("html")), F.lit("og:description"))).alias("body"))

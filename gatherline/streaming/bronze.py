@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.operations import hourly
 from ..sources.pages import upserted
+from .folders import complete, delete
 
 RUN = "run_id long, source_key string, started_at timestamp, status string, new_items long"
 
@@ -27,24 +28,19 @@ def distinct_items(items: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def versions(spark: SparkSession, table_dir: str) -> list[int]:
-    """Numbers of the bronze table's complete versions. The listing goes through Spark's file system, so any store will do."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath() for s in fs.listStatus(path)]
-    return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    """Numbers of the bronze table's manifests that are kept. One listing, of as many entries as are kept."""
+    return complete(spark, f"{table_dir}/manifest")
+
+
+def manifest(spark: SparkSession, table_dir: str, version: int) -> dict[int, str]:
+    """The folder of each bucket as of a version: as many rows as there are buckets at most."""
+    return {r["bucket"]: f"{table_dir}/{r['folder']}" for r in spark.read.schema("bucket int, folder string").parquet(f"{table_dir}/manifest/v{version}").collect()}
 
 
 def places(spark: SparkSession, table_dir: str, before: int | None = None) -> dict[int, str]:
-    """The folder of each bucket: that of the last complete version (before a number) that has written it."""
-    found: dict[int, str] = {}
-    for v in versions(spark, table_dir):
-        if before is None or v < before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{table_dir}/v{v}")
-            names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-            found |= {int(n.removeprefix("bucket=")): f"{table_dir}/v{v}/{n}" for n in names if n.startswith("bucket=")}
-    return found
+    """The folder of each bucket by the last manifest (before a number)."""
+    held = [v for v in versions(spark, table_dir) if before is None or v < before]
+    return manifest(spark, table_dir, held[-1]) if held else {}
 
 
 def current(spark: SparkSession, table_dir: str) -> DataFrame | None:
@@ -52,19 +48,33 @@ def current(spark: SparkSession, table_dir: str) -> DataFrame | None:
     return spark.read.parquet(*held.values()) if held else None
 
 
-def ingest(items: DataFrame, table_dir: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
-    """Upserts all available items into a table of so many buckets by hash. A batch writes, as the version of its own number, the buckets that it touches, from those of the versions before:
-    the others stay where they are, and a batch that runs again gives the same."""
+def remove_replaced(spark: SparkSession, table_dir: str, keep: int) -> None:
+    """Drops the manifests but for the last ones (keep), and the folders that only dropped ones name: no version in use reads them."""
+    held = versions(spark, table_dir)
+    if len(held) > keep:
+        used = {f for v in held[-keep:] for f in manifest(spark, table_dir, v).values()}
+        for v in held[:-keep]:
+            delete(spark, *(f for f in manifest(spark, table_dir, v).values() if f not in used))
+            delete(spark, f"{table_dir}/manifest/v{v}")
+
+
+def ingest(items: DataFrame, table_dir: str, checkpoint: str, buckets: int = 256, keep: int = 2) -> StreamingQuery:
+    """Upserts all available items into a table of so many buckets by hash. A batch writes, under its own number, the buckets that it touches, from those of the version before, and a manifest that names the
+    folder of every bucket: the others stay where they are. A batch that runs again starts from the same manifest and gives the same; replaced folders go once the last manifests (keep, two at least) don't name them."""
     spark = items.sparkSession
     bucket = F.pmod(F.xxhash64("item_hash"), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # as many as there are buckets at most
-        paths = [p for b, p in places(spark, table_dir, number).items() if b in touched]
+        before = places(spark, table_dir, number)
+        paths = [p for b, p in before.items() if b in touched]
         none = batch.limit(0).selectExpr("item_hash", "source_key", "title", "text", "seen AS first_seen", "seen AS last_seen", "'' AS status")
         held = spark.read.parquet(*paths) if paths else none
-        upserted(held, batch).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table_dir}/v{number}")
+        upserted(held, batch).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table_dir}/data/v{number}")
+        after = {b: p.removeprefix(f"{table_dir}/") for b, p in before.items()} | {b: f"data/v{number}/bucket={b}" for b in touched}
+        spark.createDataFrame(sorted(after.items()), "bucket int, folder string").coalesce(1).write.mode("overwrite").parquet(f"{table_dir}/manifest/v{number}")
+        remove_replaced(spark, table_dir, max(keep, 2))
         batch.unpersist()
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -103,15 +113,3 @@ def cadence(runs: DataFrame, low: int = 3600, high: int = 86400) -> DataFrame:
         yield pd.DataFrame([(key[0], int(rows["run_id"].iloc[-1]), fails, same, int(min(max(int(poll + 0.5), low), high)))], columns=["source_key", "run_id", "fail_count", "unchanged", "poll"])
 
     return runs.groupBy("source_key").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def normalized_by_source(batch: DataFrame, jobs: dict) -> tuple[DataFrame | None, dict[str, str]]:
-    """Runs the job of every source that a batch touches; a job that fails takes out only its own source, whose error is returned."""
-    done, errors = None, {}
-    for key in [r[0] for r in batch.select("source_key").distinct().where(F.col("source_key").isin(list(jobs))).collect()]:
-        try:
-            part = jobs[key](batch.where(F.col("source_key") == key))
-            done = part if done is None else done.unionByName(part, allowMissingColumns=True)
-        except Exception as e:  # noqa: BLE001  one source's job is not the others' business; its error is reported
-            errors[key] = str(e)[:200]
-    return done, errors

@@ -72,17 +72,3 @@ def test_cadence_state(spark, tmp_path):
     q.awaitTermination()
     got = {(x["source_key"], x["fail_count"], x["unchanged"], x["poll"]) for x in spark.table("cadence").collect()}
     assert got == {(x["source_key"], x["fail_count"], x["unchanged"], x["poll"]) for x in operations.cadence(r, F.lit("web")).collect()}
-
-
-def test_one_failing_source(spark, items):
-    batch, _ = items
-    done, errors = bronze.normalized_by_source(batch, {"s": lambda df: df.select("no_such_column"), "other": lambda df: df})
-    assert done is None and list(errors) == ["s"]
-
-
-def test_sources_are_normalized_by_their_jobs(spark, items):
-    batch, _ = items
-    two = batch.unionByName(batch.withColumn("source_key", F.lit("other"))).unionByName(batch.withColumn("source_key", F.lit("unknown")))
-    done, errors = bronze.normalized_by_source(two, {"s": lambda df: df.select("source_key", "title"), "other": lambda df: df.select("source_key", F.lit(1).alias("n"))})
-    assert errors == {} and {(r["source_key"], r["count"]) for r in done.groupBy("source_key").count().collect()} == {("s", 60), ("other", 60)}
-    assert done.where("source_key = 'other' AND (title IS NOT NULL OR n <> 1)").isEmpty()
