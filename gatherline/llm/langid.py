@@ -73,7 +73,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str] =
     """The columns in keep and lang_pred, score (0 to 1) and rejected of every row of docs, from its whole text alone.
 
     A text that is null or has no letter is und, scores 0 and is rejected; ties go to the language first in code-point order
-    and are rejected; with nothing learnt all are und. Repeated rows are judged alike; the result has a row for each row."""
+    and are rejected; with nothing learnt all are und. Repeated rows are judged alike; the result has a row for each row. Only learnt languages
+    are predicted: of a table with more than MOST_LANGUAGES those with most rows (raise it to learn more; each is a dictionary of bounded size)."""
 
     chosen, name = with_text(docs, keep)
 

@@ -3,23 +3,20 @@
 The model is a trie of byte contexts of up to ORDER bytes, counted over all training texts; contexts run through the whole text, whose words are
 joined by one blank. A byte is coded in its longest context that training has seen; a byte that has not followed there is reached by an escape (method C) to
 the next shorter context, without the bytes that the longer ones have offered (symbol exclusion), at last to a uniform choice. A text's code length is the sum over its
-bytes and its end, by its distinct grams (a context of ORDER bytes and the byte after it). The trie is never in one place: it is a table of counted grams, dealt out
-by the three bytes before the coded one, so in groups of at most 65,536 grams, which meet the counts after their last two bytes (256 at most). Only the orders below,
-of at most 65,536 contexts with 256 bytes each, go to all tasks.
+bytes and its end, by its distinct grams (a context of ORDER bytes and the byte after it). The trie is never in one place: it is a table of counted grams, and those of
+each shorter order; all probabilities are sums over them, grouped and joined.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, saved, sliced
@@ -194,52 +191,59 @@ def looked_up(docs: DataFrame, items: Callable[[str | None], list[bytes]], value
     return sums.withColumns({c: F.expr(f"{c} div copies") for c in ("n", "known")} | {"lp": F.col("lp") / F.col("copies")})
 
 
-def log10_of(symbol: int, contexts: list[Counter | None]) -> float:
-    """log10 of a byte's probability given the counts in its contexts, longest first (None or empty: not seen)."""
-    excluded: set[int] = set()
-    total = 0.0
-    for seen in filter(None, contexts):
-        open_ = {s: n for s, n in seen.items() if s not in excluded} if excluded else seen
-        if not open_:
-            continue
-        mass = sum(open_.values()) + len(open_)
-        if symbol in open_:
-            return total + math.log10(open_[symbol] / mass)
-        total += math.log10(len(open_) / mass)
-        excluded |= seen.keys()
-    return total - math.log10(max(1, 256 - len(excluded)))
+def suffixes(counts: DataFrame, order: int) -> DataFrame:
+    """item (a symbol and the bytes before it, order of them) and n: how often it occurs, of counts (item, n) of longer ones."""
+    return counts.groupBy(F.col("item").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("item")).agg(F.sum("n").alias("n"))
+
+
+def contexts(counts: DataFrame, shorter: DataFrame, order: int) -> DataFrame:
+    """context (as many bytes as order says), t (all that follows it), d (the distinct symbols that do) and a (how often these follow the context without its first byte) of counts (item, n) and those of the next shorter order."""
+    of = F.col("item").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("shorter")
+    joined = counts.select("item", "n", of).join(shorter.select(F.col("item").alias("shorter"), F.col("n").alias("m")), "shorter")
+    return joined.groupBy(F.shiftright("item", 8).alias("context")).agg(F.sum("n").alias("t"), F.count("*").alias("d"), F.sum("m").alias("a"))
+
+
+def tried(n: Column, mass: Column, distinct: Column, otherwise: Column) -> Column:
+    """log10 of a symbol's probability in a context of so much mass and so many distinct symbols, excluded ones left out, where it has n; else that of an escape (if any symbol is left), and what comes then."""
+    escape = F.when(distinct > 0, F.log10(distinct / (mass + distinct))).otherwise(0.0)
+    return F.when(n > 0, F.log10(n / (mass + distinct))).otherwise(escape + otherwise)
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:
-    """item, c and lp (log10 of its last byte's probability after the bytes before) of counted grams (item, c; c 0: not in training)."""
-    symbol, two, three = F.col("item").bitwiseAND(F.lit(0xFF)), F.shiftright("item", 8).bitwiseAND(F.lit(0xFFFF)), F.shiftright("item", 8).bitwiseAND(F.lit(0xFFFFFF))
-    trained = counts.where("c > 0")
-    small = trained.groupBy(F.col("item").bitwiseAND(F.lit(0xFFFF)).alias("two")).agg(F.sum("c").alias("c")).collect()  # 65,536 rows at most
-    one: dict[int, Counter] = {}
-    none: Counter = Counter()
-    for r in small:
-        one.setdefault(r["two"] >> 8, Counter())[r["two"] & 255] += r["c"]
-        none[r["two"] & 255] += r["c"]
-    shared = counts.sparkSession.sparkContext.broadcast((one, none))
-    after = trained.groupBy(two.alias("two"), symbol.alias("symbol")).agg(F.sum("c").alias("c"))
-    grams = counts.select(three.alias("three"), "item", "c")
-    ends = grams.select("three").distinct().withColumn("two", F.col("three").bitwiseAND(F.lit(0xFFFF))).join(after, "two").select(F.col("three").alias("ends"), "symbol", "c")
-
-    def score(rows: pd.DataFrame, follow: pd.DataFrame) -> pd.DataFrame:
-        """Of one three bytes' grams (65,536 at most), given what follows their last two bytes (256 rows at most)."""
-        one, none = shared.value
-        four: dict[int, Counter] = {}
-        three: Counter = Counter()
-        items, counts = rows["item"].tolist(), rows["c"].tolist()
-        for g, c in zip(items, counts, strict=True):
-            if c:
-                four.setdefault(g >> 32, Counter())[g & 255] += c
-                three[g & 255] += c
-        two = Counter(dict(zip(follow["symbol"].tolist(), follow["c"].tolist(), strict=True))) if len(follow) else Counter()
-        lps = [log10_of(g & 255, [four.get(g >> 32), three, two, one.get(g >> 8 & 255), none]) for g in items]
-        return pd.DataFrame({"item": items, "c": counts, "lp": lps})
-
-    return grams.groupBy("three").cogroup(ends.groupBy("ends")).applyInPandas(score, "item long, c long, lp double")
+    """item, c and lp (log10 of its last byte's probability after the bytes before) of counted grams (item, c; c 0: not in training).
+
+    As a context's symbols all follow its shorter ones too, what symbol exclusion leaves of an order is a difference of sums: of the mass, what the longer context's symbols have there, of the distinct symbols, their number. Grams are dealt out by
+    the three bytes before the last one, so at most 65,536 lie together; those that order 3 doesn't know (few) meet the tables of order 2, and all the lower ones (65,536 rows at most) go to all tasks."""
+    trained = counts.where("c > 0").select("item", F.col("c").alias("n"))
+    order = {3: saved(suffixes(trained, 3))}
+    order[2] = saved(suffixes(order[3], 2))
+    order[1] = saved(suffixes(order[2], 1))
+    order[0] = suffixes(order[1], 0)
+    zero = order[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    t0, d0 = (F.lit(x).cast("long") for x in zero)
+    three, symbol, longest = F.shiftright("item", 8).bitwiseAND(F.lit(0xFFFFFF)), F.col("item").bitwiseAND(F.lit(0xFF)), F.shiftright("item", 8)
+    after = lambda k: contexts(order[k], order[k - 1], k).select(F.col("context").alias(f"x{k}"), *[F.col(c).alias(f"{c}{k}") for c in "tda"])
+    rows = counts.select("item", "c", three.alias("x3"), symbol.alias("symbol"), longest.alias("x4")).repartition("x3").join(after(3), "x3", "left")
+    same, in_context = Window.partitionBy("x3", "symbol"), Window.partitionBy("x3", "x4")
+    rows = rows.withColumn("n3", F.sum("c").over(same)).withColumns({
+        "t4": F.sum("c").over(in_context), "d4": F.count_if(F.col("c") > 0).over(in_context), "a4": F.sum(F.when(F.col("c") > 0, F.col("n3")).otherwise(0)).over(in_context),
+    })
+    of = {c: F.coalesce(c, F.lit(0)) for c in ("t3", "d3", "a3")}
+    rows = saved(rows.select("item", "c", "n3", "t4", "d4", "a4", *[x.alias(c) for c, x in of.items()], ((F.col("c") == 0) & (F.col("n3") == 0)).alias("unknown")))
+    to_three = lambda then: tried(F.col("c"), F.col("t4"), F.col("d4"), tried(F.col("n3"), F.col("t3") - F.col("a4"), F.col("d3") - F.col("d4"), then))
+    known = rows.where("NOT unknown").select("item", "c", to_three(F.lit(0.0)).alias("lp"))
+    rest = rows.where("unknown").withColumns({"x2": F.shiftright("item", 8).bitwiseAND(F.lit(0xFFFF)), "x1": F.shiftright("item", 8).bitwiseAND(F.lit(0xFF))})
+    for k in (2, 1, 0):
+        n = order[k].select(F.col("item").alias(f"i{k}"), F.col("n").alias(f"n{k}"))
+        rest = rest.withColumn(f"i{k}", F.col("item").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))).join(n if k == 2 else F.broadcast(n), f"i{k}", "left")
+        if k:
+            rest = rest.join(after(k) if k == 2 else F.broadcast(after(k)), f"x{k}", "left")
+    v = {c: F.coalesce(c, F.lit(0)) for c in ("n2", "t2", "d2", "a2", "n1", "t1", "d1", "a1", "n0")}
+    last = -F.log10(F.greatest(F.lit(1), 256 - d0).cast("double"))
+    zeroth = tried(v["n0"], t0 - v["a1"], d0 - v["d1"], last)
+    first = tried(v["n1"], v["t1"] - v["a2"], v["d1"] - v["d2"], zeroth)
+    second = tried(v["n2"], v["t2"] - F.col("a3"), v["d2"] - F.col("d3"), first)
+    return known.unionByName(rest.select("item", "c", to_three(second).alias("lp")))
 
 
 def gram_sums(docs: DataFrame, values: DataFrame) -> DataFrame:
