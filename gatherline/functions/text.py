@@ -147,8 +147,8 @@ def decode_entities(c: Column) -> Column:
         codes = F.regexp_extract_all(t, F.lit(pattern.replace("(?:", "(")), F.lit(1))
         return F.array_join(F.zip_with(parts, codes, lambda p, x: F.concat(p, F.when(x.isNotNull(), char(x, base)).otherwise(""))), "")
 
-    c = F.when(c.rlike("&#[0-9]+;"), decoded(c, "&#(?:[0-9]+);", 10)).otherwise(c)
-    return F.when(c.rlike("&#[xX][0-9a-fA-F]+;"), decoded(c, "&#[xX](?:[0-9a-fA-F]+);", 16)).otherwise(c)
+    c = once(c, lambda t: F.when(t.rlike("&#[0-9]+;"), decoded(t, "&#(?:[0-9]+);", 10)).otherwise(t))
+    return once(c, lambda t: F.when(t.rlike("&#[xX][0-9a-fA-F]+;"), decoded(t, "&#[xX](?:[0-9a-fA-F]+);", 16)).otherwise(t))
 
 
 def html_text(c: Column) -> Column:

@@ -151,7 +151,7 @@ def folded_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rm.folded_into(empty.where("substring(series, 1, 1) IN ('0', '1', '2', '3')"), e)
 
 
-@query(f"""WITH p AS ({PLACES_SQL}) SELECT id, '["' || array_to_string(list_sort(list_distinct(list_filter(['place', 'area:' || area, lower(category), source, 'mapped'], lambda x: x IS NOT NULL))), '","') || '"]' AS tags_json FROM p""")
+@query(f"""WITH p AS ({PLACES_SQL}) SELECT id, '["' || array_to_string(list_sort(list_distinct(list_filter(['place', 'area:' || area, lower(category), source, 'mapped', 'coffee'], lambda x: x IS NOT NULL))), '","') || '"]' AS tags_json FROM p""")
 def retagged_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sr.places_retagged(places(spark, sf_dir).withColumn("tags_json", F.lit("old"))).select("id", "tags_json")
 

@@ -36,17 +36,25 @@ def host(url: Column) -> Column:
 
 def resolved(href: Column, base: Column) -> Column:
     """An href against the page's url: absolute ones stay, those of another host take its scheme, rooted ones its host, others its folder."""
-    origin = F.regexp_extract(base, "^([a-zA-Z]+://[^/?#]+)", 1)
-    folder = F.regexp_extract(base, "^([a-zA-Z]+://[^?#]*/)", 1)
-    h = text.decode_entities(href)
-    return F.when(h.rlike("^[a-zA-Z]+://"), h).when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([a-zA-Z]+:)", 1), h)).when(h.startswith("/"), F.concat(origin, h)).otherwise(F.concat(F.when(F.length(folder) > 8, folder).otherwise(F.concat(origin, F.lit("/"))), h))
+    scheme, origin, folder = (F.regexp_extract(base, p, 1) for p in ("^([a-zA-Z]+:)", "^([a-zA-Z]+://[^/?#]+)", "^([a-zA-Z]+://[^?#]*/)"))
+    beside = F.when(F.length(folder) > 8, folder).otherwise(F.concat(origin, F.lit("/")))
+
+    def absolute(h: Column) -> Column:
+        return F.when(h.rlike("^[a-zA-Z]+://"), h).when(h.startswith("//"), F.concat(scheme, h)).when(h.startswith("/"), F.concat(origin, h)).otherwise(F.concat(beside, h))
+
+    return text.once(text.decode_entities(href), absolute)
 
 
 def anchors(pages: DataFrame) -> DataFrame:
     """page_id, page (its url), pos, url and title (the text inside) of all anchors of pages. A page is searched once; address and text are taken from each anchor."""
-    a = pages.select("page_id", F.col("url").alias("page"), F.posexplode(F.regexp_extract_all("html", F.lit(fixed.ANCHOR), F.lit(0))).alias("pos", "a"))
-    href, body = F.regexp_extract("a", fixed.ANCHOR, 1), F.regexp_replace("a", "(?is)^<a\\b[^>]*>|</a>$", "")
-    return a.select("page_id", "page", "pos", resolved(href, F.col("page")).alias("url"), text.compact(text.html_text(body)).alias("title"))
+
+    def told(a: Column) -> Column:
+        body = F.regexp_replace(a, "(?is)^<a\\b[^>]*>|</a>$", "")
+        return F.struct(resolved(F.regexp_extract(a, fixed.ANCHOR, 1), F.col("url")).alias("url"), text.compact(text.html_text(body)).alias("title"))
+
+    # told inside the array, so that conditions on url and title, of which there are many, don't work them out anew
+    found = F.transform(F.regexp_extract_all("html", F.lit(fixed.ANCHOR), F.lit(0)), told)
+    return pages.select("page_id", F.col("url").alias("page"), F.posexplode(found).alias("pos", "a")).select("page_id", "page", "pos", "a.url", "a.title")
 
 
 def cards(pages: DataFrame, low: int = 18, high: int = 220) -> DataFrame:
