@@ -47,21 +47,27 @@ def marked_terms(text: Column, edited: Column) -> Column:
     return F.sort_array(F.concat(marked(text, 0), marked(edited, 1)))
 
 
+#: What a row carries beside its terms: numbers only, so that aggregation stays in hash tables of fixed width.
+CARRIED = ["c0", "c1", "c2", "c3", "c4", "c5", "c6"]
+
+
 def counted_terms(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, term, n and m of docs (keys, text, edited): the hash of every word of either text and its counts in both."""
-    d = docs.select(*keys, marked_terms(F.col("text"), F.col("edited")).alias("hs")).where(F.size("hs") > 0)
-    new = F.filter(F.sequence(F.lit(0), F.size("hs") - 1), lambda i: (i == 0) | (F.get("hs", i) != F.get("hs", i - 1)))
+    """keys, term, n, m and CARRIED of docs (keys, text, edited, CARRIED: longs): the hash of every word of either text and its counts in both; and for each row one more without a term or counts, which alone has what the row carries."""
+    d = docs.select(*keys, F.struct(*CARRIED).alias("carried"), marked_terms(F.col("text"), F.col("edited")).alias("hs"))
+    new = F.filter(F.when(F.size("hs") > 0, F.sequence(F.lit(0), F.size("hs") - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get("hs", i) != F.get("hs", i - 1)))
     d = d.withColumn("starts", new)
-    d = d.select(*keys, F.transform("starts", lambda p, i: F.struct(F.get("hs", p).alias("h"), (F.coalesce(F.get("starts", i + 1), F.size("hs")) - p).alias("c"))).alias("runs"))
+    d = d.select(*keys, "carried", F.transform("starts", lambda p, i: F.struct(F.get("hs", p).alias("h"), (F.coalesce(F.get("starts", i + 1), F.size("hs")) - p).alias("c"))).alias("runs"))
+    none = F.lit(None).cast(d.schema["carried"].dataType)
 
     def both(x: Column, i: Column) -> Column:
         term, edited = x["h"].bitwiseAND(F.lit(-2)), x["h"].bitwiseAND(F.lit(1)) == 1
         after, before = F.get("runs", i + 1), F.get("runs", i - 1)
         m = F.when(edited, x["c"]).when(after["h"] == x["h"] + 1, after["c"]).otherwise(0)
-        return F.struct(term.alias("term"), F.when(edited, 0).otherwise(x["c"]).alias("n"), m.alias("m"), (edited & F.coalesce(before["h"] == term, F.lit(False))).alias("again"))
+        return F.struct(term.alias("term"), F.when(edited, 0).otherwise(x["c"]).alias("n"), m.alias("m"), (edited & F.coalesce(before["h"] == term, F.lit(False))).alias("again"), none.alias("carried"))
 
-    d = d.select(*keys, F.explode(F.filter(F.transform("runs", both), lambda x: ~x["again"])).alias("t"))
-    return d.select(*keys, "t.term", "t.n", "t.m")
+    row = F.struct(F.lit(None).cast("long").alias("term"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("int").alias("m"), F.lit(False).alias("again"), F.col("carried"))
+    d = d.select(*keys, F.explode(F.concat(F.array(row), F.filter(F.transform("runs", both), lambda x: ~x["again"]))).alias("t"))
+    return d.select(*keys, "t.term", "t.n", "t.m", "t.carried.*")
 
 
 def sample(term: Column, weight: Column, j: Column, points: Column) -> Column:
@@ -85,19 +91,19 @@ def sample(term: Column, weight: Column, j: Column, points: Column) -> Column:
 
 
 def sampled(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, one and two (fingerprints of text and edited: arrays of SAMPLES identities) of docs (keys, text, edited) that have a word in either text.
+    """keys, one and two (fingerprints of text and edited: arrays of SAMPLES identities) and CARRIED of docs (keys, text, edited, CARRIED).
 
     Rows of one document stay where they are if docs is dealt out by some of the keys, so nothing is shuffled."""
     points = F.from_json(F.lit(str(gamma_points())), "array<double>")
     terms = counted_terms(docs, keys).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // AT_ONCE - 1))))
     least = [F.min(sample(F.col("term"), F.col(w), F.col("g") * AT_ONCE + i, points)).alias(f"{w}{i}") for i in range(AT_ONCE) for w in "nm"]
-    parts = terms.groupBy(*keys, "g").agg(*least)
+    parts = terms.groupBy(*keys, "g").agg(*least, *[F.max(c).alias(c) for c in CARRIED])
 
     def identities(w: str) -> Column:
         every = F.struct("g", F.array(*[F.coalesce(F.col(f"{w}{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(NOTHING)) for i in range(AT_ONCE)]).alias("x"))
         return F.flatten(F.transform(F.array_sort(F.collect_list(every)), lambda p: p["x"]))
 
-    return parts.groupBy(*keys).agg(identities("n").alias("one"), identities("m").alias("two"))
+    return parts.groupBy(*keys).agg(identities("n").alias("one"), identities("m").alias("two"), *[F.max(c).alias(c) for c in CARRIED])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -111,19 +117,20 @@ def written(ids: Column) -> Column:
 
 
 def bounds(docs: DataFrame) -> list:
-    """Rows (id, h) that cut the rows of docs (id, h), by id (null least), then h, into about equal parts: quantiles of a sample of a bounded number of rows; fewer than MOST_BUCKETS."""
+    """Rows (id, h, u) that cut the rows of docs (id, h, u), by id (null least), then h, then u, into about equal parts: quantiles of a sample of a bounded number of rows; fewer than MOST_BUCKETS. As u tells rows apart that repeat
+    each other, they are drawn, and cut, one by one."""
     n = docs.count()
     buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    drawn = docs.where(F.pmod(F.xxhash64("h", "id"), F.lit(max(1, n // (buckets * SAMPLED)))) == 0) if n else docs
-    place = drawn.withColumn("place", F.row_number().over(Window.orderBy("id", "h")))  # 2 * MOST_BUCKETS * SAMPLED rows of two longs
-    return place.where(F.col("place") % SAMPLED == 0).orderBy("place").select("id", "h").collect()[: buckets - 1]
+    drawn = docs.where(F.pmod(F.xxhash64("u", "h", "id"), F.lit(max(1, n // (buckets * SAMPLED)))) == 0) if n else docs
+    place = drawn.withColumn("place", F.row_number().over(Window.orderBy("id", "h", "u")))  # 2 * MOST_BUCKETS * SAMPLED rows of three longs
+    return place.where(F.col("place") % SAMPLED == 0).orderBy("place").select("id", "h", "u").collect()[: buckets - 1]
 
 
 def bucket_of(key: Column, ends: list) -> Column:
-    """How many of the sorted ends are less than key (a struct id, h): a binary search."""
+    """How many of the sorted ends are less than key (a struct id, h, u): a binary search."""
     if not ends:
         return F.lit(0).cast("long")
-    table = F.from_json(F.lit(json.dumps([{"id": e["id"], "h": e["h"]} for e in ends])), "array<struct<id:bigint,h:bigint>>")
+    table = F.from_json(F.lit(json.dumps([{"id": e["id"], "h": e["h"], "u": e["u"]} for e in ends])), "array<struct<id:bigint,h:bigint,u:bigint>>")
 
     def halve(at: Column, step: Column) -> Column:
         return F.when(F.get(table, at + step - 1) < key, at + step).otherwise(at)
@@ -132,23 +139,31 @@ def bucket_of(key: Column, ends: list) -> Column:
     return F.aggregate(F.array(*[F.lit(i) for i in steps]), F.lit(0), halve).cast("long")
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with at (id, h: a hash of the text, u: a number that tells rows apart) and bucket: consecutive buckets of about BUCKET_ROWS rows, whatever ids and texts repeat."""
+    u = F.xxhash64(F.monotonically_increasing_id())
+    docs = docs.select("doc_id", "text", F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), u.alias("u")).alias("at"))
+    return docs.withColumn("bucket", bucket_of(F.col("at"), bounds(docs.select("at.*"))))
+
+
 def next_to(docs: DataFrame) -> DataFrame:
     """bucket, place, doc_id, text, following (the next row's text) and borrowed of docs (doc_id, text), by descending doc_id, the last followed by the first.
 
-    Rows are cut into buckets of consecutive ones, at quantiles, so clumps of ids or rows of one id (told apart by a hash of their text) don't fill a bucket. Each bucket borrows the row that
-    follows its last from the next bucket, so that only buckets are dealt out and sorted, once. Rows of one id go by that hash, then by text; null ids come last."""
-    docs = docs.select("doc_id", "text", F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h")).alias("at"))
-    ends = bounds(docs.select("at.*"))
-    docs = docs.withColumn("bucket", bucket_of(F.col("at"), ends))
+    Rows are cut into buckets of consecutive ones, at quantiles, so clumps of ids, rows of one id (told apart by a hash of their text) or rows that repeat each other (in any order, as each has the same neighbours) don't fill
+    a bucket. Each bucket borrows the text that follows its last row from the next bucket, so that only buckets are dealt out and sorted, once. Rows of one id go by that hash; null ids come last."""
+    docs = dealt(docs)
     heads = docs.groupBy("bucket").agg(F.max("at").alias("head"))
     order = Window.orderBy(F.col("bucket").desc())
     last = Window.orderBy("bucket")
-    heads = saved(heads.withColumn("lender", F.coalesce(F.lead("head").over(order), F.last("head").over(last.rowsBetween(0, Window.unboundedFollowing)))))
-    lent = docs.drop("bucket").join(F.broadcast(heads.select(F.col("lender"), F.col("bucket"))), F.col("at").eqNullSafe(F.col("lender")))  # MOST_BUCKETS rows at most
-    known = F.coalesce("bucket", F.lit(-1).cast("long")).alias("bucket")  # never null, so that all that reads the dealt rows has one plan and shares their shuffle
-    lent = lent.groupBy("bucket", "at").agg(F.min("text").alias("text"), F.first("doc_id").alias("doc_id")).select("doc_id", "text", "at", known).withColumn("borrowed", F.lit(True))
+    lender = F.coalesce(F.lead("head").over(order), F.last("head").over(last.rowsBetween(0, Window.unboundedFollowing)))
+    heads = saved(heads.select("bucket", lender.alias("l")).select("bucket", F.col("l.id").alias("id"), F.col("l.h").alias("h")))  # MOST_BUCKETS rows at most
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
+    texts = docs.select("at.id", "at.h", "text").alias("d").join(F.broadcast(heads.select("id", "h").distinct()).alias("l"), same("d", "l"), "left_semi").groupBy("id", "h").agg(F.min("text").alias("text"))
+    borrowed = heads.alias("l").join(texts.alias("t"), same("l", "t")).select("bucket", "t.id", "t.h", "text")
+    none, known = F.lit(None).cast(docs.schema["doc_id"].dataType), F.coalesce("bucket", F.lit(-1).cast("long")).alias("bucket")
+    lent = borrowed.select(none.alias("doc_id"), "text", F.struct("id", "h", F.lit(0).cast("long").alias("u")).alias("at"), known, F.lit(True).alias("borrowed"))
     both = docs.withColumn("borrowed", F.lit(False)).unionByName(lent)
-    w = Window.partitionBy("bucket").orderBy("borrowed", F.col("at").desc(), "text")
+    w = Window.partitionBy("bucket").orderBy("borrowed", F.col("at").desc())
     return both.select("bucket", F.row_number().over(w).alias("place"), "doc_id", "text", F.lead("text").over(w).alias("following"), "borrowed")
 
 
@@ -158,17 +173,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     A null text is empty. The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next document in descending
     doc_id (after the last: the first; a sole row: itself). near_edited and near_next are the shares of equal samples with the edited text's and the next
     document's fingerprint. Equal texts have equal fingerprints; texts without words have one of their own and are alike to each other only.
-    Rows that repeat an id go by a hash of their text, then by text; null ids come last. An empty table gives an empty result."""
+    Rows that repeat an id go by a hash of their text; null ids come last. An empty table gives an empty result."""
     d = next_to(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.coalesce("following", F.lit("")), F.lit(1), cut))
     keys = ["bucket", "place"]
-    plain = d.select(*keys, "doc_id", "borrowed", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"))
-    prints = sampled(d.select(*keys, "text", edited.alias("edited")), keys)
-    none = F.array_repeat(F.lit(NOTHING).cast("long"), SAMPLES)
-    rows = plain.join(prints, keys, "left").withColumns({c: F.coalesce(c, none) for c in ("one", "two")})
-    rows = rows.withColumn("next", F.lead("one").over(Window.partitionBy("bucket").orderBy("place")))
+    digest = F.sha2(edited, 256)
+    quarters = [F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long") for i in range(4)]  # a digest as four numbers
+    carried = [F.col("doc_id").cast("long"), F.col("borrowed").cast("long"), n.cast("long"), *quarters]
+    d = d.select(*keys, "text", edited.alias("edited"), *[x.alias(c) for c, x in zip(CARRIED, carried, strict=True)])
+    rows = sampled(d, keys).withColumn("next", F.lead("one").over(Window.partitionBy("bucket").orderBy("place")))
+    rows = rows.withColumns({"doc_id": F.col("c0").cast(docs.schema["doc_id"].dataType), "borrowed": F.col("c1") == 1, "n_chars": F.col("c2")})
+    rows = rows.withColumn("edited_sha256", F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in CARRIED[3:]]))
     return rows.where(~F.col("borrowed")).select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("one")).alias("fingerprint"), written(F.col("two")).alias("edited_fingerprint"),
         likeness(F.col("one"), F.col("two")).alias("near_edited"), likeness(F.col("one"), F.col("next")).alias("near_next"),

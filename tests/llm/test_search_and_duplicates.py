@@ -188,13 +188,35 @@ def test_fingerprints_against_brute_force(spark):
 
 
 def test_buckets_are_even(spark):
+    """Also where ids, or ids and texts, repeat in a third of all rows."""
     from pyspark.sql import functions as F
 
-    df = spark.range(0, 20_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") == 1, 10**17).otherwise(F.col("id")).alias("id"), F.xxhash64("id").alias("h"))
-    ends = fingerprint.bounds(df)
-    assert ends == sorted(ends) and 30 <= len(ends) < 20_000 // fingerprint.BUCKET_ROWS
-    sizes = df.groupBy(fingerprint.bucket_of(F.struct("id", "h"), ends).alias("b")).count().collect()
-    assert len(sizes) == len(ends) + 1 and max(r["count"] for r in sizes) < 4 * fingerprint.BUCKET_ROWS
+    hot = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") == 1, 10**17).otherwise(F.col("id"))
+    for text in (F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string"))):
+        docs = spark.range(0, 20_000).select(hot.alias("doc_id"), text.alias("text"))
+        found = fingerprint.dealt(docs)
+        ends = fingerprint.bounds(found.select("at.*"))
+        assert ends == sorted(ends) and 30 <= len(ends) < 20_000 // fingerprint.BUCKET_ROWS
+        sizes = found.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("bucket").collect()
+        assert len(sizes) > 30 and max(r["n"] for r in sizes) < 4 * fingerprint.BUCKET_ROWS and all(x["b"] <= y["a"] for x, y in zip(sizes, sizes[1:]))
+
+
+def test_rows_that_repeat_each_other_are_neighbours(spark):
+    """6,000 equal rows fill several buckets: all but the last of them are followed by one like them."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 9_000).select(F.when(F.col("id") < 6_000, 5).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 6_000, "one two three").otherwise(F.concat(F.lit("t "), "id")).alias("text")).repartition(5)
+    got = fingerprint.fingerprints(docs).groupBy(F.col("doc_id") == 5, "near_next").count().collect()
+    assert sorted((r["(doc_id = 5)"], r["count"]) for r in got if r["near_next"] == 1.0) == [(True, 5_999)] and sum(r["count"] for r in got) == 9_000
+
+
+def test_dealt_texts_are_shuffled_once(spark):
+    """One exchange deals texts out; what comes after stays where it is."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text of "), "id").alias("text"))
+    plan = fingerprint.fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(bucket") == 1 and "SortMergeJoin" not in plan
 
 
 def test_collisions_follow_generalised_jaccard(spark):
