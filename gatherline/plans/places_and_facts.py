@@ -82,7 +82,9 @@ def enrichment_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT role AS path, lower(coalesce(text, '')) AS a, lower(coalesce(left(text, length(text) - (conv_id % 40)::INT), '')) AS b FROM conversations)
 SELECT path, count(*) AS cases, sum(((length(a) - length(b)) * 100 <= length(a) * 15)::INT)::BIGINT AS passed FROM t GROUP BY 1""")
 def golden_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").selectExpr("role AS path", "text AS predicted", "left(text, length(text) - cast(conv_id % 40 AS int)) AS expected")
+    """Texts without their last 0 to 39 characters; of a text with fewer than those, as many as it lacks go."""
+    c = table(spark, sf_dir, "conversations").selectExpr("*", "length(text) - cast(conv_id % 40 AS int) AS n")
+    c = c.selectExpr("role AS path", "text AS predicted", "left(text, CASE WHEN n < 0 THEN length(text) + n ELSE n END) AS expected")
     return pl.evaluated(c)
 
 
