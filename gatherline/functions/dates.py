@@ -16,6 +16,7 @@ MONTH_STEMS = [
 WORD = "[A-Za-zА-Яа-яёЁЇїІіЄєҐґ]{3,}"
 NUMERIC = r"(?<![\d.,\p{L}])(\d{1,2})([./-])(\d{1,2})(?:[./-](\d{2,4}))?(?![\d\p{L}])"
 DAY_FIRST = rf"(?<![\d\p{{L}}])(\d{{1,2}})\s+(?:de\s+)?({WORD})\.?(?:\s+(?:de\s+)?(\d{{4}}))?"
+YEAR = r"(?<![\d\p{L}])20\d{2}(?!\d)"
 MONTH_FIRST = rf"(?<![\p{{L}}\d])({WORD})\.?\s+(\d{{1,2}})(?!\d)(?:[^\d]{{0,12}}?(\d{{4}}))?"
 
 
@@ -32,12 +33,13 @@ def month_of(word: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    return c.try_cast("int")
+    """The whole number that a text is, else null. Empty texts (of groups that a pattern did not meet) are told first: a cast that fails costs more than all patterns of a date."""
+    return once(c, lambda x: F.when(x != "", x.try_cast("int")))
 
 
 def sole_year(t: Column) -> Column:
-    """The one year from 2000 to 2099 that a text names, if it is one."""
-    years = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<!\d)(20\d{2})(?!\d)"), F.lit(1)))
+    """The one year from 2000 to 2099 that a text names, if it is one; a number behind a letter (N2024) is none."""
+    years = F.array_distinct(F.regexp_extract_all(t, F.lit(f"({YEAR})"), F.lit(1)))
     return F.when(F.size(years) == 1, number(F.get(years, F.lit(0))))
 
 
@@ -58,10 +60,11 @@ def first_date(t: Column, anchor: Column) -> Column:
 
     def candidate(pattern: str, day: int, month: Column, year: Column) -> Column:
         def dated(x: Column) -> Column:
-            good = (x["at"] > 0) & x["d"].between(1, 31) & (x["m"] > 0)
+            good = x["d"].between(1, 31) & (x["m"] > 0)
             return F.when(good, F.struct(x["at"].alias("at"), iso(F.coalesce(x["y"], sole_year(t), roll(x["m"], x["d"])), x["m"], x["d"]).alias("iso")))
 
-        return once(F.struct(F.regexp_instr(t, F.lit(pattern)).alias("at"), number(part(pattern, day)).alias("d"), month.alias("m"), year.alias("y")), dated)
+        # the groups of a pattern are only looked for where it is met
+        return once(F.regexp_instr(t, F.lit(pattern)), lambda at: F.when(at > 0, once(F.struct(at.alias("at"), number(part(pattern, day)).alias("d"), month.alias("m"), year.alias("y")), dated)))
 
     short = once(number(part(NUMERIC, 4)), lambda y: F.nullif(F.when(y < 100, y + 2000).otherwise(y), F.lit(0)))
     month = once(number(part(NUMERIC, 3)), lambda m: F.when((m <= 12) & ((part(NUMERIC, 2) != ".") | F.coalesce(number(part(NUMERIC, 4)) > 0, F.lit(False))), m))
@@ -81,7 +84,7 @@ def anchored_date(c: Column, published: Column, first_seen: Column, last_seen: C
     def undone(d: Column) -> Column:
         y, m, n = (F.substring(d, at, size).cast("int") for at, size in ((1, 4), (6, 2), (9, 2)))
         rolled = F.date_add(F.make_date(y, m, F.lit(1)), n - 1)  # the 29th of February may be rolled into a year without one
-        far = (y == F.year(day) + 1) & (F.date_diff(rolled, day) > 60) & ~c.rlike(r"(?<!\d)20\d{2}(?!\d)|(?<![\d.,])\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b")
+        far = (y == F.year(day) + 1) & (F.date_diff(rolled, day) > 60) & ~c.rlike(YEAR + r"|(?<![\d.,])\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b")
         return F.when(far, iso(y - 1, m, n)).otherwise(d)
 
     return once(parse_date(c, day), undone)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, fixed, places, titles
-from ..functions.text import compact, empty, fold, norm_title
+from ..functions.text import compact, empty, fold, norm_title, worked_out
 from . import gates
 from .normalize import linked
 
@@ -50,8 +50,8 @@ def headed_cards(items: DataFrame, *, name: str = "") -> DataFrame:
     tail = F.when(at > 0, F.substring(t, at + F.length(F.regexp_substr(t, F.lit(head))), F.length(t))).otherwise(t)
     c = cards_of(items).where(~gates.is_junk(F.col("title"), F.col("text"), F.lit(name)))
     start = F.coalesce(day, dates.parse_date(t, F.to_date("seen")))
-    c = c.withColumn("t", F.coalesce(compact(F.col("text")), F.col("title"))).select("id", "source_key", titles.once_of_three(tail).alias("title"), start.alias("start_date"), F.nullif(g(4), F.lit("")).alias("start_time"), "url")
-    return c.where("title <> ''")
+    c = worked_out(worked_out(c, t=F.coalesce(compact(F.col("text")), F.col("title"))), title=titles.once_of_three(tail), start_date=start, time=g(4))
+    return c.select("id", "source_key", "title", "start_date", F.nullif("time", F.lit("")).alias("start_time"), "url").where("title <> ''")
 
 
 def short_month(c: Column) -> Column:
@@ -83,11 +83,11 @@ def badge_cards(items: DataFrame) -> DataFrame:
     phrase = rf"(?iu)Del\s+(?:{bare}\s+)?al\s+{bare}|Hasta el\s+{bare}|\b{bare}\b|✱?\s*¡(?:Solo|Termina) (?:hoy|mañana)!|Fechas disponibles"
     rest = compact(F.replace(F.regexp_replace(F.substring(head, F.length(badge) + 1, F.length(head)), phrase, " "), F.lit("✱"), F.lit(" ")))
     c = cards_of(items).where(~gates.is_junk(F.col("title"), F.col("text"), F.lit("")))
-    c = c.select("id", "source_key", "url", price.alias("price"), F.when(free, 1).when(amount != "", 0).alias("is_free"), start.alias("start_date"), end.alias("end_date"),
-        F.coalesce(F.try_element_at(known, badge), F.lit("culture")).alias("category"), rest.alias("rest"))
+    c = worked_out(c, price=price, is_free=F.when(free, 1).when(amount != "", 0), start_date=start, end_date=end, category=F.coalesce(F.try_element_at(known, badge), F.lit("culture")), rest=rest)
     last = F.regexp_replace(F.lower(F.regexp_extract("rest", r"(\S+)$", 1)), "[.,;]+$", "")
     town = F.when(F.contains(F.col("rest"), F.lit(" ")), F.try_element_at(F.create_map(*[F.lit(x) for kv in fixed.TOWNS.items() for x in kv]), last))
-    c = c.withColumn("city", F.coalesce(town, F.lit(fixed.HOME_CITY))).withColumn("title", F.when(town.isNotNull(), F.trim(F.regexp_replace("rest", r"\s*\S+$", ""))).otherwise(F.col("rest")))
+    c = worked_out(c, city=F.coalesce(town, F.lit(fixed.HOME_CITY)), title=F.when(town.isNotNull(), F.trim(F.regexp_replace("rest", r"\s*\S+$", ""))).otherwise(F.col("rest")))
+    c = c.select("id", "source_key", "url", "price", "is_free", "start_date", "end_date", "category", "rest", "city", "title")
     first = Window.partitionBy("source_key", norm_title(F.col("title")), "start_date").orderBy("id")
     return c.where("title <> ''").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "rest")
 
@@ -95,7 +95,7 @@ def badge_cards(items: DataFrame) -> DataFrame:
 def concert_cards(items: DataFrame, *, name: str = "") -> DataFrame:
     """Drafts of concerts in the region: a card without a date takes that of the latest dated card of its address; those without either go. Titles lose place and date behind them."""
     key = F.lower(F.regexp_replace(F.split("url", "[?#]")[0], "/+$", ""))
-    c = cards_of(items).withColumn("key", key).withColumn("own", dates.parse_date(F.col("title"), F.to_date("seen")))
+    c = worked_out(cards_of(items), key=key, own=dates.parse_date(F.col("title"), F.to_date("seen")))
     twin = c.where("own IS NOT NULL").groupBy("source_key", "key").agg(F.max_by("own", "id").alias("twin"))
     in_province = F.col("title").rlike(fixed.PROVINCE_TAIL) | F.col("title").rlike(fixed.PROVINCE_TOWN)
     c = c.where(in_province & ~gates.is_junk(F.col("title"), F.col("text"), F.lit(name))).join(twin, ["source_key", "key"], "left")

@@ -14,8 +14,8 @@ def posts(items: DataFrame, category: str | None = None, needs_date: bool = Fals
     """Drafts of chat posts (id, source_key, text, seen): headline, date from the day seen on, price; posts under 12 characters without a date or venue cue go."""
     price = dates.price(F.col("text"))
     start = dates.parse_date(F.col("text"), F.to_date("seen"))
-    d = items.select("id", "source_key", dates.headline(F.col("text")).alias("title"), start.alias("start_date"), price["price"].alias("price"), price["is_free"].alias("is_free"),
-        F.nullif(F.regexp_extract("text", r"(?<!\d)([01]\d|2[0-3]):([0-5]\d)(?!\d)", 0), F.lit("")).alias("start_time"), F.lit(category).cast("string").alias("category"), "text")
+    d = text.worked_out(text.spread(items), title=dates.headline(F.col("text")), start_date=start, price=price, time=F.regexp_extract("text", r"(?<!\d)([01]\d|2[0-3]):([0-5]\d)(?!\d)", 0))
+    d = d.select("id", "source_key", "title", "start_date", "price.price", "price.is_free", F.nullif("time", F.lit("")).alias("start_time"), F.lit(category).cast("string").alias("category"), "text")
     cue = F.col("text").rlike(r"(?iu)📍|адрес|где:|место:|dónde|lugar")
     d = d.where((F.length("text") >= 12) & (F.col("start_date").isNotNull() | (F.lit(not needs_date) & cue)) & F.col("title").isNotNull())
     return d.drop("text")

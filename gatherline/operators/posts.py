@@ -52,10 +52,10 @@ def chat_posts(
     if country:
         p = p.where(places.in_country(F.col("title"), F.concat_ws(" ", "text", "url"), *country))
     read = every if country else empty(body)
-    p = p.withColumn("_date", dates.anchored_date(read, published, F.col("seen"), optional(items, "last_seen", "timestamp")))
+    p = text.worked_out(p, _date=dates.anchored_date(read, published, F.col("seen"), optional(items, "last_seen", "timestamp")))
     if relative:
         day = F.coalesce(published.cast("string").substr(1, 10).try_cast("date"), F.to_date("seen"))
-        p = p.withColumn("_phrase", F.when(F.col("_date").isNull(), titles.relative_days(body, day)))
+        p = text.worked_out(p, _phrase=F.when(F.col("_date").isNull(), titles.relative_days(body, day)))
     else:
         p = p.withColumn("_phrase", F.lit(None).cast("struct<start:string,end:string>"))
     p = p.withColumn("_start", F.coalesce("_date", "_phrase.start"))
@@ -63,7 +63,7 @@ def chat_posts(
         p = p.where("_start IS NOT NULL")
     if gated and not country:
         p = p.where(is_event_like(body, F.col("_start").isNotNull()))
-    p = p.withColumn("_title", post_title(body, F.col("title"))).where("_title IS NOT NULL").withColumn("_price", dates.price(body))
+    p = text.worked_out(p, _title=post_title(body, F.col("title")), _price=dates.price(body)).where("_title IS NOT NULL")
     kind = F.lit(category) if category else titles.cued(F.concat_ws(" ", "_title", "text"), fixed.POST_CATEGORIES, "event")
     city = titles.cued(every, cities, fixed.HOME_CITY) if cities else F.lit(fixed.HOME_CITY)
     return p.select(

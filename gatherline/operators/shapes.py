@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import spread
 from . import listings, posts, venue_listings
 
 FORMS: dict[str, Callable[..., DataFrame]] = {
@@ -50,7 +51,7 @@ for key, form, options in (
 def shaped(items: DataFrame, source: str) -> DataFrame:
     """Drafts of a source's items."""
     form, options = SHAPES[source]
-    return FORMS[form](items, **options)
+    return FORMS[form](spread(items), **options)
 
 
 def drafts(items: DataFrame, sources: list[str]) -> DataFrame:

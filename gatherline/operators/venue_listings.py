@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, fixed
-from ..functions.text import compact, empty, once
+from ..functions.text import compact, empty, once, worked_out
 from . import gates
 from .listings import cards_of, latest, short_month, with_links
 
@@ -48,7 +48,7 @@ def experience_cards(items: DataFrame, *, venues: list[str] | DataFrame = fixed.
     ranked = F.regexp_replace("title", r"^(\d{1,2})\s+\1\s+", "")
     c = c.withColumn("_t", ranked)
     cut = F.least(*[F.nullif(F.regexp_instr("_t", F.lit(p)), F.lit(0)) for p in (rating, days, price)])
-    c = c.withColumn("head", compact(F.when(cut.isNotNull(), F.substring("_t", F.lit(1), cut - 1)).otherwise(F.col("_t")))).where("head IS NOT NULL")
+    c = worked_out(c, head=compact(once(cut, lambda n: F.when(n.isNotNull(), F.substring("_t", F.lit(1), n - 1)).otherwise(F.col("_t"))))).where("head IS NOT NULL")
     g = lambda i: F.regexp_extract("title", days, i)
     month = lambda i: short_month(F.regexp_replace(F.lower(g(i)), "^sept$", "sep"))
 
@@ -61,7 +61,7 @@ def experience_cards(items: DataFrame, *, venues: list[str] | DataFrame = fixed.
 
     told = F.struct(F.to_date("seen").alias("seen"), dates.number(g(1)).alias("d"), month(2).alias("m"), dates.number(g(3)).alias("d2"), month(4).alias("m2"))
     amount = F.replace(F.regexp_extract("title", price, 1), F.lit(","), F.lit("."))
-    c = c.select("id", "source_key", "url", "head", once(told, spanned).alias("span"), F.when(amount != "", F.concat(F.lit("€ "), amount)).alias("price"))
+    c = worked_out(c, span=once(told, spanned), price=F.when(amount != "", F.concat(F.lit("€ "), amount))).select("id", "source_key", "url", "head", "span", "price")
     known = venues if isinstance(venues, DataFrame) else known_venues(items.sparkSession, venues)
     return venue_split(c, known, False).select("id", "source_key", F.col("rest").alias("title"), F.col("span.start").alias("start_date"), F.col("span.end").alias("end_date"), F.col("venue").alias("venue_name"), "price", F.lit("concert").alias("category"), "url")
 
@@ -76,11 +76,12 @@ def box_office_cards(items: DataFrame, *, name: str = "", venues: list[str] | Da
     c = cards_of(items).where(~gates.is_junk(F.col("title"), F.col("text"), F.lit(name)))
     is_offer = F.col("title").rlike(offer)
     bare = F.coalesce(compact(F.regexp_replace("title", before, "")), F.col("title"))
-    c = c.withColumn("named", F.when(is_offer, compact(F.regexp_extract("title", offer, 1)))).withColumn("head", F.when(is_offer, compact(F.regexp_replace(F.regexp_extract("title", offer, 2), tail, ""))).otherwise(bare))
+    c = worked_out(c, named=F.when(is_offer, compact(F.regexp_extract("title", offer, 1))), head=F.when(is_offer, compact(F.regexp_replace(F.regexp_extract("title", offer, 2), tail, ""))).otherwise(bare))
     hour, minute = (F.regexp_extract("title", r"\b(\d{1,2}):(\d{2})\b", i) for i in (1, 2))
     time = F.when((dates.number(hour) <= 23) & (dates.number(minute) <= 59), F.concat(F.lpad(hour, 2, "0"), F.lit(":"), minute))
     price = dates.price(F.col("title"))
-    c = c.select("id", "source_key", "url", "named", "head", dates.parse_date(F.col("title"), F.to_date("seen")).alias("start_date"), time.alias("start_time"), price["price"].alias("price"), price["is_free"].alias("is_free"))
+    c = worked_out(c, start_date=dates.parse_date(F.col("title"), F.to_date("seen")), start_time=time, cost=price)
+    c = c.select("id", "source_key", "url", "named", "head", "start_date", "start_time", "cost.price", "cost.is_free")
     known = venues if isinstance(venues, DataFrame) else known_venues(items.sparkSession, venues)
     d = venue_split(c, known, True)
     title, venue = F.coalesce("named", "rest"), F.coalesce("venue", F.when(F.col("named").isNotNull(), F.col("head")))
@@ -112,8 +113,14 @@ def line_date(c: Column) -> Column:
     t = F.regexp_replace(empty(compact(c)), r"^[:–—-]\s*", "")
     numeric, worded = r"^(\d{1,2})/(\d{1,2})/(\d{2,4})$", r"^(\d{1,2})\s+(\p{L}{3,})\.?\s+(\d{4})$"
     g = lambda p, i: F.regexp_extract(t, p, i)
-    stems = F.array(*[F.lit(s) for s in fixed.SPANISH_STEMS])
-    month = F.array_position(F.transform(stems, lambda s: F.regexp_like(F.lower(g(worded, 2)), F.concat(F.lit("^("), s, F.lit(")")))), F.lit(True)).cast("int")
+
+    def named(w: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for i, stem in reversed([*enumerate(fixed.SPANISH_STEMS, 1)]):
+            out = F.when(w.rlike(f"^({stem})"), i).otherwise(out)
+        return F.when(w != "", out)
+
+    month = once(F.lower(g(worded, 2)), named)
     year = dates.number(g(numeric, 3))
     d, m = dates.number(g(numeric, 1)), dates.number(g(numeric, 2))
     plain = F.when(d.between(1, 31) & m.between(1, 12), dates.iso(F.when(year < 100, year + 2000).otherwise(year), m, d))
@@ -125,12 +132,13 @@ def marked_lines(snapshots: DataFrame) -> DataFrame:
 
     A card begins at its title and goes on to the next one: a running sum over a page's lines. Lines behind the end of a card are of none."""
     trimmed = F.filter(F.transform(F.split(empty(F.col("text")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s\x{a0}]+", " "))), lambda x: x != "")
-    l = snapshots.select("id", "source_key", "seen", F.posexplode(trimmed).alias("pos", "line")).withColumn("day", line_date(F.col("line")))  # noqa: E741
+    l = snapshots.select("id", "source_key", "seen", F.posexplode(trimmed).alias("pos", "line"))  # noqa: E741
+    l = worked_out(l, day=line_date(F.col("line")))  # noqa: E741
     kind = F.when(F.col("line").rlike(r"(?i)^(temporal|permanente)$"), "status").when(F.col("day").isNotNull(), "date").when(F.col("line").rlike(r"(?i)^recinto\s*:?$"), "mark")
     kind = kind.when(F.col("line").rlike(fixed.CARD_END), "end").when(F.col("line").rlike(fixed.SECTION_HEAD), "section")
     letters, capitals = F.length(F.regexp_replace("line", r"[^A-Za-zÀ-ÿА-Яа-яЁё]", "")), F.length(F.regexp_replace("line", r"[^A-ZÀ-ÝА-ЯЁ]", ""))
     titled = ~F.col("line").rlike("^[:–—-]") & (F.length("line") >= 5) & (letters >= 4) & (capitals >= 0.6 * letters)
-    l = l.withColumn("kind", kind.when(titled, "title").otherwise("text"))  # noqa: E741
+    l = worked_out(l, kind=kind.when(titled, "title").otherwise("text"))  # noqa: E741
     page = Window.partitionBy("id").orderBy("pos")
     l = l.withColumn("card", F.sum((F.col("kind") == "title").cast("int")).over(page))  # noqa: E741
     ended = F.sum((F.col("kind") == "end").cast("int")).over(Window.partitionBy("id", "card").orderBy("pos")) > 0
@@ -156,7 +164,7 @@ def block_cards(items: DataFrame, *, exhibitions: bool = False) -> DataFrame:
     named = [F.nullif(F.regexp_extract("title", r"(?i)(\d{1,2})\s+de\s+([A-Za-zÀ-ÿ]{3,})", i), F.lit("")) for i in (1, 2)]
     none = F.lit(None).cast("string")
     start = F.coalesce(F.get("days", F.lit(0)), dates.anchored_date(F.concat_ws(" de ", *named), none, F.col("seen"), none))
-    b = b.withColumn("start_date", start).where("start_date IS NOT NULL").withColumn("end_date", F.nullif(F.get("days", F.lit(1)), F.col("start_date")))
+    b = worked_out(b, start_date=start).where("start_date IS NOT NULL").withColumn("end_date", F.nullif(F.get("days", F.lit(1)), F.col("start_date")))
     lasting = F.coalesce(F.date_diff(F.col("end_date").try_cast("date"), F.col("start_date").try_cast("date")) >= fixed.EXHIBITION_DAYS, F.lit(False))
     shown = F.lit(exhibitions) | F.col("has_status") | F.col("title").rlike(fixed.EXHIBITION_TITLE) | lasting
     first = Window.partitionBy("source_key", F.lower("title"), "start_date").orderBy("pos")
