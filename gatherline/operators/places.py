@@ -83,6 +83,37 @@ def alike_in_block(p: DataFrame) -> DataFrame:
     return in_block.where(near).where(likeness("plain_a", "plain_b") >= fixed.NAME_LIKENESS).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
+def like_names(p: DataFrame) -> DataFrame:
+    """block, plain_a and plain_b (both orders, and each name with itself) of like names of a block: names are compared once, however many rows have them."""
+    n = p.select("block", "plain").where("plain <> ''").distinct()
+    two = n.withColumnRenamed("plain", "plain_a").join(n.withColumnRenamed("plain", "plain_b").hint("merge"), "block").where("plain_a < plain_b")
+    # with so high a likeness, neither name is over twice as long as the other: likeness is at most 0.4 + 0.6 * (2 + shorter / longer) / 3
+    near = F.least(F.length("plain_a"), F.length("plain_b")) * 2 >= F.greatest(F.length("plain_a"), F.length("plain_b"))
+    like = F.greatest(likeness("plain_a", "plain_b"), likeness("plain_b", "plain_a")) >= fixed.NAME_LIKENESS
+    one = two.where(near).where(like)
+    return one.unionByName(one.select("block", F.col("plain_b").alias("plain_a"), F.col("plain_a").alias("plain_b"))).unionByName(n.select("block", F.col("plain").alias("plain_a"), F.col("plain").alias("plain_b")))
+
+
+def links_by_name(p: DataFrame) -> DataFrame:
+    """a and b that join the same rows as alike_in_block, without all its pairs.
+
+    Rows of one block, name and source are a class. Like names of two sources tie all rows of one class to all of the other, so each row is tied to the least one of its class and the least ones to each other. Rows of one source
+    need near pins too: those of one class and pin are tied to their least one, and such groups meet group by group."""
+    like = like_names(p)
+    key = ["block", "plain", "source"]
+    rows = p.where("plain <> ''").select("id", "block", "plain", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), "lat", "lng", "geo_source")  # empty: a source unknown, which differs from none
+    classes = rows.groupBy(*key).agg(F.min("id").alias("least"))
+    left, right = classes.select("block", F.col("plain").alias("plain_a"), F.col("source").alias("s"), F.col("least").alias("a")), classes.select("block", F.col("plain").alias("plain_b"), F.col("source").alias("t"), F.col("least").alias("b"))
+    across = like.join(left.hint("merge"), ["block", "plain_a"]).join(right.hint("merge"), ["block", "plain_b"]).where("s <> t AND s <> '' AND t <> ''").select("a", "b")
+    met = across.select(F.col("a").alias("least")).distinct()
+    own = rows.join(classes.join(met.hint("merge"), "least", "left_semi").hint("merge"), key).where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    pin = rows.where("geo_source = 'map_url' AND lat IS NOT NULL AND lng IS NOT NULL").groupBy(*key, "lat", "lng", "geo_source").agg(F.min("id").alias("id"))
+    pins = lambda x: pin.select("block", *[F.col(c).alias(c + x) for c in ("plain", "source", "lat", "lng", "geo_source", "id")])
+    near = like.join(pins("_a").hint("merge"), ["block", "plain_a"]).join(pins("_b").hint("merge"), ["block", "plain_b"]).where("(source_a = source_b OR source_a = '' OR source_b = '') AND id_a < id_b").where(corroborates("_a", "_b"))
+    same = rows.join(pin.where(~is_centroid(F.col("lat"), F.col("lng"))).withColumnRenamed("id", "least").hint("merge"), [*key, "lat", "lng", "geo_source"]).where("id <> least")
+    return across.where("a < b").unionByName(own).unionByName(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).unionByName(same.select(F.col("least").alias("a"), F.col("id").alias("b")))
+
+
 def pairs(places: DataFrame) -> DataFrame:
     """a and b (a < b) of one place: one maps link, or one reference of one source, or one block with like names and (two sources or near pins)."""
     p = block(places).withColumn("link", F.nullif(F.lower(F.trim(text.empty(F.col("maps_url")))), F.lit("")))
@@ -101,9 +132,9 @@ def links(places: DataFrame) -> DataFrame:
     def star(*key: str) -> DataFrame:
         rows = p.select("id", *key).dropna(subset=[*key])
         least = rows.groupBy(*key).agg(F.min("id").alias("a"))
-        return rows.join(least, [*key]).where("a < id").select("a", F.col("id").alias("b"))
+        return rows.join(least.hint("merge"), [*key]).where("a < id").select("a", F.col("id").alias("b"))
 
-    return star("link").unionByName(star("source", "external_ref")).unionByName(alike_in_block(p)).distinct()
+    return star("link").unionByName(star("source", "external_ref")).unionByName(links_by_name(p)).distinct()
 
 
 def resolved(places: DataFrame, weights: dict[str, str]) -> DataFrame:
