@@ -86,14 +86,14 @@ def linked(drafts: DataFrame, links: DataFrame) -> DataFrame:
     titles = key(drafts, "k", "ws").where("k <> ''")
     d = titles.select("source_key", "k", "ws").distinct().withColumn("w", F.explode("ws"))  # drafts of one title meet links once
     n = key(links, "k2", "ws2").where("k2 <> ''").groupBy("source_key", "k2", "ws2").agg(F.min(F.struct("pos", "url")).alias("l")).select("source_key", "l.pos", "l.url", "k2", "ws2", F.explode("ws2").alias("w"))
-    j = d.join(n, ["source_key", "w"]).drop("w").distinct()
+    j = d.join(n.hint("merge"), ["source_key", "w"]).drop("w").distinct()  # by sort-merge, here and below: split titles take far more than their files
     low, high = F.least(F.length("k"), F.length("k2")), F.greatest(F.length("k"), F.length("k2"))
     inside = (F.col("k").contains(F.col("k2")) | F.col("k2").contains(F.col("k"))) & (low >= 8) & (low >= 0.6 * high)
     common = F.size(F.array_intersect("ws", "ws2")) / F.size(F.array_union("ws", "ws2"))
     rank = F.when(F.col("k") == F.col("k2"), F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("s"))).when(inside, F.struct(F.lit(1).alias("t"), (-low / high).alias("s"))).when(common >= 0.6, F.struct(F.lit(2).alias("t"), (-common).alias("s")))
     best = j.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("source_key", "k").agg(F.min(F.struct("rank", "pos", "url")).alias("b"))
-    of_draft = titles.select("id", "source_key", "k").join(best, ["source_key", "k"]).select("id", F.col("b.url").alias("url")).dropDuplicates(["id"])
-    return drafts.join(of_draft, "id", "left").select(*drafts.columns, "url")
+    of_draft = titles.select("id", "source_key", "k").join(best.hint("merge"), ["source_key", "k"]).select("id", F.col("b.url").alias("url")).dropDuplicates(["id"])
+    return drafts.join(of_draft.hint("merge"), "id", "left").select(*drafts.columns, "url")
 
 
 def upserted(events: DataFrame, drafts: DataFrame, run_at: Column) -> DataFrame:
