@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, text
+from ..functions.storage import saved
 from .graph import components
 from .resolution import weight_rank
 
@@ -70,17 +71,45 @@ def block(places: DataFrame) -> DataFrame:
     return places.withColumn("block", F.concat_ws("|", text.signature(F.col("name")), known(area), known(F.col("category")))).withColumn("plain", text.slug(text.latin(F.col("name"))))
 
 
-def side(p: DataFrame, x: str) -> DataFrame:
-    return p.select(*[F.col(c).alias(c + x) for c in ("id", "link", "source", "external_ref", "block", "plain", "lat", "lng", "geo_source")])
+#: Rows of one key that a task compares with all others of it; a fuller key is cut by salts.
+DENSE = 1000
 
 
-def alike_in_block(p: DataFrame) -> DataFrame:
-    """a and b (a < b) of one block with like names and (two sources or near pins)."""
-    a, b = side(p, "_a"), side(p, "_b")
-    in_block = a.join(b, (F.col("block_a") == F.col("block_b")) & (F.col("id_a") < F.col("id_b")) & ((F.col("source_a") != F.col("source_b")) | corroborates("_a", "_b")))
+def side(p: DataFrame, x: str, *more: str) -> DataFrame:
+    return p.select(*[F.col(c).alias(c + x) for c in ("id", "link", "source", "external_ref")], *more)
+
+
+def met(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
+    """left and right (id_a and id_b in them) where they agree in key and id_a < id_b.
+
+    Pairs are many where rows are few, so both sides are dealt over a fixed number of tasks instead of by their size, and a key of more than DENSE rows in right is cut by salts of their ids that left looks into in turn."""
+    tasks = 4 * left.sparkSession.sparkContext.defaultParallelism
+    full = right.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select(*key, F.ceil(F.col("n") / DENSE).cast("int").alias("salts"))
+    l = left.join(full, [*key], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")  # noqa: E741
+    r = right.join(full, [*key], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id_b"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    return l.repartition(tasks, *key, "salt").join(r.repartition(tasks, *key, "salt").hint("merge"), [*key, "salt"]).where("id_a < id_b")
+
+
+def rows_alike(p: DataFrame) -> DataFrame:
+    """Rows a and b (columns of side; id_a < id_b) of one block with like names and (two sources or near pins). Names are compared once a block, in both orders, however many rows have them."""
+    n = saved(p.select("block", "plain").where("plain <> ''").distinct().withColumn("name", F.monotonically_increasing_id()))
+    tasks = 4 * p.sparkSession.sparkContext.defaultParallelism
+    one = lambda x: n.select("block", F.col("plain").alias("plain" + x), F.col("name").alias("name" + x)).repartition(tasks, "block")
     # with so high a likeness, neither name is over twice as long as the other: likeness is at most 0.4 + 0.6 * (2 + shorter / longer) / 3
     near = F.least(F.length("plain_a"), F.length("plain_b")) * 2 >= F.greatest(F.length("plain_a"), F.length("plain_b"))
-    return in_block.where(near).where(likeness("plain_a", "plain_b") >= fixed.NAME_LIKENESS).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    two = one("_a").join(one("_b").hint("merge"), "block").where("name_a <> name_b").where(near).where(likeness("plain_a", "plain_b") >= fixed.NAME_LIKENESS)
+    like = saved(two.select("name_a", "name_b").unionByName(n.select(F.col("name").alias("name_a"), F.col("name").alias("name_b"))))
+    pin = F.coalesce((F.col("geo_source") == "map_url") & ~is_centroid(F.col("lat"), F.col("lng")), F.lit(False))
+    rows = p.join(n.hint("merge"), ["block", "plain"]).withColumn("pin", pin)
+    own = lambda x: side(rows, x, *[F.col(c).alias(c + x) for c in ("name", "lat", "lng", "pin")])
+    found = met(own("_a").join(like.hint("merge"), "name_a").drop("name_a"), own("_b"), "name_b")
+    close = F.col("pin_a") & F.col("pin_b") & F.coalesce(metres(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b")) <= fixed.PIN_METRES, F.lit(False))
+    return found.where(F.coalesce(F.col("source_a") != F.col("source_b"), F.lit(False)) | close)
+
+
+def alike_in_block(p: DataFrame) -> DataFrame:
+    """a and b (a < b) of one block with like names and (two sources or near pins)."""
+    return rows_alike(p).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def like_names(p: DataFrame) -> DataFrame:
@@ -115,14 +144,19 @@ def links_by_name(p: DataFrame) -> DataFrame:
 
 
 def pairs(places: DataFrame) -> DataFrame:
-    """a and b (a < b) of one place: one maps link, or one reference of one source, or one block with like names and (two sources or near pins)."""
-    p = block(places).withColumn("link", F.nullif(F.lower(F.trim(text.empty(F.col("maps_url")))), F.lit("")))
-    a, b = side(p, "_a"), side(p, "_b")
-    less = F.col("id_a") < F.col("id_b")
-    by_link = a.join(b, (F.col("link_a") == F.col("link_b")) & less)
-    by_ref = a.join(b, (F.col("source_a") == F.col("source_b")) & (F.col("external_ref_a") == F.col("external_ref_b")) & less)
-    every = by_link.select("id_a", "id_b").unionByName(by_ref.select("id_a", "id_b")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    return every.unionByName(alike_in_block(p)).distinct()
+    """a and b (a < b) of one place: one maps link, or one reference of one source, or one block with like names and (two sources or near pins).
+
+    A pair that two of these find is left to the first of them, so no pair is shuffled to find its repeats; only where ids repeat, pairs are made distinct."""
+    p = block(text.spread(places)).withColumn("link", F.nullif(F.lower(F.trim(text.empty(F.col("maps_url")))), F.lit("")))
+    p = saved(p.select("id", "link", "source", "external_ref", "block", "plain", "lat", "lng", "geo_source"))
+    linked, named = p.dropna(subset=["link"]), p.dropna(subset=["source", "external_ref"])
+    by_link = met(linked.select(F.col("id").alias("id_a"), "link"), linked.select(F.col("id").alias("id_b"), "link"), "link")
+    by_ref = met(named.select(F.col("id").alias("id_a"), F.col("link").alias("link_a"), "source", "external_ref"), named.select(F.col("id").alias("id_b"), F.col("link").alias("link_b"), "source", "external_ref"), "source", "external_ref")
+    one_link = F.coalesce(F.col("link_a") == F.col("link_b"), F.lit(False))
+    one_ref = F.coalesce((F.col("source_a") == F.col("source_b")) & (F.col("external_ref_a") == F.col("external_ref_b")), F.lit(False))
+    every = by_link.select("id_a", "id_b").unionByName(by_ref.where(~one_link).select("id_a", "id_b")).unionByName(rows_alike(p).where(~one_link & ~one_ref).select("id_a", "id_b"))
+    every = every.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return every if p.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty() else every.distinct()
 
 
 def links(places: DataFrame) -> DataFrame:
