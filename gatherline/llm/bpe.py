@@ -13,6 +13,7 @@ import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +43,20 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [ranks[word]]
     if len(word) > 64:
         return merged_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    get = ranks.get
-    none = 1 << 60
-    pairs = [get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+    get, none = ranks.get, 1 << 60
+    at = [*range(len(word) + 1)]  # where pieces begin
+    pairs = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
     while pairs:
         least = min(pairs)
         if least == none:
             break
         i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        del pairs[i], at[i + 1]
         if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+            pairs[i - 1] = get(word[at[i - 1] : at[i + 1]], none)
         if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
-    return [ranks[p] for p in parts]
+            pairs[i] = get(word[at[i] : at[i + 2]], none)
+    return [ranks[word[i:j]] for i, j in pairwise(at)]
 
 
 def merged_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
