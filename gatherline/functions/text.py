@@ -26,9 +26,15 @@ def worked_out(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
+def tasks(df: DataFrame, each: int = 8) -> int:
+    """A number of tasks for rows whose work, or size, their packed bytes tell little of: Spark puts tasks together by those, but not where it is given a number. Some for each core, so that none has to wait for a last one."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), each * spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df (id and others) dealt over all tasks by id: a table of few files is read in few, and what is worked out of its texts, filters too, would stay there."""
-    return df.repartition("id").select(F.inline(F.array(F.struct(*df.columns))))
+    return df.repartition(tasks(df), "id").select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def norm(c: Column) -> Column:

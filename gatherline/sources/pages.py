@@ -124,42 +124,55 @@ def detail_links(pages: DataFrame, limit: int = 200) -> DataFrame:
     return a.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("page_id", "url", F.col("f.title").alias("title"), "place")
 
 
-def placed(pages: DataFrame, pattern: str) -> DataFrame:
-    """page_id, url, size (of the page), at and to (where it begins, and where it is over, from 0), found and after (what follows up to the next) of every match of a pattern in pages (page_id, url, html), in order: what lies between matches is measured,
-    so places are running sums and no page is searched twice."""
-    matches, between = F.regexp_extract_all("html", F.lit(pattern), F.lit(0)), F.split("html", pattern, -1)
-    cut = pages.select("page_id", "url", F.length("html").alias("size"), F.posexplode(F.arrays_zip(matches.alias("found"), between.alias("before"), F.slice(between, 2, F.size(between)).alias("after"))).alias("pos", "m"))
-    up_to = F.sum(F.length("m.before") + F.coalesce(F.length("m.found"), F.lit(0))).over(Window.partitionBy("page_id").orderBy("pos"))
-    every = cut.select("page_id", "url", "size", "pos", up_to.alias("to"), "m.found", "m.after").where("found IS NOT NULL")
-    return every.select("page_id", "url", "size", (F.col("to") - F.length("found")).alias("at"), "to", "found", "after")
+def matches(pages: DataFrame, pattern: str) -> DataFrame:
+    """page_id, url, size (of the page), pos, step (how far its end is behind the last one's), long, found and after (what follows up to the next) of every match of a pattern in pages (page_id, url, html)."""
+    found, between = F.regexp_extract_all("html", F.lit(pattern), F.lit(0)), F.split("html", pattern, -1)
+    sized = pages.select("page_id", "url", "html", F.length("html").alias("size"))  # before, so that no match carries its page
+    cut = sized.select("page_id", "url", "size", F.posexplode(F.arrays_zip(found.alias("found"), between.alias("before"), F.slice(between, 2, F.size(between)).alias("after"))).alias("pos", "m"))
+    return cut.where("m.found IS NOT NULL").select("page_id", "url", "size", "pos", (F.length("m.before") + F.length("m.found")).alias("step"), F.length("m.found").alias("long"), "m.found", "m.after")
+
+
+def placed(matches: DataFrame, told: str) -> DataFrame:
+    """page_id, size, at and to (where a match begins, and where it is over, from 0) and told (a column) of matches: what lies between them is measured, so places are running sums and no page is searched twice; of texts only what is told is sorted."""
+    up_to = F.sum("step").over(Window.partitionBy("page_id").orderBy("pos"))
+    every = matches.select("page_id", "size", "pos", "step", "long", told).withColumn("to", up_to)
+    return every.select("page_id", "size", (F.col("to") - F.col("long")).alias("at"), "to", told)
 
 
 def is_detail(url: Column, page: Column) -> Column:
     """An address of the page's host whose path has no part of the site's own and ends with a slug of eight characters at least."""
     path = F.regexp_replace(F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1), "/+$", "")
-    last = F.regexp_extract(path, "([^/]*)$", 1)
-    return (host(url) == host(page)) & ~text.any_word(F.lower(path), fixed.CHROME_PATHS) & last.rlike("(?i)[a-z0-9]-[a-z0-9]") & (F.length(last) >= 8)
+    is_slug = lambda last: last.rlike("(?i)[a-z0-9]-[a-z0-9]") & (F.length(last) >= 8)
+    shaped = lambda p: text.once(F.regexp_extract(p, "([^/]*)$", 1), is_slug) & ~text.once(F.lower(p), lambda low: text.any_word(low, fixed.CHROME_PATHS))
+    return (host(url) == host(page)) & text.once(path, shaped)
 
 
 def card_titles(pages: DataFrame, limit: int = 200) -> DataFrame:
     """page_id, url, title and place of the cards of listing pages: each link to a detail page with the title that its anchor has inside (a title element's, else its whole text: 8 to 220 characters, no "read more"), else with
     the first title element that begins behind the anchor and is over 200 characters behind the next such anchor at most (the last one: 2,700 behind it).
 
-    Anchors and titles of a page are one ordered stream, and an anchor looks ahead to the next title and the next anchor. The first pair of an address counts, and the first of a page as the limit says."""
-    anchors = placed(pages, fixed.ANCHOR_TAG).withColumn("href", resolved(F.regexp_extract("found", fixed.ANCHOR_TAG, 1), F.col("url")))
-    anchors = anchors.where(is_detail(F.col("href"), F.col("url")))
-    inside = F.regexp_extract(F.substring("after", 1, 3000), r"(?is)^(.*?)</a\b", 1)
+    Anchors and titles of a page are one ordered stream, and an anchor looks ahead to the next title and the next anchor. The first pair of an address counts, and the first of a page as the limit says.
+    Pages are dealt over a number of tasks: packed, they are so small that Spark would put very many into one."""
+    pages = pages.repartition(text.tasks(pages, 32), "page_id")
     plain = lambda c: text.compact(text.html_text(c))
-    own = F.coalesce(plain(F.coalesce(*[F.nullif(F.regexp_extract(inside, fixed.TITLE_ELEMENT, i), F.lit("")) for i in (1, 2)])), plain(inside))
-    noise = text.any_word(F.lower("href"), fixed.NOISE_URL)
-    for w in fixed.NOISE_TEXT:
-        noise = noise | F.lower("own").startswith(w)
-    anchors = anchors.withColumn("own", own).withColumn("own", F.when(F.length("own").between(8, 220) & ~noise, F.col("own")))
-    found = placed(pages, fixed.TITLE_ELEMENT)
-    name = plain(F.coalesce(*[F.nullif(F.regexp_extract("found", fixed.TITLE_ELEMENT, i), F.lit("")) for i in (1, 2)]))
+    element = lambda c: plain(F.coalesce(*[F.nullif(F.regexp_extract(c, fixed.TITLE_ELEMENT, i), F.lit("")) for i in (1, 2)]))
+
+    def good(own: Column) -> Column:
+        noise = text.once(F.lower("href"), lambda low: text.any_word(low, fixed.NOISE_URL))
+        for w in fixed.NOISE_TEXT:
+            noise = noise | F.lower(own).startswith(w)
+        return F.when(F.length(own).between(8, 220) & ~noise, own)
+
+    inside = F.regexp_extract(F.substring("after", 1, 3000), r"(?is)^(.*?)</a\b", 1)
+    own = text.once(text.once(inside, lambda x: F.coalesce(element(x), plain(x))), good)
+    anchors = text.worked_out(matches(pages, fixed.ANCHOR_TAG), href=resolved(F.regexp_extract("found", fixed.ANCHOR_TAG, 1), F.col("url")))
+    anchors = text.worked_out(anchors, detail=is_detail(F.col("href"), F.col("url")))
+    anchors = text.worked_out(anchors, card=F.when(F.col("detail"), F.struct("href", own.alias("own"))))
+    anchors = placed(anchors, "card").where("card IS NOT NULL").select("*", "card.*")
+    found = placed(text.worked_out(matches(pages, fixed.TITLE_ELEMENT), name=element(F.col("found"))), "name")
     none = F.lit(None)
     stream = anchors.select("page_id", "size", F.col("to").alias("at"), F.struct("to", "href", "own").alias("a"), none.cast("struct<to:bigint,name:string>").alias("t"))
-    stream = stream.unionByName(found.select("page_id", "size", "at", none.cast(stream.schema["a"].dataType).alias("a"), F.struct("to", name.alias("name")).alias("t")))
+    stream = stream.unionByName(found.select("page_id", "size", "at", none.cast(stream.schema["a"].dataType).alias("a"), F.struct("to", "name").alias("t")))
     ahead = Window.partitionBy("page_id").orderBy("at", F.col("a").isNull()).rowsBetween(1, Window.unboundedFollowing)
     stream = stream.withColumn("title", F.first("t", ignorenulls=True).over(ahead)).withColumn("next", F.first("a", ignorenulls=True).over(ahead)).where("a IS NOT NULL")
     end = F.coalesce(F.col("next.to"), F.least("size", F.col("a.to") + 2500)) + 200
