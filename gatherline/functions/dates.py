@@ -40,7 +40,7 @@ def number(c: Column) -> Column:
 def sole_year(t: Column) -> Column:
     """The one year from 2000 to 2099 that a text names, if it is one; a number behind a letter (N2024) is none."""
     years = F.array_distinct(F.regexp_extract_all(t, F.lit(f"({YEAR})"), F.lit(1)))
-    return F.when(F.size(years) == 1, number(F.get(years, F.lit(0))))
+    return once(years, lambda y: F.when(F.size(y) == 1, number(F.get(y, F.lit(0)))))
 
 
 def iso(year: Column, month: Column, day: Column) -> Column:
@@ -96,10 +96,13 @@ PRICE = r"(?iu)(?:от\s*)?(\d{1,4})(?:[.,]\d{1,2})?\s*(?:€|евро|euros?(?!
 
 def price(c: Column) -> Column:
     """struct(price, is_free) of a text: Free and 1, an amount in euros and 0, or nulls."""
-    t = compact(c)
-    amount = F.coalesce(F.nullif(F.regexp_extract(t, PRICE, 1), F.lit("")), F.nullif(F.regexp_extract(t, PRICE, 2), F.lit("")))
-    free = F.coalesce(t.rlike(FREE), F.lit(False))
-    return F.struct(F.when(free, "Free").when(amount.isNotNull(), F.concat(amount, F.lit(" €"))).alias("price"), F.when(free, 1).when(amount.isNotNull(), 0).alias("is_free"))
+    said = lambda m: F.concat(F.regexp_extract(m, PRICE, 1), F.regexp_extract(m, PRICE, 2))  # noqa: E731  # one of them is empty
+
+    def told(x: Column) -> Column:
+        amount = x["amount"]
+        return F.struct(F.when(x["free"], "Free").when(amount.isNotNull(), F.concat(amount, F.lit(" €"))).alias("price"), F.when(x["free"], 1).when(amount.isNotNull(), 0).alias("is_free"))
+
+    return once(compact(c), lambda t: once(F.struct(F.coalesce(t.rlike(FREE), F.lit(False)).alias("free"), F.nullif(said(t), F.lit("")).alias("amount")), told))
 
 
 def headline(c: Column) -> Column:

@@ -95,7 +95,6 @@ def date_of_url(c: Column) -> Column:
 
 def relative_days(c: Column, anchor: Column) -> Column:
     """struct(start, end) of the first Spanish phrase for a day, weekend or month, read against the day of the post; null without either."""
-    t = F.lower(fold(compact(c)))
     monday = F.date_sub(anchor, F.weekday(anchor))
     iso = lambda d: F.date_format(d, "yyyy-MM-dd")
     phrases = [
@@ -105,9 +104,18 @@ def relative_days(c: Column, anchor: Column) -> Column:
         (r"\bhoy\b", anchor, F.lit(None).cast("date")),
         (r"(?<!\bla\s)(?<!\besta\s)\bmanana\b", F.date_add(anchor, 1), F.lit(None).cast("date")),
     ]
-    found = [F.when(F.regexp_instr(t, F.lit(p)) > 0, F.struct(F.regexp_instr(t, F.lit(p)).alias("at"), F.lit(i).alias("i"), iso(a).alias("start"), iso(b).alias("end"))) for i, (p, a, b) in enumerate(phrases)]
-    first = F.array_min(F.array_compact(F.array(*found)))
-    return F.when(first.isNotNull() & anchor.isNotNull(), F.struct(first["start"].alias("start"), first["end"].alias("end")))
+
+    def met(t: Column, i: int) -> Column:
+        p, a, b = phrases[i]
+        return once(F.regexp_instr(t, F.lit(p)), lambda at: F.when(at > 0, F.struct(at.alias("at"), F.lit(i).alias("i"), iso(a).alias("start"), iso(b).alias("end"))))
+
+    def first(t: Column) -> Column:
+        return F.array_min(F.array_compact(F.array(*[met(t, i) for i in range(len(phrases))])))
+
+    def days(x: Column) -> Column:
+        return F.when(x.isNotNull() & anchor.isNotNull(), F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+    return once(once(F.lower(fold(compact(c))), first), days)
 
 
 def venue(c: Column) -> Column:

@@ -11,8 +11,8 @@ from ..functions.text import any_word, compact, empty, fold, norm_title, once
 
 def card_text(title: Column, body: Column) -> Column:
     """The longer of title and body; empty if there is none."""
-    t, b = empty(compact(title)), empty(compact(body))
-    return F.when(F.length(b) >= F.length(t), b).otherwise(t)
+    both = F.struct(empty(compact(title)).alias("t"), empty(compact(body)).alias("b"))
+    return once(both, lambda x: F.when(F.length(x["b"]) >= F.length(x["t"]), x["b"]).otherwise(x["t"]))
 
 
 def is_junk(title: Column, body: Column, source_name: Column) -> Column:

@@ -63,11 +63,12 @@ def chat_posts(
         p = p.where("_start IS NOT NULL")
     if gated and not country:
         p = p.where(is_event_like(body, F.col("_start").isNotNull()))
-    p = text.worked_out(p, _title=post_title(body, F.col("title")), _price=dates.price(body)).where("_title IS NOT NULL")
+    p = text.worked_out(p, _title=post_title(body, F.col("title"))).where("_title IS NOT NULL")
+    price = dates.price(body)  # not worked out before, so that whoever doesn't ask for it doesn't wait for it
     kind = F.lit(category) if category else titles.cued(F.concat_ws(" ", "_title", "text"), fixed.POST_CATEGORIES, "event")
     city = titles.cued(every, cities, fixed.HOME_CITY) if cities else F.lit(fixed.HOME_CITY)
     return p.select(
         "id", "source_key", F.col("_title").alias("title"), F.substring(compact(body), 1, 2000).alias("description"), kind.alias("category"), (F.lit(language) if language else text.language(body)).alias("language"),
         F.lit(audience).cast("string").alias("audience"), F.col("_start").alias("start_date"), F.col("_phrase.end").alias("end_date"), titles.venue(body).alias("venue_name"), titles.address(body).alias("address"), city.alias("city"),
-        F.col("_price.price").alias("price"), F.col("_price.is_free").alias("is_free"), "url", F.get(optional(items, "media", "array<string>"), F.lit(0)).alias("image_url"),
+        price["price"].alias("price"), price["is_free"].alias("is_free"), "url", F.get(optional(items, "media", "array<string>"), F.lit(0)).alias("image_url"),
     )
