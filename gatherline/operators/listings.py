@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, fixed, places, titles
-from ..functions.text import compact, empty, fold, norm_title, worked_out
+from ..functions.storage import saved
+from ..functions.text import compact, empty, fold, norm_title, once, worked_out
 from . import gates
 from .normalize import linked
 
@@ -17,8 +18,8 @@ DMY = r"(\d{2})/(\d{2})/(\d{4})"
 
 def cards_of(items: DataFrame) -> DataFrame:
     """Link cards of single events: titled, with an address of their source's shape where it has a rule."""
-    c = items.where((F.col("kind") == "link_card") & (empty(compact(F.col("title"))) != ""))
-    return c.where(F.coalesce(gates.is_event_url(F.col("source_key"), F.col("url")), F.lit(True))).withColumn("title", compact(F.col("title")))
+    c = items.where((F.col("kind") == "link_card") & F.coalesce(gates.is_event_url(F.col("source_key"), F.col("url")), F.lit(True)))
+    return worked_out(c, title=compact(F.col("title"))).where("title IS NOT NULL")
 
 
 def link_cards(items: DataFrame, *, name: str = "", board: bool = False, country: tuple[list[str], list[str]] | None = None, needs_date: bool = False, offers: bool = False, cities: list[tuple[str, str]] = []) -> DataFrame:  # noqa: B006
@@ -43,14 +44,14 @@ def headed_cards(items: DataFrame, *, name: str = "") -> DataFrame:
     """Drafts of cards "Data: Fecha: Date: D/M/Y Hora: Time: H:MM TITLE" whose title stands there three times."""
     head = r"(?i)Data:\s*Fecha:\s*Date:\s*(\d{1,2})/(\d{1,2})/(\d{2,4})(?:\s*Hora:\s*Time:\s*(\d{1,2}:\d{2}))?"
     t = F.col("t")
-    g = lambda i: F.regexp_extract(t, head, i)
-    d, m, y = (dates.number(g(i)) for i in (1, 2, 3))
+    g = lambda i: F.regexp_extract("head", head, i)
+    d, m, y = (F.col(c) for c in ("d", "m", "y"))
     day = F.when(d.between(1, 31) & m.between(1, 12), dates.iso(F.when(y < 100, y + 2000).otherwise(y), m, d))
-    at = F.regexp_instr(t, F.lit(head))
-    tail = F.when(at > 0, F.substring(t, at + F.length(F.regexp_substr(t, F.lit(head))), F.length(t))).otherwise(t)
+    tail = F.when(F.col("head").isNotNull(), F.substring(t, F.position(F.col("head"), t) + F.length("head"), F.length(t))).otherwise(t)
     c = cards_of(items).where(~gates.is_junk(F.col("title"), F.col("text"), F.lit(name)))
     start = F.coalesce(day, dates.parse_date(t, F.to_date("seen")))
-    c = worked_out(worked_out(c, t=F.coalesce(compact(F.col("text")), F.col("title"))), title=titles.once_of_three(tail), start_date=start, time=g(4))
+    c = worked_out(worked_out(c, t=F.coalesce(compact(F.col("text")), F.col("title"))), head=F.regexp_substr(t, F.lit(head)))
+    c = worked_out(worked_out(c, d=dates.number(g(1)), m=dates.number(g(2)), y=dates.number(g(3)), time=g(4)), title=titles.once_of_three(tail), start_date=start)
     return c.select("id", "source_key", "title", "start_date", F.nullif("time", F.lit("")).alias("start_time"), "url").where("title <> ''")
 
 
@@ -96,18 +97,20 @@ def concert_cards(items: DataFrame, *, name: str = "") -> DataFrame:
     """Drafts of concerts in the region: a card without a date takes that of the latest dated card of its address; those without either go. Titles lose place and date behind them."""
     key = F.lower(F.regexp_replace(F.split("url", "[?#]")[0], "/+$", ""))
     c = worked_out(cards_of(items), key=key, own=dates.parse_date(F.col("title"), F.to_date("seen")))
+    c = saved(c.select("id", "source_key", "title", "text", "url", "key", "own"))  # read twice
     twin = c.where("own IS NOT NULL").groupBy("source_key", "key").agg(F.max_by("own", "id").alias("twin"))
     in_province = F.col("title").rlike(fixed.PROVINCE_TAIL) | F.col("title").rlike(fixed.PROVINCE_TOWN)
-    c = c.where(in_province & ~gates.is_junk(F.col("title"), F.col("text"), F.lit(name))).join(twin, ["source_key", "key"], "left")
+    c = c.where(in_province & ~gates.is_junk(F.col("title"), F.col("text"), F.lit(name))).join(twin.hint("merge"), ["source_key", "key"], "left")
     c = c.withColumn("start_date", F.coalesce("own", "twin")).where("start_date IS NOT NULL")
 
     def without_place(t: Column, between: str) -> Column:
-        head, tail = F.regexp_extract(t, rf"(?i)^(.*\S){between}(.+)$", 1), F.regexp_extract(t, rf"(?i)^(.*\S){between}(.+)$", 2)
-        place = (tail != "") & (F.length(tail) <= 60) & ~tail.rlike(r"\d") & (tail.rlike(fixed.PROVINCE_TOWN) | tail.rlike(rf"{fixed.PROVINCE_TAIL}\s*$"))
-        return F.when(place, F.trim(head)).otherwise(t)
+        part = lambda i: F.regexp_extract(t, rf"(?i)^(.*\S){between}(.+)$", i)
+        is_place = lambda x: (x != "") & (F.length(x) <= 60) & ~x.rlike(r"\d") & (x.rlike(fixed.PROVINCE_TOWN) | x.rlike(rf"{fixed.PROVINCE_TAIL}\s*$"))
+        return F.when(once(part(2), is_place), F.trim(part(1))).otherwise(t)
 
     bare = F.trim(F.regexp_replace("title", fixed.CONCERT_TAIL, ""))
-    return c.withColumn("t", bare).withColumn("t", without_place(F.col("t"), r"\s+en\s+")).withColumn("t", without_place(F.col("t"), r"\s+-\s+")).select(
+    stripped = once(once(bare, lambda t: without_place(t, r"\s+en\s+")), lambda t: without_place(t, r"\s+-\s+"))
+    return worked_out(c, t=stripped).select(
         "id", "source_key", F.when(F.col("t") != "", F.col("t")).otherwise(F.col("title")).alias("title"), "start_date", "url"
     )
 
@@ -156,11 +159,12 @@ def ticket_lines(items: DataFrame, *, name: str = "") -> DataFrame:
     key = lambda c: F.lower(fold(compact(c)))
     found = hit.select("id", "source_key", "pos", "title", "venue_name", start.alias("start_date"), F.when(h.between(0, 23), F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), minute)).alias("start_time"), key(F.col("title")).alias("key"))
     newest = Window.partitionBy("source_key", "key", "start_date").orderBy(F.desc("id"), "pos")
-    found = found.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "pos")
+    found = saved(found.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n", "pos"))  # read twice, and so is link
     link = cards_of(items).groupBy("source_key", key(F.col("title")).alias("key")).agg(F.min_by(F.struct("id", F.split("url", "[?#]")[0].alias("url"), "title"), "id").alias("l"))
-    one = found.join(link, ["source_key", "key"], "left").select(F.coalesce("l.id", "id").alias("id"), "source_key", "title", "start_date", "start_time", "venue_name", F.col("l.url").alias("url"))
+    link = saved(link)
+    one = found.join(link.hint("merge"), ["source_key", "key"], "left").select(F.coalesce("l.id", "id").alias("id"), "source_key", "title", "start_date", "start_time", "venue_name", F.col("l.url").alias("url"))
     none = F.lit(None).cast("string")
-    left = link.join(found, ["source_key", "key"], "left_anti").select("l.id", "source_key", "l.title", none.alias("start_date"), none.alias("start_time"), none.alias("venue_name"), "l.url")
+    left = link.join(found.hint("merge"), ["source_key", "key"], "left_anti").select("l.id", "source_key", "l.title", none.alias("start_date"), none.alias("start_time"), none.alias("venue_name"), "l.url")
     return one.unionByName(left.where(~gates.is_junk(F.col("title"), F.col("title"), F.lit(name))))
 
 

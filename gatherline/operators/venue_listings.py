@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, fixed
+from ..functions.storage import saved
 from ..functions.text import compact, empty, once, worked_out
 from . import gates
 from .listings import cards_of, latest, short_month, with_links
@@ -46,7 +47,7 @@ def experience_cards(items: DataFrame, *, venues: list[str] | DataFrame = fixed.
     days, rating, price = rf"(?i){cell}(?:\s*-\s*{cell})?", r"\s\d\.\d\s*\(\d+\)", r"(?i)(?:Desde\s*)?(\d+[.,]\d{2})\s*€"
     c = cards_of(items).where(~gates.is_product(F.col("title")))
     ranked = F.regexp_replace("title", r"^(\d{1,2})\s+\1\s+", "")
-    c = c.withColumn("_t", ranked)
+    c = worked_out(c, _t=ranked)
     cut = F.least(*[F.nullif(F.regexp_instr("_t", F.lit(p)), F.lit(0)) for p in (rating, days, price)])
     c = worked_out(c, head=compact(once(cut, lambda n: F.when(n.isNotNull(), F.substring("_t", F.lit(1), n - 1)).otherwise(F.col("_t"))))).where("head IS NOT NULL")
     g = lambda i: F.regexp_extract("title", days, i)
@@ -61,7 +62,8 @@ def experience_cards(items: DataFrame, *, venues: list[str] | DataFrame = fixed.
 
     told = F.struct(F.to_date("seen").alias("seen"), dates.number(g(1)).alias("d"), month(2).alias("m"), dates.number(g(3)).alias("d2"), month(4).alias("m2"))
     amount = F.replace(F.regexp_extract("title", price, 1), F.lit(","), F.lit("."))
-    c = worked_out(c, span=once(told, spanned), price=F.when(amount != "", F.concat(F.lit("€ "), amount))).select("id", "source_key", "url", "head", "span", "price")
+    c = worked_out(c, span=once(told, spanned), price=F.when(amount != "", F.concat(F.lit("€ "), amount)))
+    c = saved(c.select("id", "source_key", "url", "head", "span", "price"))  # read twice: for distinct heads, and where their venues come back
     known = venues if isinstance(venues, DataFrame) else known_venues(items.sparkSession, venues)
     return venue_split(c, known, False).select("id", "source_key", F.col("rest").alias("title"), F.col("span.start").alias("start_date"), F.col("span.end").alias("end_date"), F.col("venue").alias("venue_name"), "price", F.lit("concert").alias("category"), "url")
 
@@ -81,7 +83,7 @@ def box_office_cards(items: DataFrame, *, name: str = "", venues: list[str] | Da
     time = F.when((dates.number(hour) <= 23) & (dates.number(minute) <= 59), F.concat(F.lpad(hour, 2, "0"), F.lit(":"), minute))
     price = dates.price(F.col("title"))
     c = worked_out(c, start_date=dates.parse_date(F.col("title"), F.to_date("seen")), start_time=time, cost=price)
-    c = c.select("id", "source_key", "url", "named", "head", "start_date", "start_time", "cost.price", "cost.is_free")
+    c = saved(c.select("id", "source_key", "url", "named", "head", "start_date", "start_time", "cost.price", "cost.is_free"))  # read twice
     known = venues if isinstance(venues, DataFrame) else known_venues(items.sparkSession, venues)
     d = venue_split(c, known, True)
     title, venue = F.coalesce("named", "rest"), F.coalesce("venue", F.when(F.col("named").isNotNull(), F.col("head")))
@@ -172,4 +174,4 @@ def block_cards(items: DataFrame, *, exhibitions: bool = False) -> DataFrame:
     price = dates.price(F.concat_ws(" ", "title", "description"))
     d = b.select("id", "page_id", "source_key", F.substring("title", 1, 300).alias("title"), "description", F.when(shown, fixed.EXHIBITION).otherwise("culture").alias("category"), "start_date", "end_date",
         F.coalesce("venue_name", F.lit(fixed.BLOCK_VENUE)).alias("venue_name"), price["price"].alias("price"), price["is_free"].alias("is_free"))
-    return with_links(d, items)
+    return with_links(saved(d), items)  # read several times

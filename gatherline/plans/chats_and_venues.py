@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.storage import saved
 from ..operators import venue_listings as vl
 from ..operators.shapes import drafts, shaped
 from .inputs import table
@@ -120,7 +121,7 @@ def stacked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many cards a page, one after another without ends: each line is of the card before it."""
     block = "concat('TALLER N', k, '\n', date_format(d, 'dd/MM/yyyy'), '\nuna frase en minúsculas que describe el taller ', k)"
     snaps = items(pages(spark, sf_dir, block), "x", "NULL", "text", "NULL", "'page_snapshot'", "d").withColumn("source_key", F.concat(F.lit("web:cac"), "id"))
-    d = shaped(snaps, "web:cac_exposiciones")
+    d = saved(shaped(snaps, "web:cac_exposiciones").select("page_id", "title", "start_date", "category"))
     return d.join(d.groupBy("page_id").agg(F.count("*").alias("on_page")), "page_id").select("title", "start_date", "category", "on_page")
 
 
