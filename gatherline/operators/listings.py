@@ -118,9 +118,8 @@ def concert_cards(items: DataFrame, *, name: str = "") -> DataFrame:
 def lined(snapshots: DataFrame, before: int, after: int) -> DataFrame:
     """Lines of snapshots, trimmed, empty ones left out, each with so many before (p1, p2, ...) and after (n1, ...) it; a page bounds a window."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s\x{a0}]+", " "))), lambda x: x != "")
-    one = snapshots.select("id", "source_key", "seen", "url", F.posexplode(lines).alias("pos", "line"))
-    w = Window.partitionBy("id").orderBy("pos")
-    return one.select("*", *[F.lag("line", i).over(w).alias(f"p{i}") for i in range(1, before + 1)], *[F.lead("line", i).over(w).alias(f"n{i}") for i in range(1, after + 1)])
+    near = lambda x, i: F.struct(i.alias("pos"), x.alias("line"), *[F.get("lines", i - k).alias(f"p{k}") for k in range(1, before + 1)], *[F.get("lines", i + k).alias(f"n{k}") for k in range(1, after + 1)])
+    return worked_out(snapshots.select("id", "source_key", "seen", "url", "text"), lines=lines).select("id", "source_key", "seen", "url", F.inline(F.transform("lines", near)))
 
 
 def latest(items: DataFrame) -> DataFrame:
@@ -194,19 +193,23 @@ def dated_lines(items: DataFrame, *, name: str = "") -> DataFrame:
 
 def shop_lines(items: DataFrame) -> DataFrame:
     """Drafts of a ticket shop's newest page: lines with a day, perhaps a time, a title and "Country, City, Venue". Only the country, and there the region or headliners."""
-    month = F.lit(None).cast("int")
     pattern = r"^(\d{1,2})\s+(\p{L}{3,})\.?\s+(\d{4})$"
-    word = F.lower(F.regexp_extract("line", pattern, 2))
-    for i, words in enumerate(fixed.SHOP_MONTHS):
-        month = F.when(word.isin(words), i + 1).otherwise(month)
-    n = dates.number(F.regexp_extract("line", pattern, 1))
-    day = F.when(n.between(1, 31) & month.isNotNull(), dates.iso(dates.number(F.regexp_extract("line", pattern, 3)), month, n))
+    part = lambda i: F.regexp_extract("line", pattern, i)
+
+    def named(word: Column) -> Column:
+        month = F.lit(None).cast("int")
+        for i, words in enumerate(fixed.SHOP_MONTHS):
+            month = F.when(word.isin(words), i + 1).otherwise(month)
+        return month
+
+    told = F.struct(dates.number(part(1)).alias("d"), once(F.lower(part(2)), named).alias("m"), dates.number(part(3)).alias("y"))
+    day = once(told, lambda x: F.when(x["d"].between(1, 31) & x["m"].isNotNull(), dates.iso(x["y"], x["m"], x["d"])))
     timed = F.coalesce(F.col("n1").rlike(r"^\d{1,2}:\d{2}$"), F.lit(False))
-    l = lined(latest(items), 0, 3).withColumn("start_date", day).where("start_date IS NOT NULL")  # noqa: E741
+    l = worked_out(lined(latest(items), 0, 3).where(F.col("line").rlike(pattern)), start_date=day).where("start_date IS NOT NULL")  # noqa: E741
     l = l.select("id", "source_key", "pos", "start_date", F.when(timed, F.col("n1")).alias("start_time"), F.when(timed, F.col("n2")).otherwise(F.col("n1")).alias("raw"), F.when(timed, F.col("n3")).otherwise(F.col("n2")).alias("place"))  # noqa: E741
     l = l.where((F.length("raw") >= 4) & ~F.col("raw").rlike(pattern) & (F.lower("raw") != "osta pilet"))  # noqa: E741
     parts = F.filter(F.transform(F.split("place", ","), lambda x: F.trim(x)), lambda x: x != "")
-    l = l.withColumn("parts", F.when(F.contains(F.col("place"), F.lit(",")) & ~F.col("place").rlike(pattern) & (F.size(parts) >= 2), parts))  # noqa: E741
+    l = worked_out(l, parts=F.when(F.contains(F.col("place"), F.lit(",")) & ~F.col("place").rlike(pattern), once(parts, lambda p: F.when(F.size(p) >= 2, p))))  # noqa: E741
     country, city = F.get("parts", F.lit(0)), F.get("parts", F.lit(1))
     title = F.coalesce(compact(F.regexp_replace("raw", r"\s*\|[^|]*$", "")), F.col("raw"))
     inside = gates.is_region_city(country, city) | (F.lower(F.trim(empty(country))).isin(fixed.COUNTRY_WORDS) & gates.is_headliner(F.col("raw")))
@@ -218,13 +221,18 @@ def shop_lines(items: DataFrame) -> DataFrame:
 
 def ranged(start: Column, end: Column) -> Column:
     """struct(start, end): none where it is a whole year (a placeholder); without an end that isn't later."""
-    whole_year = (F.substring(start, 5, 6) == "-01-01") & (F.substring(end, 5, 6) == "-12-31") & (F.substring(start, 1, 4) == F.substring(end, 1, 4))
-    return F.when(start.isNotNull() & ~F.coalesce(whole_year, F.lit(False)), F.struct(start.alias("start"), F.when(end > start, end).alias("end")))
+
+    def told(x: Column) -> Column:
+        s, e = x["s"], x["e"]
+        whole_year = (F.substring(s, 5, 6) == "-01-01") & (F.substring(e, 5, 6) == "-12-31") & (F.substring(s, 1, 4) == F.substring(e, 1, 4))
+        return F.when(s.isNotNull() & ~F.coalesce(whole_year, F.lit(False)), F.struct(s.alias("start"), F.when(e > s, e).alias("end")))
+
+    return once(F.struct(start.alias("s"), end.alias("e")), told)
 
 
 def dmy(c: Column, pattern: str, i: int) -> Column:
-    d, m, y = (F.regexp_extract(c, pattern, i + k) for k in range(3))
-    return F.when(dates.number(d).between(1, 31) & dates.number(m).between(1, 12), F.concat_ws("-", y, m, d))
+    parts = F.struct(*[F.regexp_extract(c, pattern, i + k).alias(name) for k, name in enumerate("dmy")])
+    return once(parts, lambda x: F.when(dates.number(x["d"]).between(1, 31) & dates.number(x["m"]).between(1, 12), F.concat_ws("-", x["y"], x["m"], x["d"])))
 
 
 def agenda_ranges(items: DataFrame) -> DataFrame:
@@ -237,7 +245,8 @@ def agenda_ranges(items: DataFrame) -> DataFrame:
     r = r.when(split, ranged(dmy(F.col("n1"), alone, 1), dmy(F.col("n2"), until, 1))).when(F.col("line").rlike(alone) & ~eaten, ranged(dmy(F.col("line"), alone, 1), F.lit(None).cast("string")))
     can = lambda c: c.rlike("[a-zA-Zà-ÿÀ-Ÿ]") & ~F.lower(c).isin(fixed.AGENDA_CHROME) & (c != "From") & ~c.rlike(f"{alone}|{until}|{inline}|{compacted}")
     title = F.coalesce(*[F.when(can(F.col(f"p{i}")), F.col(f"p{i}")) for i in range(1, 5)])
-    l = l.select("id", "source_key", "pos", norm_title(title).alias("key"), r.alias("range")).where("range IS NOT NULL AND key <> ''")  # noqa: E741
+    l = worked_out(l.where((F.col("line") == "From") | F.col("line").rlike(r"\d$")), range=r).where("range IS NOT NULL")  # noqa: E741
+    l = worked_out(l, key=norm_title(title)).where("key <> ''").select("id", "source_key", "pos", "key", "range")  # noqa: E741
     return l.groupBy("source_key", "key").agg(F.max_by("range", F.struct("id", "pos")).alias("range"))
 
 
@@ -245,14 +254,13 @@ def agenda_cards(items: DataFrame, *, name: str = "") -> DataFrame:
     """Drafts of an agenda's cards that are no guides, dated by the range glued to their title, else by their pages' date lines of that title (or of one that holds it or is held by it, for
     the most part), else by their text, read from the day seen on; categories by cues."""
     tail = rf"\s*{DMY}\s*[-–]\s*{DMY}\s*$"
-    c = cards_of(items)
-    own = F.col("title").rlike(tail) & dmy(F.col("title"), tail, 1).isNotNull()
-    bare = F.when(own, F.coalesce(compact(F.regexp_replace("title", tail, "")), F.col("title"))).otherwise(F.col("title"))
-    c = c.select("id", "source_key", "seen", "url", bare.alias("title"), "text", F.when(own, ranged(dmy(F.col("title"), tail, 1), dmy(F.col("title"), tail, 4))).alias("glued"))
+    c = worked_out(cards_of(items).select("id", "source_key", "seen", "url", "title", "text"), own=F.col("title").rlike(tail) & dmy(F.col("title"), tail, 1).isNotNull())
+    bare = F.when(F.col("own"), F.coalesce(compact(F.regexp_replace("title", tail, "")), F.col("title"))).otherwise(F.col("title"))
+    c = worked_out(c, title=bare, glued=F.when(F.col("own"), ranged(dmy(F.col("title"), tail, 1), dmy(F.col("title"), tail, 4)))).drop("own")
     c = c.where(~gates.is_junk(F.col("title"), F.col("text"), F.lit(name)) & ~gates.is_guide(F.col("title"), F.col("url")))
     ranges = agenda_ranges(items)
     links = ranges.select("source_key", F.xxhash64("key").alias("pos"), F.col("key").alias("title"), F.to_json("range").alias("url"))
-    near = linked(c.select("id", "source_key", "title"), links).select("id", F.from_json("url", "start string, end string").alias("of_page"))
-    c = c.join(near, "id", "left").withColumn("range", F.coalesce("glued", "of_page"))
+    c = linked(c.withColumnRenamed("url", "own"), links).withColumnsRenamed({"url": "of_page", "own": "url"})
+    c = c.withColumn("range", F.coalesce("glued", F.from_json("of_page", "start string, end string")))
     start = F.coalesce("range.start", dates.parse_date(F.concat_ws(" ", "title", F.regexp_replace(empty(F.col("text")), tail, "")), F.to_date("seen")))
     return c.select("id", "source_key", "title", start.alias("start_date"), F.col("range.end").alias("end_date"), titles.cued(F.concat_ws(" ", "title", "url"), fixed.CARD_CATEGORIES, "culture").alias("category"), "url")

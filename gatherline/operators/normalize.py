@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..functions.storage import saved
 
 DRAFT_COLUMNS = ["title", "description", "category", "start_date", "end_date", "start_time", "venue_name", "district", "address", "price", "is_free", "url", "source_url", "image_url", "source_item_id"]
 
@@ -81,21 +82,24 @@ def scheduled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def linked(drafts: DataFrame, links: DataFrame) -> DataFrame:
     """drafts (id, source_key, title) with the url of the best of its source's links (source_key, pos, title, url): equal titles, else one in the
-    other (8 characters and 60 % at least), else 60 % of words in common; ties go to the first link. A number stands in a title as a whole or not at all: "Show 65" is no part of "Show 65500". Links meet drafts that share a word with them."""
-    key = lambda df, t, u: df.withColumn(t, text.norm_title(F.col("title"))).withColumn(u, F.array_distinct(F.split(F.col(t), " ")))
-    titles = key(drafts, "k", "ws").where("k <> ''")
-    d = titles.select("source_key", "k", "ws").distinct().withColumn("w", F.explode("ws"))  # drafts of one title meet links once
+    other (8 characters and 60 % at least), else 60 % of words in common; ties go to the first link. A number stands in a title as a whole or not at all: "Show 65" is no part of "Show 65500". Links meet drafts that share a word with them.
+
+    Drafts are written once with the words of their titles, as they are read twice."""
+    key = lambda df, t, u: text.worked_out(df, **{t: text.norm_title(F.col("title"))}).withColumn(u, F.array_distinct(F.split(F.col(t), " ")))
+    titles = saved(key(drafts, "k", "ws"))
+    d = titles.where("k <> ''").select("source_key", "k", "ws").distinct().withColumn("w", F.explode("ws"))  # drafts of one title meet links once
     n = key(links, "k2", "ws2").where("k2 <> ''").groupBy("source_key", "k2", "ws2").agg(F.min(F.struct("pos", "url")).alias("l")).select("source_key", "l.pos", "l.url", "k2", "ws2", F.explode("ws2").alias("w"))
-    j = d.join(n.hint("merge"), ["source_key", "w"]).drop("w").distinct()  # by sort-merge, here and below: split titles take far more than their files
     low, high = F.least(F.length("k"), F.length("k2")), F.greatest(F.length("k"), F.length("k2"))
     whole = lambda c: F.regexp_replace(c, "([0-9]+)", "<$1>")
-    inside = (F.col("k").contains(F.col("k2")) | F.col("k2").contains(F.col("k"))) & (low >= 8) & (low >= 0.6 * high)
+    inside = (low >= 8) & (low >= 0.6 * high) & (F.col("k").contains(F.col("k2")) | F.col("k2").contains(F.col("k")))
     inside = inside & (whole("k").contains(whole("k2")) | whole("k2").contains(whole("k")))
-    common = F.size(F.array_intersect("ws", "ws2")) / F.size(F.array_union("ws", "ws2"))
-    rank = F.when(F.col("k") == F.col("k2"), F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("s"))).when(inside, F.struct(F.lit(1).alias("t"), (-low / high).alias("s"))).when(common >= 0.6, F.struct(F.lit(2).alias("t"), (-common).alias("s")))
-    best = j.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("source_key", "k").agg(F.min(F.struct("rank", "pos", "url")).alias("b"))
-    of_draft = titles.select("id", "source_key", "k").join(best.hint("merge"), ["source_key", "k"]).select("id", F.col("b.url").alias("url")).dropDuplicates(["id"])
-    return drafts.join(of_draft.hint("merge"), "id", "left").select(*drafts.columns, "url")
+    both = F.size("ws") + F.size("ws2")
+    alike = F.when(F.least(F.size("ws"), F.size("ws2")) >= 0.6 * F.greatest(F.size("ws"), F.size("ws2")), text.once(F.size(F.array_intersect("ws", "ws2")), lambda c: c / (both - c)))  # words in common of all: words are distinct
+    told = text.once(alike, lambda c: F.when(c >= 0.6, F.struct(F.lit(2).alias("t"), (-c).alias("s"))))
+    rank = F.when(F.col("k") == F.col("k2"), F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("s"))).when(inside, F.struct(F.lit(1).alias("t"), (-low / high).alias("s"))).otherwise(told)
+    j = d.join(n.hint("merge"), ["source_key", "w"])  # by sort-merge, here and below: split titles take far more than their files. A pair comes by each word it shares, which changes no least
+    best = text.worked_out(j.select("source_key", "k", "k2", "ws", "ws2", "pos", "url"), rank=rank).where("rank IS NOT NULL").groupBy("source_key", "k").agg(F.min(F.struct("rank", "pos", "url")).alias("b"))
+    return titles.join(best.hint("merge"), ["source_key", "k"], "left").select(*drafts.columns, F.col("b.url").alias("url"))
 
 
 def upserted(events: DataFrame, drafts: DataFrame, run_at: Column) -> DataFrame:
