@@ -112,7 +112,7 @@ def latin(c: Column) -> Column:
 def norm_title(c: Column) -> Column:
     """Lower case without marks and quotes; letters, digits and single blanks."""
     t = F.regexp_replace(fold(F.lower(empty(c))), "[«»\"'“”‘’]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^0-9a-zа-я\\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(t, "[^0-9a-zа-я]+", " "))
 
 
 def signature_words(c: Column) -> Column:
